@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rasterdrill.grid import Grid
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import sized
+from rasterdrill.tuning import counted, sized
 
 # Vertices per sort group: a ring of any length is split into blocks of this many.
 RING_BLOCK = 4096
@@ -330,16 +330,12 @@ def time_spine(
     if ranges is not None:
         extents = extents.join(ranges.select(keys[0], "start", "end"), keys[0])
     asked = extent_tiles(extents, grid)
-    held = _aside(
-        extent_tiles(
-            scenes.select(
-                "ts", "grp",
-                F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
-                F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
-            ),
-            grid,
-        )
+    footprints = scenes.select(
+        "ts", "grp",
+        F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
+        F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
     )
+    held = _aside(counted(extent_tiles(footprints, grid)))
     overlap = "bx0 < _bx1 AND bx1 > _bx0 AND by0 < _by1 AND by1 > _by0"
     # A scene that meets an extent in several tiles counts once: at its first one.
     first_tile = grid.tile_id(

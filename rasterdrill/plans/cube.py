@@ -173,3 +173,67 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((F.col("point_id") * 2903 % rows) / F.lit(100.0) + 0.003).alias("lat"),
         )
     )
+
+
+# Request payloads as text, one per customer or order, the same SQL for both engines
+# but for the quoting of "end" (see ``request_texts``).
+
+REQUEST_TEXTS = """
+  SELECT request_id, CASE request_id % 6
+    WHEN 0 THEN concat('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[', lon, ',', lat, ',-12.5]}}]}')
+    WHEN 1 THEN concat('{"features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[', ring, ']},"properties":{"name":"a"}}]}')
+    WHEN 2 THEN '{"type":"FeatureCollection","features":[]}'
+    WHEN 3 THEN concat('{"features":[{"geometry":{"type":"Point","coordinates":[', lon, ',', lat, ']}},{"geometry":{"type":"Point","coordinates":[1,2]}}]}')
+    WHEN 4 THEN concat('{"features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[', ring, ',', hole, ']},"crs":{"properties":{"name":"EPSG:3577"}}}]}', chr(10), '{"not":"read"}')
+    ELSE '{"type":"FeatureCollection"}' END AS payload
+  FROM (SELECT request_id, lon, lat,
+      concat('[[', lon, ',', lat, '],[', lon, '5,', lat, '],[', lon, '5,', lat, '5],[', lon, ',', lat, '5],[', lon, ',', lat, ']]') AS ring,
+      concat('[[', lon, '1,', lat, '1],[', lon, '2,', lat, '1],[', lon, '2,', lat, '2],[', lon, '1,', lat, '1]]') AS hole
+    FROM (SELECT c_custkey AS request_id, concat(146 + c_custkey % 7, '.', 101 + c_custkey % 877) AS lon,
+        concat('-', 20 + c_custkey % 17, '.', 101 + c_custkey % 839) AS lat FROM customer) k) t
+"""
+
+TIME_TEXTS = """
+  SELECT o_orderkey AS request_id,
+    concat('{"properties":{"timestamp":{"date-time":"', 1990 + o_orderkey % 30, '-0', 1 + o_custkey % 9, '-1', o_orderkey % 10,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'T10:20:30' ELSE '' END, '"}}}') AS start,
+    CASE WHEN o_orderkey % 4 = 3 THEN NULL
+      WHEN o_orderkey % 11 = 5 THEN '{"properties":{"timestamp":{"date-time":"soon"}}}'
+      ELSE concat('{"properties":{"timestamp":{"date-time":"', 2005 + o_custkey % 20, '-1', o_orderkey % 3, '-2', o_custkey % 9, '"}}}')
+      END AS "end"
+  FROM orders
+"""
+
+PARAMETER_TEXTS = """
+  SELECT c_custkey AS request_id, CASE c_custkey % 5
+    WHEN 0 THEN NULL
+    WHEN 1 THEN concat('{"aggregate":', c_custkey % 400, '}')
+    WHEN 2 THEN concat('{"aggregate":"', c_custkey % 30, '","note":"x"}', chr(10), '{"aggregate":1}')
+    WHEN 3 THEN '{}'
+    ELSE concat('{"note":"', c_custkey, '"}') END AS parameters
+  FROM customer
+"""
+
+# Time ranges per request: whole years, months, days, none, or one end only.
+RANGE_TEXTS = """
+  SELECT c_custkey AS point_id, CASE c_custkey % 5
+      WHEN 0 THEN concat(1995 + c_custkey % 13)
+      WHEN 1 THEN concat(1995 + c_custkey % 17, '-0', 1 + c_custkey % 9)
+      WHEN 2 THEN concat(1995 + c_custkey % 11, '-12-31')
+      WHEN 3 THEN NULL ELSE '2001' END AS start,
+    CASE c_custkey % 5
+      WHEN 0 THEN concat(1995 + c_custkey % 13 + c_custkey % 4)
+      WHEN 1 THEN concat(2012 + c_custkey % 5, '-1', c_custkey % 3)
+      WHEN 2 THEN concat(2010 + c_custkey % 7, '-01-01')
+      ELSE NULL END AS "end"
+  FROM customer
+"""
+
+
+def request_texts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """One of the payload tables above, over the customers or the orders."""
+    text = sql.replace('"end"', "`end`").replace("{", "{{").replace("}", "}}")
+    used = {n: table(spark, sf_dir, n) for n in ("customer", "orders") if f"FROM {n}" in sql}
+    for name in used:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, **used)

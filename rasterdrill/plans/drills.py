@@ -277,43 +277,79 @@ def wetland_area(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WE
     )
 
 
-def wetland_areas(
+def _wetland_held(
+    pixels: DataFrame,
+    scenes: DataFrame,
+    polygons: DataFrame,
+    grid: Grid,
+    ranges: DataFrame | None,
+    overlapping: bool,
+) -> DataFrame:
+    """Usable wetland pixels at exact times, per polygon that touches them."""
+    bands = (*S.COVER_BANDS, *S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity", "water")
+    kept = C.with_scene(
+        pixels.select("scene_id", "ts", *_PLACE, *bands), counted(scenes.select("scene_id"))
+    )
+    each, union = G.polygon_masks(polygons, grid, all_touched=True)
+    if overlapping:
+        values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
+        kept = _fuse_exact(G.inside_any(kept, union), scenes, values)
+    held = G.inside_each(wetland_pixels(kept, "ts", *_PLACE), each)
+    return held if ranges is None else _in_range(held, ranges)
+
+
+def wetland_composite(
     pixels: DataFrame,
     scenes: DataFrame,
     polygons: DataFrame,
     grid: Grid,
+    aggregate: int,
     time=None,
     ranges: DataFrame | None = None,
-    aggregate: int = 0,
     overlapping: bool = False,
 ) -> DataFrame:
-    """:func:`wetland_area` per polygon and time, after compositing if asked.
+    """Pixels merged over windows of ``aggregate`` days: ``(poly_id, anchor, pixel)`` rows.
 
-    ``aggregate`` 0 keeps every time; 1 averages windows of one day; more days
-    take the first usable value in windows of that length.
+    Windows follow each polygon's own times, so pixels are merged per polygon.
     """
     sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    px = SC.filter_time_range(pixels, time)
-    bands = (*S.COVER_BANDS, *S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity", "water")
-    px = C.with_scene(px.select("scene_id", "ts", *_PLACE, *bands), counted(sc.select("scene_id")))
-    each, union = G.polygon_masks(polygons, grid, all_touched=True)
-    if overlapping:
-        values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
-        px = _fuse_exact(G.inside_any(px, union), sc, values)
-    held = G.inside_each(wetland_pixels(px, "ts", *_PLACE), each)
-    if ranges is not None:
-        held = _in_range(held, ranges)
-    if aggregate <= 0:
-        return wetland_area(held, ["poly_id", F.col("ts").alias("time")])
-
+    held = _wetland_held(
+        SC.filter_time_range(pixels, time), sc, polygons, grid, ranges, overlapping
+    )
     spine = G.time_spine(
         G.polygon_extents(polygons, grid), SC.group_scenes(sc, "exact"), grid, ranges=ranges
     )
     windows = T.anchored_windows(spine.select("poly_id", F.col("time").alias("ts")), aggregate)
     placed = held.join(counted(windows), ["poly_id", "ts"])
-    keys = ["poly_id", "anchor", *_PLACE]
     merge = T.average_over_day if aggregate == 1 else T.composite_first_valid
-    return wetland_area(merge(placed, keys, WETLAND_NODATA), ["poly_id", F.col("anchor").alias("time")])
+    return merge(placed, ["poly_id", "anchor", *_PLACE], WETLAND_NODATA)
+
+
+def wetland_areas(
+    pixels: DataFrame,
+    scenes: DataFrame,
+    polygons: DataFrame,
+    grid: Grid,
+    time=None,
+    ranges: DataFrame | None = None,
+    aggregate: int = 0,
+    overlapping: bool = False,
+) -> DataFrame:
+    """:func:`wetland_area` per polygon and time, after compositing if asked.
+
+    ``aggregate`` 0 keeps every time; 1 averages windows of one day; more days
+    take the first usable value in windows of that length.
+    """
+    if aggregate > 0:
+        merged = wetland_composite(
+            pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping
+        )
+        return wetland_area(merged, ["poly_id", F.col("anchor").alias("time")])
+    sc = wetland_scenes(SC.filter_time_range(scenes, time))
+    held = _wetland_held(
+        SC.filter_time_range(pixels, time), sc, polygons, grid, ranges, overlapping
+    )
+    return wetland_area(held, ["poly_id", F.col("ts").alias("time")])
 
 
 def wetland_drill(
