@@ -1,15 +1,17 @@
 """Albers equal-area conic on an ellipsoid, as column expressions.
 
 Formulas follow Snyder, *Map Projections: A Working Manual* (USGS Professional
-Paper 1395, 1987), equations 14-1 to 14-21 and 3-12, 3-16.
+Paper 1395, 1987), equations 14-1 to 14-21 and 3-12; the latitude series is that of 3-18, carried
+further.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -68,29 +70,36 @@ class Albers:
         theta = F.lit(self.n) * F.radians(lon - F.lit(self.longitude_0))
         return rho * F.sin(theta), F.lit(self.rho_0) - rho * F.cos(theta)
 
-    def with_lonlat(self, df: DataFrame, east: Column, north: Column) -> DataFrame:
-        """Add ``lon`` and ``lat`` in degrees; four latitude steps reach 1e-12 rad."""
-        sign = -1.0 if self.n < 0 else 1.0
+    @cached_property
+    def _latitude_series(self) -> tuple[float, ...]:
+        """Coefficients of sin 2b, sin 4b, ... in latitude minus authalic latitude b.
+
+        Found by projecting the exact difference on the sines; six terms leave
+        less than 1e-15 radians.
+        """
+        samples, terms = 64, 6
+        out = [0.0] * terms
+        for i in range(samples):
+            b = (i + 0.5) * math.pi / samples - math.pi / 2
+            phi, target = b, self._q(90.0) * math.sin(b)
+            for _ in range(8):  # Newton steps on q(phi) = target
+                s = math.sin(phi)
+                slope = 2 * (1 - self.e2) * math.cos(phi) / (1 - self.e2 * s * s) ** 2
+                phi += (target - self._q(math.degrees(phi))) / slope
+            for k in range(terms):
+                out[k] += 2 / samples * (phi - b) * math.sin(2 * (k + 1) * b)
+        return tuple(out)
+
+    def inverse(self, east: Column, north: Column) -> tuple[Column, Column]:
+        """Longitude and latitude in degrees of an easting and northing in metres."""
+        sign = F.lit(-1.0 if self.n < 0 else 1.0)
         dy = F.lit(self.rho_0) - north
-        rho2 = east * east + dy * dy
-        q = (F.lit(self.c) - rho2 * F.lit((self.n / self.semi_major) ** 2)) / F.lit(self.n)
-        theta = F.atan2(F.lit(sign) * east, F.lit(sign) * dy)
-        out = df.withColumns(
-            {
-                "lon": F.lit(self.longitude_0) + F.degrees(theta / F.lit(self.n)),
-                "_q": q,
-                "_phi": F.asin(q / F.lit(2.0)),
-            }
-        )
-        for _ in range(4):
-            s = F.sin(F.col("_phi"))
-            es = 1 - F.lit(self.e2) * s * s
-            step = (
-                es * es / (2 * F.cos(F.col("_phi")))
-            ) * (
-                F.col("_q") / F.lit(1 - self.e2)
-                - s / es
-                + F.log((1 - F.lit(self.e) * s) / (1 + F.lit(self.e) * s)) / F.lit(2 * self.e)
-            )
-            out = out.withColumn("_phi", F.col("_phi") + step)
-        return out.withColumn("lat", F.degrees("_phi")).drop("_q", "_phi")
+        q = (
+            F.lit(self.c) - (east * east + dy * dy) * F.lit((self.n / self.semi_major) ** 2)
+        ) / F.lit(self.n)
+        b = F.asin(q / F.lit(self._q(90.0)))
+        lat = b
+        for k, coefficient in enumerate(self._latitude_series, start=1):
+            lat = lat + F.lit(coefficient) * F.sin(F.lit(2.0 * k) * b)
+        lon = F.degrees(F.atan2(sign * east, sign * dy) / F.lit(self.n)) + F.lit(self.longitude_0)
+        return lon, F.degrees(lat)

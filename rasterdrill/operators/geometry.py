@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rasterdrill.grid import Grid
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import counted, sized
+from rasterdrill.tuning import BROADCAST_ROWS, sized
 
 # Vertices per sort group: a ring of any length is split into blocks of this many.
 RING_BLOCK = 4096
@@ -153,24 +153,32 @@ def tile_spans(spans: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def span_bound(polygons: DataFrame, grid: Grid) -> int:
+def span_bound(polygons: DataFrame, grid: Grid, enough: int = BROADCAST_ROWS) -> int:
     """An upper bound on the number of tile spans, from vertices alone.
 
-    An edge gives at most one span end per row it meets; cutting at tile borders
-    adds at most one piece per tile column of the polygon's extent and row.
+    A row of a polygon has at most as many runs as the polygon has vertices, and
+    cutting at tile borders adds one piece per tile column of its extent. If that
+    is above ``enough``, edges are measured instead: an edge starts at most one
+    run in each row it meets.
     """
-    pieces = edges(polygons, grid).agg(
-        F.sum(F.abs(F.col("yb") - F.col("ya")) + 2).alias("n")
-    )
-    rows = F.max("_r") - F.min("_r") + 2
-    tiles = (F.max("_c") - F.min("_c")) / F.lit(float(grid.tile)) + 2
-    cuts = (
+    per_polygon = (
         polygons.select("poly_id", grid.col(F.col("vx")).alias("_c"), grid.row(F.col("vy")).alias("_r"))
-        .groupBy("poly_id").agg((rows * tiles).alias("_cuts"))
-        .agg(F.sum("_cuts").alias("n"))
+        .groupBy("poly_id")
+        .agg(
+            (F.max("_r") - F.min("_r") + 2).alias("_rows"),
+            ((F.max("_c") - F.min("_c")) / F.lit(float(grid.tile)) + 2).alias("_tiles"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+        .agg(
+            F.sum(F.col("_rows") * (F.col("_tiles") + F.col("_n"))).alias("loose"),
+            F.sum(F.col("_rows") * F.col("_tiles")).alias("cuts"),
+        )
+        .first()
     )
-    total = pieces.union(cuts).agg(F.sum("n")).first()[0]
-    return int(total or 0)
+    if per_polygon["loose"] is None or per_polygon["loose"] <= enough:
+        return int(per_polygon["loose"] or 0)
+    runs = edges(polygons, grid).agg(F.sum(F.abs(F.col("yb") - F.col("ya")) + 2).alias("n")).first()["n"]
+    return int(per_polygon["cuts"] + (runs or 0))
 
 
 def polygon_masks(
@@ -313,29 +321,55 @@ def pixels_in_extents(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> Dat
     return joined.select(F.col("_poly_id").alias("poly_id"), *pixels.columns)
 
 
+def scene_sizes(scenes: DataFrame, grid: Grid) -> tuple[int, int]:
+    """Number of scenes, and a bound on the number of tiles they cover."""
+    def span(lo: str, hi: str) -> Column:
+        return grid.block(F.col(hi)) - grid.block(F.col(lo)) + 1
+
+    row = scenes.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(span("sx0", "sx1") * span("sy0", "sy1")).alias("tiles")
+    ).first()
+    return row["n"], int(row["tiles"] or 0)
+
+
+def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
+    """A bound on the rows of :func:`time_spine`: scenes per tile, summed over extents."""
+    areas = scenes.select(
+        F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
+        F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
+    )
+    held = extent_tiles(areas, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = extent_tiles(extents, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("m"))
+    return int(held.join(asked, "tile_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")).first()["n"] or 0)
+
+
 def time_spine(
     extents: DataFrame,
     scenes: DataFrame,
     grid: Grid,
     keys: Sequence[str] = ("poly_id",),
     ranges: DataFrame | None = None,
+    footprints: int | None = None,
 ) -> DataFrame:
     """Every time group under each extent: ``(*keys, grp, time, n_scenes)``.
 
     ``scenes`` carry their own extent ``sx0, sy0, sx1, sy1`` in pixel units and
     ``grp`` from ``group_scenes``; the label ``time`` is the first scene time of
     the group. Rows exist even where no pixel was ever valid. ``ranges`` limits
-    each key to its own ``start`` and ``end``.
+    each key to its own ``start`` and ``end``; ``footprints`` is the number of
+    scene tiles, if known.
     """
+    if footprints is None:
+        _, footprints = scene_sizes(scenes, grid)
     if ranges is not None:
         extents = extents.join(ranges.select(keys[0], "start", "end"), keys[0])
     asked = extent_tiles(extents, grid)
-    footprints = scenes.select(
+    areas = scenes.select(
         "ts", "grp",
         F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
         F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
     )
-    held = _aside(counted(extent_tiles(footprints, grid)))
+    held = _aside(sized(extent_tiles(areas, grid), footprints))
     overlap = "bx0 < _bx1 AND bx1 > _bx0 AND by0 < _by1 AND by1 > _by0"
     # A scene that meets an extent in several tiles counts once: at its first one.
     first_tile = grid.tile_id(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +46,21 @@ def reproject_nearest(
         {f"_c{i}": c for i, c in enumerate(cols)} | {f"_r{i}": r for i, r in enumerate(rows)}
     )
 
-    def cells(prefix: str):
-        # One spare cell either side: a pixel's edges are very nearly straight.
+    def cells(prefix: str, slack: float):
         names = [f"{prefix}{i}" for i in range(4)]
-        low = F.floor(F.least(*names)).cast("bigint") - 1
-        return F.explode(F.sequence(low, F.floor(F.greatest(*names)).cast("bigint") + 1))
+        low = F.ceil(F.least(*names) - F.lit(0.5 + slack)).cast("bigint")
+        high = F.floor(F.greatest(*names) - F.lit(0.5 - slack)).cast("bigint")
+        return F.explode(F.when(high >= low, F.sequence(low, high)))
+
+    # A projected pixel edge bulges by less than its length squared over the
+    # Earth's radius; a centre that near the corners' box is a candidate too.
+    edge = 111_700.0 * math.hypot(source.res_x, source.res_y)
+    bulge = edge * edge / 6.3e6
 
     near = (
-        corners.withColumn("tx", cells("_c"))
-        .withColumn("ty", cells("_r"))
+        corners.withColumn("tx", cells("_c", bulge / abs(target.res_x) + 1e-3))
+        .withColumn("ty", cells("_r", bulge / abs(target.res_y) + 1e-3))
         .drop(*[f"_c{i}" for i in range(4)], *[f"_r{i}" for i in range(4)])
     )
-    back = albers.with_lonlat(near, target.x_centre(F.col("tx")), target.y_centre(F.col("ty")))
-    return back.filter(
-        (F.floor(source.col(F.col("lon"))) == x) & (F.floor(source.row(F.col("lat"))) == y)
-    ).drop("lon", "lat")
+    lon, lat = albers.inverse(target.x_centre(F.col("tx")), target.y_centre(F.col("ty")))
+    return near.filter((F.floor(source.col(lon)) == x) & (F.floor(source.row(lat)) == y))

@@ -19,8 +19,18 @@ GRID = Grid(tile=8, tiles_across=8)
 LONLAT_GRID = Grid(origin_x=148.5, origin_y=-35.0, res_x=0.0003, res_y=-0.0003, tile=8, tiles_across=8)
 
 
+# Stated, so that reading a table starts no job to look at its files.
+SCHEMAS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _n_tiles(spark: SparkSession, sf_dir: str):

@@ -22,7 +22,7 @@ from rasterdrill.operators import geometry as G
 from rasterdrill.operators import temporal as T
 from rasterdrill.sources import scenes as SC
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import counted, sized
+from rasterdrill.tuning import BROADCAST_ROWS, counted, sized
 
 _PLACE = ("tile_id", "y", "x")
 
@@ -41,6 +41,7 @@ def _in_range(df: DataFrame, ranges: DataFrame, key: str = "poly_id") -> DataFra
 def _fused_in_polygons(
     pixels: DataFrame,
     scenes: DataFrame,
+    n_scenes: int,
     polygons: DataFrame,
     grid: Grid,
     ranges: DataFrame | None,
@@ -53,7 +54,7 @@ def _fused_in_polygons(
     ranges, which may split a day differently for each.
     """
     each, union = G.polygon_masks(polygons, grid)
-    sc = counted(scenes.select("scene_id", "grp", "ord"))
+    sc = sized(scenes.select("scene_id", "grp", "ord"), n_scenes)
     kept = C.with_scene(G.inside_any(pixels, union), sc, "grp", "ord")
     if ranges is None:
         return G.inside_each(C.fuse(kept, **rules), each)
@@ -99,16 +100,19 @@ def cover_counts(
     strict_nodata: bool = False,
 ) -> DataFrame:
     """:func:`cover_statistics` per polygon and solar day; null where nothing was read."""
-    sc = SC.group_scenes(SC.filter_time_range(scenes, time), "solar_day")
+    taken = SC.filter_time_range(scenes, time)
+    n_scenes, footprints = G.scene_sizes(taken, grid)
+    sc = SC.group_scenes(taken, "solar_day")
     bands = SC.filter_time_range(pixels, time).select(
         "scene_id", "ts", *_PLACE, *S.COVER_BANDS, "water"
     )
     held = _fused_in_polygons(
-        bands, sc, polygons, grid, ranges,
+        bands, sc, n_scenes, polygons, grid, ranges,
         first_valid={b: nodata for b in S.COVER_BANDS}, water="water",
     )
     counts = cover_statistics(held, ["poly_id", "grp"], nodata, strict_nodata)
-    spine = G.time_spine(G.polygon_extents(polygons, grid), sc, grid, ranges=ranges)
+    extents = G.polygon_extents(polygons, grid)
+    spine = G.time_spine(extents, sc, grid, ranges=ranges, footprints=footprints)
     return spine.join(counts, ["poly_id", "grp"], "left")
 
 
@@ -189,14 +193,16 @@ def point_water(
     Coordinates are those of the request point. A time at which the pixel is
     absent has the nodata value.
     """
-    sc = SC.group_scenes(SC.filter_time_range(scenes, time), "solar_day")
+    taken = SC.filter_time_range(scenes, time)
+    n_scenes, footprints = G.scene_sizes(taken, grid)
+    sc = SC.group_scenes(taken, "solar_day")
     n_points = points.count()
     located = G.points_to_pixels(points.select("point_id", "lon", "lat"), grid)
     cells = sized(located.select(*_PLACE).distinct(), n_points)
     px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, "water")
     kept = C.with_scene(
-        px.join(cells, list(_PLACE), "left_semi"), counted(sc.select("scene_id", "grp", "ord")),
-        "grp", "ord",
+        px.join(cells, list(_PLACE), "left_semi"),
+        sized(sc.select("scene_id", "grp", "ord"), n_scenes), "grp", "ord",
     )
     fused = C.fuse_water(kept)
     squares = located.select(
@@ -206,7 +212,7 @@ def point_water(
         (F.col("x") + 1.0).alias("bx1"), (F.col("y") + 1.0).alias("by1"),
     )
     keys = ("point_id", "lon", "lat", "cell_tile", "y", "x")
-    spine = G.time_spine(squares, sc, grid, keys=keys).withColumnRenamed("cell_tile", "tile_id")
+    spine = G.time_spine(squares, sc, grid, keys=keys, footprints=footprints).withColumnRenamed("cell_tile", "tile_id")
     return spine.join(fused, list(C.PIXEL_KEY), "left").select(
         "point_id",
         "time",
@@ -316,11 +322,12 @@ def wetland_composite(
     held = _wetland_held(
         SC.filter_time_range(pixels, time), sc, polygons, grid, ranges, overlapping
     )
-    spine = G.time_spine(
-        G.polygon_extents(polygons, grid), SC.group_scenes(sc, "exact"), grid, ranges=ranges
-    )
+    extents = G.polygon_extents(polygons, grid)
+    spine = G.time_spine(extents, SC.group_scenes(sc, "exact"), grid, ranges=ranges)
     windows = T.anchored_windows(spine.select("poly_id", F.col("time").alias("ts")), aggregate)
-    placed = held.join(counted(windows), ["poly_id", "ts"])
+    n_times = G.spine_bound(extents, sc, grid)
+    windows = sized(windows, n_times) if n_times <= BROADCAST_ROWS else counted(windows)
+    placed = held.join(windows, ["poly_id", "ts"])
     merge = T.average_over_day if aggregate == 1 else T.composite_first_valid
     return merge(placed, ["poly_id", "anchor", *_PLACE], WETLAND_NODATA)
 

@@ -212,10 +212,10 @@ _block("anchors", "spine_good steps", """
       AND s.time >= c.a + to_days(CAST(c.n_days AS INTEGER))) AS a
   FROM anchors c WHERE c.a IS NOT NULL""")
 _block("windows", "anchors", """
-  SELECT s.poly_id, n_days, s.time AS ts, max(a) AS anchor FROM spine_good s JOIN anchors w
-    ON w.poly_id = s.poly_id AND w.a <= s.time
-  GROUP BY ALL
-  QUALIFY anchor < max(s.time) OVER (PARTITION BY s.poly_id)""")
+  SELECT poly_id, n_days, ts, anchor FROM (
+    SELECT s.poly_id, n_days, s.time AS ts, max(a) AS anchor FROM spine_good s JOIN anchors w
+      ON w.poly_id = s.poly_id AND w.a <= s.time GROUP BY ALL)
+  QUALIFY anchor < max(ts) OVER (PARTITION BY poly_id)""")
 _block("window_sizes", "windows", """
   SELECT poly_id, n_days, anchor, count(*) AS n_times, max(ts) AS last_time FROM windows GROUP BY ALL""")
 

@@ -16,6 +16,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Recording the call site of every column expression takes milliseconds each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
