@@ -81,24 +81,46 @@ def spans_centre(polygons: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+def _edge_enters(x: Column) -> Column:
+    """Separating-axis test: the edge enters the open square of pixel ``x`` of row ``y``."""
+    xa, ya, xb, yb = (F.col(c) for c in ("xa", "ya", "xb", "yb"))
+    half = F.lit(0.5)
+    off = F.abs((xb - xa) * (F.col("y") + half - ya) - (yb - ya) * (x + half - xa))
+    return (
+        (F.least(xa, xb) < x + 1)
+        & (F.greatest(xa, xb) > x)
+        & (off < half * (F.abs(xb - xa) + F.abs(yb - ya)))
+    )
+
+
 def _edge_spans(polygons: DataFrame, grid: Grid) -> DataFrame:
-    """Per edge and row, the run of pixels whose open square the edge enters."""
+    """Per edge and row, the run of pixels whose open square the edge enters.
+
+    The run is found by clipping the edge to the row; its two end pixels are
+    settled by the separating-axis test, which decides edges through a corner.
+    """
     low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
     y = F.col("y")
     level = F.col("ya") == F.col("yb")
     left = F.when(level, F.col("xa")).otherwise(_edge_x(F.greatest(low, y.cast("double"))))
     right = F.when(level, F.col("xb")).otherwise(_edge_x(F.least(high, y + F.lit(1.0))))
+    f, t = F.col("_f"), F.col("_t")
     return (
         edges(polygons, grid)
         .withColumn("_r0", _int(F.floor(low)))
         .withColumn("_r1", _int(F.ceil(high)) - 1)
         .filter("_r1 >= _r0")
         .withColumn("y", F.explode(F.sequence("_r0", "_r1")))
-        .select("poly_id", "y", left.alias("_p"), right.alias("_q"))
+        .withColumns(
+            {
+                "_f": _int(F.floor(F.least(left, right))),
+                "_t": _int(F.ceil(F.greatest(left, right))) - 1,
+            }
+        )
         .select(
             "poly_id", "y",
-            _int(F.floor(F.least("_p", "_q"))).alias("x_from"),
-            (_int(F.ceil(F.greatest("_p", "_q"))) - 1).alias("x_to"),
+            F.when(_edge_enters(f - 1), f - 1).when(_edge_enters(f), f).otherwise(f + 1).alias("x_from"),
+            F.when(_edge_enters(t + 1), t + 1).when(_edge_enters(t), t).otherwise(t - 1).alias("x_to"),
         )
         .filter("x_to >= x_from")
     )

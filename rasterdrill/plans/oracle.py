@@ -168,9 +168,9 @@ _block("cover_counts", "fused mask_c", f"""
     count(*) FILTER (WHERE {_BITS_CLEAR} AND {_TOP} = 'NPV') AS n_npv
   FROM fused f JOIN mask_c m ON f.x = m.x AND f.y = m.y GROUP BY poly_id, grp""")
 _block("cover", "spine_day cover_counts", """
-  SELECT poly_id, time, 100.0::DOUBLE * n_bs / nullif(valid_bs, 0) AS BS,
-    100.0::DOUBLE * n_pv / nullif(valid_pv, 0) AS PV, 100.0::DOUBLE * n_npv / nullif(valid_npv, 0) AS NPV,
-    100.0::DOUBLE * (valid_bs - seen) / nullif(valid_bs, 0) AS Unobservable
+  SELECT poly_id, time, n_bs / nullif(valid_bs, 0) * 100.0::DOUBLE AS BS,
+    n_pv / nullif(valid_pv, 0) * 100.0::DOUBLE AS PV, n_npv / nullif(valid_npv, 0) * 100.0::DOUBLE AS NPV,
+    (valid_bs - seen) / nullif(valid_bs, 0) * 100.0::DOUBLE AS Unobservable
   FROM spine_day LEFT JOIN cover_counts USING (poly_id, grp)""")
 _block("mangrove", "spine_exact pixels mask_c", """
   SELECT s.poly_id, s.time, coalesce(c1, 0) AS Woodland, coalesce(c2, 0) AS "Open Forest",
@@ -304,13 +304,17 @@ def _with(body: str, extra: str = "") -> str:
     return f"WITH RECURSIVE {', '.join(ctes)}\n{body}" if ctes else body
 
 
+def _r6(expr: str) -> str:
+    return f"floor(({expr}) * 1e6 + 0.5::DOUBLE) / 1e6"
+
+
 _WET_OUT = """
-  SELECT {d} a.poly_id, time, round(water / valid, 6) AS water, round(wet / valid, 6) AS wet,
-    round(bs / valid, 6) AS bs, round(pv / valid, 6) AS pv, round(npv / valid, 6) AS npv, geometry
+  SELECT {d} a.poly_id, time, {shares}, geometry
   FROM {areas} a JOIN area_t t ON a.poly_id = t.poly_id JOIN hulls h ON a.poly_id = h.poly_id
   WHERE valid / total_area > 0.9"""
 
-_COVER_ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in ("BS", "PV", "NPV", "Unobservable"))
+_SHARES = ", ".join(f"{_r6(f'{c} / valid')} AS {c}" for c in ("water", "wet", "bs", "pv", "npv"))
+_COVER_ROUND = ", ".join(f"{_r6(c)} AS {c}" for c in ("BS", "PV", "NPV", "Unobservable"))
 
 
 def _cents(column: str, factor: int) -> str:
@@ -399,7 +403,7 @@ _MANGROVE_CSV = _csv("mangrove", "time,Woodland,Open Forest,Closed Forest",
 _COVER_CSV = _csv(
     "cover",
     "time,Bare Soil,Photosynthetic Vegetation,Non-Photosynthetic Vegetation,Unobservable",
-    [f"round({c}, 6)" for c in ("BS", "PV", "NPV", "Unobservable")],
+    [_r6(c) for c in ("BS", "PV", "NPV", "Unobservable")],
 )
 
 _MELT = """SELECT poly_id, time, unnest([{names}]) AS "Cover Type", unnest([{values}]) AS "Area" FROM {source}"""
@@ -410,7 +414,7 @@ _MANGROVE_LONG = _MELT.format(
 )
 _COVER_LONG = _MELT.format(
     names="'BS', 'PV', 'NPV', 'Unobservable'",
-    values="round(BS, 6), round(PV, 6), round(NPV, 6), round(Unobservable, 6)", source="cover",
+    values=", ".join(_r6(c) for c in ("BS", "PV", "NPV", "Unobservable")), source="cover",
 )
 
 
@@ -582,11 +586,11 @@ SELECT request_id, coalesce(TRY_CAST(json_extract_string(j, '$.aggregate') AS IN
             "SELECT * FROM mangrove WHERE time >= TIMESTAMP '2000-01-01' AND time < TIMESTAMP '2006-01-01'"
         ),
         "wit_cal_area": _with("""
-  SELECT poly_id, time, valid, water, wet, round(bs, 6) AS bs, round(pv, 6) AS pv, round(npv, 6) AS npv FROM areas"""),
-        "wit_drill": _with(_WET_OUT.format(d="", areas="areas")),
+  SELECT poly_id, time, valid, water, wet, """ + ", ".join(f"{_r6(b)} AS {b}" for b in ("bs", "pv", "npv")) + " FROM areas"),
+        "wit_drill": _with(_WET_OUT.format(shares=_SHARES, d="", areas="areas")),
         "wit_drill_aggregated": _with(
-            _WET_OUT.format(d="1 AS n_days,", areas="day_areas") + " UNION ALL "
-            + _WET_OUT.format(d="365 AS n_days,", areas="year_areas")
+            _WET_OUT.format(shares=_SHARES, d="1 AS n_days,", areas="day_areas") + " UNION ALL "
+            + _WET_OUT.format(shares=_SHARES, d="365 AS n_days,", areas="year_areas")
         ),
         "anchored_windows": _with(
             "SELECT poly_id, n_days, anchor, n_times, last_time FROM window_sizes"
@@ -595,7 +599,7 @@ SELECT request_id, coalesce(TRY_CAST(json_extract_string(j, '$.aggregate') AS IN
         "composite_first_valid": _with(_composite_out("composite")),
         "melt_cover": _with(f'SELECT * FROM ({_COVER_LONG}) AS t WHERE "Area" IS NOT NULL'),
         "normalized_stack": _with(f"""
-  SELECT *, round("Area" / nullif(sum("Area") OVER (PARTITION BY poly_id, time), 0), 6) AS share FROM ({_MANGROVE_LONG})"""),
+  SELECT *, {_r6('"Area" / nullif(sum("Area") OVER (PARTITION BY poly_id, time), 0)')} AS share FROM ({_MANGROVE_LONG})"""),
         "style_join": _with(f"""
   SELECT m.*, "Cover Type" AS label, color, '#' AS units, true AS active, CAST(ord AS INT) AS ord FROM ({_MANGROVE_LONG}) m
     JOIN (VALUES ('Woodland', '#9FFF4C', 0), ('Open Forest', '#5ECC00', 1), ('Closed Forest', '#3B7F00', 2)) v(label, color, ord)

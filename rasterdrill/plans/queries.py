@@ -39,7 +39,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def _round6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Six decimals, halves upwards, in arithmetic that every engine does alike."""
+    return df.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in columns})
 
 
 def _sum(value: Column | str, name: str) -> Column:
