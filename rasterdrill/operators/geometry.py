@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterdrill import tuning
 from rasterdrill.grid import Grid
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import BROADCAST_ROWS, sized
+from rasterdrill.tuning import counted, sized
 
 # Vertices per sort group: a ring of any length is split into blocks of this many.
 RING_BLOCK = 4096
@@ -175,14 +176,15 @@ def tile_spans(spans: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def span_bound(polygons: DataFrame, grid: Grid, enough: int = BROADCAST_ROWS) -> int:
+def span_bound(polygons: DataFrame, grid: Grid, enough: int | None = None) -> int:
     """An upper bound on the number of tile spans, from vertices alone.
 
     A row of a polygon has at most as many runs as the polygon has vertices, and
     cutting at tile borders adds one piece per tile column of its extent. If that
-    is above ``enough``, edges are measured instead: an edge starts at most one
+    is above ``enough`` (the broadcast limit), edges are measured instead: an edge starts at most one
     run in each row it meets.
     """
+    enough = tuning.BROADCAST_ROWS if enough is None else enough
     per_polygon = (
         polygons.select("poly_id", grid.col(F.col("vx")).alias("_c"), grid.row(F.col("vy")).alias("_r"))
         .groupBy("poly_id")
@@ -316,6 +318,18 @@ def extent_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+def _hinted_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
+    """Extent tiles under their join names, broadcast only if counted to be few.
+
+    The count multiplies tile rows by tile columns; nothing is exploded for it.
+    """
+    def across(lo: str, hi: str) -> Column:
+        return F.greatest(grid.block(F.col(hi)) - grid.block(F.col(lo)) + 1, F.lit(0))
+
+    n = extents.agg(F.sum(across("bx0", "bx1") * across("by0", "by1")).alias("n")).first()["n"]
+    return _aside(sized(extent_tiles(extents, grid), int(n or 0)))
+
+
 def prune_bbox(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
     """Pixels under the extent of any polygon.
 
@@ -332,13 +346,13 @@ def prune_bbox(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
         (x >= edge(F.min(F.floor("bx0")))) & (x <= edge(F.max(F.ceil("bx1"))))
         & (y >= edge(F.min(F.floor("by0")))) & (y <= edge(F.max(F.ceil("by1"))))
     )
-    tiles = _aside(extent_tiles(extents, grid))
+    tiles = _hinted_tiles(extents, grid)
     return boxed.join(tiles, F.expr(_IN_EXTENT), "left_semi")
 
 
 def pixels_in_extents(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
     """Every pixel of every polygon's extent, with ``poly_id``."""
-    tiles = _aside(extent_tiles(polygon_extents(polygons, grid), grid))
+    tiles = _hinted_tiles(polygon_extents(polygons, grid), grid)
     joined = pixels.join(tiles, F.expr(_IN_EXTENT))
     return joined.select(F.col("_poly_id").alias("poly_id"), *pixels.columns)
 
@@ -418,7 +432,8 @@ def points_to_pixels(points: DataFrame, grid: Grid) -> DataFrame:
 
 def pixel_at_point(pixels: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
     """Pixels at the points, with ``point_id, lon, lat`` of the request point."""
-    located = _aside(points_to_pixels(points, grid).select("point_id", "lon", "lat", "tile_id", "y", "x"))
+    located = points_to_pixels(points, grid).select("point_id", "lon", "lat", "tile_id", "y", "x")
+    located = _aside(counted(located))
     joined = pixels.join(located, F.expr("tile_id = _tile_id AND y = _y AND x = _x"))
     return joined.select(
         F.col("_point_id").alias("point_id"),

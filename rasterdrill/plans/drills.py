@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterdrill import schema as S
+from rasterdrill import tuning
 from rasterdrill.functions import pixel as P
 from rasterdrill.grid import Grid
 from rasterdrill.operators import combine as C
@@ -22,7 +23,7 @@ from rasterdrill.operators import geometry as G
 from rasterdrill.operators import temporal as T
 from rasterdrill.sources import scenes as SC
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import BROADCAST_ROWS, counted, sized
+from rasterdrill.tuning import counted, sized
 
 _PLACE = ("tile_id", "y", "x")
 
@@ -326,8 +327,9 @@ def wetland_composite(
     spine = G.time_spine(extents, SC.group_scenes(sc, "exact"), grid, ranges=ranges)
     windows = T.anchored_windows(spine.select("poly_id", F.col("time").alias("ts")), aggregate)
     n_times = G.spine_bound(extents, sc, grid)
-    windows = sized(windows, n_times) if n_times <= BROADCAST_ROWS else counted(windows)
-    placed = held.join(windows, ["poly_id", "ts"])
+    # The bound counts every scene of a tile; count the windows only if it is too loose.
+    loose = n_times > tuning.BROADCAST_ROWS
+    placed = held.join(counted(windows) if loose else sized(windows, n_times), ["poly_id", "ts"])
     merge = T.average_over_day if aggregate == 1 else T.composite_first_valid
     return merge(placed, ["poly_id", "anchor", *_PLACE], WETLAND_NODATA)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,24 +22,28 @@ SESSION_CONF = {
 }
 
 
-def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast if it has at most ``limit`` rows, else for a merge.
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Hint ``df`` for broadcast if ``rows`` bounds it within the limit, else for a merge.
 
     The merge hint matters: the planner's own estimate of an exploded table is
     the size of its input, so it may broadcast one that is far too large.
     """
-    return F.broadcast(df) if rows <= limit else df.hint("merge")
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
-def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def counted(df: DataFrame) -> DataFrame:
     """:func:`sized` with the size counted; for metadata tables, never pixels."""
-    return sized(df, df.count(), limit)
+    return sized(df, df.count())
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="rasterdrill-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="rasterdrill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder all executors see, as the session names it.
+
+    A temporary folder stands in where none is named, as in local tests.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
