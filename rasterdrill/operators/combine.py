@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterdrill import schema as S
 
@@ -41,18 +42,21 @@ def water_is_valid(value: Column) -> Column:
     return value.bitwiseAND(F.lit(1)) == 0
 
 
-def fused_water(
-    value: str = "water", order: str = "ord", nodata: int = S.WATER_NODATA
-) -> Column:
-    """Aggregate: the last source whose nodata bit is clear."""
-    turn = F.when(water_is_valid(F.col(value)), F.col(order))
-    return F.coalesce(F.max_by(value, turn), F.lit(nodata)).alias(value)
+# An integer band and its turn share one long, turn first.
+_SHIFT, _OFFSET = 1 << 32, 1 << 31
 
 
-def fused_first_valid(band: str, nodata: float, order: str = "ord") -> Column:
-    """Aggregate: the first source that is not nodata."""
-    turn = F.when(F.col(band) != F.lit(nodata), F.col(order))
-    return F.coalesce(F.min_by(band, turn), F.lit(nodata)).alias(band)
+def _chosen(band: str, dtype: T.DataType, turn: Column, last: bool) -> Column:
+    """Aggregate: the band's value at its first or last turn; null turns do not count.
+
+    For integer bands the turn and the value are packed into one long, so the
+    choice is a plain min or max and the shuffled row is half as wide.
+    """
+    if not isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
+        return F.max_by(band, turn) if last else F.min_by(band, turn)
+    packed = turn.cast("bigint") * F.lit(_SHIFT) + F.col(band).cast("bigint") + F.lit(_OFFSET)
+    best = F.max(packed) if last else F.min(packed)
+    return (F.pmod(best, F.lit(_SHIFT)) - F.lit(_OFFSET)).cast(dtype)
 
 
 def fuse(
@@ -64,14 +68,24 @@ def fuse(
 ) -> DataFrame:
     """One row per key from overlapping scenes of a group, in one aggregate.
 
+    Bands in ``first_valid`` take the first source that is not their nodata;
+    ``water`` takes the last source whose nodata bit is clear. A pixel without
+    a valid source is nodata.
+
     Products that share scenes are fused together, each band by its own rule.
     The key holds the pixel, so no group exceeds the scenes over one pixel in
     one day, whatever polygon, scene or day dominates the table. All buffers are
     fixed-width numbers, which keeps this a hash aggregate.
     """
-    aggs = [fused_first_valid(b, nd, order) for b, nd in (first_valid or {}).items()]
+    aggs = []
+    for band, nodata in (first_valid or {}).items():
+        turn = F.when(F.col(band) != F.lit(nodata), F.col(order))
+        first = _chosen(band, pixels.schema[band].dataType, turn, last=False)
+        aggs.append(F.coalesce(first, F.lit(nodata)).alias(band))
     if water is not None:
-        aggs.append(fused_water(water, order))
+        turn = F.when(water_is_valid(F.col(water)), F.col(order))
+        last = _chosen(water, pixels.schema[water].dataType, turn, last=True)
+        aggs.append(F.coalesce(last, F.lit(S.WATER_NODATA)).alias(water))
     return pixels.groupBy(*keys).agg(*aggs)
 
 

@@ -9,6 +9,7 @@ they join to pixels by tile and row, so no pixel ever meets an edge.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,69 +29,51 @@ def edges(polygons: DataFrame, grid: Grid, block: int = RING_BLOCK) -> DataFrame
     A ring is cut into blocks that share their end vertex, so one huge ring does
     not become one sort group.
     """
-    seq = F.col("seq")
-    own = F.floor(seq / F.lit(block)).cast("bigint")
-    shared = F.when((seq > 0) & (seq % block == 0), F.array(own, own - 1)).otherwise(F.array(own))
-    in_ring = Window.partitionBy("poly_id", "ring", "block").orderBy("seq")
+    own = f"CAST(floor(seq / {block}) AS BIGINT)"
+    blocks = f"IF(seq > 0 AND seq % {block} = 0, array({own}, {own} - 1), array({own}))"
+    in_ring = "OVER (PARTITION BY poly_id, ring, block ORDER BY seq)"
     return (
         polygons.select(
             "poly_id", "ring", "seq",
             grid.col(F.col("vx")).alias("xa"),
             grid.row(F.col("vy")).alias("ya"),
-            F.explode(shared).alias("block"),
+            F.expr(f"explode({blocks}) AS block"),
         )
-        .withColumn("xb", F.lead("xa").over(in_ring))
-        .withColumn("yb", F.lead("ya").over(in_ring))
-        .filter(F.col("xb").isNotNull())
-        .select("poly_id", "xa", "ya", "xb", "yb")
+        .selectExpr("poly_id", "xa", "ya", f"lead(xa) {in_ring} AS xb", f"lead(ya) {in_ring} AS yb")
+        .filter("xb IS NOT NULL")
     )
 
 
-def _edge_x(y: Column) -> Column:
+def _edge_x(y: str) -> str:
     """Where the edge is at height ``y``; meaningless for a level edge."""
-    xa, ya, xb, yb = (F.col(c) for c in ("xa", "ya", "xb", "yb"))
-    return xa + (y - ya) * (xb - xa) / (yb - ya)
-
-
-def _int(c: Column) -> Column:
-    return c.cast("bigint")
+    return f"(xa + ({y} - ya) * (xb - xa) / (yb - ya))"
 
 
 def spans_centre(polygons: DataFrame, grid: Grid) -> DataFrame:
     """Spans of pixels whose centre lies inside, by the even-odd rule over all rings."""
-    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
-    half = F.lit(0.5)
-    crossings = (
-        edges(polygons, grid)
-        .withColumn("_r0", _int(F.ceil(low - half)))
-        .withColumn("_r1", _int(F.ceil(high - half)) - 1)
-        .filter("_r1 >= _r0")
-        .withColumn("y", F.explode(F.sequence("_r0", "_r1")))
-        .select("poly_id", "y", _edge_x(F.col("y") + half).alias("cx"))
-    )
-    along = Window.partitionBy("poly_id", "y").orderBy("cx")
+    first, last = "CAST(ceil(least(ya, yb) - 0.5D) AS BIGINT)", "CAST(ceil(greatest(ya, yb) - 0.5D) AS BIGINT) - 1"
+    along = "OVER (PARTITION BY poly_id, y ORDER BY cx)"
     return (
-        crossings.withColumn("_n", F.row_number().over(along))
-        .withColumn("_next", F.lead("cx").over(along))
-        .filter("_n % 2 = 1")
-        .select(
+        edges(polygons, grid)
+        .selectExpr("*", f"explode(IF({last} >= {first}, sequence({first}, {last}), NULL)) AS y")
+        .selectExpr("poly_id", "y", f"{_edge_x('y + 0.5D')} AS cx")
+        .selectExpr("poly_id", "y", "cx", f"row_number() {along} AS n", f"lead(cx) {along} AS next")
+        .filter("n % 2 = 1")
+        .selectExpr(
             "poly_id", "y",
-            _int(F.ceil(F.col("cx") - half)).alias("x_from"),
-            (_int(F.ceil(F.col("_next") - half)) - 1).alias("x_to"),
+            "CAST(ceil(cx - 0.5D) AS BIGINT) AS x_from",
+            "CAST(ceil(next - 0.5D) AS BIGINT) - 1 AS x_to",
         )
         .filter("x_to >= x_from")
     )
 
 
-def _edge_enters(x: Column) -> Column:
+def _edge_enters(x: str) -> str:
     """Separating-axis test: the edge enters the open square of pixel ``x`` of row ``y``."""
-    xa, ya, xb, yb = (F.col(c) for c in ("xa", "ya", "xb", "yb"))
-    half = F.lit(0.5)
-    off = F.abs((xb - xa) * (F.col("y") + half - ya) - (yb - ya) * (x + half - xa))
     return (
-        (F.least(xa, xb) < x + 1)
-        & (F.greatest(xa, xb) > x)
-        & (off < half * (F.abs(xb - xa) + F.abs(yb - ya)))
+        f"(least(xa, xb) < {x} + 1 AND greatest(xa, xb) > {x}"
+        f" AND abs((xb - xa) * (y + 0.5D - ya) - (yb - ya) * ({x} + 0.5D - xa))"
+        " < 0.5D * (abs(xb - xa) + abs(yb - ya)))"
     )
 
 
@@ -100,45 +83,43 @@ def _edge_spans(polygons: DataFrame, grid: Grid) -> DataFrame:
     The run is found by clipping the edge to the row; its two end pixels are
     settled by the separating-axis test, which decides edges through a corner.
     """
-    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
-    y = F.col("y")
-    level = F.col("ya") == F.col("yb")
-    left = F.when(level, F.col("xa")).otherwise(_edge_x(F.greatest(low, y.cast("double"))))
-    right = F.when(level, F.col("xb")).otherwise(_edge_x(F.least(high, y + F.lit(1.0))))
-    f, t = F.col("_f"), F.col("_t")
+    first, last = "CAST(floor(least(ya, yb)) AS BIGINT)", "CAST(ceil(greatest(ya, yb)) AS BIGINT) - 1"
+    start = _edge_x("greatest(least(ya, yb), CAST(y AS DOUBLE))")
+    end = _edge_x("least(greatest(ya, yb), y + 1.0D)")
     return (
         edges(polygons, grid)
-        .withColumn("_r0", _int(F.floor(low)))
-        .withColumn("_r1", _int(F.ceil(high)) - 1)
-        .filter("_r1 >= _r0")
-        .withColumn("y", F.explode(F.sequence("_r0", "_r1")))
-        .withColumns(
-            {
-                "_f": _int(F.floor(F.least(left, right))),
-                "_t": _int(F.ceil(F.greatest(left, right))) - 1,
-            }
+        .selectExpr("*", f"explode(IF({last} >= {first}, sequence({first}, {last}), NULL)) AS y")
+        .selectExpr("*", f"IF(ya = yb, xa, {start}) AS p", f"IF(ya = yb, xb, {end}) AS q")
+        .selectExpr(
+            "*",
+            "CAST(floor(least(p, q)) AS BIGINT) AS f",
+            "CAST(ceil(greatest(p, q)) AS BIGINT) - 1 AS t",
         )
-        .select(
+        .selectExpr(
             "poly_id", "y",
-            F.when(_edge_enters(f - 1), f - 1).when(_edge_enters(f), f).otherwise(f + 1).alias("x_from"),
-            F.when(_edge_enters(t + 1), t + 1).when(_edge_enters(t), t).otherwise(t - 1).alias("x_to"),
+            f"CASE WHEN {_edge_enters('(f - 1)')} THEN f - 1 WHEN {_edge_enters('f')} THEN f ELSE f + 1 END AS x_from",
+            f"CASE WHEN {_edge_enters('(t + 1)')} THEN t + 1 WHEN {_edge_enters('t')} THEN t ELSE t - 1 END AS x_to",
         )
         .filter("x_to >= x_from")
     )
 
 
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Join overlapping or adjoining spans of a row, so each pixel is named once."""
-    along = Window.partitionBy("poly_id", "y").orderBy("x_from", "x_to")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.col("x_from") > F.col("_reach") + 1
+def merge_spans(spans: DataFrame, keys: Sequence[str] = ("poly_id", "y")) -> DataFrame:
+    """Join overlapping or adjoining spans of a row, so each pixel is named once.
+
+    Spans that start together are folded first, which bounds what a row sorts by
+    its width, however many spans cover it.
+    """
+    along = f"PARTITION BY {', '.join(keys)} ORDER BY x_from"
     return (
-        spans.withColumn("_reach", F.max("x_to").over(before))
-        .withColumn("_new", F.when(F.col("_reach").isNull() | starts, 1).otherwise(0))
-        .withColumn("_run", F.sum("_new").over(along))
-        .groupBy("poly_id", "y", "_run")
+        spans.groupBy(*keys, "x_from").agg(F.max("x_to").alias("x_to"))
+        .selectExpr(
+            "*", f"max(x_to) OVER ({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach"
+        )
+        .selectExpr("*", f"sum(IF(reach IS NULL OR x_from > reach + 1, 1, 0)) OVER ({along}) AS run")
+        .groupBy(*keys, "run")
         .agg(F.min("x_from").alias("x_from"), F.max("x_to").alias("x_to"))
-        .drop("_run")
+        .drop("run")
     )
 
 
@@ -205,37 +186,35 @@ def span_bound(polygons: DataFrame, grid: Grid, enough: int | None = None) -> in
     return int(per_polygon["cuts"] + (runs or 0))
 
 
-def polygon_masks(
-    polygons: DataFrame, grid: Grid, all_touched: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Tile spans per polygon, and of the union of all polygons.
+class Mask(NamedTuple):
+    """A set of polygons on the grid.
 
-    Both are hinted for broadcast only within a bound computed from the vertices.
+    ``spans`` are per polygon; ``each`` are the same cut at tile borders, hinted
+    for broadcast only if ``bound``, a proven number of rows, allows it.
     """
-    bound = span_bound(polygons, grid)
-    spans = tile_spans(spans_of(polygons, grid, all_touched), grid)
-    return sized(spans, bound), sized(_merge_by_row(spans), bound)
 
+    spans: DataFrame
+    each: DataFrame
+    bound: int
 
-def _merge_by_row(spans: DataFrame) -> DataFrame:
-    """Runs covered by any span of a tile row. A tile row holds few distinct runs,
-    so equal spans are folded before the sort."""
-    distinct = spans.select("tile_id", "y", "x_from", "x_to").groupBy("tile_id", "y", "x_from").agg(
-        F.max("x_to").alias("x_to")
-    )
-    along = Window.partitionBy("tile_id", "y").orderBy("x_from")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        distinct.withColumn("_reach", F.max("x_to").over(before))
-        .withColumn(
-            "_new",
-            F.when(F.col("_reach").isNull() | (F.col("x_from") > F.col("_reach") + 1), 1).otherwise(0),
-        )
-        .withColumn("_run", F.sum("_new").over(along))
-        .groupBy("tile_id", "y", "_run")
-        .agg(F.min("x_from").alias("x_from"), F.max("x_to").alias("x_to"))
-        .drop("_run")
-    )
+    def union(self) -> DataFrame:
+        """Tile spans of all polygons together: each pixel at most once."""
+        plain = self.each.select("tile_id", "y", "x_from", "x_to")
+        return sized(merge_spans(plain, ("tile_id", "y")), self.bound)
+
+    def area(self) -> DataFrame:
+        """Mask size per polygon; a polygon without any mask pixel has no row."""
+        size = F.expr("sum(x_to - x_from + 1) AS total_area")
+        return self.spans.groupBy("poly_id").agg(size)
+
+
+def polygon_mask(polygons: DataFrame, grid: Grid, all_touched: bool = False) -> Mask:
+    bound = span_bound(polygons, grid)
+    if bound <= tuning.BROADCAST_ROWS:
+        # Small enough for any one task: one shuffle then serves every step.
+        polygons = polygons.repartition("poly_id")
+    spans = spans_of(polygons, grid, all_touched)
+    return Mask(spans, sized(tile_spans(spans, grid), bound), bound)
 
 
 def _aside(df: DataFrame) -> DataFrame:
@@ -279,15 +258,8 @@ def mask_polygon(pixels: DataFrame, spans: DataFrame, nodata: dict[str, float |
 
 
 def polygon_pixel_area(polygons: DataFrame, grid: Grid, all_touched: bool = False) -> DataFrame:
-    """Mask size per polygon, from geometry, whether or not pixels were observed.
-
-    A polygon without any mask pixel has no row.
-    """
-    return (
-        spans_of(polygons, grid, all_touched)
-        .groupBy("poly_id")
-        .agg(F.sum(F.col("x_to") - F.col("x_from") + 1).alias("total_area"))
-    )
+    """``total_area`` per polygon, from geometry, whether or not pixels were observed."""
+    return polygon_mask(polygons, grid, all_touched).area()
 
 
 def polygon_extents(polygons: DataFrame, grid: Grid) -> DataFrame:

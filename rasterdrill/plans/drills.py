@@ -54,12 +54,12 @@ def _fused_in_polygons(
     merge is shared by overlapping polygons, unless requests have their own time
     ranges, which may split a day differently for each.
     """
-    each, union = G.polygon_masks(polygons, grid)
+    mask = G.polygon_mask(polygons, grid)
     sc = sized(scenes.select("scene_id", "grp", "ord"), n_scenes)
-    kept = C.with_scene(G.inside_any(pixels, union), sc, "grp", "ord")
+    kept = C.with_scene(G.inside_any(pixels, mask.union()), sc, "grp", "ord")
     if ranges is None:
-        return G.inside_each(C.fuse(kept, **rules), each)
-    own = _in_range(G.inside_each(kept, each), ranges)
+        return G.inside_each(C.fuse(kept, **rules), mask.each)
+    own = _in_range(G.inside_each(kept, mask.each), ranges)
     return C.fuse(own, keys=("poly_id", *C.PIXEL_KEY), **rules)
 
 
@@ -167,8 +167,7 @@ def mangrove_drill(
     px = SC.filter_time_range(pixels, time)
     if overlapping:
         px = _fuse_exact(px, sc, {band: 255})
-    each, _ = G.polygon_masks(polygons, grid)
-    held = G.inside_each(px.select("ts", *_PLACE, band), each)
+    held = G.inside_each(px.select("ts", *_PLACE, band), G.polygon_mask(polygons, grid).each)
     if ranges is not None:
         held = _in_range(held, ranges)
     counts = held.groupBy("poly_id", F.col("ts").alias("grp")).agg(
@@ -287,8 +286,7 @@ def wetland_area(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WE
 def _wetland_held(
     pixels: DataFrame,
     scenes: DataFrame,
-    polygons: DataFrame,
-    grid: Grid,
+    mask: G.Mask,
     ranges: DataFrame | None,
     overlapping: bool,
 ) -> DataFrame:
@@ -297,11 +295,10 @@ def _wetland_held(
     kept = C.with_scene(
         pixels.select("scene_id", "ts", *_PLACE, *bands), counted(scenes.select("scene_id"))
     )
-    each, union = G.polygon_masks(polygons, grid, all_touched=True)
     if overlapping:
         values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
-        kept = _fuse_exact(G.inside_any(kept, union), scenes, values)
-    held = G.inside_each(wetland_pixels(kept, "ts", *_PLACE), each)
+        kept = _fuse_exact(G.inside_any(kept, mask.union()), scenes, values)
+    held = G.inside_each(wetland_pixels(kept, "ts", *_PLACE), mask.each)
     return held if ranges is None else _in_range(held, ranges)
 
 
@@ -314,15 +311,15 @@ def wetland_composite(
     time=None,
     ranges: DataFrame | None = None,
     overlapping: bool = False,
+    mask: G.Mask | None = None,
 ) -> DataFrame:
     """Pixels merged over windows of ``aggregate`` days: ``(poly_id, anchor, pixel)`` rows.
 
     Windows follow each polygon's own times, so pixels are merged per polygon.
     """
+    mask = mask or G.polygon_mask(polygons, grid, all_touched=True)
     sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    held = _wetland_held(
-        SC.filter_time_range(pixels, time), sc, polygons, grid, ranges, overlapping
-    )
+    held = _wetland_held(SC.filter_time_range(pixels, time), sc, mask, ranges, overlapping)
     extents = G.polygon_extents(polygons, grid)
     spine = G.time_spine(extents, SC.group_scenes(sc, "exact"), grid, ranges=ranges)
     windows = T.anchored_windows(spine.select("poly_id", F.col("time").alias("ts")), aggregate)
@@ -343,6 +340,7 @@ def wetland_areas(
     ranges: DataFrame | None = None,
     aggregate: int = 0,
     overlapping: bool = False,
+    mask: G.Mask | None = None,
 ) -> DataFrame:
     """:func:`wetland_area` per polygon and time, after compositing if asked.
 
@@ -351,13 +349,12 @@ def wetland_areas(
     """
     if aggregate > 0:
         merged = wetland_composite(
-            pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping
+            pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping, mask
         )
         return wetland_area(merged, ["poly_id", F.col("anchor").alias("time")])
+    mask = mask or G.polygon_mask(polygons, grid, all_touched=True)
     sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    held = _wetland_held(
-        SC.filter_time_range(pixels, time), sc, polygons, grid, ranges, overlapping
-    )
+    held = _wetland_held(SC.filter_time_range(pixels, time), sc, mask, ranges, overlapping)
     return wetland_area(held, ["poly_id", F.col("ts").alias("time")])
 
 
@@ -369,9 +366,9 @@ def wetland_drill(
     Shares of the valid area, for times at which more than nine tenths of the
     polygon is valid.
     """
-    areas = wetland_areas(pixels, scenes, polygons, grid, **options)
-    total = G.polygon_pixel_area(polygons, grid, all_touched=True)
-    kept = areas.join(total, "poly_id").filter(
+    mask = G.polygon_mask(polygons, grid, all_touched=True)
+    areas = wetland_areas(pixels, scenes, polygons, grid, mask=mask, **options)
+    kept = areas.join(mask.area(), "poly_id").filter(
         F.col("valid") / F.col("total_area") > F.lit(S.MIN_VALID_SHARE)
     )
     shares = kept.dropna().select(

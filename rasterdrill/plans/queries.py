@@ -267,7 +267,7 @@ def rasterize_all_touched(spark, sf):
 def mask_polygon(spark, sf):
     po = cube.polygons(spark, sf)
     px = cube.pixels(spark, sf).select("tile_id", "y", "x", "bs", "water", "fmask")
-    each, _ = G.polygon_masks(po, GRID)
+    each = G.polygon_mask(po, GRID).each
     nodata = {"bs": S.COVER_NODATA, "water": S.WATER_NODATA, "fmask": None}
     return (
         G.mask_polygon(G.pixels_in_extents(px, po, GRID), each, nodata)
