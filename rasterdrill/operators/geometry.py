@@ -210,9 +210,6 @@ class Mask(NamedTuple):
 
 def polygon_mask(polygons: DataFrame, grid: Grid, all_touched: bool = False) -> Mask:
     bound = span_bound(polygons, grid)
-    if bound <= tuning.BROADCAST_ROWS:
-        # Small enough for any one task: one shuffle then serves every step.
-        polygons = polygons.repartition("poly_id")
     spans = spans_of(polygons, grid, all_touched)
     return Mask(spans, sized(tile_spans(spans, grid), bound), bound)
 

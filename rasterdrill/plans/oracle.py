@@ -309,7 +309,7 @@ def _r6(expr: str) -> str:
 
 
 _WET_OUT = """
-  SELECT {d} a.poly_id, time, {shares}, geometry
+  SELECT a.poly_id, time, {shares}, geometry
   FROM {areas} a JOIN area_t t ON a.poly_id = t.poly_id JOIN hulls h ON a.poly_id = h.poly_id
   WHERE valid / total_area > 0.9"""
 
@@ -587,14 +587,17 @@ SELECT request_id, coalesce(TRY_CAST(json_extract_string(j, '$.aggregate') AS IN
         ),
         "wit_cal_area": _with("""
   SELECT poly_id, time, valid, water, wet, """ + ", ".join(f"{_r6(b)} AS {b}" for b in ("bs", "pv", "npv")) + " FROM areas"),
-        "wit_drill": _with(_WET_OUT.format(shares=_SHARES, d="", areas="areas")),
-        "wit_drill_aggregated": _with(
-            _WET_OUT.format(shares=_SHARES, d="1 AS n_days,", areas="day_areas") + " UNION ALL "
-            + _WET_OUT.format(shares=_SHARES, d="365 AS n_days,", areas="year_areas")
-        ),
-        "anchored_windows": _with(
-            "SELECT poly_id, n_days, anchor, n_times, last_time FROM window_sizes"
-        ),
+        "wit_drill": _with(_WET_OUT.format(shares=_SHARES, areas="areas")),
+        "wit_drill_aggregated": _with(_WET_OUT.format(shares=_SHARES, areas="year_areas")),
+        "wit_drill_daily": _with(_WET_OUT.format(shares=_SHARES, areas="day_areas")),
+        **{
+            name: _with(
+                f"SELECT poly_id, anchor, n_times, last_time FROM window_sizes WHERE n_days = {days}"
+            )
+            for name, days in (
+                ("anchored_windows", 365), ("anchored_windows_16", 16), ("anchored_windows_daily", 1)
+            )
+        },
         "average_over_day": _with(_composite_out("day_mean")),
         "composite_first_valid": _with(_composite_out("composite")),
         "melt_cover": _with(f'SELECT * FROM ({_COVER_LONG}) AS t WHERE "Area" IS NOT NULL'),

@@ -456,11 +456,12 @@ def wit_drill(spark, sf):
 
 @query
 def wit_drill_aggregated(spark, sf):
-    runs = [
-        D.wetland_drill(*_archive(spark, sf), aggregate=days).withColumn("n_days", F.lit(days))
-        for days in (1, 365)
-    ]
-    return _round6(runs[0].unionByName(runs[1]), *WETLAND_SHARES)
+    return _round6(D.wetland_drill(*_archive(spark, sf), aggregate=365), *WETLAND_SHARES)
+
+
+@query
+def wit_drill_daily(spark, sf):
+    return _round6(D.wetland_drill(*_archive(spark, sf), aggregate=1), *WETLAND_SHARES)
 
 
 # --- compositing -------------------------------------------------------------
@@ -471,14 +472,27 @@ def _wetland_times(spark, sf) -> DataFrame:
     return spine.select("poly_id", F.col("time").alias("ts"))
 
 
+def _windows(spark, sf, days: int) -> DataFrame:
+    return (
+        T.anchored_windows(_wetland_times(spark, sf), days)
+        .groupBy("poly_id", "anchor")
+        .agg(F.max("n_times").alias("n_times"), F.max("ts").alias("last_time"))
+    )
+
+
 @query
 def anchored_windows(spark, sf):
-    times = _wetland_times(spark, sf)
-    runs = [T.anchored_windows(times, d).withColumn("n_days", F.lit(d)) for d in (1, 16, 365)]
-    stacked = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    return stacked.groupBy("poly_id", "n_days", "anchor").agg(
-        F.max("n_times").alias("n_times"), F.max("ts").alias("last_time")
-    )
+    return _windows(spark, sf, 365)
+
+
+@query
+def anchored_windows_16(spark, sf):
+    return _windows(spark, sf, 16)
+
+
+@query
+def anchored_windows_daily(spark, sf):
+    return _windows(spark, sf, 1)
 
 
 def _composited(spark, sf, days: int) -> DataFrame:
