@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterdrill.llm import shards, topk, urls
+import public_tokenizers
+
+from rasterdrill.llm import bpe, minhash, shards, store, tokens, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +24,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    to = store.fresh_path(spark, "token-files")
+    tokens.write_tokens(docs, to, tokenizer())
+    return tokens.checksums(tokens.read_tokens(spark, to))
+
+
+@query
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(docs, tokenizer())
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, k=2, percent=80).withColumnRenamed("id", "doc_id")
+
+
+SQL["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+           ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+twice AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM twice UNION SELECT r.a, t.b FROM reach r JOIN twice t ON r.b = t.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS kept
+FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
 @query
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jump consistent hashing of ``doc_id`` to 24 shards, and to 25."""
