@@ -62,8 +62,10 @@ def library_words(path: str, model: bpe.Model):
         for i in range(0, len(words), _CALL):
             part = words[i : i + _CALL]
             got = tok.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0]
-            tokens.append(np.array(got.ids, np.int64))
-            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+            ids = np.array(got.ids, np.int64)
+            ends = np.cumsum(end[i : i + _CALL] - start[i : i + _CALL])
+            tokens.append(ids)
+            counts.append(np.diff(np.searchsorted(np.cumsum(model.size[ids]), ends) + 1, prepend=0))
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(tokens), np.concatenate(counts)
