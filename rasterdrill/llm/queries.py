@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rasterdrill.llm import bpe, decontam, minhash, shards, store, tokens, topk, urls
+from rasterdrill.llm import bpe, decontam, minhash, shards, store, suffix, tokens, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,6 +128,34 @@ SELECT page_id, host, path, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')}
 """
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+      FROM d, LATERAL (SELECT unnest(range(0, length(h) // 2 - 99)) AS i) WHERE length(h) >= 200),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w),
+b AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100
+             OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS fresh
+      FROM r WHERE n > 1),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, span),
+cut AS (SELECT doc_id, span, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY span) AS nxt FROM spans),
+kept AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * z + 1, 2 * (coalesce(nxt, length(h) // 2) - z)), '' ORDER BY span) AS tail,
+         any_value(substr(h, 1, 2 * first_a)) AS front
+  FROM cut JOIN d USING (doc_id) JOIN (SELECT doc_id, min(a) AS first_a FROM spans GROUP BY doc_id) USING (doc_id)
+  GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(front || tail, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
