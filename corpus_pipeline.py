@@ -1,10 +1,59 @@
-"""From raw documents to token ids: the stages of the pipeline, in order."""
+"""From raw documents to token ids: the stages of the pipeline, in order.
+
+Every stage but the last keeps the columns of ``documents``. A stage judges all that
+the one before it kept, and what it rejects is gone.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterdrill.llm import bpe, decontam, minhash, suffix, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean(docs, chain)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays: five words, similarity 0.8."""
+    return minhash.deduplicated(docs, k=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes that stand in an earlier place are cut out of the texts.
+
+    All documents stay; ``n_chars`` is counted anew.
+    """
+    out = suffix.deduplicated(docs)
+    if "n_chars" not in out.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of what they decode to."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", to_tokens),
+]
 
-STAGES: list = []
+# Classifier scores and BPE are beyond SQL.
 ORACLE_SQL = None
 
 

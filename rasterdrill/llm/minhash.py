@@ -272,3 +272,19 @@ def near_duplicates(
         .withColumn("component_id", F.coalesce("component_id", "id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class, that of the smallest id, with all its columns.
+
+    Of rows of one id one stays; rows with a null id stay.
+    """
+    work = Work(docs.sparkSession, "minhash")
+    found = near_duplicates(docs, key, text, k, percent, work=work)
+    gone = work.keep(found.filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct(), "gone")
+    single = found.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    number = F.col(key).cast("bigint")
+    left = docs.join(_few(gone, gone.count()), number == F.col("_gone"), "left_anti")
+    if single:
+        return left
+    return left.filter(number.isNotNull()).dropDuplicates([key]).unionByName(left.filter(number.isNull()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rasterdrill.llm import bpe, decontam, minhash, shards, store, suffix, tokens, topk, urls
+from rasterdrill.llm import bpe, decontam, minhash, quality, shards, store, suffix, tokens, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,6 +128,14 @@ SELECT page_id, host, path, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')}
 """
 
 
+@query
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each category of the chain, and whether the document is rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).withColumn("rejected", F.col("toxic") >= 0.5)
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
@@ -218,3 +226,11 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    out = quality.score(docs, table(spark, sf_dir, "labels"), held_out)
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
