@@ -28,26 +28,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
+def _at_rest(edges: DataFrame) -> tuple[int, bool]:
+    """Number of links, and whether each leads from a root, which is no child, to a child of one root."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("root"), F.lit(0).alias("child")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("root"), F.lit(1).alias("child"))
+    )
+    each = ends.groupBy("v").agg(F.max("root").alias("root"), F.sum("child").alias("child"))
+    r = each.agg(
+        F.sum("child").alias("n"), F.max(F.when((F.col("root") > 0) & (F.col("child") > 0), 1).when(F.col("child") > 1, 1)).alias("bad")
     ).first()
-    return r["n"], r["s"]
+    return int(r["n"] or 0), r["bad"] is None
+
 
+def components(links: DataFrame, work: Work) -> tuple[DataFrame, int]:
+    """``(id, comp)`` for every node of ``links (a, b)`` but the smallest of each component, and their number.
 
-def components(links: DataFrame, work: Work) -> DataFrame:
-    """``(id, comp)`` for every node of ``links (a, b)``: comp is the smallest node it reaches."""
+    comp is the smallest node that the node reaches.
+    """
     edges = work.keep(
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(),
         "links",
     )
-    mark = _mark(edges)
-    while mark[0]:
-        once = _star(_star(edges, large=True), large=False)
-        after = work.keep(once, "links")
+    n, rest = _at_rest(edges)
+    while not rest:
+        after = work.keep(_star(_star(edges, large=True), large=False), "links")
         work.drop(edges)
-        edges, before, mark = after, mark, _mark(after)
-        if mark == before:
-            break
-    # At rest every link leads from the smallest node of its component.
-    return edges.select(F.col("b").alias("id"), F.col("a").alias("comp"))
+        edges = after
+        n, rest = _at_rest(edges)
+    return edges.select(F.col("b").alias("id"), F.col("a").alias("comp")), n

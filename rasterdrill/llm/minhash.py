@@ -9,13 +9,15 @@ misses every bucket with a chance of 1e-7.
 
 Texts of equal sets are one node. In a bucket only pairs with one node, the centre,
 are candidates: a star, whose size is the bucket's. Candidates are confirmed on the
-full sets. Then components are found, and buckets that still hold several go on
-without their centre: next comes a node of the component with the fewest members
-there. So no link between different components is missed, and none inside one is
-looked for. Buckets still open after ``STAR_ROUNDS`` are cut by a second band.
+full sets. Then components are found, and buckets that still hold several get one
+more star, around a node of the component with the fewest members there.
 
-Sizes and sketches (one byte a bin) rule out candidates that cannot reach the
-threshold, or would with a chance below 1e-11; only the others' texts move.
+What is left are few buckets with nodes that linked to no centre. So that no link is
+lost, those nodes are compared with all others of their buckets, but by sketch, in
+groups of bounded size, and only pairs that may reach the threshold leave the task.
+Sketches hold a byte for each of ``SKETCH`` bins of the same permutation; a pair of
+similarity 0.8 is ruled out with a chance of 1e-6. Links inside a component are never
+looked for.
 
 Defined results: null or wordless texts have an empty set, link to nothing and are
 kept; a text of fewer than ``k`` words has its whole word sequence as its one
@@ -37,10 +39,13 @@ from rasterdrill.llm.components import components
 from rasterdrill.llm.store import Work
 
 BANDS, ROWS = 40, 5
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
+SKETCH = 512
+# Nodes of a bucket compared in one group, on either side.
+GROUP_NODES = 1024
 # Ids in a broadcast set: 8 bytes each, so at most some 32 MB in the JVM.
 BROADCAST_IDS = 1_000_000
-_SIGMAS = 7.0
+_SIGMAS = 4.8
 _ATTEMPTS = 4096
 
 
@@ -110,7 +115,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int = BANDS,
     bins = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempts = _attempts(bins)
+        attempts, wider = _attempts(bins), _attempts(SKETCH)
         salt = T.mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             data, offsets = T.flat(batch.column(1))
@@ -129,9 +134,10 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int = BANDS,
                     h = T.mix(h * np.uint64(0x9FB21C651E98DF25) + low[:, r::rows])
                 values = np.ascontiguousarray(h).view(np.int64).ravel()
                 ends = np.arange(len(n) + 1, dtype=np.int32)
+                wide = T.mix(bin_minima(sets, at, SKETCH, wider)).astype(np.uint8)
                 sketch = pa.Array.from_buffers(
                     pa.binary(), len(n),
-                    [None, pa.py_buffer(ends * np.int32(bins)), pa.py_buffer(T.mix(low).astype(np.uint8).tobytes())],
+                    [None, pa.py_buffer(ends * np.int32(SKETCH)), pa.py_buffer(wide.tobytes())],
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -149,10 +155,19 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df.hint("merge")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, bins: int) -> DataFrame:
+def _least_agreement(na: np.ndarray, nb: np.ndarray, goal: float) -> np.ndarray:
+    """Share of equal sketch bytes below which a pair cannot be hoped to reach the goal."""
+    seen = np.minimum(SKETCH, np.maximum(na, nb))
+    return goal - _SIGMAS * np.sqrt(goal * (1 - goal) / seen)
+
+
+def _likely(pairs: DataFrame, n_pairs: int, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes can, and whose sketches may, reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = nodes.select("id", "n", "sketch").join(_few(ids, 2 * n_pairs), "id", "left_semi")
+
     def side(c: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        return held.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = joined.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -162,15 +177,99 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, bins: int) -> Data
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("sa", "sb"))
-            most = np.maximum(b.column("na").to_numpy(), b.column("nb").to_numpy())
-            least = goal - _SIGMAS * np.sqrt(goal * (1 - goal) / np.minimum(bins, most))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
+            least = _least_agreement(b.column("na").to_numpy(), b.column("nb").to_numpy(), goal)
             keep = pa.array((x == y).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(agree, "a bigint, b bigint").distinct()
 
 
+def _forest(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Pairs to keep: of sure ones a spanning forest, of others those between its trees."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i in np.flatnonzero(sure):
+        x, y = root(int(a[i])), root(int(b[i]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    for i in np.flatnonzero(~sure):
+        keep[i] = root(int(a[i])) != root(int(b[i]))
+    return keep
+
+
+def _rest(held: DataFrame, nodes: DataFrame, percent: int, thin: bool) -> DataFrame:
+    """Likely pairs of different components in ``held (bucket, id, comp)``, by groups of a bucket.
+
+    A node outside its bucket's largest component asks all others of the bucket. Askers and
+    asked are dealt to groups of some ``GROUP_NODES`` each.
+    """
+    per = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("bucket").agg(
+        F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")
+    ).filter("comps > 1")
+    rows = held.join(mixed, "bucket").select(
+        "bucket", "id", "comp", (F.col("comp") != F.col("big.comp")).alias("asks"),
+        F.ceil(F.col("size") / GROUP_NODES).alias("m"), F.ceil((F.col("size") - F.col("big.n")) / GROUP_NODES).alias("q"),
+    )
+    h = F.xxhash64("id")
+    to = F.struct(F.pmod(h, "m").alias("m"), F.col("i").alias("q"), F.lit(False).alias("asker"))
+    asked = rows.select("bucket", "id", "comp", "asks", h.alias("h"), "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).alias("i"))
+    asked = asked.select("bucket", "id", "comp", to.alias("g"))
+    to = F.struct(F.col("i").alias("m"), F.pmod(h, "q").alias("q"), F.lit(True).alias("asker"))
+    askers = rows.filter("asks").select("bucket", "id", "comp", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("i"))
+    askers = askers.select("bucket", "id", "comp", to.alias("g"))
+    dealt = asked.unionByName(askers).select(F.xxhash64("bucket", "g.m", "g.q").alias("g"), "id", "comp", "g.asker")
+    dealt = dealt.join(nodes.select("id", "n", "sketch"), "id").select("g", "asker", "id", "comp", "n", "sketch")
+    goal = percent / 100
+
+    def group(rows: pa.Table) -> pa.RecordBatch:
+        asker = rows.column(1).to_numpy()
+        ids, comp, n = (rows.column(i).to_numpy() for i in (2, 3, 4))
+        sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        at, to = np.flatnonzero(asker), np.flatnonzero(~asker)
+        found = []
+        for i in at:
+            other = to[comp[to] != comp[i]]
+            other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
+            share = (sketch[other] == sketch[i]).mean(1)
+            least = _least_agreement(n[other], np.full(len(other), n[i]), goal)
+            ok = share >= least
+            found.append((np.full(int(ok.sum()), ids[i]), ids[other[ok]], share[ok] >= 2 * goal - least[ok]))
+        a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0], asker[:0])
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        keep = _forest(a, b, sure) if thin else np.ones(len(a), bool)
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            while b.num_rows:
+                g = b.column(0).to_numpy()
+                own = held[0].column(0)[0].as_py() if held else g[0]
+                other = np.flatnonzero(g != own)
+                cut = int(other[0]) if len(other) else b.num_rows
+                if cut:
+                    held.append(b.slice(0, cut))
+                if cut < b.num_rows:
+                    yield group(pa.Table.from_batches(held))
+                    held = []
+                b = b.slice(cut)
+        if held:
+            yield group(pa.Table.from_batches(held))
+
+    grouped = dealt.repartition("g").sortWithinPartitions("g")
+    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, n_pairs: int, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold; only texts of their ids move."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -218,51 +317,45 @@ def near_duplicates(
     nodes = mapped.filter(own).select("id", "n", "bands", "sketch")
     members = nodes.select(F.explode("bands").alias("bucket"), "id")
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    live = work.keep(members.join(shared.select("bucket"), "bucket").distinct(), "live")
+    live = work.keep(members.join(shared.select("bucket"), "bucket"), "live")
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     # Texts of one id are one document: where their sets differ, their nodes are linked.
     several = mapped.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi")
-    labels = components(
+    labels, n_labels = components(
         mapped.select("id", F.col("rep").alias("b")).join(several, "id").select("a", "b"), work
     )
     checked, turn = None, 0
     while True:
-        held = live.join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        centre = (
-            held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"))
-            .groupBy("bucket").agg(F.min(F.struct("n", "lo", "comp")).alias("c"), F.count(F.lit(1)).alias("comps"))
-            .filter("comps > 1")
-            .select("bucket", F.col("c.lo").alias("centre"), F.col("c.comp").alias("own"))
-        )
-        mixed = work.keep(held.join(centre, "bucket"), "mixed")
-        work.drop(live)
-        if mixed.isEmpty():
-            break
-        pairs = (
-            mixed.filter("comp <> own")
-            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        )
+        held = live.select("bucket", "id").join(_few(labels, n_labels), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        if turn < STAR_ROUNDS:
+            centre = (
+                held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"))
+                .groupBy("bucket").agg(F.min(F.struct("n", "lo", "comp")).alias("c"), F.count(F.lit(1)).alias("comps"))
+                .filter("comps > 1")
+                .select("bucket", F.col("c.lo").alias("centre"), F.col("c.comp").alias("own"))
+            )
+            live = work.keep(held.join(centre, "bucket").select("bucket", "id", "comp", "centre", "own"), "live")
+            pairs = live.filter("comp <> own").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+            pairs = work.keep(pairs.distinct(), "pairs")
+            likely = _likely(pairs, pairs.count(), nodes, percent)
+        else:
+            likely = _rest(held, nodes, percent, thin=turn == STAR_ROUNDS)
         if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        likely = work.keep(_likely(pairs, nodes, percent, bands * rows), "likely")
+            likely = likely.join(checked, ["a", "b"], "left_anti")
+        likely = work.keep(likely, "likely")
         n = likely.count()
         if n:
             links = _confirmed(likely, texts, n, k, percent)
-            before = labels
-            labels = components(links.unionByName(before.select(F.col("comp").alias("a"), F.col("id").alias("b"))), work)
+            before = labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))
+            labels, n_labels = components(links.unionByName(before), work)
             checked = likely if checked is None else checked.unionByName(likely)
-        live = mixed.filter("id <> centre").select("bucket", "id")
         turn += 1
-        if turn % STAR_ROUNDS == 0:
-            second = live.join(nodes.select("id", F.explode("bands").alias("other")), "id").filter("bucket <> other")
-            second = second.select(F.xxhash64("bucket", "other").alias("bucket"), "id").distinct()
-            several = second.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-            live = second.join(several.select("bucket"), "bucket")
-        live = work.keep(live, "live")
-        work.drop(mixed)
+        # The last turn looks at every pair that is left; if there was none before, there is none now.
+        if turn > STAR_ROUNDS + 1 or turn > STAR_ROUNDS and not n:
+            break
     # A row's class is its representative's, whose own smallest row is the class's smallest.
     found = (
-        mapped.select("rep", F.col("id").alias("row")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        mapped.select("rep", F.col("id").alias("row")).join(_few(labels.withColumnRenamed("id", "rep"), n_labels), "rep", "left")
         .select("row", F.coalesce("comp", "rep").alias("component_id"))
         .groupBy("row").agg(F.min("component_id").alias("component_id"))
     )
