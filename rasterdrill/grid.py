@@ -15,6 +15,11 @@ class Grid:
     ``res_y`` is negative for a grid whose rows run southwards. ``tile`` is the
     edge of a square block of pixels; the tile number is a stored column of the
     pixel table, so joining on it prunes files and bounds the size of a group.
+
+    Pixel and tile coordinates run both ways from the origin. Tile columns
+    ``first_tile_x`` up to ``first_tile_x + tiles_across - 1`` are on the grid; tile
+    rows have no limit, and ``first_tile_y`` only says where numbers start. So every
+    tile has a number of its own.
     """
 
     origin_x: float = 0.0
@@ -22,7 +27,9 @@ class Grid:
     res_x: float = 1.0
     res_y: float = 1.0
     tile: int = 256
-    tiles_across: int = 1024
+    tiles_across: int = 1 << 20
+    first_tile_x: int = -(1 << 19)
+    first_tile_y: int = 0
 
     def col(self, vx: Column) -> Column:
         """Fractional column of an easting or longitude."""
@@ -42,5 +49,17 @@ class Grid:
         """Tile row or tile column of a pixel row or column (floors below zero)."""
         return F.floor(cell / F.lit(float(self.tile))).cast("bigint")
 
+    @property
+    def first_col(self) -> int:
+        return self.first_tile_x * self.tile
+
+    @property
+    def last_col(self) -> int:
+        return (self.first_tile_x + self.tiles_across) * self.tile - 1
+
+    def tile_number(self, tx: Column, ty: Column) -> Column:
+        """Number of the tile in column ``tx`` and row ``ty``."""
+        return (ty - F.lit(self.first_tile_y)) * F.lit(self.tiles_across) + (tx - F.lit(self.first_tile_x))
+
     def tile_id(self, x: Column, y: Column) -> Column:
-        return self.block(y) * F.lit(self.tiles_across) + self.block(x)
+        return self.tile_number(self.block(x), self.block(y))

@@ -49,11 +49,21 @@ def _edge_x(y: str) -> str:
     return f"(xa + ({y} - ya) * (xb - xa) / (yb - ya))"
 
 
+def _on_grid(spans: DataFrame, grid: Grid) -> DataFrame:
+    """Spans cut to the grid's columns, so that mask, area and tiles agree."""
+    return spans.withColumns(
+        {
+            "x_from": F.greatest("x_from", F.lit(grid.first_col).cast("bigint")),
+            "x_to": F.least("x_to", F.lit(grid.last_col).cast("bigint")),
+        }
+    ).filter("x_to >= x_from")
+
+
 def spans_centre(polygons: DataFrame, grid: Grid) -> DataFrame:
     """Spans of pixels whose centre lies inside, by the even-odd rule over all rings."""
     first, last = "CAST(ceil(least(ya, yb) - 0.5D) AS BIGINT)", "CAST(ceil(greatest(ya, yb) - 0.5D) AS BIGINT) - 1"
     along = "OVER (PARTITION BY poly_id, y ORDER BY cx)"
-    return (
+    spans = (
         edges(polygons, grid)
         .selectExpr("*", f"explode(IF({last} >= {first}, sequence({first}, {last}), NULL)) AS y")
         .selectExpr("poly_id", "y", f"{_edge_x('y + 0.5D')} AS cx")
@@ -64,8 +74,8 @@ def spans_centre(polygons: DataFrame, grid: Grid) -> DataFrame:
             "CAST(ceil(cx - 0.5D) AS BIGINT) AS x_from",
             "CAST(ceil(next - 0.5D) AS BIGINT) - 1 AS x_to",
         )
-        .filter("x_to >= x_from")
     )
+    return _on_grid(spans, grid)
 
 
 def _edge_enters(x: str) -> str:
@@ -86,7 +96,7 @@ def _edge_spans(polygons: DataFrame, grid: Grid) -> DataFrame:
     first, last = "CAST(floor(least(ya, yb)) AS BIGINT)", "CAST(ceil(greatest(ya, yb)) AS BIGINT) - 1"
     start = _edge_x("greatest(least(ya, yb), CAST(y AS DOUBLE))")
     end = _edge_x("least(greatest(ya, yb), y + 1.0D)")
-    return (
+    spans = (
         edges(polygons, grid)
         .selectExpr("*", f"explode(IF({last} >= {first}, sequence({first}, {last}), NULL)) AS y")
         .selectExpr("*", f"IF(ya = yb, xa, {start}) AS p", f"IF(ya = yb, xb, {end}) AS q")
@@ -100,8 +110,8 @@ def _edge_spans(polygons: DataFrame, grid: Grid) -> DataFrame:
             f"CASE WHEN {_edge_enters('(f - 1)')} THEN f - 1 WHEN {_edge_enters('f')} THEN f ELSE f + 1 END AS x_from",
             f"CASE WHEN {_edge_enters('(t + 1)')} THEN t + 1 WHEN {_edge_enters('t')} THEN t ELSE t - 1 END AS x_to",
         )
-        .filter("x_to >= x_from")
     )
+    return _on_grid(spans, grid)
 
 
 def merge_spans(spans: DataFrame, keys: Sequence[str] = ("poly_id", "y")) -> DataFrame:
@@ -147,10 +157,9 @@ def tile_spans(spans: DataFrame, grid: Grid) -> DataFrame:
         spans.withColumn(
             "_tx", F.explode(F.sequence(grid.block(F.col("x_from")), grid.block(F.col("x_to"))))
         )
-        .filter(tx.between(0, grid.tiles_across - 1))
         .select(
             *[c for c in spans.columns if c not in ("x_from", "x_to")],
-            (grid.block(F.col("y")) * grid.tiles_across + tx).alias("tile_id"),
+            grid.tile_number(tx, grid.block(F.col("y"))).alias("tile_id"),
             F.greatest("x_from", tx * tile).alias("x_from"),
             F.least(F.col("x_to"), tx * tile + tile - 1).alias("x_to"),
         )
@@ -272,21 +281,39 @@ def polygon_extents(polygons: DataFrame, grid: Grid) -> DataFrame:
 
 
 def extent_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
-    """One row per tile an extent overlaps; columns of ``extents`` are kept."""
-    def blocks(lo: str, hi: str, last: Column | None) -> Column:
-        first = F.greatest(grid.block(F.col(lo)), F.lit(0))
-        end = F.ceil(F.col(hi) / F.lit(float(grid.tile))).cast("bigint") - 1
-        end = end if last is None else F.least(end, last)
-        return F.when(end >= first, F.sequence(first, end))
+    """One row per tile of the grid an extent overlaps; columns of ``extents`` are kept."""
+    def blocks(lo: str, hi: str) -> tuple[Column, Column]:
+        return grid.block(F.col(lo)), F.ceil(F.col(hi) / F.lit(float(grid.tile))).cast("bigint") - 1
 
+    def listed(first: Column, last: Column) -> Column:
+        return F.explode(F.when(last >= first, F.sequence(first, last)))
+
+    left, right = blocks("bx0", "bx1")
+    left = F.greatest(left, F.lit(grid.first_tile_x).cast("bigint"))
+    right = F.least(right, F.lit(grid.first_tile_x + grid.tiles_across - 1).cast("bigint"))
     return (
-        extents.withColumn("_tx", F.explode(blocks("bx0", "bx1", F.lit(grid.tiles_across - 1))))
-        .withColumn("_ty", F.explode(blocks("by0", "by1", None)))
-        .withColumn("tile_id", F.col("_ty") * grid.tiles_across + F.col("_tx"))
+        extents.withColumn("_tx", listed(left, right))
+        .withColumn("_ty", listed(*blocks("by0", "by1")))
+        .withColumn("tile_id", grid.tile_number(F.col("_tx"), F.col("_ty")))
         .drop("_tx", "_ty")
     )
 
 
+def grid_status(polygons: DataFrame, grid: Grid) -> DataFrame:
+    """``poly_id, grid_status``: 'ok', 'partly off the grid' or 'off the grid'.
+
+    Only columns can be off; what is off counts neither in mask nor in area.
+    """
+    first, end = F.lit(float(grid.first_col)), F.lit(float(grid.last_col + 1))
+    x0, x1 = F.col("bx0"), F.col("bx1")
+    status = (
+        F.when((x1 <= first) | (x0 >= end), "off the grid")
+        .when((x0 < first) | (x1 > end), "partly off the grid")
+        .otherwise("ok")
+    )
+    return polygon_extents(polygons, grid).select("poly_id", status.alias("grid_status"))
+
+
 def _hinted_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
     """Extent tiles under their join names, broadcast only if counted to be few.
 
@@ -378,7 +405,7 @@ def time_spine(
     overlap = "bx0 < _bx1 AND bx1 > _bx0 AND by0 < _by1 AND by1 > _by0"
     # A scene that meets an extent in several tiles counts once: at its first one.
     first_tile = grid.tile_id(
-        F.greatest("bx0", "_bx0", F.lit(0.0)), F.greatest("by0", "_by0", F.lit(0.0))
+        F.greatest("bx0", "_bx0", F.lit(float(grid.first_col))), F.greatest("by0", "_by0")
     )
     met = asked.join(held, F.expr("tile_id = _tile_id AND " + overlap)).filter(
         F.col("tile_id") == first_tile
@@ -419,14 +446,26 @@ def _turn(o: Column, a: Column, b: Column) -> Column:
 
 
 def _chain(points: Column) -> Column:
-    """Lower hull of sorted points: fold that keeps only left turns."""
+    """Lower hull of sorted points: fold that keeps only left turns.
+
+    Along a convex stack the turns towards a point are left up to a corner and not
+    after it, so the last corner to keep is found by halving.
+    """
     def push(stack: Column, p: Column) -> Column:
-        i = F.filter(
-            F.sequence(F.lit(2), F.greatest(F.size(stack), F.lit(2))),
-            lambda k: (F.size(stack) >= k)
-            & (_turn(F.element_at(stack, k - 1), F.element_at(stack, F.least(k, F.size(stack))), p) > 0),
-        )
-        kept = F.coalesce(F.array_max(i), F.lit(1))
+        def halve(span: Column, _: Column) -> Column:
+            # Corner lo is kept, corners above hi are not.
+            lo, hi = span["lo"], span["hi"]
+            k = F.floor((lo + hi + 1) / F.lit(2)).cast("int")
+            left = _turn(F.element_at(stack, k - 1), F.element_at(stack, k), p) > 0
+            return (
+                F.when(lo >= hi, span)
+                .when(left, F.struct(k.alias("lo"), hi.alias("hi")))
+                .otherwise(F.struct(lo.alias("lo"), (k - 1).alias("hi")))
+            )
+
+        whole = F.struct(F.lit(1).alias("lo"), F.size(stack).alias("hi"))
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(stack) + F.lit(1))).cast("int") + 1)
+        kept = F.aggregate(steps, whole, halve)["lo"]
         return F.array_append(F.slice(stack, 1, kept), p)
 
     rest = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
@@ -455,8 +494,8 @@ def _collect_corners(df: DataFrame, *keys: str) -> DataFrame:
 def convex_hull(polygons: DataFrame, block: int = 512) -> DataFrame:
     """``(poly_id, geometry)``: WKT of each polygon's convex hull.
 
-    Blocks of a ring are reduced to their own hulls first, so a large polygon is
-    shrunk before its corners meet in one group.
+    Blocks of a ring are reduced to their own hulls first. That shrinks a coastline;
+    on a convex arc every corner stays, and all meet in one row.
     """
     blocks = polygons.select(
         "poly_id", "ring", F.floor(F.col("seq") / F.lit(block)).alias("_b"), "vx", "vy"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rasterdrill.functions.projection import Albers
 from rasterdrill.grid import Grid
 
-# The metric target grid, 30 m pixels, rows running south.
+# The metric target grid, 30 m pixels, rows running south. Eastings are
+# negative west of the central meridian, so tile columns run both ways.
 METRIC_GRID = Grid(origin_x=0.0, origin_y=0.0, res_x=30.0, res_y=-30.0)
 
 
@@ -30,8 +31,8 @@ def reproject_nearest(
     A target pixel takes the source pixel under its centre. Each source pixel
     lists the few target pixels near its own corners and keeps those whose
     centre falls back into it. A centre lies in one source pixel only, so every
-    target pixel is written once, with neither join nor shuffle. Adds ``tx`` and
-    ``ty``; other columns are kept.
+    target pixel is written once, with neither join nor shuffle. Adds ``tx``,
+    ``ty`` and ``target_tile``, the target's tile number; other columns are kept.
     """
     x, y = F.col("x"), F.col("y")
     cols, rows = [], []
@@ -63,4 +64,5 @@ def reproject_nearest(
         .drop(*[f"_c{i}" for i in range(4)], *[f"_r{i}" for i in range(4)])
     )
     lon, lat = albers.inverse(target.x_centre(F.col("tx")), target.y_centre(F.col("ty")))
-    return near.filter((F.floor(source.col(lon)) == x) & (F.floor(source.row(lat)) == y))
+    own = near.filter((F.floor(source.col(lon)) == x) & (F.floor(source.row(lat)) == y))
+    return own.withColumn("target_tile", target.tile_id(F.col("tx"), F.col("ty")))

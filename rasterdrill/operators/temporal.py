@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterdrill import schema as S
 from rasterdrill.functions.pixel import is_valid
@@ -23,43 +27,53 @@ def anchored_windows(
     A window starts at a time and takes every later one less than ``days`` whole
     days away; the next time starts another. Returns ``(key, time, anchor,
     n_times)`` for each time. A last window that holds only the last time is
-    dropped unless ``keep_trailing``.
+    dropped unless ``keep_trailing``. Rows without a time are left out.
 
-    A gap of ``days`` or more always starts a window, so a series is first cut at
-    such gaps and only the short runs between them are walked in order.
+    Times are sorted by Spark, spilling as it needs, and one pass walks them. It
+    holds one window and one batch, however long a series is.
     """
-    step = F.make_dt_interval(days=F.lit(days))
-    series = Window.partitionBy(key).orderBy("_t")
-    distinct = times.select(key, F.col(time).alias("_t")).distinct()
-    starts_run = F.col("_t") >= F.lag("_t").over(series) + step
-    runs = distinct.withColumn("_run", F.sum(F.when(starts_run, 1).otherwise(0)).over(series))
-    nothing = F.array().cast("array<timestamp_ntz>")
-    walk = F.aggregate(
-        F.sort_array(F.collect_list("_t")),
-        nothing,
-        lambda found, t: F.when(
-            (F.size(found) == 0) | (t >= F.try_element_at(found, F.lit(-1)) + step),
-            F.array_append(found, t),
-        ).otherwise(found),
-    )
-    anchors = (
-        runs.groupBy(key, "_run").agg(walk.alias("_found"))
-        .select(key, F.explode("_found").alias("_t"), F.lit(True).alias("_anchor"))
-    )
-    # Every time takes the latest anchor at or before it, by one ordered pass.
-    marked = distinct.join(anchors, [key, "_t"], "left")
-    whole = Window.partitionBy(key, "anchor")
-    out = (
-        marked.withColumn(
-            "anchor",
-            F.max(F.when(F.col("_anchor"), F.col("_t"))).over(series),
-        )
-        .withColumn("n_times", F.count(F.lit(1)).over(whole))
-        .withColumn("_last", F.max("_t").over(Window.partitionBy(key)))
-    )
-    if not keep_trailing:
-        out = out.filter("anchor < _last")
-    return out.select(key, F.col("_t").alias(time), "anchor", "n_times")
+    distinct = times.select(key, F.col(time).alias("_t")).filter("_t IS NOT NULL").distinct()
+    length = days * 86_400_000_000
+    kind = times.schema[key].dataType
+    schema = T.StructType([
+        T.StructField(key, kind), T.StructField(time, T.TimestampNTZType()),
+        T.StructField("anchor", T.TimestampNTZType()), T.StructField("n_times", T.LongType()),
+    ])
+
+    def emit(keys: pa.Array, t: np.ndarray, starts: list[int], end: int) -> pa.RecordBatch:
+        size = np.diff([*starts, end])
+        moments = pa.array(t[:end]).cast(pa.timestamp("us"))
+        anchor = pa.array(np.repeat(t[starts], size)).cast(pa.timestamp("us"))
+        return pa.RecordBatch.from_arrays([keys[:end], moments, anchor, pa.array(np.repeat(size, size))], schema.names)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, t = None, None  # the window that is open, of one key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more, u = batch.column(0), batch.column(1).cast(pa.int64()).to_numpy()
+            keys, t = (more, u) if keys is None else (pa.concat_arrays([keys, more]), np.append(t, u))
+            same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+            both_null = keys.is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(~(same | (both_null[1:] & both_null[:-1]))) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(t)]):
+                starts, i, own = [], 0, t[a:b]
+                while i < len(own):
+                    starts.append(i)
+                    i = int(np.searchsorted(own, own[i] + length))
+                end = len(own)
+                open_ = b == len(t)  # the key may go on in the next batch
+                if open_ or end - starts[-1] == 1 and not keep_trailing:
+                    end = starts.pop()
+                if starts:
+                    yield emit(keys[a:b], own, starts, end)
+                if open_:
+                    keys, t = keys[a + end : b], own[end:]
+        if keys is not None and (len(t) > 1 or keep_trailing):
+            yield emit(keys, t, [0], len(t))
+
+    sorted_ = distinct.repartition(key).sortWithinPartitions(key, "_t")
+    return sorted_.mapInArrow(walk, schema)
 
 
 def average_over_day(

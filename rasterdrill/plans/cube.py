@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from rasterdrill.grid import Grid
 
-GRID = Grid(tile=8, tiles_across=8)
+# The origin lies inside the archive, so pixels, polygons and scenes lie on both sides of it.
+WEST, NORTH = -32, -24
+GRID = Grid(tile=8, tiles_across=8, first_tile_x=WEST // 8, first_tile_y=NORTH // 8)
 
 # The same pixels seen as a longitude/latitude grid, for the projection operators.
-LONLAT_GRID = Grid(origin_x=148.5, origin_y=-35.0, res_x=0.0003, res_y=-0.0003, tile=8, tiles_across=8)
+LONLAT_GRID = Grid(origin_x=148.5, origin_y=-35.0, res_x=0.0003, res_y=-0.0003, tile=8, tiles_across=8,
+                   first_tile_x=WEST // 8, first_tile_y=NORTH // 8)
 
 
 # Stated, so that reading a table starts no job to look at its files.
@@ -40,7 +43,7 @@ def _n_tiles(spark: SparkSession, sf_dir: str):
 
 def _tile_origin(tile: str):
     t = F.col(tile)
-    return (t % 8) * 8, F.floor(t / F.lit(8.0)).cast("bigint") * 8
+    return (t % 8) * 8 + WEST, F.floor(t / F.lit(8.0)).cast("bigint") * 8 + NORTH
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN m >= 2 AND m < 3 + cp THEN 3 ELSE 1 END",
         "nbart_contiguity": "CASE WHEN m = 1 THEN 0 ELSE 1 END",
         "blue": "CASE WHEN n1 % 997 = 0 THEN -999 ELSE 100 + n1 % 3000 END",
-        "green": "100 + n2 % 3000",
+        "green": "CASE WHEN n2 % 101 = 0 THEN -2 - n2 % 990 ELSE 100 + n2 % 3000 END",
         "red": "100 + n3 % 3000",
         "nir": "100 + n4 % 3000",
         "swir1": "100 + n5 % 3000",
@@ -179,8 +182,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(key.alias("point_id"), _n_tiles(spark, sf_dir).alias("n"))
         .select(
             "point_id",
-            ((F.col("point_id") * 1301 % 6400) / F.lit(100.0) + 0.003).alias("lon"),
-            ((F.col("point_id") * 2903 % rows) / F.lit(100.0) + 0.003).alias("lat"),
+            ((F.col("point_id") * 1301 % 6400) / F.lit(100.0) + (WEST + 0.003)).alias("lon"),
+            ((F.col("point_id") * 2903 % rows) / F.lit(100.0) + (NORTH + 0.003)).alias("lat"),
         )
     )
 

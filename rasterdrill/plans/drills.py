@@ -257,7 +257,7 @@ def wetland_pixels(pixels: DataFrame, *keep: str) -> DataFrame:
     ready = pixels.select(
         *keep,
         *S.COVER_BANDS,
-        P.tasselled_cap("wetness").alias(P.tasselled_cap_name("wetness")),
+        P.tasselled_cap("wetness", nodata=S.nodata_of(S.SURFACE_PRODUCT)).alias(P.tasselled_cap_name("wetness")),
         P.water_value(F.col("water")).alias("water"),
         P.pixel_quality_mask(F.col("fmask"), F.col("nbart_contiguity"), F.col("water")).alias("pmask"),
     )

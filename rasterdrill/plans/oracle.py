@@ -25,12 +25,12 @@ _BITS_CLEAR = (
     " AND (water & 32) = 0 AND (water & 64) = 0 AND (water & 4) = 0)"
 )
 _TCW = (
-    "CAST(coalesce(CASE WHEN blue > -1 THEN blue * CAST(0.0315 AS DOUBLE) END"
-    " + CASE WHEN green > -1 THEN green * CAST(0.2021 AS DOUBLE) END"
-    " + CASE WHEN red > -1 THEN red * CAST(0.3102 AS DOUBLE) END"
-    " + CASE WHEN nir > -1 THEN nir * CAST(0.1594 AS DOUBLE) END"
-    " + CASE WHEN swir1 > -1 THEN swir1 * CAST(-0.6806 AS DOUBLE) END"
-    " + CASE WHEN swir2 > -1 THEN swir2 * CAST(-0.6109 AS DOUBLE) END, -9999) AS FLOAT)"
+    "CAST(coalesce(CASE WHEN blue > -999 THEN blue * CAST(0.0315 AS DOUBLE) END"
+    " + CASE WHEN green > -999 THEN green * CAST(0.2021 AS DOUBLE) END"
+    " + CASE WHEN red > -999 THEN red * CAST(0.3102 AS DOUBLE) END"
+    " + CASE WHEN nir > -999 THEN nir * CAST(0.1594 AS DOUBLE) END"
+    " + CASE WHEN swir1 > -999 THEN swir1 * CAST(-0.6806 AS DOUBLE) END"
+    " + CASE WHEN swir2 > -999 THEN swir2 * CAST(-0.6109 AS DOUBLE) END, -9999) AS FLOAT)"
 )
 _TCB = _TCW
 for _a, _b in zip(("0.0315", "0.2021", "0.3102", "0.1594", "-0.6806", "-0.6109"),
@@ -72,7 +72,7 @@ _block("scenes", "grid", """
     CASE (visit // 2) % 3 WHEN 0 THEN 'ls5' WHEN 1 THEN 'ls7' ELSE 'ls8' END AS product,
     148.5::DOUBLE + (tile_id % 8) * 0.125::DOUBLE AS lon,
     CAST(o_custkey % 12 AS DOUBLE) / 10 AS gqa_iterative_mean_xy,
-    (tile_id % 8) * 8 AS sx0, (tile_id // 8) * 8 AS sy0
+    (tile_id % 8) * 8 - 32 AS sx0, (tile_id // 8) * 8 - 24 AS sy0
   FROM (SELECT o_orderkey AS scene_id, o_custkey, o_orderkey % n AS tile_id, o_orderkey // n AS visit
         FROM orders, grid)""")
 _block("good_scenes", "scenes",
@@ -86,7 +86,7 @@ _block("pixels", "scenes", """
       WHEN m >= 2 AND m < 3 + cp THEN 3 ELSE 1 END AS INT) AS fmask,
     CAST(CASE WHEN m = 1 THEN 0 ELSE 1 END AS INT) AS nbart_contiguity,
     CAST(CASE WHEN n1 % 997 = 0 THEN -999 ELSE 100 + n1 % 3000 END AS INT) AS blue,
-    CAST(100 + n2 % 3000 AS INT) AS green, CAST(100 + n3 % 3000 AS INT) AS red,
+    CAST(CASE WHEN n2 % 101 = 0 THEN -2 - n2 % 990 ELSE 100 + n2 % 3000 END AS INT) AS green, CAST(100 + n3 % 3000 AS INT) AS red,
     CAST(100 + n4 % 3000 AS INT) AS nir, CAST(100 + n5 % 3000 AS INT) AS swir1,
     CAST(100 + n6 % 3000 AS INT) AS swir2,
     CAST(CASE WHEN m < 1 THEN -1 ELSE n4 % 101 END AS INT) AS bs,
@@ -94,7 +94,7 @@ _block("pixels", "scenes", """
     CAST(CASE WHEN m < 1 THEN -1 ELSE 100 - n4 % 101 - n5 % (101 - n4 % 101) END AS INT) AS npv,
     CAST(CASE WHEN p_size > 40 THEN 255 ELSE n6 % 4 END AS INT) AS canopy_cover_class
   FROM (SELECT scene_id, ts, tile_id, p_size,
-      (tile_id // 8) * 8 + p_partkey % 64 // 8 AS y, (tile_id % 8) * 8 + p_partkey % 64 % 8 AS x,
+      (tile_id // 8) * 8 - 24 + p_partkey % 64 // 8 AS y, (tile_id % 8) * 8 - 32 + p_partkey % 64 % 8 AS x,
       (p_partkey * 7919 + scene_id * 104729) % 10007 % 100 AS m,
       CASE WHEN scene_id % 5 = 0 THEN 60 ELSE 1 END AS cp,
       (p_partkey * 7919 + scene_id * 104729 + 1 * 15485863) % 10007 AS n1,
@@ -106,14 +106,14 @@ _block("pixels", "scenes", """
     FROM part JOIN scenes ON p_partkey // 64 = tile_id)""")
 _block("poly", "grid", f"""
   SELECT s_suppkey AS poly_id, CAST(ring AS INT) AS ring, CAST(seq AS INT) AS seq,
-    CAST((s_suppkey % n) % 8 * 8 + CASE WHEN s_suppkey % 50 = 49 THEN 1000 ELSE 0 END AS BIGINT)
+    CAST((s_suppkey % n) % 8 * 8 + CASE WHEN s_suppkey % 50 = 49 THEN 1000 ELSE 0 END - 32 AS BIGINT)
       + CAST(dx AS DOUBLE) AS vx,
-    CAST((s_suppkey % n) // 8 * 8 AS BIGINT) + CAST(dy AS DOUBLE) + fy * ((n + 7) // 8 * 8) AS vy
+    CAST((s_suppkey % n) // 8 * 8 - 24 AS BIGINT) + CAST(dy AS DOUBLE) + fy * ((n + 7) // 8 * 8) AS vy
   FROM supplier, grid JOIN (VALUES {SHAPES}) AS t(kind, ring, seq, dx, dy, fy)
     ON t.kind = CASE WHEN s_suppkey = 0 THEN 5 ELSE s_suppkey % 5 END""")
 _block("points", "grid", """
-  SELECT c_custkey AS point_id, CAST(c_custkey * 1301 % 6400 AS DOUBLE) / 100 + 0.003::DOUBLE AS lon,
-    CAST(c_custkey * 2903 % ((n + 7) // 8 * 800) AS DOUBLE) / 100 + 0.003::DOUBLE AS lat
+  SELECT c_custkey AS point_id, CAST(c_custkey * 1301 % 6400 AS DOUBLE) / 100 + (-32 + 0.003::DOUBLE) AS lon,
+    CAST(c_custkey * 2903 % ((n + 7) // 8 * 800) AS DOUBLE) / 100 + (-24 + 0.003::DOUBLE) AS lat
   FROM customer, grid""")
 _block("edges", "poly", """
   SELECT a.poly_id, a.vx AS xa, a.vy AS ya, b.vx AS xb, b.vy AS yb FROM poly a JOIN poly b
@@ -124,7 +124,8 @@ _block("extents", "poly", """
 _block("cells", "extents", """
   SELECT poly_id, x, y FROM (SELECT poly_id, by0, by1,
       unnest(range(CAST(floor(bx0) AS BIGINT), CAST(ceil(bx1) AS BIGINT))) AS x FROM extents) e,
-    LATERAL (SELECT unnest(range(CAST(floor(by0) AS BIGINT), CAST(ceil(by1) AS BIGINT))) AS y) r""")
+    LATERAL (SELECT unnest(range(CAST(floor(by0) AS BIGINT), CAST(ceil(by1) AS BIGINT))) AS y) r
+  WHERE x BETWEEN -32 AND 31""")
 _block("mask_c", "cells edges", """
   SELECT c.poly_id, c.x, c.y FROM cells c JOIN edges e ON e.poly_id = c.poly_id
   WHERE ((ya <= y + 0.5::DOUBLE AND yb > y + 0.5::DOUBLE) OR (yb <= y + 0.5::DOUBLE AND ya > y + 0.5::DOUBLE))
@@ -363,7 +364,7 @@ def _reproject() -> str:
     body = f"""SELECT ty, p.tile_id, count(*) AS n_obs, count(DISTINCT tx) AS n_target,
     CAST(sum(tx) AS BIGINT) AS sum_tx, CAST(sum(water) AS BIGINT) AS sum_water, CAST(sum(bs * (tx % 97)) AS BIGINT) AS sum_bs
   FROM pixels p JOIN src ON p.x = src.x AND p.y = src.y GROUP BY ty, p.tile_id"""
-    extra = f"""corner AS (SELECT cx, cy FROM (VALUES (0), (64)) a(cx), (SELECT 0 AS cy UNION ALL SELECT (n + 7) // 8 * 8 FROM grid)),
+    extra = f"""corner AS (SELECT cx, cy FROM (VALUES (-32), (32)) a(cx), (SELECT -24 AS cy UNION ALL SELECT (n + 7) // 8 * 8 - 24 FROM grid)),
 box AS (SELECT min({east}) AS e0, max({east}) AS e1, min({north}) AS n0, max({north}) AS n1 FROM corner),
 tgt AS (SELECT tx, ty FROM (SELECT unnest(range(CAST(floor(e0 / 30) AS BIGINT) - 9, CAST(ceil(e1 / 30) AS BIGINT) + 9)) AS tx FROM box),
   (SELECT unnest(range(CAST(floor(n1 / -30) AS BIGINT) - 9, CAST(ceil(n0 / -30) AS BIGINT) + 9)) AS ty FROM box)),
@@ -454,7 +455,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_time_range": _with(f"""
   SELECT p.point_id, count(*) AS n_scenes, min(ts) AS first_ts, max(ts) AS last_ts
   FROM points p JOIN {ranges} r ON p.point_id = r.point_id
-    JOIN scenes s ON floor(p.lon / 8) + 8 * floor(p.lat / 8) = s.tile_id
+    JOIN scenes s ON floor((p.lon + 32) / 8) + 8 * floor((p.lat + 24) / 8) = s.tile_id
   WHERE start IS NULL OR "end" IS NULL
     OR ts >= {_range_end('start', True)} AND ts <= {_range_end('"end"', False)}
   GROUP BY p.point_id"""),
@@ -479,7 +480,8 @@ d AS (SELECT request_id, CAST(split_part(parameters, chr(10), 1) AS JSON) AS j F
 SELECT request_id, coalesce(TRY_CAST(json_extract_string(j, '$.aggregate') AS INT), 0) AS aggregate,
   CAST(coalesce(len(json_keys(j)), 0) AS INT) AS n_parameters FROM d""",
         "write_drill_parquet": _with(
-            "SELECT 'mangrove' AS identifier, 'run-1' AS run_id, * FROM mangrove"
+            "SELECT 'wit' AS identifier, 'run-1' AS run_id, * FROM ("
+            + _WET_OUT.format(shares=_SHARES, areas="areas") + ")"
         ),
         "drill_to_csv": _with(_COVER_CSV),
         "drill_catalog_json": _with(f"""SELECT poly_id, data, 'true' AS is_enabled, 'csv' AS type,

@@ -30,6 +30,7 @@ from rasterdrill.sources.times import inside_request
 from rasterdrill.tuning import counted, shared_folder
 
 GRID = cube.GRID
+SURFACE_NODATA = S.nodata_of(S.SURFACE_PRODUCT)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -212,7 +213,7 @@ def apply_mask(spark, sf):
     px = cube.pixels(spark, sf)
     quality = P.pixel_quality_mask(F.col("fmask"), F.col("nbart_contiguity"), F.col("water"))
     ready = px.select(
-        "scene_id", *S.COVER_BANDS, P.tasselled_cap().alias("TCW"),
+        "scene_id", *S.COVER_BANDS, P.tasselled_cap(nodata=SURFACE_NODATA).alias("TCW"),
         P.water_value(F.col("water")).alias("water"), quality.alias("pmask"), quality.alias("good"),
     )
     masked = C.apply_mask(ready, "pmask", D.WETLAND_NODATA)
@@ -358,8 +359,8 @@ def pixel_quality_mask(spark, sf):
 def tasselled_cap(spark, sf):
     return _per_scene(
         spark, sf,
-        **{c: _steps(P.tasselled_cap(c), 100, c) for c in ("wetness", "brightness", "greenness")},
-        n_missing=F.count_if(P.tasselled_cap() == S.WETNESS_NODATA),
+        **{c: _steps(P.tasselled_cap(c, nodata=SURFACE_NODATA), 100, c) for c in ("wetness", "brightness", "greenness")},
+        n_missing=F.count_if(P.tasselled_cap(nodata=SURFACE_NODATA) == S.WETNESS_NODATA),
     )
 
 
@@ -388,7 +389,7 @@ def dominant_cover(spark, sf):
 
 @query
 def wet_threshold(spark, sf):
-    wetness = P.tasselled_cap()
+    wetness = P.tasselled_cap(nodata=SURFACE_NODATA)
     return _per_scene(
         spark, sf,
         n_wet=F.count_if(P.is_wet(wetness)),
@@ -544,7 +545,7 @@ def wofs_tick_series(spark, sf):
 @query
 def write_drill_parquet(spark, sf):
     base = f"{shared_folder(spark).rstrip('/')}/drills-{uuid.uuid4().hex}"
-    V.write_drill_parquet(mangrove_drill(spark, sf), base, "mangrove", "run-1")
+    V.write_drill_parquet(wit_drill(spark, sf), base, "wit", "run-1")
     return V.read_drill_parquet(spark, base)
 
 

@@ -159,6 +159,11 @@ CANOPY_CLASSES = {1: "Woodland", 2: "Open Forest", 3: "Closed Forest"}
 OBSERVATION_COLOURS = {"wet": "blue", "dry": "red", "not observable": "grey"}
 
 
+def nodata_of(product: tuple[BandSpec, ...]) -> dict[str, float]:
+    """Declared nodata of each band that has one."""
+    return {b.name: b.nodata for b in product if b.nodata is not None}
+
+
 def pixel_schema(bands: tuple[BandSpec, ...]) -> T.StructType:
     """Columns of a stored pixel table that carries ``bands``."""
     fields = [

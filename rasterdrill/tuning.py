@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +33,9 @@ def counted(df: DataFrame) -> DataFrame:
     return sized(df, df.count())
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="rasterdrill-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it.
-
-    A temporary folder stands in where none is named, as in local tests.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A folder all executors see: ``spark.checkpoint.dir``, else the warehouse folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named
