@@ -38,6 +38,11 @@ def with_scene(pixels: DataFrame, scenes: DataFrame, *columns: str) -> DataFrame
     return pixels.join(scenes.select("scene_id", *columns), "scene_id")
 
 
+def with_scene_tiles(pixels: DataFrame, tiles: DataFrame, *columns: str) -> DataFrame:
+    """:func:`with_scene` by scene and tile (see ``geometry.scene_tiles``)."""
+    return pixels.join(tiles.select("scene_id", "tile_id", *columns), ["scene_id", "tile_id"])
+
+
 def water_is_valid(value: Column) -> Column:
     return value.bitwiseAND(F.lit(1)) == 0
 

@@ -199,7 +199,8 @@ class Mask(NamedTuple):
     """A set of polygons on the grid.
 
     ``spans`` are per polygon; ``each`` are the same cut at tile borders, hinted
-    for broadcast only if ``bound``, a proven number of rows, allows it.
+    for broadcast only if ``bound``, a proven number of rows, allows it. Where
+    requests have time ranges, ``each`` carries their ``start`` and ``end``.
     """
 
     spans: DataFrame
@@ -217,10 +218,16 @@ class Mask(NamedTuple):
         return self.spans.groupBy("poly_id").agg(size)
 
 
-def polygon_mask(polygons: DataFrame, grid: Grid, all_touched: bool = False) -> Mask:
+def polygon_mask(
+    polygons: DataFrame, grid: Grid, all_touched: bool = False, ranges: DataFrame | None = None
+) -> Mask:
+    """``ranges (poly_id, start, end)`` limits requests in time; one without a row takes all times."""
     bound = span_bound(polygons, grid)
     spans = spans_of(polygons, grid, all_touched)
-    return Mask(spans, sized(tile_spans(spans, grid), bound), bound)
+    cut = tile_spans(spans, grid)
+    if ranges is not None:
+        cut = cut.join(counted(ranges.select("poly_id", "start", "end")), "poly_id", "left")
+    return Mask(spans, sized(cut, bound), bound)
 
 
 def _aside(df: DataFrame) -> DataFrame:
@@ -240,8 +247,10 @@ def inside_any(pixels: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def inside_each(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Pixels with the ``poly_id`` of every polygon that holds them."""
+    """Pixels with the ``poly_id`` of every polygon that holds them, in its time range if it has one."""
     joined = pixels.join(_aside(mask), F.expr(_IN_SPAN))
+    if "start" in mask.columns:
+        joined = joined.filter(inside_request(F.col("ts"), F.col("_start"), F.col("_end")))
     return joined.select(F.col("_poly_id").alias("poly_id"), *pixels.columns)
 
 
@@ -326,6 +335,31 @@ def _hinted_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
     return _aside(sized(extent_tiles(extents, grid), int(n or 0)))
 
 
+# Tiles that may be named in a filter one by one.
+TILE_LIST = 10_000
+
+
+def at_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pixels of the tiles listed in ``tiles (tile_id)``, by a filter on the file partitions.
+
+    Up to ``TILE_LIST`` tiles are named in the filter; beyond that it holds the lowest
+    and the highest, as scalar subqueries. Neither hangs on how a later join is planned.
+    Where requests cover most tiles there is nothing to prune.
+    """
+    wanted = tiles.select("tile_id").distinct()
+    named = wanted.limit(TILE_LIST + 1).collect()
+    tile = F.col("tile_id")
+    if len(named) <= TILE_LIST:
+        return pixels.filter(tile.isin([r["tile_id"] for r in named]))
+    low, high = (tiles.select(f("tile_id")).scalar() for f in (F.min, F.max))
+    return pixels.filter((tile >= low) & (tile <= high))
+
+
+def at_polygons(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
+    """:func:`at_tiles` for the tiles under any polygon's extent."""
+    return at_tiles(pixels, extent_tiles(polygon_extents(polygons, grid), grid))
+
+
 def prune_bbox(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
     """Pixels under the extent of any polygon.
 
@@ -338,7 +372,7 @@ def prune_bbox(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
     def edge(expr: Column) -> Column:
         return extents.select(expr.cast("int")).scalar()
 
-    boxed = pixels.filter(
+    boxed = at_polygons(pixels, polygons, grid).filter(
         (x >= edge(F.min(F.floor("bx0")))) & (x <= edge(F.max(F.ceil("bx1"))))
         & (y >= edge(F.min(F.floor("by0")))) & (y <= edge(F.max(F.ceil("by1"))))
     )
@@ -364,6 +398,21 @@ def scene_sizes(scenes: DataFrame, grid: Grid) -> tuple[int, int]:
     return row["n"], int(row["tiles"] or 0)
 
 
+def scene_tiles(scenes: DataFrame, extents: DataFrame, grid: Grid, *columns: str) -> DataFrame:
+    """``scene_id, tile_id`` and ``columns`` for the tiles that scenes and extents share.
+
+    The join key of pixels to scenes: no scene, and no tile, is one group.
+    """
+    areas = scenes.select(
+        "scene_id", *columns,
+        F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
+        F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
+    )
+    held = extent_tiles(areas, grid).select("scene_id", F.col("tile_id"), *columns)
+    asked = extent_tiles(extents, grid).select("tile_id").distinct()
+    return held.join(asked, "tile_id", "left_semi")
+
+
 def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
     """A bound on the rows of :func:`time_spine`: scenes per tile, summed over extents."""
     areas = scenes.select(
@@ -388,13 +437,13 @@ def time_spine(
     ``scenes`` carry their own extent ``sx0, sy0, sx1, sy1`` in pixel units and
     ``grp`` from ``group_scenes``; the label ``time`` is the first scene time of
     the group. Rows exist even where no pixel was ever valid. ``ranges`` limits
-    each key to its own ``start`` and ``end``; ``footprints`` is the number of
+    each key to its own ``start`` and ``end`` (a key without a row takes all times); ``footprints`` is the number of
     scene tiles, if known.
     """
     if footprints is None:
         _, footprints = scene_sizes(scenes, grid)
     if ranges is not None:
-        extents = extents.join(ranges.select(keys[0], "start", "end"), keys[0])
+        extents = extents.join(ranges.select(keys[0], "start", "end"), keys[0], "left")
     asked = extent_tiles(extents, grid)
     areas = scenes.select(
         "ts", "grp",

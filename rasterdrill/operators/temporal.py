@@ -17,7 +17,7 @@ from rasterdrill.functions.pixel import is_valid
 
 def anchored_windows(
     times: DataFrame,
-    days: int,
+    days: int | str,
     key: str = "poly_id",
     time: str = "ts",
     keep_trailing: bool = False,
@@ -27,53 +27,60 @@ def anchored_windows(
     A window starts at a time and takes every later one less than ``days`` whole
     days away; the next time starts another. Returns ``(key, time, anchor,
     n_times)`` for each time. A last window that holds only the last time is
-    dropped unless ``keep_trailing``. Rows without a time are left out.
+    dropped unless ``keep_trailing``. Rows without a time are left out. ``days`` may
+    name a column, one value per key, which is returned too; where it is 0 every
+    time is a window, none dropped.
 
     Times are sorted by Spark, spilling as it needs, and one pass walks them. It
     holds one window and one batch, however long a series is.
     """
-    distinct = times.select(key, F.col(time).alias("_t")).filter("_t IS NOT NULL").distinct()
-    length = days * 86_400_000_000
+    of_days = F.lit(days) if isinstance(days, int) else F.col(days)
+    distinct = times.select(key, F.col(time).alias("_t"), of_days.cast("int").alias("_days"))
+    distinct = distinct.filter("_t IS NOT NULL").distinct()
     kind = times.schema[key].dataType
     schema = T.StructType([
         T.StructField(key, kind), T.StructField(time, T.TimestampNTZType()),
         T.StructField("anchor", T.TimestampNTZType()), T.StructField("n_times", T.LongType()),
+        T.StructField("days", T.IntegerType()),
     ])
 
-    def emit(keys: pa.Array, t: np.ndarray, starts: list[int], end: int) -> pa.RecordBatch:
+    def emit(keys: pa.Array, t: np.ndarray, n_days: int, starts: list[int], end: int) -> pa.RecordBatch:
         size = np.diff([*starts, end])
         moments = pa.array(t[:end]).cast(pa.timestamp("us"))
         anchor = pa.array(np.repeat(t[starts], size)).cast(pa.timestamp("us"))
-        return pa.RecordBatch.from_arrays([keys[:end], moments, anchor, pa.array(np.repeat(size, size))], schema.names)
+        columns = [keys[:end], moments, anchor, pa.array(np.repeat(size, size)), pa.array(np.full(end, n_days, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, t = None, None  # the window that is open, of one key
+        keys, t, d = None, None, None  # the window that is open, of one key
         for batch in batches:
             if not batch.num_rows:
                 continue
-            more, u = batch.column(0), batch.column(1).cast(pa.int64()).to_numpy()
-            keys, t = (more, u) if keys is None else (pa.concat_arrays([keys, more]), np.append(t, u))
+            more, u, v = batch.column(0), batch.column(1).cast(pa.int64()).to_numpy(), batch.column(2).to_numpy()
+            keys, t, d = (more, u, v) if keys is None else (pa.concat_arrays([keys, more]), np.append(t, u), np.append(d, v))
             same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
             both_null = keys.is_null().to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(~(same | (both_null[1:] & both_null[:-1]))) + 1
             for a, b in zip([0, *cuts], [*cuts, len(t)]):
-                starts, i, own = [], 0, t[a:b]
+                starts, i, own, n_days = [], 0, t[a:b], int(d[a])
+                length = max(n_days * 86_400_000_000, 1)
                 while i < len(own):
                     starts.append(i)
                     i = int(np.searchsorted(own, own[i] + length))
                 end = len(own)
                 open_ = b == len(t)  # the key may go on in the next batch
-                if open_ or end - starts[-1] == 1 and not keep_trailing:
+                if open_ or end - starts[-1] == 1 and n_days and not keep_trailing:
                     end = starts.pop()
                 if starts:
-                    yield emit(keys[a:b], own, starts, end)
+                    yield emit(keys[a:b], own, n_days, starts, end)
                 if open_:
-                    keys, t = keys[a + end : b], own[end:]
-        if keys is not None and (len(t) > 1 or keep_trailing):
-            yield emit(keys, t, [0], len(t))
+                    keys, t, d = keys[a + end : b], own[end:], d[a + end : b]
+        if keys is not None and (len(t) > 1 or not d[0] or keep_trailing):
+            yield emit(keys, t, int(d[0]), [0], len(t))
 
     sorted_ = distinct.repartition(key).sortWithinPartitions(key, "_t")
-    return sorted_.mapInArrow(walk, schema)
+    out = sorted_.mapInArrow(walk, schema)
+    return out.drop("days") if isinstance(days, int) else out
 
 
 def average_over_day(

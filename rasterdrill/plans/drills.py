@@ -28,21 +28,10 @@ from rasterdrill.tuning import counted, sized
 _PLACE = ("tile_id", "y", "x")
 
 
-def _in_range(df: DataFrame, ranges: DataFrame, key: str = "poly_id") -> DataFrame:
-    """Keep rows inside the time range of their request."""
-    own = ranges.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    own = counted(own)
-    return (
-        df.join(own, F.col(key) == F.col("_key"))
-        .filter(inside_request(F.col("ts"), F.col("_start"), F.col("_end")))
-        .drop("_key", "_start", "_end")
-    )
-
-
 def _fused_in_polygons(
     pixels: DataFrame,
     scenes: DataFrame,
-    n_scenes: int,
+    footprints: int,
     polygons: DataFrame,
     grid: Grid,
     ranges: DataFrame | None,
@@ -54,13 +43,14 @@ def _fused_in_polygons(
     merge is shared by overlapping polygons, unless requests have their own time
     ranges, which may split a day differently for each.
     """
-    mask = G.polygon_mask(polygons, grid)
-    sc = sized(scenes.select("scene_id", "grp", "ord"), n_scenes)
-    kept = C.with_scene(G.inside_any(pixels, mask.union()), sc, "grp", "ord")
+    mask = G.polygon_mask(polygons, grid, ranges=ranges)
+    extents = G.polygon_extents(polygons, grid)
+    sc = sized(G.scene_tiles(scenes, extents, grid, "grp", "ord"), footprints)
+    near = G.inside_any(G.at_polygons(pixels, polygons, grid), mask.union())
+    kept = C.with_scene_tiles(near, sc, "grp", "ord")
     if ranges is None:
         return G.inside_each(C.fuse(kept, **rules), mask.each)
-    own = _in_range(G.inside_each(kept, mask.each), ranges)
-    return C.fuse(own, keys=("poly_id", *C.PIXEL_KEY), **rules)
+    return C.fuse(G.inside_each(kept, mask.each), keys=("poly_id", *C.PIXEL_KEY), **rules)
 
 
 # --- ground cover ------------------------------------------------------------
@@ -102,13 +92,13 @@ def cover_counts(
 ) -> DataFrame:
     """:func:`cover_statistics` per polygon and solar day; null where nothing was read."""
     taken = SC.filter_time_range(scenes, time)
-    n_scenes, footprints = G.scene_sizes(taken, grid)
+    _, footprints = G.scene_sizes(taken, grid)
     sc = SC.group_scenes(taken, "solar_day")
     bands = SC.filter_time_range(pixels, time).select(
         "scene_id", "ts", *_PLACE, *S.COVER_BANDS, "water"
     )
     held = _fused_in_polygons(
-        bands, sc, n_scenes, polygons, grid, ranges,
+        bands, sc, footprints, polygons, grid, ranges,
         first_valid={b: nodata for b in S.COVER_BANDS}, water="water",
     )
     counts = cover_statistics(held, ["poly_id", "grp"], nodata, strict_nodata)
@@ -164,12 +154,11 @@ def mangrove_drill(
     """
     band = "canopy_cover_class"
     sc = SC.filter_time_range(scenes, time)
-    px = SC.filter_time_range(pixels, time)
+    px = G.at_polygons(SC.filter_time_range(pixels, time), polygons, grid)
+    mask = G.polygon_mask(polygons, grid, ranges=ranges)
     if overlapping:
-        px = _fuse_exact(px, sc, {band: 255})
-    held = G.inside_each(px.select("ts", *_PLACE, band), G.polygon_mask(polygons, grid).each)
-    if ranges is not None:
-        held = _in_range(held, ranges)
+        px = _fuse_exact(G.inside_any(px, mask.union()), sc, {band: 255})
+    held = G.inside_each(px.select("ts", *_PLACE, band), mask.each)
     counts = held.groupBy("poly_id", F.col("ts").alias("grp")).agg(
         *[F.count_if(F.col(band) == k).alias(name) for k, name in S.CANOPY_CLASSES.items()]
     )
@@ -186,34 +175,47 @@ def mangrove_drill(
 # --- water at points ---------------------------------------------------------
 
 def point_water(
-    pixels: DataFrame, scenes: DataFrame, points: DataFrame, grid: Grid, time=None
+    pixels: DataFrame, scenes: DataFrame, points: DataFrame, grid: Grid, time=None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """``point_id, time, longitude, latitude, water``: fused bit field per solar day.
 
+    ``ranges (point_id, start, end)`` limits points in time; one without a row takes all.
+
     Coordinates are those of the request point. A time at which the pixel is
     absent has the nodata value.
     """
     taken = SC.filter_time_range(scenes, time)
-    n_scenes, footprints = G.scene_sizes(taken, grid)
+    _, footprints = G.scene_sizes(taken, grid)
     sc = SC.group_scenes(taken, "solar_day")
     n_points = points.count()
     located = G.points_to_pixels(points.select("point_id", "lon", "lat"), grid)
     cells = sized(located.select(*_PLACE).distinct(), n_points)
     px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, "water")
-    kept = C.with_scene(
-        px.join(cells, list(_PLACE), "left_semi"),
-        sized(sc.select("scene_id", "grp", "ord"), n_scenes), "grp", "ord",
-    )
-    fused = C.fuse_water(kept)
+    near = G.at_tiles(px, located).join(cells, list(_PLACE), "left_semi")
     squares = located.select(
         "point_id", "lon", "lat", "y", "x",
         F.col("tile_id").alias("cell_tile"),
         F.col("x").cast("double").alias("bx0"), F.col("y").cast("double").alias("by0"),
         (F.col("x") + 1.0).alias("bx1"), (F.col("y") + 1.0).alias("by1"),
     )
+    kept = C.with_scene_tiles(near, sized(G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints), "grp", "ord")
     keys = ("point_id", "lon", "lat", "cell_tile", "y", "x")
-    spine = G.time_spine(squares, sc, grid, keys=keys, footprints=footprints).withColumnRenamed("cell_tile", "tile_id")
-    return spine.join(fused, list(C.PIXEL_KEY), "left").select(
+    if ranges is None:
+        fused, on = C.fuse_water(kept), list(C.PIXEL_KEY)
+    else:
+        # A range may split a day, so pixels are merged per point; a point has one pixel.
+        asked = located.join(counted(ranges.select("point_id", "start", "end")), "point_id", "left")
+        asked = sized(asked.select("point_id", *_PLACE, "start", "end"), n_points)
+        own = SC.filter_time_range(pixels, time).select("scene_id", "ts", *_PLACE, "water")
+        own = G.at_tiles(own, located).join(asked, list(_PLACE))
+        own = own.filter(inside_request(F.col("ts"), F.col("start"), F.col("end"))).drop("start", "end")
+        own = C.with_scene_tiles(own, sized(G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints), "grp", "ord")
+        on = ["point_id", *C.PIXEL_KEY]
+        fused = C.fuse_water(own, on)
+    spine = G.time_spine(squares, sc, grid, keys=keys, ranges=ranges, footprints=footprints)
+    spine = spine.withColumnRenamed("cell_tile", "tile_id")
+    return spine.join(fused, on, "left").select(
         "point_id",
         "time",
         F.col("lon").alias("longitude"),
@@ -229,9 +231,10 @@ def point_water_drill(
     grid: Grid,
     time=None,
     flags: Sequence[S.Flag] = S.WATER_FLAGS,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """``point_id, time, longitude, latitude, observation``."""
-    water = point_water(pixels, scenes, points, grid, time)
+    water = point_water(pixels, scenes, points, grid, time, ranges)
     return water.withColumn("observation", P.classify_water(F.col("water"), flags)).drop("water")
 
 
@@ -256,7 +259,7 @@ def wetland_pixels(pixels: DataFrame, *keep: str) -> DataFrame:
     """
     ready = pixels.select(
         *keep,
-        *S.COVER_BANDS,
+        *[F.col(b) for b in S.COVER_BANDS],
         P.tasselled_cap("wetness", nodata=S.nodata_of(S.SURFACE_PRODUCT)).alias(P.tasselled_cap_name("wetness")),
         P.water_value(F.col("water")).alias("water"),
         P.pixel_quality_mask(F.col("fmask"), F.col("nbart_contiguity"), F.col("water")).alias("pmask"),
@@ -286,20 +289,67 @@ def wetland_area(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WE
 def _wetland_held(
     pixels: DataFrame,
     scenes: DataFrame,
+    polygons: DataFrame,
+    grid: Grid,
     mask: G.Mask,
-    ranges: DataFrame | None,
     overlapping: bool,
 ) -> DataFrame:
-    """Usable wetland pixels at exact times, per polygon that touches them."""
+    """Usable wetland pixels at exact times, per polygon that touches them.
+
+    Tiles first, then the mask, then scenes: what is outside every polygon never moves.
+    """
     bands = (*S.COVER_BANDS, *S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity", "water")
-    kept = C.with_scene(
-        pixels.select("scene_id", "ts", *_PLACE, *bands), counted(scenes.select("scene_id"))
-    )
+    near = G.at_polygons(pixels.select("scene_id", "ts", *_PLACE, *bands), polygons, grid)
+    tiles = G.scene_tiles(scenes, G.polygon_extents(polygons, grid), grid)
+    _, footprints = G.scene_sizes(scenes, grid)
+    tiles = sized(tiles, footprints)
     if overlapping:
         values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
-        kept = _fuse_exact(G.inside_any(kept, mask.union()), scenes, values)
-    held = G.inside_each(wetland_pixels(kept, "ts", *_PLACE), mask.each)
-    return held if ranges is None else _in_range(held, ranges)
+        kept = C.with_scene_tiles(G.inside_any(near, mask.union()), tiles)
+        return G.inside_each(wetland_pixels(_fuse_exact(kept, scenes, values), "ts", *_PLACE), mask.each)
+    kept = C.with_scene_tiles(G.inside_each(near, mask.each), tiles)
+    return wetland_pixels(kept, "poly_id", "ts", *_PLACE)
+
+
+def _windowed(
+    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, aggregate,
+    time, ranges: DataFrame | None, overlapping: bool, mask: G.Mask | None,
+) -> DataFrame:
+    """Usable pixels with the window they fall in: ``anchor, n_times, days``."""
+    mask = mask or G.polygon_mask(polygons, grid, all_touched=True, ranges=ranges)
+    sc = wetland_scenes(SC.filter_time_range(scenes, time))
+    held = _wetland_held(SC.filter_time_range(pixels, time), sc, polygons, grid, mask, overlapping)
+    extents = G.polygon_extents(polygons, grid)
+    spine = G.time_spine(extents, SC.group_scenes(sc, "exact"), grid, ranges=ranges)
+    times = spine.select("poly_id", F.col("time").alias("ts"))
+    if isinstance(aggregate, int):
+        windows = T.anchored_windows(times, aggregate).withColumn("days", F.lit(aggregate))
+    else:
+        asked = times.join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
+        windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days")
+    n_times = G.spine_bound(extents, sc, grid)
+    if n_times > tuning.BROADCAST_ROWS:
+        n_times = windows.count()  # the bound counts every scene of a tile
+    if n_times <= tuning.BROADCAST_ROWS:
+        return held.join(F.broadcast(windows), ["poly_id", "ts"])
+    # With the tile in the key, a polygon and time of any size is many groups.
+    tiles = G.extent_tiles(extents, grid).select("poly_id", "tile_id")
+    return held.join(windows.join(tiles, "poly_id").hint("merge"), ["poly_id", "ts", "tile_id"])
+
+
+def _merged_windows(placed: DataFrame) -> DataFrame:
+    """``(poly_id, anchor, pixel)`` rows; a window of one time is that time, and needs no merge."""
+    keys = ["poly_id", "anchor", *_PLACE]
+    types = {b: "float" for b in WETLAND_NODATA} | {"water": "int"}
+    single = placed.filter("days = 0 OR n_times = 1")
+    several = placed.filter("days > 0 AND n_times > 1")
+    parts = [
+        single.withColumn("anchor", F.when(F.col("days") == 0, F.col("ts")).otherwise(F.col("anchor"))),
+        T.average_over_day(several.filter("days = 1"), keys, WETLAND_NODATA),
+        T.composite_first_valid(several.filter("days > 1"), keys, WETLAND_NODATA),
+    ]
+    typed = [p.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in types.items()]) for p in parts]
+    return typed[0].unionByName(typed[1]).unionByName(typed[2])
 
 
 def wetland_composite(
@@ -307,7 +357,7 @@ def wetland_composite(
     scenes: DataFrame,
     polygons: DataFrame,
     grid: Grid,
-    aggregate: int,
+    aggregate: int | DataFrame,
     time=None,
     ranges: DataFrame | None = None,
     overlapping: bool = False,
@@ -316,19 +366,10 @@ def wetland_composite(
     """Pixels merged over windows of ``aggregate`` days: ``(poly_id, anchor, pixel)`` rows.
 
     Windows follow each polygon's own times, so pixels are merged per polygon.
+    ``aggregate`` may be a table ``(poly_id, aggregate)``, one value per request.
     """
-    mask = mask or G.polygon_mask(polygons, grid, all_touched=True)
-    sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    held = _wetland_held(SC.filter_time_range(pixels, time), sc, mask, ranges, overlapping)
-    extents = G.polygon_extents(polygons, grid)
-    spine = G.time_spine(extents, SC.group_scenes(sc, "exact"), grid, ranges=ranges)
-    windows = T.anchored_windows(spine.select("poly_id", F.col("time").alias("ts")), aggregate)
-    n_times = G.spine_bound(extents, sc, grid)
-    # The bound counts every scene of a tile; count the windows only if it is too loose.
-    loose = n_times > tuning.BROADCAST_ROWS
-    placed = held.join(counted(windows) if loose else sized(windows, n_times), ["poly_id", "ts"])
-    merge = T.average_over_day if aggregate == 1 else T.composite_first_valid
-    return merge(placed, ["poly_id", "anchor", *_PLACE], WETLAND_NODATA)
+    placed = _windowed(pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping, mask)
+    return _merged_windows(placed)
 
 
 def wetland_areas(
@@ -338,35 +379,38 @@ def wetland_areas(
     grid: Grid,
     time=None,
     ranges: DataFrame | None = None,
-    aggregate: int = 0,
+    aggregate: int | DataFrame = 0,
     overlapping: bool = False,
     mask: G.Mask | None = None,
 ) -> DataFrame:
     """:func:`wetland_area` per polygon and time, after compositing if asked.
 
     ``aggregate`` 0 keeps every time; 1 averages windows of one day; more days
-    take the first usable value in windows of that length.
+    take the first usable value in windows of that length. A table ``(poly_id,
+    aggregate)`` gives each request its own; one without a row has 0.
     """
-    if aggregate > 0:
+    if not isinstance(aggregate, int) or aggregate > 0:
         merged = wetland_composite(
             pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping, mask
         )
         return wetland_area(merged, ["poly_id", F.col("anchor").alias("time")])
-    mask = mask or G.polygon_mask(polygons, grid, all_touched=True)
+    mask = mask or G.polygon_mask(polygons, grid, all_touched=True, ranges=ranges)
     sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    held = _wetland_held(SC.filter_time_range(pixels, time), sc, mask, ranges, overlapping)
+    held = _wetland_held(SC.filter_time_range(pixels, time), sc, polygons, grid, mask, overlapping)
     return wetland_area(held, ["poly_id", F.col("ts").alias("time")])
 
 
 def wetland_drill(
-    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, **options
+    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid,
+    outlines: DataFrame | None = None, **options,
 ) -> DataFrame:
     """``poly_id, time, water, wet, bs, pv, npv, geometry``.
 
     Shares of the valid area, for times at which more than nine tenths of the
-    polygon is valid.
+    polygon is valid. ``outlines`` are the polygons in request coordinates, for the
+    hull, where ``polygons`` were projected.
     """
-    mask = G.polygon_mask(polygons, grid, all_touched=True)
+    mask = G.polygon_mask(polygons, grid, all_touched=True, ranges=options.get("ranges"))
     areas = wetland_areas(pixels, scenes, polygons, grid, mask=mask, **options)
     kept = areas.join(mask.area(), "poly_id").filter(
         F.col("valid") / F.col("total_area") > F.lit(S.MIN_VALID_SHARE)
@@ -375,4 +419,4 @@ def wetland_drill(
         "poly_id", "time",
         *[(F.col(c) / F.col("valid")).alias(c) for c in ("water", "wet", *S.COVER_BANDS)],
     )
-    return shares.join(G.convex_hull(polygons), "poly_id")
+    return shares.join(G.convex_hull(polygons if outlines is None else outlines), "poly_id")
