@@ -48,9 +48,8 @@ GROUP_RUNS = 2048
 BATCH_RUNS = 20_000
 # Runs a task folds at once before they move (24 bytes each).
 FOLD_RUNS = 400_000
-# Documents whose spans, or grams, that may be broadcast.
+# Grams that may be broadcast: 8 bytes each.
 BROADCAST_ROWS = 300_000
-BROADCAST_SPANS = 2_000_000
 _PLACE_BITS = 24
 _PIECE = 4 << 20  # a longer text is cut into overlapping pieces
 _BYTE = T.mix(np.arange(1001, 1257, dtype=np.uint64))
@@ -410,8 +409,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, length: int, spread: bool) -> D
                 )
 
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("k", "loc")).alias("runs"))
-    few = wanted.count() <= BROADCAST_SPANS and wanted.select("doc").distinct().count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(lists) if few else lists.hint("merge"), "doc")
+    joined = docs.join(lists.hint("merge"), "doc")
     return joined.select("doc", "text", "runs").mapInArrow(run, schema)
 
 
@@ -485,9 +483,7 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, gram: int) ->
     else:
         plain = work.keep(_numbered(plain, k, t, work), "rows")
         found = repeats(plain.select("doc", F.col(t).alias("text")).dropDuplicates(["doc"]), length, gram, work)
-    size = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("m")).first()
-    few = size["n"] <= BROADCAST_ROWS and (size["m"] or 0) <= BROADCAST_SPANS
-    return plain.join(F.broadcast(found) if few else found.hint("merge"), "doc", "left").select(*names, "spans")
+    return plain.join(found.hint("merge"), "doc", "left").select(*names, "spans")
 
 
 def _union(lists: pa.Array, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
