@@ -180,7 +180,7 @@ def _all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             data, offsets = T.flat(batch.column(1))
             for a, b in T.blocks(offsets):
-                if offsets[b] - offsets[a] <= _PIECE:
+                if b > a + 1 or offsets[b] - offsets[a] <= _PIECE:
                     parts = [(0, offsets[a], offsets[b], offsets[a : b + 1] - offsets[a])]
                 else:  # one long text
                     parts = [(x - offsets[a], x, x + o[-1], o) for x, o in _pieces(offsets[a : b + 1], length)]
@@ -316,7 +316,8 @@ def induce(
         turn = np.argsort(bucket, kind="stable")
         old = stay[turn]
         same = bucket[turn[1:]] == bucket[turn[:-1]]
-        new = np.full(len(old), -1, np.int32)
+        # Neighbours with different bytes have nothing in common; those of different grams never meet.
+        new = np.append(-1, np.where(bucket[turn[1:]] >> 8 == bucket[turn[:-1]] >> 8, 0, -1)).astype(np.int32)
         i = np.flatnonzero(same)
         if len(i):
             new[i + 1] = 1 + _least_between(prefix, old[i], old[i + 1])

@@ -48,11 +48,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of texts ``[a, b)`` of some ``limit`` bytes each; every text is in one."""
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts ``[a, b)`` of at most ``BLOCK_BYTES``, or of one text; every text is in one."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1
+        b = int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1
         b = min(max(b, a + 1), n, a + 65536)
         yield a, b
         a = b
