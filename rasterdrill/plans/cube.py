@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterdrill.functions.projection import Albers
 from rasterdrill.grid import Grid
 
 # The origin lies inside the archive, so pixels, polygons and scenes lie on both sides of it.
@@ -173,6 +174,23 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lonlat_requests(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
+    """The polygons as request texts in longitude and latitude, as they lie on a metric grid."""
+    east = F.lit(grid.origin_x) + F.col("vx") * F.lit(grid.res_x)
+    north = F.lit(grid.origin_y) + F.col("vy") * F.lit(grid.res_y)
+    lon, lat = Albers().inverse(east, north)
+    corner = F.struct("seq", F.array(F.round(lon, 9), F.round(lat, 9)).alias("p"))
+    rings = (
+        polygons(spark, sf_dir).groupBy("poly_id", "ring")
+        .agg(F.sort_array(F.collect_list(corner)).getField("p").alias("ps"))
+        .groupBy("poly_id").agg(F.sort_array(F.collect_list(F.struct("ring", "ps"))).getField("ps").alias("rings"))
+    )
+    text = F.concat(
+        F.lit('{"features":[{"geometry":{"type":"Polygon","coordinates":'), F.to_json("rings"), F.lit("}}]}")
+    )
+    return rings.select(F.col("poly_id").alias("request_id"), text.alias("payload"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point per customer, spread over the grid; some fall off its last tile."""
     key = F.col("c_custkey")
@@ -223,7 +241,8 @@ PARAMETER_TEXTS = """
     WHEN 1 THEN concat('{"aggregate":', c_custkey % 400, '}')
     WHEN 2 THEN concat('{"aggregate":"', c_custkey % 30, '","note":"x"}', chr(10), '{"aggregate":1}')
     WHEN 3 THEN '{}'
-    ELSE concat('{"note":"', c_custkey, '"}') END AS parameters
+    ELSE CASE c_custkey % 4 WHEN 0 THEN '{broken' WHEN 1 THEN '{"aggregate":"soon"}' WHEN 2 THEN '{"aggregate":-3}'
+      ELSE concat('{"note":"', c_custkey, '"}') END END AS parameters
   FROM customer
 """
 

@@ -114,10 +114,13 @@ def cover_drill(
 
     A share is missing where the polygon had no valid pixel at that time.
     """
+    return _cover_shares(cover_counts(pixels, scenes, polygons, grid, **options))
+
+
+def _cover_shares(counts: DataFrame) -> DataFrame:
     def share(part: str, whole: str) -> Column:
         return F.col(part) / F.nullif(F.col(whole), F.lit(0)) * F.lit(100.0)
 
-    counts = cover_counts(pixels, scenes, polygons, grid, **options)
     hidden = counts.withColumn("_hidden", F.col("valid_bs") - F.col("seen"))
     return hidden.select(
         "poly_id",
@@ -129,6 +132,43 @@ def cover_drill(
     )
 
 
+def cover_drill_products(
+    cover: tuple[DataFrame, DataFrame],
+    water: tuple[DataFrame, DataFrame],
+    polygons: DataFrame,
+    grid: Grid,
+    time=None,
+    nodata: int = S.COVER_NODATA,
+    strict_nodata: bool = False,
+) -> DataFrame:
+    """:func:`cover_drill` over two products, each ``(pixels, scenes)``.
+
+    Each is grouped by solar day and merged by itself; then they are aligned on day and
+    pixel. A day that only one of them has gives no row; the first scene of either
+    names it. Both sides of the join are partitioned on its keys by their merges.
+    """
+    mask = G.polygon_mask(polygons, grid)
+    extents = G.polygon_extents(polygons, grid)
+    held, spines = [], []
+    for (pixels, scenes), rules in (
+        (cover, {"first_valid": {b: nodata for b in S.COVER_BANDS}}), (water, {"water": "water"}),
+    ):
+        taken = SC.filter_time_range(scenes, time)
+        _, footprints = G.scene_sizes(taken, grid)
+        sc = SC.group_scenes(taken, "solar_day")
+        bands = [*rules.get("first_valid", {}), *([rules["water"]] if "water" in rules else [])]
+        px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, *bands)
+        near = G.inside_any(G.at_polygons(px, polygons, grid), mask.union())
+        tiles = sized(G.scene_tiles(sc, extents, grid, "grp", "ord"), footprints)
+        held.append(C.fuse(C.with_scene_tiles(near, tiles, "grp", "ord"), **rules))
+        spines.append(G.time_spine(extents, sc, grid, footprints=footprints).select("poly_id", "grp", "time"))
+    aligned = G.inside_each(C.juxtapose(*held), mask.each)
+    counts = cover_statistics(aligned, ["poly_id", "grp"], nodata, strict_nodata)
+    both = spines[0].join(spines[1].withColumnRenamed("time", "_time"), ["poly_id", "grp"])
+    spine = both.select("poly_id", "grp", F.least("time", "_time").alias("time"))
+    return _cover_shares(spine.join(counts, ["poly_id", "grp"], "left"))
+
+
 # --- mangroves ---------------------------------------------------------------
 
 def _fuse_exact(pixels: DataFrame, scenes: DataFrame, bands: dict[str, float]) -> DataFrame:

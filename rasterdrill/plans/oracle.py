@@ -444,6 +444,108 @@ def _range_end(column: str, first: bool) -> str:
             f" ELSE INTERVAL 1 DAY END - INTERVAL 1 MICROSECOND")
 
 
+_PARAMETERS = f"""req AS ({PARAMETER_TEXTS}),
+read AS (SELECT request_id, parameters IS NOT NULL AS given, TRY_CAST(split_part(parameters, chr(10), 1) AS JSON) AS j FROM req),
+params AS (SELECT *, CASE WHEN given AND j IS NULL OR stated IS NOT NULL AND (days IS NULL OR days < 0)
+    THEN 'invalid parameters' ELSE 'ok' END AS status
+  FROM (SELECT *, json_extract_string(j, '$.aggregate') AS stated,
+    TRY_CAST(json_extract_string(j, '$.aggregate') AS INT) AS days FROM read))"""
+
+
+def _with_changed(body: str, extra: str = "", **blocks: tuple[str, str]) -> str:
+    """:func:`_with` with other SQL, and other needs, for some blocks."""
+    kept = {n: _BLOCKS[n] for n in blocks}
+    for name, (needs, sql) in blocks.items():
+        _block(name, needs, sql)
+    try:
+        out = _with(body)
+    finally:
+        _BLOCKS.update(kept)
+    return out.replace("WITH RECURSIVE ", f"WITH RECURSIVE {extra},\n", 1) if extra else out
+
+
+def _requests_drill() -> str:
+    """The wetland drill with a length of window per polygon."""
+    def placed(which: str) -> str:
+        return f"""held h JOIN want q ON q.poly_id = h.poly_id AND q.days {which}
+    JOIN windows v ON v.n_days = q.days AND v.poly_id = h.poly_id AND v.ts = h.ts
+    JOIN window_sizes z ON z.n_days = q.days AND z.poly_id = h.poly_id AND z.anchor = v.anchor"""
+
+    want = f"""{_PARAMETERS},
+want AS (SELECT request_id AS poly_id, coalesce(days, 0) AS days FROM params WHERE status = 'ok')"""
+    first, again = _BLOCKS["anchors"][1].split("UNION ALL")
+    start = """
+  SELECT s.poly_id, days AS n_days, min(time) AS a FROM spine_good s JOIN want q ON q.poly_id = s.poly_id AND days > 0
+  GROUP BY ALL
+  """
+    body = f"""SELECT * FROM ({_WET_OUT.format(shares=_SHARES, areas="(SELECT * FROM day_areas UNION ALL SELECT * FROM year_areas"
+      " UNION ALL SELECT * FROM areas SEMI JOIN (SELECT poly_id FROM want WHERE days = 0) USING (poly_id))")})"""
+    return _with_changed(
+        body, want,
+        anchors=("spine_good", start + "UNION ALL" + again),
+        day_mean=("held windows window_sizes", _BLOCKS["day_mean"][1].replace(_placed(1), placed("= 1"))),
+        settled=("held windows window_sizes", _BLOCKS["settled"][1].replace(_placed(365), placed("> 1"))),
+    )
+
+
+def _lonlat_drill(east0: float, north0: float) -> str:
+    """Cover where polygons went to longitude and latitude, rounded, and back to the metric grid."""
+    n, c, a = _AL.n, _AL.c, _AL.semi_major
+    sign = -1 if n < 0 else 1
+    steps = ",\n".join(_lat_step(i) for i in range(1, 5))
+    east, north = _forward("lon", "lat")
+    poly = _BLOCKS["poly"][1]
+    sql = f"""
+  WITH base AS ({poly}),
+  m AS (SELECT poly_id, ring, seq, {east0!r}::DOUBLE + vx * 30 AS east, {_AL.rho_0!r}::DOUBLE - ({north0!r}::DOUBLE + vy * -30) AS dy FROM base),
+  ll_q AS (SELECT *, ({c!r}::DOUBLE - (east * east + dy * dy) * {(n / a) ** 2!r}::DOUBLE) / {n!r}::DOUBLE AS q FROM m),
+  ll0 AS (SELECT *, asin(q / 2) AS phi0 FROM ll_q),
+  {steps},
+  ll AS (SELECT poly_id, ring, seq,
+    round({_AL.longitude_0!r}::DOUBLE + degrees(atan2({sign} * east, {sign} * dy) / {n!r}::DOUBLE), 9) AS lon,
+    round(degrees(phi4), 9) AS lat FROM ll4)
+  SELECT poly_id, ring, seq, ({east} - {east0!r}::DOUBLE) / 30 AS vx, ({north} - ({north0!r}::DOUBLE)) / -30 AS vy FROM ll"""
+    return _with_changed(f"SELECT poly_id, time, {_COVER_ROUND} FROM cover", poly=("grid", sql))
+
+
+def _products_drill() -> str:
+    """Cover from scenes without remainder 3 by 7, water from those without remainder 3 by 5."""
+    def spine(by: int) -> str:
+        return f"""(SELECT poly_id, {_DAY} AS grp, min(ts) AS time FROM {_MET.format(s='scenes')}
+    WHERE scene_id % {by} <> 3 GROUP BY ALL)"""
+
+    fused = _BLOCKS["fused"][1]
+    head, bands = fused.split("SELECT grp, tile_id, y, x,")[1].split("AS water,")
+    cover = "SELECT grp, tile_id, y, x," + bands.replace("FROM daily", "FROM daily WHERE scene_id % 7 <> 3")
+    water = f"SELECT grp, tile_id, y, x,{head}AS water FROM daily WHERE scene_id % 5 <> 3 GROUP BY ALL"
+    return _with_changed(
+        f"SELECT poly_id, time, {_COVER_ROUND} FROM cover",
+        fused=("daily", f"SELECT * FROM ({water}) w JOIN ({cover}) c USING (grp, tile_id, y, x)"),
+        spine_day=("extents scenes", f"""SELECT poly_id, grp, least(a.time, b.time) AS time, 0 AS n_scenes
+  FROM {spine(7)} a JOIN {spine(5)} b USING (poly_id, grp)"""),
+    )
+
+
+def _ranges_drill(ranges: str) -> str:
+    """Water at points, each merged over the scenes of its own range."""
+    inside = f"""(start IS NULL OR "end" IS NULL
+    OR ts >= {_range_end('start', True)} AND ts <= {_range_end('"end"', False)})"""
+    spine = _BLOCKS["point_spine"][1].replace(
+        "FROM points p JOIN scenes s ON", f"FROM points p JOIN {ranges} r ON r.point_id = p.point_id JOIN scenes s ON {inside} AND"
+    ).replace("SELECT point_id, p.lon, lat,", "SELECT p.point_id, p.lon, lat,")
+    water = f"""
+  SELECT s.point_id, time, s.lon AS longitude, s.lat AS latitude, coalesce(water, 1) AS water
+  FROM point_spine s LEFT JOIN (
+    SELECT p.point_id, grp, arg_max(water, ord) FILTER (WHERE water & 1 = 0) AS water
+    FROM points p JOIN {ranges} r ON r.point_id = p.point_id
+      JOIN daily d ON d.x = floor(p.lon) AND d.y = floor(p.lat) AND {inside}
+    GROUP BY ALL) f ON f.point_id = s.point_id AND f.grp = s.grp"""
+    return _with_changed(
+        "SELECT point_id, time, longitude, latitude, observation FROM observed",
+        point_spine=("points scenes", spine), point_water=("point_spine daily points", water),
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL per registered query."""
     ranges = f"(SELECT point_id, start, \"end\" FROM ({RANGE_TEXTS}))"
@@ -473,12 +575,12 @@ def oracle_sql() -> dict[str, str]:
         "parse_feature_requests": _features(),
         "parse_time_requests": f"""WITH req AS ({TIME_TEXTS}),
 t AS (SELECT request_id, TRY_CAST(json_extract_string(start, '$.properties.timestamp."date-time"') AS TIMESTAMP) AS a,
-  TRY_CAST(json_extract_string("end", '$.properties.timestamp."date-time"') AS TIMESTAMP) AS b FROM req)
-SELECT request_id, CASE WHEN b IS NOT NULL THEN a END AS start, CASE WHEN a IS NOT NULL THEN b END AS "end" FROM t""",
-        "parse_parameters": f"""WITH req AS ({PARAMETER_TEXTS}),
-d AS (SELECT request_id, CAST(split_part(parameters, chr(10), 1) AS JSON) AS j FROM req)
-SELECT request_id, coalesce(TRY_CAST(json_extract_string(j, '$.aggregate') AS INT), 0) AS aggregate,
-  CAST(coalesce(len(json_keys(j)), 0) AS INT) AS n_parameters FROM d""",
+  TRY_CAST(json_extract_string("end", '$.properties.timestamp."date-time"') AS TIMESTAMP) AS b, start IS NOT NULL AS given_a, "end" IS NOT NULL AS given_b FROM req)
+SELECT request_id, CASE WHEN b IS NOT NULL THEN a END AS start, CASE WHEN a IS NOT NULL THEN b END AS "end",
+  CASE WHEN given_a AND a IS NULL OR given_b AND b IS NULL THEN 'invalid time' ELSE 'ok' END AS status FROM t""",
+        "parse_parameters": f"""WITH {_PARAMETERS}
+SELECT request_id, status, CASE WHEN status = 'ok' THEN coalesce(days, 0) END AS aggregate,
+  CAST(coalesce(len(json_keys(j)), 0) AS INT) AS n_parameters FROM params""",
         "write_drill_parquet": _with(
             "SELECT 'wit' AS identifier, 'run-1' AS run_id, * FROM ("
             + _WET_OUT.format(shares=_SHARES, areas="areas") + ")"
@@ -583,6 +685,10 @@ SELECT request_id, coalesce(TRY_CAST(json_extract_string(j, '$.aggregate') AS IN
   SELECT poly_id, time, coalesce(valid_bs, 0) - coalesce(seen, 0) AS unobservable
   FROM spine_day LEFT JOIN cover_counts USING (poly_id, grp)"""),
         "fc_drill": _with(f"SELECT poly_id, time, {_COVER_ROUND} FROM cover"),
+        "fc_drill_lonlat": _lonlat_drill(1_500_000.0, -3_900_000.0),
+        "fc_drill_products": _products_drill(),
+        "wit_drill_requests": _requests_drill(),
+        "wofs_pixel_drill_ranges": _ranges_drill(ranges),
         "mangrove_drill": _with("SELECT * FROM mangrove"),
         "mangrove_drill_years": _with(
             "SELECT * FROM mangrove WHERE time >= TIMESTAMP '2000-01-01' AND time < TIMESTAMP '2006-01-01'"

@@ -130,7 +130,7 @@ def parse_time_requests(spark, sf):
 @query
 def parse_parameters(spark, sf):
     parsed = RQ.parse_parameters(cube.request_texts(spark, sf, cube.PARAMETER_TEXTS))
-    return parsed.select("request_id", "aggregate", F.size("parameters").alias("n_parameters"))
+    return parsed.select("request_id", "status", "aggregate", F.size("parameters").alias("n_parameters"))
 
 
 # --- combining products ------------------------------------------------------
@@ -465,6 +465,51 @@ def wit_drill_daily(spark, sf):
     return _round6(D.wetland_drill(*_archive(spark, sf), aggregate=1), *WETLAND_SHARES)
 
 
+# A metric grid under the same pixels: requests in longitude and latitude are projected to it.
+EAST, NORTH = 1_500_000.0, -3_900_000.0
+METRIC = Grid(EAST, NORTH, 30.0, -30.0, tile=8, tiles_across=8, first_tile_x=cube.WEST // 8, first_tile_y=cube.NORTH // 8)
+
+
+@query
+def fc_drill_lonlat(spark, sf):
+    """Ground cover for polygons that arrive as texts in longitude and latitude."""
+    features = RQ.read_features(cube.lonlat_requests(spark, sf, METRIC))
+    polygons = RQ.polygon_vertices(RQ.usable(features), "request_id", metric=True)
+    drill = D.cover_drill(cube.pixels(spark, sf), cube.scenes(spark, sf), polygons, METRIC)
+    return _round6(drill, *S.COVER_SERIES)
+
+
+@query
+def wofs_pixel_drill_ranges(spark, sf):
+    """Water at points, each in its own time range; requests in error are not drilled."""
+    ranges = cube.request_texts(spark, sf, cube.RANGE_TEXTS)
+    return D.point_water_drill(
+        cube.pixels(spark, sf), cube.scenes(spark, sf), cube.points(spark, sf), GRID, ranges=ranges
+    )
+
+
+@query
+def wit_drill_requests(spark, sf):
+    """The wetland drill with a length of window per request: none, a day, more days, or in error."""
+    parsed = RQ.parse_parameters(cube.request_texts(spark, sf, cube.PARAMETER_TEXTS))
+    good = RQ.usable(parsed).select(F.col("request_id").alias("poly_id"), "aggregate")
+    pixels, scenes, polygons, grid = _archive(spark, sf)
+    asked = polygons.join(good.select("poly_id"), "poly_id", "left_semi")
+    return _round6(D.wetland_drill(pixels, scenes, asked, grid, aggregate=good), *WETLAND_SHARES)
+
+
+@query
+def fc_drill_products(spark, sf):
+    """Ground cover where cover and water are stored apart, each with its own scenes."""
+    pixels, scenes = cube.pixels(spark, sf), cube.scenes(spark, sf)
+    cover, water = (scenes.filter(f"scene_id % {n} <> 3") for n in (7, 5))
+    drill = D.cover_drill_products(
+        (pixels.drop("water"), cover), (pixels.select("scene_id", "ts", "tile_id", "y", "x", "water"), water),
+        cube.polygons(spark, sf), GRID,
+    )
+    return _round6(drill, *S.COVER_SERIES)
+
+
 # --- compositing -------------------------------------------------------------
 
 def _wetland_times(spark, sf) -> DataFrame:

@@ -9,12 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterdrill.functions.projection import Albers
+
 # What a request without exactly one feature is told.
 NO_FEATURES = "no features specified"
 MANY_FEATURES = "multiple features specified"
+# What a request is told whose time or parameters cannot be read; it is not drilled.
+BAD_TIME = "invalid time"
+BAD_PARAMETERS = "invalid parameters"
+BAD_CRS = "unknown reference system"
 # The reference system of a feature that states none.
 DEFAULT_CRS = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
+# Names of longitude/latitude and of the metric system.
+LONLAT_CRS = (DEFAULT_CRS, "EPSG:4326", "urn:ogc:def:crs:EPSG::4326")
+METRIC_CRS = ("EPSG:3577", "urn:ogc:def:crs:EPSG::3577")
+
 _CRS = "crs STRUCT<properties: STRUCT<name: STRING>>"
 _FEATURES = (
     f"features ARRAY<STRUCT<geometry: STRUCT<type: STRING, coordinates: STRING>, {_CRS}>>, {_CRS}"
@@ -30,7 +40,8 @@ def first_line(payload: Column) -> Column:
 def read_features(requests: DataFrame, payload: str = "payload", honor_crs: bool = False) -> DataFrame:
     """Add ``status``, ``geom_type``, ``coordinates`` (JSON text) and ``crs``.
 
-    A stated reference system is ignored unless ``honor_crs``.
+    A stated reference system is ignored unless ``honor_crs``; then one that
+    :func:`on_metric_grid` does not know gives a status.
     """
     parsed = F.from_json(first_line(F.col(payload)), _FEATURES)
     feature = F.try_element_at(F.col("_doc.features"), F.lit(1))
@@ -47,11 +58,17 @@ def read_features(requests: DataFrame, payload: str = "payload", honor_crs: bool
     return (
         requests.withColumn("_doc", parsed)
         .withColumn("status", status)
+        .withColumn("crs", crs)
+        .withColumn(
+            "status",
+            F.when((F.col("status") == "ok") & ~F.col("crs").isin(*LONLAT_CRS, *METRIC_CRS), F.lit(BAD_CRS))
+            .otherwise(F.col("status")),
+        )
         .withColumns(
             {
                 "geom_type": F.when(good, feature["geometry"]["type"]),
                 "coordinates": F.when(good, feature["geometry"]["coordinates"]),
-                "crs": F.when(good, crs),
+                "crs": F.when(good, F.col("crs")),
             }
         )
         .drop("_doc")
@@ -66,24 +83,41 @@ def _rings() -> Column:
     )
 
 
-def polygon_vertices(features: DataFrame, key: str) -> DataFrame:
-    """Vertex rows ``(poly_id, ring, seq, vx, vy)`` of polygon requests."""
-    return (
+def on_metric_grid(df: DataFrame, x: str, y: str, crs: str = "crs", albers: Albers = Albers()) -> DataFrame:
+    """Coordinates ``x, y`` in metres of the metric system, from the system each row states.
+
+    For :func:`polygon_vertices` and :func:`point_locations` before they meet a grid in
+    metres. Longitude comes first, as in GeoJSON.
+    """
+    east, north = albers.forward(F.col(x), F.col(y))
+    metric = F.col(crs).isin(*METRIC_CRS)
+    return df.withColumns({x: F.when(metric, F.col(x)).otherwise(east), y: F.when(metric, F.col(y)).otherwise(north)})
+
+
+def polygon_vertices(features: DataFrame, key: str, metric: bool = False) -> DataFrame:
+    """Vertex rows ``(poly_id, ring, seq, vx, vy)`` of polygon requests.
+
+    In request coordinates, as the hull is reported; in metres if ``metric``, as drills
+    on a metric grid need them.
+    """
+    rows = (
         features.filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
-        .select(F.col(key).alias("poly_id"), F.posexplode(_rings()).alias("ring", "_pts"))
-        .select("poly_id", "ring", F.posexplode("_pts").alias("seq", "_p"))
-        .select("poly_id", "ring", "seq", F.col("_p")[0].alias("vx"), F.col("_p")[1].alias("vy"))
+        .select(F.col(key).alias("poly_id"), "crs", F.posexplode(_rings()).alias("ring", "_pts"))
+        .select("poly_id", "crs", "ring", F.posexplode("_pts").alias("seq", "_p"))
+        .select("poly_id", "crs", "ring", "seq", F.col("_p")[0].alias("vx"), F.col("_p")[1].alias("vy"))
     )
+    return (on_metric_grid(rows, "vx", "vy") if metric else rows).drop("crs")
 
 
-def point_locations(features: DataFrame, key: str) -> DataFrame:
-    """``(point_id, lon, lat)`` of point requests; a height is ignored."""
+def point_locations(features: DataFrame, key: str, metric: bool = False) -> DataFrame:
+    """``(point_id, lon, lat)`` of point requests; a height is ignored. In metres if ``metric``."""
     at = F.from_json("coordinates", "array<double>")
-    return (
+    rows = (
         features.filter(F.col("geom_type") == "Point")
-        .select(F.col(key).alias("point_id"), at.alias("_p"))
-        .select("point_id", F.col("_p")[0].alias("lon"), F.col("_p")[1].alias("lat"))
+        .select(F.col(key).alias("point_id"), "crs", at.alias("_p"))
+        .select("point_id", "crs", F.col("_p")[0].alias("lon"), F.col("_p")[1].alias("lat"))
     )
+    return (on_metric_grid(rows, "lon", "lat") if metric else rows).drop("crs")
 
 
 def parse_feature_requests(requests: DataFrame, key: str, payload: str = "payload") -> DataFrame:
@@ -109,7 +143,11 @@ def parse_feature_requests(requests: DataFrame, key: str, payload: str = "payloa
 
 
 def parse_time_requests(requests: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """Replace the two payloads by timestamps; a range missing an end has neither."""
+    """Replace the two payloads by timestamps and add ``status``.
+
+    A range missing an end has neither, which means all times. An end that is stated
+    but cannot be read is no range: the status is not 'ok'.
+    """
     path = "$.properties.timestamp.date-time"
     path_quoted = "$.properties.timestamp['date-time']"
 
@@ -118,19 +156,37 @@ def parse_time_requests(requests: DataFrame, start: str = "start", end: str = "e
         return text.try_cast("timestamp_ntz")
 
     both = F.col("_start").isNotNull() & F.col("_end").isNotNull()
+    bad = (F.col(start).isNotNull() & F.col("_start").isNull()) | (F.col(end).isNotNull() & F.col("_end").isNull())
     return (
         requests.withColumns({"_start": moment(start), "_end": moment(end)})
+        .withColumn("status", F.when(bad, F.lit(BAD_TIME)).otherwise(F.lit("ok")))
         .withColumns({start: F.when(both, F.col("_start")), end: F.when(both, F.col("_end"))})
         .drop("_start", "_end")
     )
 
 
+def usable(requests: DataFrame) -> DataFrame:
+    """Requests that may be drilled: every ``*status`` column is 'ok'."""
+    out = requests
+    for c in [c for c in requests.columns if c.endswith("status")]:
+        out = out.filter(F.col(c) == "ok")
+    return out
+
+
 def parse_parameters(requests: DataFrame, payload: str = "parameters") -> DataFrame:
-    """Replace the payload by a map, empty if absent, and add ``aggregate`` in days."""
+    """Replace the payload by a map, empty if absent, and add ``aggregate`` in days and ``status``.
+
+    A payload that is no JSON object, or an ``aggregate`` that is no whole number of 0 or
+    more, gives a status other than 'ok' and no ``aggregate``.
+    """
     params = F.from_json(first_line(F.col(payload)), "map<string,string>")
-    return requests.withColumn(
-        payload, F.coalesce(params, F.create_map().cast("map<string,string>"))
-    ).withColumn(
-        "aggregate",
-        F.coalesce(F.try_element_at(F.col(payload), F.lit("aggregate")).try_cast("int"), F.lit(0)),
+    stated = F.try_element_at(F.col("_params"), F.lit("aggregate"))
+    days = stated.try_cast("int")
+    bad = (F.col("_given") & F.col("_params").isNull()) | (stated.isNotNull() & (days.isNull() | (days < 0)))
+    return (
+        requests.withColumns({"_given": F.col(payload).isNotNull(), "_params": params})
+        .withColumn("status", F.when(bad, F.lit(BAD_PARAMETERS)).otherwise(F.lit("ok")))
+        .withColumn("aggregate", F.when(F.col("status") == "ok", F.coalesce(days, F.lit(0))))
+        .withColumn(payload, F.coalesce("_params", F.create_map().cast("map<string,string>")))
+        .drop("_given", "_params")
     )
