@@ -17,8 +17,8 @@ class Grid:
     pixel table, so joining on it prunes files and bounds the size of a group.
 
     Pixel and tile coordinates run both ways from the origin. Tile columns
-    ``first_tile_x`` up to ``first_tile_x + tiles_across - 1`` are on the grid; tile
-    rows have no limit, and ``first_tile_y`` only says where numbers start. So every
+    ``first_tile_x`` up to ``first_tile_x + tiles_across - 1`` are on the grid, by default
+    as many on either side of the origin; tile rows have no limit, and ``first_tile_y`` only says where numbers start. So every
     tile has a number of its own.
     """
 
@@ -28,9 +28,13 @@ class Grid:
     res_y: float = 1.0
     tile: int = 256
     tiles_across: int = 1 << 20
-    first_tile_x: int = -(1 << 19)
+    first_tile_x: int | None = None
     first_tile_y: int = 0
 
+    def __post_init__(self) -> None:
+        if self.first_tile_x is None:
+            object.__setattr__(self, "first_tile_x", -(self.tiles_across // 2))
+
     def col(self, vx: Column) -> Column:
         """Fractional column of an easting or longitude."""
         return (vx - F.lit(self.origin_x)) / F.lit(self.res_x)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from rasterdrill.grid import Grid
 from rasterdrill.operators import geometry as G
+from rasterdrill.operators import reproject as R
 
-GRID = Grid(tile=8, tiles_across=8)
+GRID = Grid(tile=8, tiles_across=16, first_tile_x=-4)
 SCHEMA = "poly_id bigint, ring int, seq int, vx double, vy double"
 
 
@@ -160,3 +161,39 @@ def test_scene_over_several_tiles_counts_once(spark):
     )
     got = G.time_spine(extents, scenes, GRID).collect()
     assert [r["n_scenes"] for r in got] == [2]
+
+
+def test_polygons_on_both_sides_of_the_meridian(spark):
+    """The metric grid holds the whole system: mask, area, tiles and spine agree west and east."""
+    corners = [(0, 0), (300, 0), (300, -300), (0, -300), (0, 0)]
+    places = {1: (-1_507_000.0, -3_500_000.0), 2: (1_552_000.0, -3_900_000.0), 3: (-4_000_000.0, 900_000.0)}
+    rows = [(k, 0, i, x + dx, y + dy) for k, (x, y) in places.items() for i, (dx, dy) in enumerate(corners)]
+    po = spark.createDataFrame(rows, "poly_id int, ring int, seq int, vx double, vy double")
+    mask = G.polygon_mask(po, R.METRIC_GRID)
+    in_tiles = mask.each.selectExpr("poly_id", "x_to - x_from + 1 AS n").groupBy("poly_id").sum("n")
+    assert {tuple(r) for r in mask.area().collect()} == {tuple(r) for r in in_tiles.collect()}
+    area = dict(tuple(r) for r in mask.area().collect())
+    assert set(area) == {1, 2, 3} and all(81 <= n <= 100 for n in area.values())
+    tiles = G.extent_tiles(G.polygon_extents(po, R.METRIC_GRID), R.METRIC_GRID)
+    assert {r[0] for r in tiles.select("poly_id").distinct().collect()} == {1, 2, 3}
+    assert {r["grid_status"] for r in G.grid_status(po, R.METRIC_GRID).collect()} == {"ok"}
+
+
+def test_what_leaves_the_grid_is_said_and_counts_nowhere(spark):
+    grid = Grid(tile=8, tiles_across=2, first_tile_x=-1)
+    rows = [(k, 0, i, x0 + dx, dy) for k, x0 in ((1, -4.0), (2, 4.0), (3, 30.0)) for i, (dx, dy) in
+            enumerate([(0.0, 0.0), (8.0, 0.0), (8.0, 4.0), (0.0, 4.0), (0.0, 0.0)])]
+    po = spark.createDataFrame(rows, "poly_id int, ring int, seq int, vx double, vy double")
+    got = {r["poly_id"]: r["grid_status"] for r in G.grid_status(po, grid).collect()}
+    assert got == {1: "ok", 2: "partly off the grid", 3: "off the grid"}
+    assert dict(tuple(r) for r in G.polygon_pixel_area(po, grid).collect()) == {1: 32, 2: 16}
+
+
+def test_hull_of_many_corners(spark):
+    n = 8000
+    po = spark.range(n).selectExpr(
+        "1 AS poly_id", "0 AS ring", "CAST(id AS INT) AS seq",
+        f"cos(2 * pi() * id / {n}) AS vx", f"sin(2 * pi() * id / {n}) AS vy",
+    )
+    text = G.convex_hull(po).first()["geometry"]
+    assert text.count(",") == n

@@ -5,11 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from rasterdrill import schema as S
+from rasterdrill import tuning
 from rasterdrill.operators import geometry as G
 from rasterdrill.plans import cube
 from rasterdrill.plans import drills as D
+from rasterdrill.plans.queries import QUERIES
 from rasterdrill.sources import pixels as PX
 
 SF = "/root/testdata/sf0.001"
@@ -19,9 +20,9 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"write_drill_parquet"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"write_drill_parquet"}))
 def test_no_python_rows_and_no_cross_join(spark, name):
-    plan = physical(entry.queries()[name](spark, SF))
+    plan = physical(QUERIES[name](spark, SF))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
 
@@ -29,7 +30,7 @@ def test_no_python_rows_and_no_cross_join(spark, name):
 @pytest.mark.parametrize("name", ["fc_drill", "wit_drill", "mangrove_drill", "wofs_pixel_drill"])
 def test_pixel_aggregates_hash(spark, name):
     """No aggregate needs sorted input: all buffers are fixed-width."""
-    assert "SortAggregate" not in physical(entry.queries()[name](spark, SF))
+    assert "SortAggregate" not in physical(QUERIES[name](spark, SF))
 
 
 @pytest.fixture(scope="module")
@@ -69,11 +70,72 @@ def test_stored_table_answers_like_the_frame(spark, stored, rows):
         assert rows(drill(wide(spark, stored), sc, po, cube.GRID).na.fill(-5)) == want
 
 
-def test_tiles_without_a_polygon_are_not_read(spark, stored):
-    """The mask join prunes the tile folders at run time."""
-    po = cube.polygons(spark, SF).filter("poly_id = 1")
-    drill = D.mangrove_drill(wide(spark, stored), cube.scenes(spark, SF), po, cube.GRID)
-    assert "dynamicpruning" in physical(drill)
+def read_of_the_store(df):
+    """Files and rows that the executed plan read from the stored pixels."""
+    df.collect()
+    files, rows, todo = 0, 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name.startswith("Scan parquet") and "/pixels" in node.toString():
+            files += node.metrics().apply("numFiles").value()
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return files, rows
+
+
+DRILLS = {
+    "cover": lambda px, sc, po: D.cover_drill(px, sc, po, cube.GRID),
+    "mangrove": lambda px, sc, po: D.mangrove_drill(px, sc, po, cube.GRID),
+    "wetland": lambda px, sc, po: D.wetland_areas(px, sc, po, cube.GRID),
+    "water": lambda px, sc, po: D.point_water_drill(
+        px, sc, po.filter("seq = 0 AND ring = 0").selectExpr("poly_id AS point_id", "vx AS lon", "vy AS lat"), cube.GRID
+    ),
+}
+
+
+@pytest.mark.parametrize("limit", [None, -1])
+@pytest.mark.parametrize("name", DRILLS)
+def test_tiles_without_a_request_are_not_read(spark, stored, monkeypatch, name, limit):
+    """However the mask is joined, and where the polygons are a kept table."""
+    if limit is not None:
+        monkeypatch.setattr(tuning, "BROADCAST_ROWS", limit)
+    po = cube.polygons(spark, SF).filter("poly_id = 1").persist()
+    px = wide(spark, stored)
+    n_tiles, n_files = px.select("tile_id").distinct().count(), len(px.inputFiles())
+    files, _ = read_of_the_store(DRILLS[name](px, cube.scenes(spark, SF), po))
+    po.unpersist()
+    assert n_tiles == 4 and 0 < files <= n_files // n_tiles
+
+
+def test_a_limit_on_listed_tiles_changes_no_answer(spark, stored, monkeypatch, rows):
+    po = cube.polygons(spark, SF).filter("poly_id IN (1, 2)")
+    drill = lambda: rows(D.mangrove_drill(wide(spark, stored), cube.scenes(spark, SF), po, cube.GRID))
+    want = drill()
+    monkeypatch.setattr(G, "TILE_LIST", 0)
+    assert drill() == want
+
+
+@pytest.mark.parametrize("name", ["cover", "mangrove", "wetland"])
+def test_pixels_never_move_by_scene_or_polygon_alone(spark, monkeypatch, name):
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", -1)
+    po = cube.polygons(spark, SF)
+    plan = physical(DRILLS[name](cube.pixels(spark, SF).filter("tile_id >= 0"), cube.scenes(spark, SF), po))
+    for side in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan):
+        keys = re.sub(r"#\d+L?", "", side).split(", ")[:-1]
+        if keys == ["scene_id"]:
+            assert "repartition" not in name  # only the archive's own scenes are dealt so
+
+
+def test_aligned_products_are_joined_without_another_shuffle(spark):
+    plan = physical(QUERIES["fc_drill_products"](spark, SF))
+    join = re.search(r"(?s)SortMergeJoin \[grp[^\n]*tile_id[^\n]*y[^\n]*x.*", plan)
+    assert join or "HashJoin [grp" in plan
 
 
 def test_extent_bounds_reach_the_scan(spark, stored):
@@ -84,7 +146,7 @@ def test_extent_bounds_reach_the_scan(spark, stored):
     filters = re.search(r"DataFilters: \[(.*?)\], Format", scan).group(1)
     assert re.search(r"x#\d+ >= .*ubquery", filters) and re.search(r"y#\d+ <= .*ubquery", filters)
     xs = pruned.agg(F.min("x"), F.max("x"), F.max("y")).first()
-    assert tuple(xs) == (8, 15, 7)
+    assert tuple(xs) == (8 + cube.WEST, 15 + cube.WEST, 7 + cube.NORTH)
 
 
 def test_declared_schema(spark, tmp_path):

@@ -72,11 +72,11 @@ def test_styles(spark, cover, rows):
 
 def test_ticks(spark):
     df = spark.createDataFrame(
-        [(1, datetime(2014, 5, 1), 137.01475095074406, -28.752777955850917, "dry")],
+        [(1, datetime(2014, 5, 1), 133.50000149, -25.0625, "dry")],
         "point_id int, time timestamp_ntz, longitude double, latitude double, observation string",
     )
     r = V.wofs_tick_series(df).first()
-    assert (r["color"], r["title"]) == ("red", "Water Observations for -28.752778,137.014751")
+    assert (r["color"], r["title"]) == ("red", "Water Observations for -25.062500,133.500001")
 
 
 def test_parquet_run_can_be_repeated(spark, cover, tmp_path):

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from rasterdrill.plans.oracle import oracle_sql
+from rasterdrill.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,13 +21,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = duck.execute(entry.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(oracle_sql()[name]).df()
     assert len(got) > 0
     assert compare(got, want) == ""
 

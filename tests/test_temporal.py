@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterdrill.operators import temporal as T
 
@@ -126,3 +127,22 @@ def test_day_mean_needs_every_time(spark):
         3: (-1.0, -1.0, -9999.0, 0),
         4: (-1.0, -1.0, -9999.0, 2),
     }
+
+
+def test_one_long_series(spark):
+    """200,000 times of one polygon, walked in one pass."""
+    df = spark.range(200_000).selectExpr("1 AS poly_id", "timestampadd(HOUR, CAST(id * 5 AS INT), TIMESTAMP_NTZ '1990-01-01 00:00:00') AS ts")
+    windows = T.anchored_windows(df, 16)
+    assert windows.count() == 200_000 - (200_000 % 77 == 1)
+    size = windows.groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert size == 77  # 16 days of 24 hours hold 76.8 steps of 5 hours
+    assert "collect_list" not in windows._jdf.queryExecution().toString()
+
+
+def test_days_per_key(spark):
+    rows = [(k, f"2020-01-0{d} 00:00:00", n) for k, n in ((1, 0), (2, 1), (3, 2)) for d in (1, 2, 4, 5)]
+    df = spark.createDataFrame(rows, "poly_id int, ts string, days int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {(r.poly_id, r.ts.day, r.anchor.day, r.n_times, r.days) for r in T.anchored_windows(df, "days").collect()}
+    assert {g[1:4] for g in got if g[0] == 1} == {(d, d, 1) for d in (1, 2, 4, 5)}
+    assert {g[1:4] for g in got if g[0] == 2} == {(d, d, 1) for d in (1, 2, 4)}
+    assert {g[1:4] for g in got if g[0] == 3} == {(1, 1, 2), (2, 1, 2), (4, 4, 2), (5, 4, 2)}
