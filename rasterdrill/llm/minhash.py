@@ -12,12 +12,15 @@ are candidates: a star, whose size is the bucket's. Candidates are confirmed on
 full sets. Then components are found, and buckets that still hold several get one
 more star, around a node of the component with the fewest members there.
 
+Sizes and sketches rule out candidates of a star before texts move. Sketches hold a
+byte for each of ``SKETCH`` bins of the same permutation; a pair of similarity 0.8 is
+ruled out with a chance of 1e-6.
+
 What is left are few buckets with nodes that linked to no centre. So that no link is
-lost, those nodes are compared with all others of their buckets, but by sketch, in
-groups of bounded size, and only pairs that may reach the threshold leave the task.
-Sketches hold a byte for each of ``SKETCH`` bins of the same permutation; a pair of
-similarity 0.8 is ruled out with a chance of 1e-6. Links inside a component are never
-looked for.
+lost, those nodes are compared with all others of their buckets, in groups of bounded
+size, on sets of 32-bit hashes, which never hide a link. Only a spanning forest of the
+links found leaves a task, to be confirmed like the others. Links inside a component
+are never looked for.
 
 Defined results: null or wordless texts have an empty set, link to nothing and are
 kept; a text of fewer than ``k`` words has its whole word sequence as its one
@@ -42,7 +45,7 @@ BANDS, ROWS = 40, 5
 STAR_ROUNDS = 2
 SKETCH = 512
 # Nodes of a bucket compared in one group, on either side.
-GROUP_NODES = 1024
+GROUP_NODES = 512
 # Ids in a broadcast set: 8 bytes each, so at most some 32 MB in the JVM.
 BROADCAST_IDS = 1_000_000
 _SIGMAS = 4.8
@@ -185,8 +188,8 @@ def _likely(pairs: DataFrame, n_pairs: int, nodes: DataFrame, percent: int) -> D
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(agree, "a bigint, b bigint").distinct()
 
 
-def _forest(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Pairs to keep: of sure ones a spanning forest, of others those between its trees."""
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which links to keep for a spanning forest."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -196,18 +199,33 @@ def _forest(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
         return x
 
     keep = np.zeros(len(a), bool)
-    for i in np.flatnonzero(sure):
-        x, y = root(int(a[i])), root(int(b[i]))
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
         if x != y:
             up[max(x, y)] = min(x, y)
             keep[i] = True
-    for i in np.flatnonzero(~sure):
-        keep[i] = root(int(a[i])) != root(int(b[i]))
     return keep
 
 
-def _rest(held: DataFrame, nodes: DataFrame, percent: int, thin: bool) -> DataFrame:
-    """Likely pairs of different components in ``held (bucket, id, comp)``, by groups of a bucket.
+def _short_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame:
+    """``id, s``: the upper halves of the shingle hashes of the wanted documents, rising."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = T.flat(batch.column(1))
+            for a, b in T.blocks(offsets):
+                sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                raw = (sets >> np.uint64(32)).astype("<u4").tobytes()
+                column = pa.Array.from_buffers(
+                    pa.binary(), b - a, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(raw)]
+                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], ["id", "s"])
+
+    wanted = docs.join(_few(ids, n_ids), "id", "left_semi").select("id", "t")
+    return wanted.mapInArrow(run, "id bigint, s binary")
+
+
+def _rest(held: DataFrame, docs: DataFrame, k: int, percent: int, thin: bool, work: Work) -> DataFrame:
+    """Links between components in ``held (bucket, id, comp)``, by groups of a bucket.
 
     A node outside its bucket's largest component asks all others of the bucket. Askers and
     asked are dealt to groups of some ``GROUP_NODES`` each.
@@ -216,37 +234,47 @@ def _rest(held: DataFrame, nodes: DataFrame, percent: int, thin: bool) -> DataFr
     mixed = per.groupBy("bucket").agg(
         F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")
     ).filter("comps > 1")
-    rows = held.join(mixed, "bucket").select(
-        "bucket", "id", "comp", (F.col("comp") != F.col("big.comp")).alias("asks"),
-        F.ceil(F.col("size") / GROUP_NODES).alias("m"), F.ceil((F.col("size") - F.col("big.n")) / GROUP_NODES).alias("q"),
+    rows = work.keep(
+        held.join(mixed, "bucket").select(
+            "bucket", "id", "comp", (F.col("comp") != F.col("big.comp")).alias("asks"),
+            F.ceil(F.col("size") / GROUP_NODES).alias("m"), F.ceil((F.col("size") - F.col("big.n")) / GROUP_NODES).alias("q"),
+        ),
+        "rest",
     )
     h = F.xxhash64("id")
     to = F.struct(F.pmod(h, "m").alias("m"), F.col("i").alias("q"), F.lit(False).alias("asker"))
-    asked = rows.select("bucket", "id", "comp", "asks", h.alias("h"), "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).alias("i"))
+    asked = rows.select("bucket", "id", "comp", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).alias("i"))
     asked = asked.select("bucket", "id", "comp", to.alias("g"))
     to = F.struct(F.col("i").alias("m"), F.pmod(h, "q").alias("q"), F.lit(True).alias("asker"))
     askers = rows.filter("asks").select("bucket", "id", "comp", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("i"))
     askers = askers.select("bucket", "id", "comp", to.alias("g"))
     dealt = asked.unionByName(askers).select(F.xxhash64("bucket", "g.m", "g.q").alias("g"), "id", "comp", "g.asker")
-    dealt = dealt.join(nodes.select("id", "n", "sketch"), "id").select("g", "asker", "id", "comp", "n", "sketch")
-    goal = percent / 100
+    ids = work.keep(rows.select("id").distinct(), "ids")
+    sets = _short_sets(docs, ids, ids.count(), k)
+    dealt = dealt.join(sets.hint("merge"), "id").select("g", "asker", "id", "comp", "s")
 
     def group(rows: pa.Table) -> pa.RecordBatch:
         asker = rows.column(1).to_numpy()
-        ids, comp, n = (rows.column(i).to_numpy() for i in (2, 3, 4))
-        sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        ids, comp = (rows.column(i).to_numpy() for i in (2, 3))
+        sets = [np.frombuffer(x, "<u4") for x in rows.column(4).to_pylist()]
+        n = np.array([len(x) for x in sets])
         at, to = np.flatnonzero(asker), np.flatnonzero(~asker)
         found = []
         for i in at:
-            other = to[comp[to] != comp[i]]
-            other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-            share = (sketch[other] == sketch[i]).mean(1)
-            least = _least_agreement(n[other], np.full(len(other), n[i]), goal)
-            ok = share >= least
-            found.append((np.full(int(ok.sum()), ids[i]), ids[other[ok]], share[ok] >= 2 * goal - least[ok]))
-        a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0], asker[:0])
+            other = to[(comp[to] != comp[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+            if not len(other):
+                continue
+            flat = np.concatenate([sets[j] for j in other])
+            place = np.searchsorted(sets[i], flat)
+            place[place == n[i]] = 0
+            run = np.append(0, np.cumsum(sets[i][place] == flat))
+            ends = np.cumsum(n[other])
+            both = run[ends] - run[ends - n[other]]
+            ok = 100 * both >= percent * (n[i] + n[other] - both)
+            found.append((np.full(int(ok.sum()), ids[i]), ids[other[ok]]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0])
         a, b = np.minimum(a, b), np.maximum(a, b)
-        keep = _forest(a, b, sure) if thin else np.ones(len(a), bool)
+        keep = _forest(a, b) if thin else np.ones(len(a), bool)
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,19 +367,20 @@ def near_duplicates(
             pairs = work.keep(pairs.distinct(), "pairs")
             likely = _likely(pairs, pairs.count(), nodes, percent)
         else:
-            likely = _rest(held, nodes, percent, thin=turn == STAR_ROUNDS)
+            likely = _rest(held, texts, k, percent, turn == STAR_ROUNDS, work)
         if checked is not None:
             likely = likely.join(checked, ["a", "b"], "left_anti")
         likely = work.keep(likely, "likely")
-        n = likely.count()
+        n, confirmed = likely.count(), 0
         if n:
-            links = _confirmed(likely, texts, n, k, percent)
+            links = work.keep(_confirmed(likely, texts, n, k, percent), "links")
+            confirmed = links.count()
             before = labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))
             labels, n_labels = components(links.unionByName(before), work)
             checked = likely if checked is None else checked.unionByName(likely)
         turn += 1
-        # The last turn looks at every pair that is left; if there was none before, there is none now.
-        if turn > STAR_ROUNDS + 1 or turn > STAR_ROUNDS and not n:
+        # A turn that looked at all that is left is the last, unless a link of its forest was none.
+        if turn > STAR_ROUNDS and confirmed == n:
             break
     # A row's class is its representative's, whose own smallest row is the class's smallest.
     found = (
