@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once inside a task; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
