@@ -1,0 +1,28 @@
+"""Registered queries of the subpackage against SQL over the smallest tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from check import TABLES, compare
+from rasterdrill.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_all_are_registered():
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert set(queries.SQL) <= set(entry.oracle_sql())
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "suffix_dedup", "decontamination", "bpe"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    assert len(got) > 0
+    assert compare(got, con.execute(queries.SQL[name]).df()) == ""
