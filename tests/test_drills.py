@@ -16,7 +16,7 @@ from rasterdrill.plans import drills as D
 from rasterdrill.sources import scenes as SC
 
 SF = "/root/testdata/sf0.001"
-GRID = Grid(tile=8, tiles_across=8)
+GRID = Grid(tile=8, tiles_across=8, first_tile_x=0)
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2", "fmask", "nbart_contiguity")
 WET_BANDS = (100, 100, 100, 100, 100, 100, 1, 1)  # wetness about -59
 DRY_BANDS = (100, 100, 100, 100, 900, 900, 1, 1)  # wetness below -350
