@@ -121,21 +121,39 @@ def test_a_limit_on_listed_tiles_changes_no_answer(spark, stored, monkeypatch, r
     assert drill() == want
 
 
-@pytest.mark.parametrize("name", ["cover", "mangrove", "wetland"])
-def test_pixels_never_move_by_scene_or_polygon_alone(spark, monkeypatch, name):
+def exchanges(df):
+    """Of every shuffle in the plan: its keys, the node below, and whether pixels pass it."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        if node.nodeName() == "Exchange":
+            below = node.child()
+            keys = re.search(r"hashpartitioning\((.*?), \d+\)", node.outputPartitioning().toString())
+            keys = re.sub(r"#\d+L?", "", keys.group(1)).split(", ") if keys else []
+            out.append((keys, below.nodeName(), "/pixels" in below.toString()))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+@pytest.mark.parametrize("name", ["cover", "mangrove", "wetland", "windows"])
+def test_pixels_never_move_by_scene_or_polygon_alone(spark, stored, monkeypatch, name):
+    """With nothing broadcast, a shuffle of pixels holds the tile; sums go by polygon and time."""
     monkeypatch.setattr(tuning, "BROADCAST_ROWS", -1)
-    po = cube.polygons(spark, SF)
-    plan = physical(DRILLS[name](cube.pixels(spark, SF).filter("tile_id >= 0"), cube.scenes(spark, SF), po))
-    for side in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan):
-        keys = re.sub(r"#\d+L?", "", side).split(", ")[:-1]
-        if keys == ["scene_id"]:
-            assert "repartition" not in name  # only the archive's own scenes are dealt so
-
-
-def test_aligned_products_are_joined_without_another_shuffle(spark):
-    plan = physical(QUERIES["fc_drill_products"](spark, SF))
-    join = re.search(r"(?s)SortMergeJoin \[grp[^\n]*tile_id[^\n]*y[^\n]*x.*", plan)
-    assert join or "HashJoin [grp" in plan
+    drill = DRILLS.get(name, lambda *a: D.wetland_areas(*a, cube.GRID, aggregate=1))
+    found = exchanges(drill(wide(spark, stored), cube.scenes(spark, SF), cube.polygons(spark, SF)))
+    moved = [keys for keys, below, pixels in found if pixels and below != "HashAggregate"]
+    assert moved and all("tile_id" in keys or "_tile_id" in keys for keys in moved)
+
+
+def test_aligned_products_are_joined_without_another_shuffle(spark, stored):
+    px, sc, po = wide(spark, stored), cube.scenes(spark, SF), cube.polygons(spark, SF)
+    water = px.select("scene_id", "ts", "tile_id", "y", "x", "water")
+    drill = D.cover_drill_products((px.drop("water"), sc), (water, sc), po, cube.GRID)
+    moved = [keys for keys, below, pixels in exchanges(drill) if pixels and "y" in keys and "x" in keys]
+    assert len(moved) == 2  # one per product, for its own merge
 
 
 def test_extent_bounds_reach_the_scan(spark, stored):
