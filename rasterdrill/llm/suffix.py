@@ -500,6 +500,14 @@ def _cuts(lists: pa.Array) -> np.ndarray:
     return np.append(0, np.cumsum(sizes)).astype(np.int64)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Blocks of rows with the bytes and offsets of their texts, so that memory follows a block."""
+    for batch in batches:
+        data, offsets = T.flat(batch.column(text))
+        for a, b in T.blocks(offsets):
+            yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
 def _kept(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     edge = np.zeros(len(data) + 1, np.int32)
     edge[first] += 1
@@ -513,8 +521,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     schema = f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = T.flat(batch.column(1))
+        for batch, data, offsets in _blocks(batches, 1):
             lists = batch.column(2)
             row, first, last = _union(lists, _cuts(lists))
             kept = _kept(data, first + offsets[row], last + offsets[row]) if len(row) else np.ones(len(data), bool)
@@ -543,10 +550,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     place, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, data, offsets in _blocks(batches, place):
             *columns, spans = batch.columns
             column = columns[place]
-            data, offsets = T.flat(column)
             row, first, last = _union(spans, _cuts(spans))
             if len(row):
                 kept = _kept(data, first + offsets[row], last + offsets[row])
