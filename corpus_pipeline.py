@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterdrill.llm import bpe, decontam, minhash, suffix, toxicity
+from rasterdrill.llm.store import Work
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    Each stage reads what the one before wrote as Parquet in the shared folder, so none
+    is computed twice; a result goes once the next is written. The last stage is the
+    caller's to write.
+    """
+    work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, work.keep(stage(spark, docs, sf_dir), name)
+        work.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

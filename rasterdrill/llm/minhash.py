@@ -399,7 +399,8 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class, that of the smallest id, with all its columns.
 
-    Of rows of one id one stays; rows with a null id stay.
+    Of rows of one id that of the smallest text hash stays, then of the smallest text and
+    other columns; rows with a null id stay.
     """
     work = Work(docs.sparkSession, "minhash")
     found = near_duplicates(docs, key, text, k, percent, work=work)
@@ -409,4 +410,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     left = docs.join(_few(gone, gone.count()), number == F.col("_gone"), "left_anti")
     if single:
         return left
-    return left.filter(number.isNotNull()).dropDuplicates([key]).unionByName(left.filter(number.isNull()))
+    # Maps have no order.
+    other = [f.name for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text), text, *other)).alias("_first")
+    one = left.filter(number.isNotNull()).groupBy(number.alias("_id")).agg(first).select("_first.*")
+    return one.unionByName(left.filter(number.isNull()))

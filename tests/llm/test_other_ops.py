@@ -224,3 +224,34 @@ def test_pipeline_runs_as_its_stages_say(spark, tmp_path):
         docs = stage(spark, docs, SMALL)
     want = {r.doc_id: r.ids for r in bpe.encode(docs, queries.tokenizer()).collect()}
     assert {r.doc_id: r.ids for r in out.collect()} == want
+
+
+def test_each_stage_reads_what_the_one_before_wrote(spark, monkeypatch):
+    read = []
+
+    def watched(stage):
+        def run(spark, docs, sf_dir):
+            read.append((docs.inputFiles(), docs._jdf.queryExecution().optimizedPlan().toString()))
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(s)) for n, s in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    files = [{f.rsplit("/", 1)[0] for f in files} for files, _ in read]
+    assert len(read) == 5 and len(set.union(*files)) == 5 and all(len(f) == 1 for f in files)
+    assert not any("MapInArrow" in plan for _, plan in read)
+
+
+def test_texts_of_a_repeated_id_go_through_the_pipeline_alike(spark, tmp_path):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()
+    texts = [r.text for r in rows]
+    rows = [r.asDict() | {"doc_id": r.doc_id % 20} for r in rows]
+    out = []
+    for turn, order in enumerate((rows, rows[::-1])):
+        at = str(tmp_path / str(turn))
+        spark.createDataFrame(order, DOCS).coalesce(1).write.parquet(f"{at}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+        out.append({r.doc_id: r.ids for r in corpus_pipeline.run(spark, at).collect()})
+    assert len(texts) == 60 and 0 < len(out[0]) <= 20 and out[0] == out[1]

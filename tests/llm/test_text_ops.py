@@ -208,6 +208,15 @@ def test_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_the_text_kept_of_a_repeated_id_is_fixed(spark):
+    rows = [(1, f"text {i} of one id", s) for i in range(6) for s in ("b", "a")] + [(2, "alone", "a"), (None, "x", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    text = docs.filter("doc_id = 1").orderBy(F.xxhash64("text"), "text").first().text
+    for order in (rows, rows[::-1]):
+        left = minhash.deduplicated(spark.createDataFrame(order, docs.schema).coalesce(1))
+        assert {tuple(r) for r in left.collect()} == {(1, text, "a"), (2, "alone", "a"), (None, "x", "a")}
+
+
 # --- repeats -----------------------------------------------------------------
 
 def _removed(rows: list, length: int) -> dict:
