@@ -368,6 +368,9 @@ def near_duplicates(
             likely = _likely(pairs, pairs.count(), nodes, percent)
         else:
             likely = _rest(held, texts, k, percent, turn == STAR_ROUNDS, work)
+        if turn == STAR_ROUNDS:
+            likely = work.keep(likely, "forest")
+            n_forest = likely.count()
         if checked is not None:
             likely = likely.join(checked, ["a", "b"], "left_anti")
         likely = work.keep(likely, "likely")
@@ -379,8 +382,9 @@ def near_duplicates(
             labels, n_labels = components(links.unionByName(before), work)
             checked = likely if checked is None else checked.unionByName(likely)
         turn += 1
-        # A turn that looked at all that is left is the last, unless a link of its forest was none.
-        if turn > STAR_ROUNDS and confirmed == n:
+        # A turn that looked at all that is left is the last, unless a link of its forest was none,
+        # now or in a star round before.
+        if turn > STAR_ROUNDS and confirmed == (n_forest if turn == STAR_ROUNDS + 1 else n):
             break
     # A row's class is its representative's, whose own smallest row is the class's smallest.
     found = (

@@ -196,6 +196,21 @@ def test_pairs_off_the_star_are_found(spark):
     assert got == _classes(rows, 1)
 
 
+def test_a_false_link_of_the_forest_hides_no_other(spark, monkeypatch):
+    """Nodes 1, 2 and 3 look alike on short sets; the stars have refuted 1-2 and 1-3, and 2-3 is one."""
+    for seed in range(100):
+        w = [f"s{seed}_{i}" for i in range(25)]
+        rows = [(1, " ".join(w[:20])), (2, " ".join([*w[:16], *w[20:24]])), (3, " ".join([*w[:16], *w[20:23], w[24]]))]
+        low = {int(minhash.shingle_sets(*T.flat(pa.array([t])), 1)[0][0]) for _, t in rows}
+        if len(low) == 1:  # one bucket holds all three
+            break
+    alike = bytearray(np.arange(20, dtype="<u4").tobytes())
+    monkeypatch.setattr(minhash, "_short_sets", lambda docs, ids, n_ids, k: ids.select("id", F.lit(alike).alias("s")))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r.component_id for r in minhash.near_duplicates(docs, k=1, bands=1, rows=1).collect()}
+    assert got == _classes(rows, 1) == {1: 1, 2: 2, 3: 2}
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here now ok"), (3, "other words here now ok"),
             (None, "a b c d e f"), (4, None), (5, "")]
