@@ -14,8 +14,9 @@ never move and their order is kept.
 Words are lower-cased (A-Z) runs of ASCII letters, digits and bytes above 127. An item
 of fewer words than a window, but not none, is one window; matches never cross documents.
 
-Defined results: a null text has no words and is clean; an item without an id or
-without words takes no part; equal items are found alike.
+Defined results: a null text has no words and is clean; an item without words takes no
+part; equal items are found alike. ``mark`` and ``longest_matches`` name items, so one
+without an id takes no part there; ``clean`` searches it like any other.
 """
 
 from __future__ import annotations
@@ -168,14 +169,18 @@ def _hits(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hit, both[:, 0], both[:, 1]
 
 
-def item_blocks(items: DataFrame, window: int, key: str, text: str, limit: int = ITEM_BYTES) -> Iterator[Items]:
-    """Items in blocks of about ``limit`` bytes; there is at least one block."""
-    rows = items.select(F.col(key).cast("bigint").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+def item_blocks(items: DataFrame, window: int, key: str | None, text: str, limit: int = ITEM_BYTES) -> Iterator[Items]:
+    """Distinct items in blocks of about ``limit`` bytes; there is at least one block.
+
+    Without a ``key``, the texts of all items, each numbered 0.
+    """
+    number = F.col(key).cast("bigint") if key else F.lit(0).cast("bigint")
+    rows = items.select(number.alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-2 * total // limit)) if total > limit else 1
     for block in range(n):
         own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block)
-        got = own.collect()  # at most about ``limit`` bytes
+        got = sorted(own.collect())  # at most about ``limit`` bytes
         yield prepare([r["i"] for r in got], [r["t"] for r in got], window)
 
 
@@ -225,11 +230,11 @@ def mark(
 
 def clean(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", limit: int = ITEM_BYTES,
+    item_text: str = "text", limit: int = ITEM_BYTES,
 ) -> DataFrame:
     """The documents in which no window of any item occurs, all columns as they are."""
     spark = docs.sparkSession
-    for block in item_blocks(items, window, item_key, item_text, limit):
+    for block in item_blocks(items, window, None, item_text, limit):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

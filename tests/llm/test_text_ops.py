@@ -398,6 +398,19 @@ def test_contamination_is_that_of_brute_force(spark, monkeypatch, limit):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, v in want.items() if not v[1])
 
 
+def test_an_item_without_an_id_cleans(spark):
+    docs = spark.createDataFrame([(1, "x Held out passage y"), (2, "another text")], SCHEMA)
+    items = spark.createDataFrame([(None, "held OUT passage"), (None, None), (1, "...")], "item_id bigint, text string")
+    for limit in (1 << 20, 4):
+        assert [r.doc_id for r in decontam.clean(docs, items, window=3, limit=limit).collect()] == [2]
+
+
+def test_repeated_items_are_one(spark):
+    items = spark.createDataFrame([(1, "one of many items")] * 500 + [(2, "one of many items"), (3, "other")], "item_id bigint, text string")
+    held = [b.ids.tolist() for b in decontam.item_blocks(items, 3, "item_id", "text", limit=100)]
+    assert [sorted(ids) for ids in held] == [[1, 2, 3]]
+
+
 def test_longest_matches(spark):
     item = [f"w{i}" for i in range(30)]
     docs = [(1, " ".join(item[2:15])), (2, "x " + " ".join(item[5:25]) + " y"), (3, "none")]
