@@ -16,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterdrill.llm import bpe, decontam, minhash, store, suffix, tokens
+import corpus_pipeline
+from rasterdrill.llm import bpe, decontam, minhash, store, suffix, tokens, toxicity
 from rasterdrill.llm import text as T
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -435,3 +436,35 @@ def test_shared_folder_is_the_session_s():
     assert store.fresh_path(named, "x").startswith("hdfs://shared/x-")
     with pytest.raises(ValueError, match="checkpoint"):
         store.fresh_path(SimpleNamespace(conf={}, sparkContext=named.sparkContext), "x")
+
+
+# --- pipeline ----------------------------------------------------------------
+
+def test_pipeline_is_a_plain_chain(spark, tok):
+    """Each step in Python; only the weights of the classifier are the stage's own."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows, steps = [(r.doc_id, r.text) for r in docs.collect()], []
+    steps.append(len(rows))
+    ends = [np.array([0, len((t or "").encode())]) for _, t in rows]
+    found = [toxicity.features(np.frombuffer((t or "").encode(), np.uint8), e) for (_, t), e in zip(rows, ends)]
+    rows = [r for r, f in zip(rows, found) if chain.scores(*f, 1)[0, chain.names.index("toxic")] < 0.5]
+    steps.append(len(rows))
+    own = _classes(rows, 5)
+    rows = [r for r in rows if own[r[0]] == r[0]]
+    steps.append(len(rows))
+    cut = []
+    for (d, text), gone in zip(sorted(rows), _removed(rows, 100).values()):
+        at, left = 0, []
+        for c in text or "":  # a character goes only if all its bytes do
+            n = len(c.encode())
+            left.append("" if gone[at : at + n].all() else c)
+            at += n
+        cut.append((d, "".join(left)))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hits = _contamination(cut, items, 10)
+    want = {d: tok.encode(t, add_special_tokens=False).ids for d, t in cut if not hits[d][1]}
+    steps.append(len(want))
+    assert sorted(set(steps), reverse=True) == steps and cut != sorted(rows)  # each stage has work
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()} == want
