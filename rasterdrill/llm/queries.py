@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rasterdrill.llm import bpe, decontam, minhash, quality, shards, store, suffix, tokens, topk, toxicity, urls
+from rasterdrill.llm import (
+    bpe, decontam, minhash, phrases, quality, rabin, shards, store, suffix, tokens, topk, toxicity, transducer, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -234,3 +236,111 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     out = quality.score(docs, table(spark, sf_dir, "labels"), held_out)
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op11_rabin_karp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that stand earlier, cut out of every document."""
+    return rabin.digests(table(spark, sf_dir, "documents"), length=20)
+
+
+SQL["op11_rabin_karp_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d),
+win AS (
+  SELECT doc_id, k AS i, list(x) OVER ahead AS s FROM words
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(s, ' ')) ORDER BY doc_id, i) AS n
+    FROM win WHERE len(s) = 20) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM again),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS s, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query
+def op12_transducer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are apart, over terms in at least 30 of its documents."""
+    docs = table(spark, sf_dir, "documents")
+    return transducer.divergence(docs, least=30, add=5, scale=1_000_000_000, top=50)
+
+
+SQL["op12_transducer_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+term AS MATERIALIZED (SELECT k, lang, source, unnest(w) AS t FROM d),
+kept AS MATERIALIZED (SELECT lang, t FROM term GROUP BY lang, t HAVING count(DISTINCT k) >= 30),
+grp AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS MATERIALIZED (SELECT l.lang, count(kept.t) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept USING (lang) GROUP BY l.lang),
+cnt AS MATERIALIZED (SELECT lang, source, t, count(*) AS n FROM term JOIN kept USING (lang, t) GROUP BY lang, source, t),
+tot AS MATERIALIZED (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT tot.lang, tot.source, kept.t, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM tot JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN cnt ON cnt.lang = tot.lang AND cnt.source = tot.source AND cnt.t = kept.t),
+q AS (
+  SELECT kept.lang, kept.t, 1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 5)) // (w.total + 5 * v) AS q
+  FROM kept JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM tot GROUP BY lang) w USING (lang)
+  LEFT JOIN (SELECT lang, t, sum(n) AS n FROM cnt GROUP BY lang, t) s ON s.lang = kept.lang AND s.t = kept.t),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+more AS (SELECT p.lang, p.source, p.t AS item, (p.p - q.q)::BIGINT AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p.p > q.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER FROM more)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two and three words of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, inside=50, top=2000)
+
+
+SQL["op13_phrase_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS s
+  FROM documents),
+w AS (SELECT row_number() OVER () AS k, lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+x AS (SELECT k, lang, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS one FROM w),
+pos AS (SELECT lang, one, lead(one) OVER o AS two, lead(one, 2) OVER o AS three FROM x WINDOW o AS (PARTITION BY k ORDER BY i)),
+gram AS (
+  SELECT lang, 1 AS m, one AS g, one, NULL AS two, NULL AS three FROM pos
+  UNION ALL SELECT lang, 2, one || ' ' || two, one, two, NULL FROM pos WHERE two IS NOT NULL
+  UNION ALL SELECT lang, 3, one || ' ' || two || ' ' || three, one, two, three FROM pos WHERE three IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, m, g, one, two, three, count(*)::HUGEINT AS a FROM gram GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT * FROM f WHERE m > 1 AND a >= 10),
+halves AS (
+  SELECT lang, g, m, a, 1 AS k, one AS lg, CASE WHEN m = 2 THEN two ELSE two || ' ' || three END AS rg FROM cand
+  UNION ALL SELECT lang, g, m, a, 2, one || ' ' || two, three FROM cand WHERE m = 3),
+cut AS (
+  SELECT h.lang, h.g, h.m, h.a, k, l.a AS l, r.a AS r, (1000000 * h.a * h.a) // (l.a * r.a) AS score
+  FROM halves h JOIN f l ON l.lang = h.lang AND l.g = h.lg JOIN f r ON r.lang = h.lang AND r.g = h.rg),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, one || ' ' || two AS g, a FROM cand WHERE m = 3
+  UNION ALL SELECT lang, two || ' ' || three, a FROM cand WHERE m = 3),
+inner_ AS (SELECT DISTINCT c.lang, c.g FROM cand c JOIN longer t ON t.lang = c.lang AND t.g = c.g AND 100 * t.a >= 50 * c.a WHERE c.m = 2),
+best AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score
+  FROM low ANTI JOIN inner_ USING (lang, g))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
