@@ -10,8 +10,8 @@ space, in order of text: hash, document and place. Spark deals the cells, and in
 every window but the earliest of its hash is a repeat. As each task sends a hash once,
 a passage that stands everywhere is a handful of rows.
 
-Merging. Repeated windows of a document, which come from many cells, are sorted by
-document and laid over each other; what they cover together are its maximal removal
+Merging. Repeated windows of a document, which come from many cells, are dealt by document
+in packed rows and laid over each other; what they cover together are its maximal removal
 intervals. A document without a repeat needs no join: a filter of fixed size (blocked
 Bloom, 2^19 rows of 64 bits, broadcast) tells for sure that most have none, and only the
 others move to meet their intervals.
@@ -91,20 +91,22 @@ def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[at], place[at], np.diff(np.append(at, len(doc)))
 
 
-def _by_document(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Runs, in order of document, as one packed row per document."""
-    pairs = np.stack([first, count], 1).astype(np.int32)
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    raw = pairs.tobytes()
-    cuts = (np.append(at, len(doc)) * 8).tolist()
-    return doc[at], [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+def _by_bucket(doc: np.ndarray, first: np.ndarray, count: np.ndarray, buckets: int) -> tuple[np.ndarray, list]:
+    """Runs as one packed row per bucket of documents: bucket; documents, first places, numbers."""
+    bucket = (T.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((first, doc, bucket))
+    bucket = bucket[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    cuts = np.append(at, len(bucket)).tolist()
+    columns = (doc[order], first[order].astype(np.uint32), count[order].astype(np.uint32))
+    return bucket[at], [pa.array([S.planes(c[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary()) for c in columns]
 
 
 _CELLS = "cell int, hash binary, doc binary, runs binary, place binary"
 
 
 def _packed(docs: DataFrame, length: int, cells: int, wide: int) -> DataFrame:
-    """Cells of hashes, and the repeats found inside tasks as ``runs`` of ``doc`` without a hash."""
+    """Cells of hashes, and the repeats found inside tasks as packed runs without a hash, dealt by document."""
     names = ["cell", "hash", "doc", "runs", "place"]
     shift = np.uint64(32)
 
@@ -117,11 +119,8 @@ def _packed(docs: DataFrame, length: int, cells: int, wide: int) -> DataFrame:
         again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
         del order
         if again.any():
-            d, raw = _by_document(*_runs(doc[again], place[again]))
-            anywhere = (T.mix(d.view(np.uint64)) % np.uint64(cells)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anywhere), pa.nulls(len(d), pa.binary()), pa.array([x.tobytes() for x in d], pa.binary()),
-                 pa.array(raw, pa.binary()), pa.nulls(len(d), pa.binary())], names)
+            bucket, (d, first, count) = _by_bucket(*_runs(doc[again], place[again]), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(bucket), pa.binary()), d, count, first], names)
         keep = ~again
         h1, h2, doc, place = h1[keep], h2[keep], doc[keep], place[keep]
         cell = ((h2 >> shift) * np.uint64(cells) >> shift).astype(np.int64)
@@ -161,8 +160,8 @@ def _packed(docs: DataFrame, length: int, cells: int, wide: int) -> DataFrame:
 
 
 def _settled(packed: DataFrame, cells: int, wide: int) -> DataFrame:
-    """``doc, runs``: windows of a document that stand earlier, as packed runs."""
-    names = ["doc", "runs"]
+    """Windows that stand earlier, as packed runs dealt by document."""
+    names = ["bucket", "doc", "first", "count"]
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         body = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, wide) for x in held])
@@ -184,8 +183,8 @@ def _settled(packed: DataFrame, cells: int, wide: int) -> DataFrame:
         again = np.append(False, (k[1:] == k[:-1]).all(1))
         doc, place = doc[again], place[again]
         turn = np.lexsort((place, doc))
-        d, raw = _by_document(*_runs(doc[turn], place[turn]))
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(raw, pa.binary())], names)
+        bucket, columns = _by_bucket(*_runs(doc[turn], place[turn]), cells)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -193,7 +192,7 @@ def _settled(packed: DataFrame, cells: int, wide: int) -> DataFrame:
             for cell, body, doc, runs, place in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if body is None:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.frombuffer(doc, np.int64)), pa.array([runs], pa.binary())], names)
+                        [pa.array([cell], pa.int32()), *[pa.array([x], pa.binary()) for x in (doc, place, runs)]], names)
                     continue
                 if cell != now and held:
                     yield from settle(held)
@@ -205,47 +204,44 @@ def _settled(packed: DataFrame, cells: int, wide: int) -> DataFrame:
 
     # Repeats of a task come first in their cell, so no cell is broken.
     dealt = packed.repartition("cell").sortWithinPartitions("cell", F.col("hash").isNotNull())
-    return dealt.mapInArrow(run, "doc bigint, runs binary")
+    return dealt.mapInArrow(run, "bucket int, doc binary, first binary, count binary")
 
 
 def _merged(settled: DataFrame, length: int) -> DataFrame:
     """``doc, spans``: maximal intervals of words ``[first, last)`` that repeated windows cover."""
     item = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
-    def close(doc: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
-        pairs = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64)
-        row = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
-        number = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
-        row, first = number[row], pairs[:, 0]
-        last = first + pairs[:, 1] + length - 1
-        order = np.lexsort((first, row))
-        row, first, last = row[order], first[order], last[order]
-        base = row * (int(last.max()) + 1)
+    def close(held: list) -> pa.RecordBatch:
+        doc, first, count = (np.concatenate([S.from_planes(x[i], d) for x in held]) for i, d in enumerate((np.int64, np.uint32, np.uint32)))
+        first = first.astype(np.int64)
+        last = first + count + length - 1
+        order = np.lexsort((first, doc))
+        doc, first, last = doc[order], first[order], last[order]
+        other = np.append(False, doc[1:] != doc[:-1])
+        base = np.cumsum(other) * (int(last.max()) + 1)
         reach = np.maximum.accumulate(last + base) - base
-        new = np.append(True, (row[1:] != row[:-1]) | (first[1:] > reach[:-1]))
+        new = np.append(True, other[1:] | (first[1:] > reach[:-1]))
         at = np.flatnonzero(new)
-        ends = reach[np.append(at[1:], len(row)) - 1]
-        cuts = np.searchsorted(row[at], np.arange(number[-1] + 2))
+        ends = reach[np.append(at[1:], len(doc)) - 1]
+        owner = np.flatnonzero(np.append(True, doc[at][1:] != doc[at][:-1]))
         value = pa.StructArray.from_arrays(
             [pa.array(first[at].astype(np.int32)), pa.array(ends.astype(np.int32))], fields=list(item))
-        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), value)
-        return pa.RecordBatch.from_arrays([pa.array(doc[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))]), lists], ["doc", "spans"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(owner, len(at)).astype(np.int32)), value)
+        return pa.RecordBatch.from_arrays([pa.array(doc[at][owner]), lists], ["doc", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait_doc, wait_raw = np.zeros(0, np.int64), []
+        now, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc = np.append(wait_doc, batch.column(0).to_numpy())
-            raw = wait_raw + batch.column(1).to_pylist()
-            cut = int(np.searchsorted(doc, doc[-1]))  # the last document may go on
-            if cut:
-                yield close(doc[:cut], raw[:cut])
-            wait_doc, wait_raw = doc[cut:], raw[cut:]
-        if len(wait_doc):
-            yield close(wait_doc, wait_raw)
-
-    dealt = settled.repartition("doc").sortWithinPartitions("doc")
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != now and held:
+                    yield close(held)
+                    held = []
+                now = bucket
+                held.append(row)
+        if held:
+            yield close(held)
+
+    dealt = settled.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "doc bigint, spans array<struct<first:int,last:int>>")
 
 
