@@ -30,6 +30,25 @@ def juxtapose(left: DataFrame, right: DataFrame, keys: Sequence[str] = PIXEL_KEY
     return left.join(right, list(keys))
 
 
+def collate_beside(
+    base: DataFrame, products: Mapping[str, DataFrame], keys: Sequence[str], name: str = "product"
+) -> DataFrame:
+    """:func:`juxtapose` of ``base`` with :func:`collate` of ``products``, without their union.
+
+    Each row of ``base`` comes once per product that has its key. A union forgets how its
+    parts are bucketed and would be shuffled; an outer join for each product keeps the
+    partitioning of ``base``, and every table is read once. Each product is unique on ``keys``.
+    """
+    bands = [c for c in next(iter(products.values())).columns if c not in keys]
+    out, sides = base, []
+    for i, (label, df) in enumerate(products.items()):
+        side = df.select(*keys, F.struct(F.lit(label).alias(name), *bands).alias(f"_side{i}"))
+        out = out.join(side, list(keys), "left")
+        sides.append(F.col(f"_side{i}"))
+    held = F.filter(F.array(*sides), lambda s: s.isNotNull())
+    return out.select(*base.columns, F.inline(held))
+
+
 def with_scene(pixels: DataFrame, scenes: DataFrame, *columns: str) -> DataFrame:
     """Keep pixels of the given scenes and add scene columns.
 

@@ -187,14 +187,81 @@ def span_bound(polygons: DataFrame, grid: Grid, enough: int | None = None) -> in
             F.sum(F.col("_rows") * (F.col("_tiles") + F.col("_n"))).alias("loose"),
             F.sum(F.col("_rows") * F.col("_tiles")).alias("cuts"),
         )
-        .first()
     )
+    per_polygon = tuning.one_row(per_polygon)
     if per_polygon["loose"] is None or per_polygon["loose"] <= enough:
         return int(per_polygon["loose"] or 0)
-    runs = edges(polygons, grid).agg(F.sum(F.abs(F.col("yb") - F.col("ya")) + 2).alias("n")).first()["n"]
+    runs = tuning.one_row(edges(polygons, grid).agg(F.sum(F.abs(F.col("yb") - F.col("ya")) + 2).alias("n")))["n"]
     return int(per_polygon["cuts"] + (runs or 0))
 
 
+class Overlay(NamedTuple):
+    """Polygons laid over each other: each pixel lies in one segment, each segment in one set.
+
+    ``segments (tile_id, y, x_from, x_to, set_a, set_b)`` are disjoint; ``members (set_a,
+    set_b, poly_id)`` name the polygons of a set, with ``start`` and ``end`` if requests
+    have time ranges.
+    """
+
+    segments: DataFrame
+    members: DataFrame
+
+
+def overlay(each: DataFrame, bound: int) -> Overlay:
+    """Sweep over the tile spans ``each`` of every row of pixels.
+
+    A polygon enters the set where its span starts and leaves it where the span ends. The
+    number of a set is the exclusive or of its polygons' numbers, two of 64 bits, so it
+    follows from a running aggregate over the places where spans start or end; no row
+    holds the polygons of a pixel, however many there are. Two different sets meet with a
+    chance of 2^-128. A set's polygons are those over one of its segments.
+    """
+    set_, row = ["set_a", "set_b"], ["tile_id", "y"]
+    turn = "stack(2, x_from, 1L, x_to + 1, -1L) AS (x, step)"
+    events = (
+        each.selectExpr(*row, "xxhash64(poly_id, 1) AS ha", "xxhash64(poly_id, 2) AS hb", turn)
+        .repartition(*row)  # once, for the sums and for the sweep
+        .groupBy(*row, "x")
+        .agg(F.expr("bit_xor(ha) AS ha"), F.expr("bit_xor(hb) AS hb"), F.sum("step").alias("step"))
+    )
+    along = "OVER (PARTITION BY tile_id, y ORDER BY x)"
+    segments = (
+        events.selectExpr(
+            *row, "x AS x_from", f"lead(x) {along} - 1 AS x_to",
+            f"bit_xor(ha) {along} AS set_a", f"bit_xor(hb) {along} AS set_b", f"sum(step) {along} AS deep",
+        )
+        .filter("deep > 0")
+        .drop("deep")
+    )
+    shown = segments.groupBy(*set_).agg(F.min(F.struct(*row, "x_from")).alias("at")).select(
+        *set_, F.col("at.tile_id").alias("_tile_id"), F.col("at.y").alias("_y"), F.col("at.x_from").alias("_x")
+    )
+    held = each.join(
+        sized(shown, 2 * bound), F.expr("tile_id = _tile_id AND y = _y AND _x >= x_from AND _x <= x_to")
+    )
+    columns = [c for c in each.columns if c in ("poly_id", "start", "end")]
+    # Each span starts and ends once, so there are at most twice as many segments.
+    return Overlay(sized(segments, 2 * bound), held.select(*set_, *columns))
+
+
+def in_segments(pixels: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pixels with the set of polygons that hold them; those of none go."""
+    joined = pixels.join(_aside(segments), F.expr(_IN_SPAN))
+    return joined.select(F.col("_set_a").alias("set_a"), F.col("_set_b").alias("set_b"), *pixels.columns)
+
+
+def spread(sums: DataFrame, members: DataFrame, time: str) -> DataFrame:
+    """From sums per set and ``time`` to sums per polygon and ``time``, where each column is a sum.
+
+    Where polygons have time ranges, sums outside a polygon's range do not count for it.
+    """
+    values = [c for c in sums.columns if c not in ("set_a", "set_b", time)]
+    joined = sums.join(members, ["set_a", "set_b"])
+    if "start" in members.columns:
+        joined = joined.filter(inside_request(F.col(time), F.col("start"), F.col("end")))
+    return joined.groupBy("poly_id", time).agg(*[F.sum(c).alias(c) for c in values])
+
+
 class Mask(NamedTuple):
     """A set of polygons on the grid.
 
@@ -212,6 +279,9 @@ class Mask(NamedTuple):
         plain = self.each.select("tile_id", "y", "x_from", "x_to")
         return sized(merge_spans(plain, ("tile_id", "y")), self.bound)
 
+    def overlay(self) -> Overlay:
+        return overlay(self.each, self.bound)
+
     def area(self) -> DataFrame:
         """Mask size per polygon; a polygon without any mask pixel has no row."""
         size = F.expr("sum(x_to - x_from + 1) AS total_area")
@@ -291,6 +361,11 @@ def polygon_extents(polygons: DataFrame, grid: Grid) -> DataFrame:
 
 def extent_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
     """One row per tile of the grid an extent overlaps; columns of ``extents`` are kept."""
+    return extent_blocks(extents, grid).drop("_tx", "_ty")
+
+
+def extent_blocks(extents: DataFrame, grid: Grid) -> DataFrame:
+    """:func:`extent_tiles` with the tile's column and row, ``_tx`` and ``_ty``."""
     def blocks(lo: str, hi: str) -> tuple[Column, Column]:
         return grid.block(F.col(lo)), F.ceil(F.col(hi) / F.lit(float(grid.tile))).cast("bigint") - 1
 
@@ -304,7 +379,6 @@ def extent_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
         extents.withColumn("_tx", listed(left, right))
         .withColumn("_ty", listed(*blocks("by0", "by1")))
         .withColumn("tile_id", grid.tile_number(F.col("_tx"), F.col("_ty")))
-        .drop("_tx", "_ty")
     )
 
 
@@ -331,28 +405,60 @@ def _hinted_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
     def across(lo: str, hi: str) -> Column:
         return F.greatest(grid.block(F.col(hi)) - grid.block(F.col(lo)) + 1, F.lit(0))
 
-    n = extents.agg(F.sum(across("bx0", "bx1") * across("by0", "by1")).alias("n")).first()["n"]
+    n = tuning.one_row(extents.agg(F.sum(across("bx0", "bx1") * across("by0", "by1")).alias("n")))["n"]
     return _aside(sized(extent_tiles(extents, grid), int(n or 0)))
 
 
-# Tiles that may be named in a filter one by one.
+# Tiles that may be named in a filter one by one; beyond that a filter has this many intervals.
 TILE_LIST = 10_000
+TILE_INTERVALS = 256
 
 
-def at_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pixels of the tiles listed in ``tiles (tile_id)``, by a filter on the file partitions.
+def tile_intervals(tiles: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
+    """At most ``most`` intervals of tile numbers that hold all of ``tiles (tile_id)``.
 
-    Up to ``TILE_LIST`` tiles are named in the filter; beyond that it holds the lowest
-    and the highest, as scalar subqueries. Neither hangs on how a later join is planned.
-    Where requests cover most tiles there is nothing to prune.
+    Tiles are counted at ever coarser slices of their numbers, at once; the finest level
+    with few enough slices is collected, as the least and greatest tile of each slice, and
+    the smallest gaps are closed. On a curve (see ``Grid.curve``) a slice is a square, so an
+    interval holds little beyond what was asked for.
+    """
+    most = most or TILE_INTERVALS
+    levels = range(0, 60, 4)
+    held = tiles.select("tile_id")
+    counts = held.agg(*[F.approx_count_distinct(F.shiftright("tile_id", n)).alias(f"n{n}") for n in levels]).first()
+    level = next((n for n in levels if counts[f"n{n}"] * 2 <= TILE_LIST), levels[-1])
+    slices = held.groupBy(F.shiftright("tile_id", level).alias("s")).agg(F.min("tile_id").alias("a"), F.max("tile_id").alias("b"))
+    ends = sorted((r["a"], r["b"]) for r in slices.collect())  # some TILE_LIST rows at most
+    gaps = sorted(range(1, len(ends)), key=lambda i: ends[i][0] - ends[i - 1][1], reverse=True)
+    cuts = [0, *sorted(gaps[: most - 1]), len(ends)]
+    return [(ends[i][0], ends[j - 1][1]) for i, j in zip(cuts, cuts[1:]) if i < j]
+
+
+def tile_filter(tiles: DataFrame) -> Column:
+    """A condition on ``tile_id`` that holds for the listed ``tiles (tile_id)``, for the file partitions.
+
+    Up to ``TILE_LIST`` tiles are named; beyond that the condition has ``TILE_INTERVALS``
+    intervals, whatever the number of tiles.
     """
     wanted = tiles.select("tile_id").distinct()
-    named = wanted.limit(TILE_LIST + 1).collect()
-    tile = F.col("tile_id")
-    if len(named) <= TILE_LIST:
-        return pixels.filter(tile.isin([r["tile_id"] for r in named]))
-    low, high = (tiles.select(f("tile_id")).scalar() for f in (F.min, F.max))
-    return pixels.filter((tile >= low) & (tile <= high))
+    with tuning.one_job(tiles.sparkSession):
+        named = wanted.limit(TILE_LIST + 1).toArrow().column(0).to_pylist()
+        tile = F.col("tile_id")
+        if len(named) <= TILE_LIST:
+            return tile.isin(sorted(named))
+        any_ = F.lit(False)
+        for low, high in tile_intervals(wanted):
+            any_ = any_ | tile.between(low, high)
+        return any_
+
+
+def at_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pixels of the tiles listed in ``tiles (tile_id)``, by :func:`tile_filter`.
+
+    It does not hang on how a later join is planned. Where requests cover most tiles there
+    is nothing to prune.
+    """
+    return pixels.filter(tile_filter(tiles))
 
 
 def at_polygons(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
@@ -360,6 +466,11 @@ def at_polygons(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame
     return at_tiles(pixels, extent_tiles(polygon_extents(polygons, grid), grid))
 
 
+def polygon_tiles(polygons: DataFrame, grid: Grid) -> Column:
+    """:func:`tile_filter` for the tiles under any polygon's extent."""
+    return tile_filter(extent_tiles(polygon_extents(polygons, grid), grid))
+
+
 def prune_bbox(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
     """Pixels under the extent of any polygon.
 
@@ -392,9 +503,9 @@ def scene_sizes(scenes: DataFrame, grid: Grid) -> tuple[int, int]:
     def span(lo: str, hi: str) -> Column:
         return grid.block(F.col(hi)) - grid.block(F.col(lo)) + 1
 
-    row = scenes.agg(
+    row = tuning.one_row(scenes.agg(
         F.count(F.lit(1)).alias("n"), F.sum(span("sx0", "sx1") * span("sy0", "sy1")).alias("tiles")
-    ).first()
+    ))
     return row["n"], int(row["tiles"] or 0)
 
 
@@ -403,14 +514,18 @@ def scene_tiles(scenes: DataFrame, extents: DataFrame, grid: Grid, *columns: str
 
     The join key of pixels to scenes: no scene, and no tile, is one group.
     """
+    return scenes_on_tiles(scenes, extent_tiles(extents, grid).select("tile_id").distinct(), grid, *columns)
+
+
+def scenes_on_tiles(scenes: DataFrame, tiles: DataFrame, grid: Grid, *columns: str) -> DataFrame:
+    """``scene_id, tile_id`` and ``columns`` for the given ``tiles (tile_id)`` that scenes cover."""
     areas = scenes.select(
         "scene_id", *columns,
         F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
         F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
     )
     held = extent_tiles(areas, grid).select("scene_id", F.col("tile_id"), *columns)
-    asked = extent_tiles(extents, grid).select("tile_id").distinct()
-    return held.join(asked, "tile_id", "left_semi")
+    return held.join(tiles, "tile_id", "left_semi")
 
 
 def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
@@ -421,7 +536,7 @@ def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
     )
     held = extent_tiles(areas, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
     asked = extent_tiles(extents, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("m"))
-    return int(held.join(asked, "tile_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")).first()["n"] or 0)
+    return int(tuning.one_row(held.join(asked, "tile_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")))["n"] or 0)
 
 
 def time_spine(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterdrill.functions.projection import Albers
 from rasterdrill.grid import Grid
+from rasterdrill.operators.geometry import extent_tiles
 
 # The metric target grid, 30 m pixels, rows running south. Eastings are
 # negative west of the central meridian, so tile columns run both ways.
@@ -66,3 +67,33 @@ def reproject_nearest(
     lon, lat = albers.inverse(target.x_centre(F.col("tx")), target.y_centre(F.col("ty")))
     own = near.filter((F.floor(source.col(lon)) == x) & (F.floor(source.row(lat)) == y))
     return own.withColumn("target_tile", target.tile_id(F.col("tx"), F.col("ty")))
+
+
+def source_tiles(
+    targets: DataFrame, target: Grid, source: Grid, albers: Albers = Albers()
+) -> DataFrame:
+    """``tile_id`` of the source tiles that may lie under target tiles ``(_tx, _ty)``.
+
+    The corners of a target tile go back to longitude and latitude. Its edges are curves
+    there, which leave the corners' box by less than the square of their length over the
+    Earth's radius (at these latitudes); the box is widened by that and a source pixel.
+    """
+    size = float(target.tile)
+    cols, rows = [], []
+    for dx in (0, 1):
+        for dy in (0, 1):
+            east = F.lit(target.origin_x) + (F.col("_tx") + F.lit(dx)) * F.lit(size * target.res_x)
+            north = F.lit(target.origin_y) + (F.col("_ty") + F.lit(dy)) * F.lit(size * target.res_y)
+            lon, lat = albers.inverse(east, north)
+            cols.append(source.col(lon))
+            rows.append(source.row(lat))
+    edge = size * math.hypot(target.res_x, target.res_y)
+    bulge = edge * edge / 6.3e6 / 80_000.0  # degrees: one of longitude has 80 km or more up to 44 degrees
+    wide, high = 1 + bulge / abs(source.res_x), 1 + bulge / abs(source.res_y)
+
+    def ends(values: list, slack: float):
+        return F.least(*values) - F.lit(slack), F.greatest(*values) + F.lit(slack)
+
+    (x0, x1), (y0, y1) = ends(cols, wide), ends(rows, high)
+    boxes = targets.select(x0.alias("bx0"), y0.alias("by0"), x1.alias("bx1"), y1.alias("by1"))
+    return extent_tiles(boxes, source).select("tile_id").distinct()

@@ -83,6 +83,15 @@ def anchored_windows(
     return out.drop("days") if isinstance(days, int) else out
 
 
+def _means(nodata: Mapping[str, float], water: str) -> dict[str, Column]:
+    def mean(band: str, nd: float) -> Column:
+        value = F.when(is_valid(F.col(band), nd), F.col(band).cast("double"))
+        full = F.count(value) == F.max("n_times")
+        return F.when(full, F.sum(value) / F.max("n_times")).otherwise(F.lit(nd)).cast("float")
+
+    return {b: mean(b, nd) for b, nd in nodata.items()} | {water: F.sum(water).cast("int")}
+
+
 def average_over_day(
     pixels: DataFrame, keys: list[str], nodata: Mapping[str, float], water: str = "water"
 ) -> DataFrame:
@@ -91,15 +100,35 @@ def average_over_day(
     ``pixels`` carry ``n_times`` of their window, so a pixel absent at some time
     counts as nodata there. Water is the number of times with water.
     """
-    def mean(band: str, nd: float) -> Column:
-        value = F.when(is_valid(F.col(band), nd), F.col(band).cast("double"))
-        full = F.count(value) == F.max("n_times")
-        return F.when(full, F.sum(value) / F.max("n_times")).otherwise(F.lit(nd)).cast("float").alias(band)
+    return pixels.groupBy(*keys).agg(*[c.alias(n) for n, c in _means(nodata, water).items()])
+
+
+def _first_values(nodata: Mapping[str, float], time: str, lead: str, water: str) -> list[Column]:
+    """Aggregates of :func:`composite_first_valid`, to be chosen from by :func:`_settled`."""
+    t = F.col(time)
+    settled = F.when(is_valid(F.col(lead), nodata[lead]) | (F.col(water) > 0), t)
+    aggs = [
+        F.min(settled).alias("_k"),
+        F.min_by(lead, settled).alias("_lead"),
+        F.min_by(water, settled).alias("_water"),
+    ]
+    for b in nodata:
+        if b != lead:
+            seen = F.when(is_valid(F.col(b), nodata[b]), t)
+            aggs += [F.min(seen).alias(f"_t_{b}"), F.min_by(b, seen).alias(f"_v_{b}")]
+    return aggs
 
-    return pixels.groupBy(*keys).agg(
-        *[mean(b, nd) for b, nd in nodata.items()],
-        F.sum(water).cast("int").alias(water),
-    )
+
+def _settled(nodata: Mapping[str, float], lead: str, water: str) -> dict[str, Column]:
+    def pick(band: str) -> Column:
+        too_late = (F.col("_water") > 0) & (F.col(f"_t_{band}") > F.col("_k"))
+        usable = F.col(f"_t_{band}").isNotNull() & ~F.coalesce(too_late, F.lit(False))
+        return F.when(usable, F.col(f"_v_{band}")).otherwise(F.lit(nodata[band]))
+
+    return {b: pick(b) for b in nodata if b != lead} | {
+        lead: F.coalesce(F.col("_lead"), F.lit(float(nodata[lead])).cast("float")),
+        water: F.coalesce(F.col("_water"), F.lit(S.WATER_VALUE_NODATA)),
+    }
 
 
 def composite_first_valid(
@@ -119,26 +148,26 @@ def composite_first_valid(
     Water is only ever seen where the other bands are masked out, which makes
     this closed form equal to a walk through the times in order.
     """
-    t = F.col(time)
-    settled = F.when(is_valid(F.col(lead), nodata[lead]) | (F.col(water) > 0), t)
-    aggs = [
-        F.min(settled).alias("_k"),
-        F.min_by(lead, settled).alias("_lead"),
-        F.min_by(water, settled).alias("_water"),
-    ]
-    bands = [b for b in nodata if b != lead]
-    for b in bands:
-        seen = F.when(is_valid(F.col(b), nodata[b]), t)
-        aggs += [F.min(seen).alias(f"_t_{b}"), F.min_by(b, seen).alias(f"_v_{b}")]
+    out = pixels.groupBy(*keys).agg(*_first_values(nodata, time, lead, water))
+    return out.select(*keys, *[c.alias(n) for n, c in _settled(nodata, lead, water).items()])
 
-    def pick(band: str) -> Column:
-        too_late = (F.col("_water") > 0) & (F.col(f"_t_{band}") > F.col("_k"))
-        usable = F.col(f"_t_{band}").isNotNull() & ~F.coalesce(too_late, F.lit(False))
-        return F.when(usable, F.col(f"_v_{band}")).otherwise(F.lit(nodata[band])).alias(band)
 
-    return pixels.groupBy(*keys).agg(*aggs).select(
-        *keys,
-        *[pick(b) for b in bands],
-        F.coalesce(F.col("_lead"), F.lit(float(nodata[lead])).cast("float")).alias(lead),
-        F.coalesce(F.col("_water"), F.lit(S.WATER_VALUE_NODATA)).alias(water),
+def composite_either(
+    pixels: DataFrame,
+    keys: list[str],
+    nodata: Mapping[str, float],
+    first: Column,
+    time: str = "ts",
+    lead: str = "TCW",
+    water: str = "water",
+) -> DataFrame:
+    """:func:`composite_first_valid` where the aggregate ``first`` holds, else :func:`average_over_day`.
+
+    Both are taken in one aggregate, so pixels are read and moved once.
+    """
+    means = _means(nodata, water)
+    out = pixels.groupBy(*keys).agg(
+        first.alias("_first"), *[c.alias(f"_m_{n}") for n, c in means.items()], *_first_values(nodata, time, lead, water)
     )
+    chosen = _settled(nodata, lead, water)
+    return out.select(*keys, *[F.when(F.col("_first"), chosen[n]).otherwise(F.col(f"_m_{n}")).alias(n) for n in means])

@@ -9,7 +9,9 @@ hold the pixel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,37 +22,39 @@ from rasterdrill.functions import pixel as P
 from rasterdrill.grid import Grid
 from rasterdrill.operators import combine as C
 from rasterdrill.operators import geometry as G
+from rasterdrill.operators import reproject as R
 from rasterdrill.operators import temporal as T
 from rasterdrill.sources import scenes as SC
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import counted, sized
+from rasterdrill.tuning import counted, one_row, sized
 
 _PLACE = ("tile_id", "y", "x")
 
 
-def _fused_in_polygons(
-    pixels: DataFrame,
-    scenes: DataFrame,
-    footprints: int,
-    polygons: DataFrame,
-    grid: Grid,
-    ranges: DataFrame | None,
-    **rules,
+def _near(pixels: DataFrame, tiles: Column, segments: DataFrame) -> DataFrame:
+    """Pixels inside any polygon, each once: files first, then the mask."""
+    return G.inside_any(pixels.filter(tiles), segments.select("tile_id", "y", "x_from", "x_to"))
+
+
+def _fused(
+    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, mask: G.Mask, **rules
 ) -> DataFrame:
-    """Solar-day pixels with the ``poly_id`` of every polygon that holds them.
+    """Solar-day pixels inside any polygon, by the set of polygons that hold them.
 
-    Pixels outside all polygons go before the merge of overlapping scenes; the
-    merge is shared by overlapping polygons, unless requests have their own time
-    ranges, which may split a day differently for each.
+    Pixels outside all polygons go before the merge of overlapping scenes.
     """
-    mask = G.polygon_mask(polygons, grid, ranges=ranges)
-    extents = G.polygon_extents(polygons, grid)
-    sc = sized(G.scene_tiles(scenes, extents, grid, "grp", "ord"), footprints)
-    near = G.inside_any(G.at_polygons(pixels, polygons, grid), mask.union())
-    kept = C.with_scene_tiles(near, sc, "grp", "ord")
-    if ranges is None:
-        return G.inside_each(C.fuse(kept, **rules), mask.each)
-    return C.fuse(G.inside_each(kept, mask.each), keys=("poly_id", *C.PIXEL_KEY), **rules)
+    segments = mask.overlay().segments
+    kept = C.with_scene_tiles(_near(pixels, G.polygon_tiles(polygons, grid), segments), scenes, "grp", "ord")
+    return G.in_segments(C.fuse(kept, **rules), segments)
+
+
+def _fused_in_ranges(
+    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, mask: G.Mask, **rules
+) -> DataFrame:
+    """Solar-day pixels per polygon: a time range may split a day differently for each."""
+    near = G.inside_each(pixels.filter(G.polygon_tiles(polygons, grid)), mask.each)
+    kept = C.with_scene_tiles(near, scenes, "grp", "ord")
+    return C.fuse(kept, keys=("poly_id", *C.PIXEL_KEY), **rules)
 
 
 # --- ground cover ------------------------------------------------------------
@@ -97,12 +101,17 @@ def cover_counts(
     bands = SC.filter_time_range(pixels, time).select(
         "scene_id", "ts", *_PLACE, *S.COVER_BANDS, "water"
     )
-    held = _fused_in_polygons(
-        bands, sc, footprints, polygons, grid, ranges,
-        first_valid={b: nodata for b in S.COVER_BANDS}, water="water",
-    )
-    counts = cover_statistics(held, ["poly_id", "grp"], nodata, strict_nodata)
+    mask = G.polygon_mask(polygons, grid, ranges=ranges)
     extents = G.polygon_extents(polygons, grid)
+    tiles = sized(G.scene_tiles(sc, extents, grid, "grp", "ord"), footprints)
+    rules = {"first_valid": {b: nodata for b in S.COVER_BANDS}, "water": "water"}
+    if ranges is None:
+        held = _fused(bands, tiles, polygons, grid, mask, **rules)
+        sums = cover_statistics(held, ["set_a", "set_b", "grp"], nodata, strict_nodata)
+        counts = G.spread(sums, mask.overlay().members, "grp")
+    else:
+        held = _fused_in_ranges(bands, tiles, polygons, grid, mask, **rules)
+        counts = cover_statistics(held, ["poly_id", "grp"], nodata, strict_nodata)
     spine = G.time_spine(extents, sc, grid, ranges=ranges, footprints=footprints)
     return spine.join(counts, ["poly_id", "grp"], "left")
 
@@ -150,6 +159,8 @@ def cover_drill_products(
     mask = G.polygon_mask(polygons, grid)
     extents = G.polygon_extents(polygons, grid)
     held, spines = [], []
+    over = mask.overlay()
+    near_tiles = G.polygon_tiles(polygons, grid)
     for (pixels, scenes), rules in (
         (cover, {"first_valid": {b: nodata for b in S.COVER_BANDS}}), (water, {"water": "water"}),
     ):
@@ -158,12 +169,11 @@ def cover_drill_products(
         sc = SC.group_scenes(taken, "solar_day")
         bands = [*rules.get("first_valid", {}), *([rules["water"]] if "water" in rules else [])]
         px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, *bands)
-        near = G.inside_any(G.at_polygons(px, polygons, grid), mask.union())
         tiles = sized(G.scene_tiles(sc, extents, grid, "grp", "ord"), footprints)
-        held.append(C.fuse(C.with_scene_tiles(near, tiles, "grp", "ord"), **rules))
+        held.append(C.fuse(C.with_scene_tiles(_near(px, near_tiles, over.segments), tiles, "grp", "ord"), **rules))
         spines.append(G.time_spine(extents, sc, grid, footprints=footprints).select("poly_id", "grp", "time"))
-    aligned = G.inside_each(C.juxtapose(*held), mask.each)
-    counts = cover_statistics(aligned, ["poly_id", "grp"], nodata, strict_nodata)
+    aligned = G.in_segments(C.juxtapose(*held), over.segments)
+    counts = G.spread(cover_statistics(aligned, ["set_a", "set_b", "grp"], nodata, strict_nodata), over.members, "grp")
     both = spines[0].join(spines[1].withColumnRenamed("time", "_time"), ["poly_id", "grp"])
     spine = both.select("poly_id", "grp", F.least("time", "_time").alias("time"))
     return _cover_shares(spine.join(counts, ["poly_id", "grp"], "left"))
@@ -194,14 +204,15 @@ def mangrove_drill(
     """
     band = "canopy_cover_class"
     sc = SC.filter_time_range(scenes, time)
-    px = G.at_polygons(SC.filter_time_range(pixels, time), polygons, grid)
-    mask = G.polygon_mask(polygons, grid, ranges=ranges)
+    px = SC.filter_time_range(pixels, time).filter(G.polygon_tiles(polygons, grid))
+    over = G.polygon_mask(polygons, grid, ranges=ranges).overlay()
     if overlapping:
-        px = _fuse_exact(G.inside_any(px, mask.union()), sc, {band: 255})
-    held = G.inside_each(px.select("ts", *_PLACE, band), mask.each)
-    counts = held.groupBy("poly_id", F.col("ts").alias("grp")).agg(
+        px = _fuse_exact(G.inside_any(px, over.segments.select("tile_id", "y", "x_from", "x_to")), sc, {band: 255})
+    held = G.in_segments(px.select("ts", *_PLACE, band), over.segments)
+    sums = held.groupBy("set_a", "set_b", F.col("ts").alias("grp")).agg(
         *[F.count_if(F.col(band) == k).alias(name) for k, name in S.CANOPY_CLASSES.items()]
     )
+    counts = G.spread(sums, over.members, "grp")
     spine = G.time_spine(
         G.polygon_extents(polygons, grid), SC.group_scenes(sc, "exact"), grid, ranges=ranges
     )
@@ -228,7 +239,7 @@ def point_water(
     taken = SC.filter_time_range(scenes, time)
     _, footprints = G.scene_sizes(taken, grid)
     sc = SC.group_scenes(taken, "solar_day")
-    n_points = points.count()
+    n_points = one_row(points.agg(F.count(F.lit(1))))[0]
     located = G.points_to_pixels(points.select("point_id", "lon", "lat"), grid)
     cells = sized(located.select(*_PLACE).distinct(), n_points)
     px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, "water")
@@ -307,8 +318,8 @@ def wetland_pixels(pixels: DataFrame, *keep: str) -> DataFrame:
     return C.apply_mask(ready, "pmask", WETLAND_NODATA)
 
 
-def wetland_area(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WET_THRESHOLD) -> DataFrame:
-    """Per key: valid and wet pixel counts, water, and summed cover fractions.
+def wetland_sums(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WET_THRESHOLD) -> DataFrame:
+    """Per key: valid and wet pixel counts, water, and summed cover in percent.
 
     Cover counts only where wetness is valid and below the threshold.
     """
@@ -319,77 +330,174 @@ def wetland_area(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WE
         (F.sum(water) + F.count_if(valid)).alias("valid"),
         F.sum(water).alias("water"),
         F.count_if(P.is_wet(wetness, threshold)).alias("wet"),
-        *[
-            (F.sum(F.when(ground, F.col(b)).otherwise(0).cast("double")) / 100).alias(b)
-            for b in S.COVER_BANDS
-        ],
+        *[F.sum(F.when(ground, F.col(b)).otherwise(0).cast("double")).alias(b) for b in S.COVER_BANDS],
     )
 
 
-def _wetland_held(
-    pixels: DataFrame,
-    scenes: DataFrame,
-    polygons: DataFrame,
-    grid: Grid,
-    mask: G.Mask,
-    overlapping: bool,
-) -> DataFrame:
-    """Usable wetland pixels at exact times, per polygon that touches them.
+def wetland_area(pixels: DataFrame, keys: Sequence[str], threshold: float = S.WET_THRESHOLD) -> DataFrame:
+    """:func:`wetland_sums` with cover as summed fractions."""
+    return _as_fractions(wetland_sums(pixels, keys, threshold))
 
-    Tiles first, then the mask, then scenes: what is outside every polygon never moves.
-    """
-    bands = (*S.COVER_BANDS, *S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity", "water")
-    near = G.at_polygons(pixels.select("scene_id", "ts", *_PLACE, *bands), polygons, grid)
-    tiles = G.scene_tiles(scenes, G.polygon_extents(polygons, grid), grid)
-    _, footprints = G.scene_sizes(scenes, grid)
-    tiles = sized(tiles, footprints)
-    if overlapping:
-        values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
-        kept = C.with_scene_tiles(G.inside_any(near, mask.union()), tiles)
-        return G.inside_each(wetland_pixels(_fuse_exact(kept, scenes, values), "ts", *_PLACE), mask.each)
-    kept = C.with_scene_tiles(G.inside_each(near, mask.each), tiles)
-    return wetland_pixels(kept, "poly_id", "ts", *_PLACE)
 
+def _as_fractions(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({b: F.col(b) / 100 for b in S.COVER_BANDS})
 
-def _windowed(
-    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, aggregate,
-    time, ranges: DataFrame | None, overlapping: bool, mask: G.Mask | None,
-) -> DataFrame:
+
+class Product(NamedTuple):
+    """A product stored by itself: its pixels and its own scenes."""
+
+    pixels: DataFrame
+    scenes: DataFrame
+
+
+class _Request(NamedTuple):
+    """What the wetland drill is asked for, apart from where pixels come from."""
+
+    polygons: DataFrame
+    grid: Grid
+    mask: G.Mask
+    time: object
+    ranges: DataFrame | None
+
+    def spine(self, scenes: DataFrame) -> DataFrame:
+        extents = G.polygon_extents(self.polygons, self.grid)
+        return G.time_spine(extents, SC.group_scenes(scenes, "exact"), self.grid, ranges=self.ranges).select(
+            "poly_id", F.col("time").alias("ts")
+        )
+
+
+class _Held(NamedTuple):
+    """Usable wetland pixels ``(ts, place, bands)`` inside any polygon, and the times they may have."""
+
+    pixels: DataFrame
+    times: DataFrame  # poly_id, ts; only read where pixels are composited
+    scenes: DataFrame  # of which no time is outside
+
+
+def _together(pixels: DataFrame, scenes: DataFrame, overlapping: bool, source: Grid | None):
+    """One table of joined pixels: tiles first, then the mask, then scenes.
+
+    With ``source`` the pixels lie on that longitude/latitude grid and are resampled to the
+    metric grid of the request. Files are pruned to the source tiles under the request's
+    tiles; a mask on the target's grid is met right after.
+    """
+    def held(q: _Request) -> _Held:
+        sc = wetland_scenes(SC.filter_time_range(scenes, q.time))
+        bands = (*S.COVER_BANDS, *S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity", "water")
+        px = SC.filter_time_range(pixels, q.time).select("scene_id", "ts", *_PLACE, *bands)
+        segments = q.mask.overlay().segments.select("tile_id", "y", "x_from", "x_to")
+        extents = G.polygon_extents(q.polygons, q.grid)
+        _, footprints = G.scene_sizes(sc, source or q.grid)
+        if source is None:
+            near = _near(px, G.polygon_tiles(q.polygons, q.grid), segments)
+            tiles = sized(G.scene_tiles(sc, extents, q.grid), footprints)
+            kept = C.with_scene_tiles(near, tiles)
+        else:
+            under = R.source_tiles(G.extent_blocks(extents, q.grid).select("_tx", "_ty").distinct(), q.grid, source)
+            tiles = sized(G.scenes_on_tiles(sc, under, source), footprints)
+            kept = C.with_scene_tiles(px.filter(G.tile_filter(under)), tiles)
+            moved = R.reproject_nearest(kept, source, q.grid)
+            placed = moved.select("scene_id", "ts", F.col("target_tile").alias("tile_id"), F.col("ty").alias("y"), F.col("tx").alias("x"), *bands)
+            kept = G.inside_any(placed, segments)
+        if overlapping:
+            values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
+            kept = _fuse_exact(kept, sc, values)
+        return _Held(wetland_pixels(kept, "ts", *_PLACE), q.spine(sc) if source is None else None, sc)
+
+    return held
+
+
+def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
+    """Products stored apart: cover, the collated sensors and water, side by side at exact times.
+
+    Each has its own scenes; those of the sensors are filtered by quality and calendar.
+    Scenes are aligned before pixels: a time and tile that one of the three lacks is not
+    read from the others further than the scan. Each table is read once. Tables bucketed
+    by tile and time (``sources.pixels.write_bucketed``) are not shuffled: each is cut to
+    the mask where it lies, and sorted only for the joins.
+    """
+    def held(q: _Request) -> _Held:
+        keys = ["ts", *_PLACE]
+        good = {n: Product(p.pixels, wetland_scenes(p.scenes)) for n, p in surfaces.items()}
+        every = [cover, *good.values(), water]
+        scenes = [SC.filter_time_range(p.scenes, q.time) for p in every]
+        extents = G.polygon_extents(q.polygons, q.grid)
+        tiled = [G.scene_tiles(s, extents, q.grid, "ts") for s in scenes]
+        footprints = [G.scene_sizes(s, q.grid)[1] for s in scenes]
+        spots = [t.select("ts", "tile_id") for t in tiled]
+        common = spots[0].join(reduce(DataFrame.unionByName, spots[1:-1]), ["ts", "tile_id"], "left_semi").join(
+            spots[-1], ["ts", "tile_id"], "left_semi"
+        ).distinct()
+        near_tiles = G.polygon_tiles(q.polygons, q.grid)
+        segments = q.mask.overlay().segments
+
+        def near(product: Product, scene_tiles: DataFrame, bound: int, bands: Sequence[str]) -> DataFrame:
+            px = SC.filter_time_range(product.pixels, q.time).select("scene_id", *keys, *bands)
+            asked = scene_tiles.join(common, ["ts", "tile_id"], "left_semi").select("scene_id", "tile_id")
+            return C.with_scene_tiles(_near(px, near_tiles, segments), sized(asked, bound)).drop("scene_id")
+
+        surface = (*S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity")
+        wanted = [S.COVER_BANDS, *[surface] * len(surfaces), ("water",)]
+        parts = [near(*x) for x in zip(every, tiled, footprints, wanted)]
+        base = C.juxtapose(parts[0], parts[-1], keys)
+        kept = C.collate_beside(base, dict(zip(surfaces, parts[1:-1])), keys)
+        spines = [q.spine(s) for s in (scenes[0], reduce(DataFrame.unionByName, scenes[1:-1]), scenes[-1])]
+        times = spines[0].join(spines[1], ["poly_id", "ts"], "left_semi").join(spines[2], ["poly_id", "ts"], "left_semi")
+        return _Held(wetland_pixels(kept, "ts", *_PLACE), times, scenes[-1])
+
+    return held
+
+
+def _windowed(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
     """Usable pixels with the window they fall in: ``anchor, n_times, days``."""
-    mask = mask or G.polygon_mask(polygons, grid, all_touched=True, ranges=ranges)
-    sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    held = _wetland_held(SC.filter_time_range(pixels, time), sc, polygons, grid, mask, overlapping)
-    extents = G.polygon_extents(polygons, grid)
-    spine = G.time_spine(extents, SC.group_scenes(sc, "exact"), grid, ranges=ranges)
-    times = spine.select("poly_id", F.col("time").alias("ts"))
+    found = source(q)
+    held = G.inside_each(found.pixels, q.mask.each)
     if isinstance(aggregate, int):
-        windows = T.anchored_windows(times, aggregate).withColumn("days", F.lit(aggregate))
+        windows = T.anchored_windows(found.times, aggregate).withColumn("days", F.lit(aggregate))
     else:
-        asked = times.join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
+        asked = found.times.join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
         windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days")
-    n_times = G.spine_bound(extents, sc, grid)
+    extents = G.polygon_extents(q.polygons, q.grid)
+    n_times = G.spine_bound(extents, found.scenes, q.grid)
     if n_times > tuning.BROADCAST_ROWS:
         n_times = windows.count()  # the bound counts every scene of a tile
     if n_times <= tuning.BROADCAST_ROWS:
         return held.join(F.broadcast(windows), ["poly_id", "ts"])
     # With the tile in the key, a polygon and time of any size is many groups.
-    tiles = G.extent_tiles(extents, grid).select("poly_id", "tile_id")
+    tiles = G.extent_tiles(extents, q.grid).select("poly_id", "tile_id")
     return held.join(windows.join(tiles, "poly_id").hint("merge"), ["poly_id", "ts", "tile_id"])
 
 
-def _merged_windows(placed: DataFrame) -> DataFrame:
-    """``(poly_id, anchor, pixel)`` rows; a window of one time is that time, and needs no merge."""
+def _composite(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
+    """``(poly_id, anchor, pixel)`` rows, each pixel read once and merged once.
+
+    Where requests differ, means and first values are taken side by side and the request's
+    length of window chooses. A window of one time comes out as that time by either rule.
+    """
     keys = ["poly_id", "anchor", *_PLACE]
+    placed = _windowed(source, q, aggregate)
     types = {b: "float" for b in WETLAND_NODATA} | {"water": "int"}
-    single = placed.filter("days = 0 OR n_times = 1")
-    several = placed.filter("days > 0 AND n_times > 1")
-    parts = [
-        single.withColumn("anchor", F.when(F.col("days") == 0, F.col("ts")).otherwise(F.col("anchor"))),
-        T.average_over_day(several.filter("days = 1"), keys, WETLAND_NODATA),
-        T.composite_first_valid(several.filter("days > 1"), keys, WETLAND_NODATA),
-    ]
-    typed = [p.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in types.items()]) for p in parts]
-    return typed[0].unionByName(typed[1]).unionByName(typed[2])
+    if isinstance(aggregate, int):
+        rule = T.average_over_day if aggregate == 1 else T.composite_first_valid
+        merged = rule(placed, keys, WETLAND_NODATA)
+    else:
+        placed = placed.withColumn("anchor", F.when(F.col("days") == 0, F.col("ts")).otherwise(F.col("anchor")))
+        merged = T.composite_either(placed, keys, WETLAND_NODATA, F.max("days") > 1)
+    return merged.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in types.items()])
+
+
+def _request(polygons, grid, time, ranges, mask) -> _Request:
+    mask = mask or G.polygon_mask(polygons, grid, all_touched=True, ranges=ranges)
+    return _Request(polygons, grid, mask, time, ranges)
+
+
+def _areas(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
+    if not isinstance(aggregate, int) or aggregate > 0:
+        return wetland_area(_composite(source, q, aggregate), ["poly_id", F.col("anchor").alias("time")])
+    over = q.mask.overlay()
+    held = G.in_segments(source(q).pixels, over.segments)
+    sums = wetland_sums(held, ["set_a", "set_b", "ts"])
+    return _as_fractions(G.spread(sums, over.members, "ts").withColumnRenamed("ts", "time"))
 
 
 def wetland_composite(
@@ -408,8 +516,7 @@ def wetland_composite(
     Windows follow each polygon's own times, so pixels are merged per polygon.
     ``aggregate`` may be a table ``(poly_id, aggregate)``, one value per request.
     """
-    placed = _windowed(pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping, mask)
-    return _merged_windows(placed)
+    return _composite(_together(pixels, scenes, overlapping, None), _request(polygons, grid, time, ranges, mask), aggregate)
 
 
 def wetland_areas(
@@ -422,6 +529,7 @@ def wetland_areas(
     aggregate: int | DataFrame = 0,
     overlapping: bool = False,
     mask: G.Mask | None = None,
+    source: Grid | None = None,
 ) -> DataFrame:
     """:func:`wetland_area` per polygon and time, after compositing if asked.
 
@@ -429,15 +537,20 @@ def wetland_areas(
     take the first usable value in windows of that length. A table ``(poly_id,
     aggregate)`` gives each request its own; one without a row has 0.
     """
-    if not isinstance(aggregate, int) or aggregate > 0:
-        merged = wetland_composite(
-            pixels, scenes, polygons, grid, aggregate, time, ranges, overlapping, mask
-        )
-        return wetland_area(merged, ["poly_id", F.col("anchor").alias("time")])
-    mask = mask or G.polygon_mask(polygons, grid, all_touched=True, ranges=ranges)
-    sc = wetland_scenes(SC.filter_time_range(scenes, time))
-    held = _wetland_held(SC.filter_time_range(pixels, time), sc, polygons, grid, mask, overlapping)
-    return wetland_area(held, ["poly_id", F.col("ts").alias("time")])
+    if source is not None and (not isinstance(aggregate, int) or aggregate):
+        raise ValueError("windows follow scenes on the request's own grid; drill stored, reprojected pixels for them")
+    return _areas(_together(pixels, scenes, overlapping, source), _request(polygons, grid, time, ranges, mask), aggregate)
+
+
+def _wetland_shares(areas: DataFrame, mask: G.Mask, outlines: DataFrame) -> DataFrame:
+    kept = areas.join(mask.area(), "poly_id").filter(
+        F.col("valid") / F.col("total_area") > F.lit(S.MIN_VALID_SHARE)
+    )
+    shares = kept.dropna().select(
+        "poly_id", "time",
+        *[(F.col(c) / F.col("valid")).alias(c) for c in ("water", "wet", *S.COVER_BANDS)],
+    )
+    return shares.join(G.convex_hull(outlines), "poly_id")
 
 
 def wetland_drill(
@@ -448,15 +561,32 @@ def wetland_drill(
 
     Shares of the valid area, for times at which more than nine tenths of the
     polygon is valid. ``outlines`` are the polygons in request coordinates, for the
-    hull, where ``polygons`` were projected.
+    hull, where ``polygons`` were projected. With ``source``, pixels lie on that
+    longitude/latitude grid and are resampled to ``grid``, which is in metres.
     """
     mask = G.polygon_mask(polygons, grid, all_touched=True, ranges=options.get("ranges"))
     areas = wetland_areas(pixels, scenes, polygons, grid, mask=mask, **options)
-    kept = areas.join(mask.area(), "poly_id").filter(
-        F.col("valid") / F.col("total_area") > F.lit(S.MIN_VALID_SHARE)
-    )
-    shares = kept.dropna().select(
-        "poly_id", "time",
-        *[(F.col(c) / F.col("valid")).alias(c) for c in ("water", "wet", *S.COVER_BANDS)],
-    )
-    return shares.join(G.convex_hull(polygons if outlines is None else outlines), "poly_id")
+    return _wetland_shares(areas, mask, polygons if outlines is None else outlines)
+
+
+def wetland_drill_products(
+    cover: Product,
+    surfaces: Mapping[str, Product],
+    water: Product,
+    polygons: DataFrame,
+    grid: Grid,
+    time=None,
+    ranges: DataFrame | None = None,
+    aggregate: int | DataFrame = 0,
+    outlines: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`wetland_drill` over cover, sensors and water stored apart, each with its own scenes.
+
+    ``surfaces`` are the sensors by name. Their scenes are filtered by quality figure and
+    sensor calendar; those of cover and water are taken as they are. A time or pixel that
+    one of the three lacks gives nothing. ``aggregate`` is as in :func:`wetland_areas`;
+    windows follow the times that all three have.
+    """
+    mask = G.polygon_mask(polygons, grid, all_touched=True, ranges=ranges)
+    areas = _areas(_apart(cover, surfaces, water), _request(polygons, grid, time, ranges, mask), aggregate)
+    return _wetland_shares(areas, mask, polygons if outlines is None else outlines)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side is at most this many rows (a row here is some 40 bytes).
@@ -14,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Tables bucketed by tile and time align on time and pixel as they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Recording the call site of every column expression takes milliseconds each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -28,9 +33,30 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
+@contextmanager
+def one_job(spark: SparkSession) -> Iterator[None]:
+    """Run metadata queries as one job each.
+
+    Adaptive execution submits every stage as a job and plans again after it, which takes
+    longer than these queries over scenes and polygons do.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def one_row(df: DataFrame) -> Row:
+    """The row of an aggregate, in one job."""
+    with one_job(df.sparkSession):
+        return df.collect()[0]
+
+
 def counted(df: DataFrame) -> DataFrame:
     """:func:`sized` with the size counted; for metadata tables, never pixels."""
-    return sized(df, df.count())
+    return sized(df, one_row(df.agg(F.count(F.lit(1))))[0])
 
 
 def shared_folder(spark: SparkSession) -> str:
