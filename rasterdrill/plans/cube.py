@@ -47,13 +47,16 @@ def _tile_origin(tile: str):
     return (t % 8) * 8 + WEST, F.floor(t / F.lit(8.0)).cast("bigint") * 8 + NORTH
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scene per order; two overlapping scenes per tile and pass, 37 days apart."""
+def scenes(spark: SparkSession, sf_dir: str, having: str = "true") -> DataFrame:
+    """One scene per order; two overlapping scenes per tile and pass, 37 days apart.
+
+    ``having`` is a condition on the order, for products that were not made of every scene.
+    """
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
     keyed = table(spark, sf_dir, "orders").select(
-        order.alias("scene_id"), cust, _n_tiles(spark, sf_dir).alias("n")
+        order.alias("scene_id"), cust, "o_orderstatus", "o_orderpriority", _n_tiles(spark, sf_dir).alias("n")
     )
-    placed = keyed.select(
+    placed = keyed.filter(having).select(
         "scene_id",
         (F.col("scene_id") % F.col("n")).alias("tile_id"),
         F.expr("scene_id div n").alias("visit"),
@@ -80,14 +83,15 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense pixel table: each scene sees every pixel of its tile."""
+def pixels(spark: SparkSession, sf_dir: str, taken: DataFrame | None = None) -> DataFrame:
+    """Dense pixel table: each scene (of ``taken``, if given) sees every pixel of its tile."""
     parts = table(spark, sf_dir, "part").selectExpr(
         "p_partkey", "p_size", "p_partkey div 64 AS part_tile", "p_partkey % 64 AS cell"
     )
     # The order file is one small block; spread the scenes before they multiply.
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shots = scenes(spark, sf_dir).select("scene_id", "tile_id", "ts").repartition(spread, "scene_id")
+    shots = scenes(spark, sf_dir) if taken is None else taken
+    shots = shots.select("scene_id", "tile_id", "ts").repartition(spread, "scene_id")
     raw = shots.join(parts, F.col("tile_id") == F.col("part_tile"))
     ox, oy = _tile_origin("tile_id")
 
@@ -131,6 +135,31 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The sensors, and what each of the other products was made of.
+SENSORS = ("ls5", "ls7", "ls8")
+MADE_OF = {
+    "cover": "NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')",
+    "water": "NOT (o_orderstatus = 'O' AND o_orderpriority = '5-LOW')",
+}
+COVER, SURFACE, WATER = 0, 1, 2
+
+
+def product(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels and scenes of a product stored by itself, with scene numbers of its own.
+
+    ``cover`` and ``water`` were not made of every scene; each sensor has its own table.
+    """
+    if name in SENSORS:
+        kind, sc = SURFACE, scenes(spark, sf_dir).filter(F.col("product") == name)
+        bands = ["blue", "green", "red", "nir", "swir1", "swir2", "fmask", "nbart_contiguity"]
+    else:
+        kind, sc = (COVER, scenes(spark, sf_dir, MADE_OF[name])) if name == "cover" else (WATER, scenes(spark, sf_dir, MADE_OF[name]))
+        bands = ["bs", "pv", "npv"] if name == "cover" else ["water"]
+    number = F.col("scene_id") * 3 + kind
+    px = pixels(spark, sf_dir, sc).select(number.alias("scene_id"), "ts", "tile_id", "y", "x", *bands)
+    return px, sc.withColumn("scene_id", number)
+
+
 # Shape templates: (kind, ring, seq, dx, dy, fy); a corner is the tile's origin
 # plus (dx, dy), plus fy times the grid's height. Triangle; notched shape with a
 # hole; sliver without a pixel centre; two shapes across tiles; the whole grid.
@@ -174,6 +203,18 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The metric grid that the archive is resampled to, and its origin's system.
+TARGET_GRID = Grid(res_x=30.0, res_y=-30.0, tile=8)
+
+
+def projected_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons in metres, with the archive seen as a longitude/latitude grid."""
+    lon = F.lit(LONLAT_GRID.origin_x) + F.col("vx") * F.lit(LONLAT_GRID.res_x)
+    lat = F.lit(LONLAT_GRID.origin_y) + F.col("vy") * F.lit(LONLAT_GRID.res_y)
+    east, north = Albers().forward(lon, lat)
+    return polygons(spark, sf_dir).withColumns({"vx": east, "vy": north})
+
+
 def lonlat_requests(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
     """The polygons as request texts in longitude and latitude, as they lie on a metric grid."""
     east = F.lit(grid.origin_x) + F.col("vx") * F.lit(grid.res_x)

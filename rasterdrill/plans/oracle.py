@@ -13,6 +13,7 @@ import re
 from rasterdrill.functions.projection import Albers
 from rasterdrill.plans.cube import (
     LONLAT_GRID,
+    MADE_OF,
     PARAMETER_TEXTS,
     RANGE_TEXTS,
     REQUEST_TEXTS,
@@ -77,6 +78,8 @@ _block("scenes", "grid", """
         FROM orders, grid)""")
 _block("good_scenes", "scenes",
        f"SELECT * FROM scenes WHERE gqa_iterative_mean_xy BETWEEN 0 AND 1 AND {_EPOCH}")
+for _name, _made in MADE_OF.items():
+    _block(f"{_name}_scenes", "", f"SELECT o_orderkey AS scene_id FROM orders WHERE {_made}")
 _block("pixels", "scenes", """
   SELECT scene_id, ts, tile_id, y, x,
     CAST(CASE WHEN m < 1 THEN 1 WHEN m < 2 THEN 2 WHEN m < 2 + cp THEN 64 WHEN m < 3 + cp THEN 32
@@ -353,18 +356,15 @@ def _forward(lon: str, lat: str) -> tuple[str, str]:
     return f"{rho} * sin({theta})", f"{_AL.rho_0!r}::DOUBLE - {rho} * cos({theta})"
 
 
-def _reproject() -> str:
-    """Enumerate the target grid, map every centre back and join on the source pixel."""
+def _source_ctes() -> str:
+    """Enumerate the target grid and map every centre back to its source pixel."""
     lon = f"({_G.origin_x!r}::DOUBLE + cx * {_G.res_x!r}::DOUBLE)"
     lat = f"({_G.origin_y!r}::DOUBLE + cy * {_G.res_y!r}::DOUBLE)"
     east, north = _forward(lon, lat)
     steps = ",\n".join(_lat_step(i) for i in range(1, 5))
     n, c, a = _AL.n, _AL.c, _AL.semi_major
     sign = -1 if n < 0 else 1
-    body = f"""SELECT ty, p.tile_id, count(*) AS n_obs, count(DISTINCT tx) AS n_target,
-    CAST(sum(tx) AS BIGINT) AS sum_tx, CAST(sum(water) AS BIGINT) AS sum_water, CAST(sum(bs * (tx % 97)) AS BIGINT) AS sum_bs
-  FROM pixels p JOIN src ON p.x = src.x AND p.y = src.y GROUP BY ty, p.tile_id"""
-    extra = f"""corner AS (SELECT cx, cy FROM (VALUES (-32), (32)) a(cx), (SELECT -24 AS cy UNION ALL SELECT (n + 7) // 8 * 8 - 24 FROM grid)),
+    return f"""corner AS (SELECT cx, cy FROM (VALUES (-32), (32)) a(cx), (SELECT -24 AS cy UNION ALL SELECT (n + 7) // 8 * 8 - 24 FROM grid)),
 box AS (SELECT min({east}) AS e0, max({east}) AS e1, min({north}) AS n0, max({north}) AS n1 FROM corner),
 tgt AS (SELECT tx, ty FROM (SELECT unnest(range(CAST(floor(e0 / 30) AS BIGINT) - 9, CAST(ceil(e1 / 30) AS BIGINT) + 9)) AS tx FROM box),
   (SELECT unnest(range(CAST(floor(n1 / -30) AS BIGINT) - 9, CAST(ceil(n0 / -30) AS BIGINT) + 9)) AS ty FROM box)),
@@ -375,7 +375,13 @@ ll0 AS (SELECT *, asin(q / 2) AS phi0 FROM ll_q),
 src AS (SELECT tx, ty,
   floor(({_AL.longitude_0!r}::DOUBLE + degrees(atan2({sign} * east, {sign} * dy) / {n!r}::DOUBLE) - {_G.origin_x!r}::DOUBLE) / {_G.res_x!r}::DOUBLE) AS x,
   floor((degrees(phi4) - ({_G.origin_y!r}::DOUBLE)) / {_G.res_y!r}::DOUBLE) AS y FROM ll4)"""
-    return _with(body, extra)
+
+
+def _reproject() -> str:
+    body = """SELECT ty, p.tile_id, count(*) AS n_obs, count(DISTINCT tx) AS n_target,
+    CAST(sum(tx) AS BIGINT) AS sum_tx, CAST(sum(water) AS BIGINT) AS sum_water, CAST(sum(bs * (tx % 97)) AS BIGINT) AS sum_bs
+  FROM pixels p JOIN src ON p.x = src.x AND p.y = src.y GROUP BY ty, p.tile_id"""
+    return _with(body, _source_ctes())
 
 
 def _project() -> str:
@@ -509,23 +515,63 @@ def _lonlat_drill(east0: float, north0: float) -> str:
 
 
 def _products_drill() -> str:
-    """Cover from scenes without remainder 3 by 7, water from those without remainder 3 by 5."""
-    def spine(by: int) -> str:
+    """Cover and water, each from the scenes it was made of."""
+    def spine(of: str) -> str:
         return f"""(SELECT poly_id, {_DAY} AS grp, min(ts) AS time FROM {_MET.format(s='scenes')}
-    WHERE scene_id % {by} <> 3 GROUP BY ALL)"""
+    WHERE scene_id IN (SELECT scene_id FROM {of}_scenes) GROUP BY ALL)"""
 
     fused = _BLOCKS["fused"][1]
     head, bands = fused.split("SELECT grp, tile_id, y, x,")[1].split("AS water,")
-    cover = "SELECT grp, tile_id, y, x," + bands.replace("FROM daily", "FROM daily WHERE scene_id % 7 <> 3")
-    water = f"SELECT grp, tile_id, y, x,{head}AS water FROM daily WHERE scene_id % 5 <> 3 GROUP BY ALL"
+    cover = "SELECT grp, tile_id, y, x," + bands.replace("FROM daily", "FROM daily SEMI JOIN cover_scenes USING (scene_id)")
+    water = f"SELECT grp, tile_id, y, x,{head}AS water FROM daily SEMI JOIN water_scenes USING (scene_id) GROUP BY ALL"
     return _with_changed(
         f"SELECT poly_id, time, {_COVER_ROUND} FROM cover",
-        fused=("daily", f"SELECT * FROM ({water}) w JOIN ({cover}) c USING (grp, tile_id, y, x)"),
-        spine_day=("extents scenes", f"""SELECT poly_id, grp, least(a.time, b.time) AS time, 0 AS n_scenes
-  FROM {spine(7)} a JOIN {spine(5)} b USING (poly_id, grp)"""),
+        fused=("daily cover_scenes water_scenes", f"SELECT * FROM ({water}) w JOIN ({cover}) c USING (grp, tile_id, y, x)"),
+        spine_day=("extents scenes cover_scenes water_scenes", f"""SELECT poly_id, grp, least(a.time, b.time) AS time, 0 AS n_scenes
+  FROM {spine('cover')} a JOIN {spine('water')} b USING (poly_id, grp)"""),
     )
 
 
+def _wetland_products(areas: str) -> str:
+    """Wetlands from the scenes that sensors, cover and water have in common, by time; times too."""
+    both = " AND scene_id IN (SELECT scene_id FROM cover_scenes) AND scene_id IN (SELECT scene_id FROM water_scenes)"
+    needs = "cover_scenes water_scenes"
+    spine = _BLOCKS["spine_good"][1]
+
+    def times(where: str) -> str:
+        return f"({spine.replace('SELECT DISTINCT', 'SELECT').replace('good_scenes s', 'scenes s')} WHERE {where})"
+
+    cover, water = (times(f"scene_id IN (SELECT scene_id FROM {n}_scenes)") for n in ("cover", "water"))
+    return _with_changed(
+        _WET_OUT.format(shares=_SHARES, areas=areas),
+        wet=(f"pixels good_scenes {needs}", _BLOCKS["wet"][1] + " WHERE true" + both.replace("AND scene_id", "AND p.scene_id")),
+        spine_good=(f"extents good_scenes scenes {needs}",
+                    f"SELECT * FROM ({spine}) g SEMI JOIN {cover} c USING (poly_id, time) SEMI JOIN {water} w USING (poly_id, time)"),
+    )
+
+
+def _reprojected_drill() -> str:
+    """Masks on the metric grid; every target pixel takes the source pixel under its centre."""
+    east, north = _forward("lon", "lat")
+    outline = _BLOCKS["poly"][1]
+    projected = f"""SELECT poly_id, ring, seq, ({east}) / 30.0::DOUBLE AS vx, ({north}) / -30.0::DOUBLE AS vy
+  FROM (SELECT poly_id, ring, seq, {_G.origin_x!r}::DOUBLE + vx * {_G.res_x!r}::DOUBLE AS lon,
+    {_G.origin_y!r}::DOUBLE + vy * {_G.res_y!r}::DOUBLE AS lat FROM ({outline}))"""
+    _block("outline", "grid", outline)
+    _block("source_of", "grid", f"WITH {_source_ctes()} SELECT * FROM src")
+    try:
+        return _with_changed(
+            _WET_OUT.format(shares=_SHARES, areas="areas"),
+            poly=("grid", projected),
+            cells=("extents", _BLOCKS["cells"][1].replace("WHERE x BETWEEN -32 AND 31", "")),
+            held=("wet mask_t source_of", """SELECT poly_id, wet.* FROM wet JOIN source_of o ON wet.x = o.x AND wet.y = o.y
+    JOIN mask_t m ON o.tx = m.x AND o.ty = m.y"""),
+            hull=("outline", re.sub(r"\bpoly ([abc])\b", r"outline \1", _BLOCKS["hull"][1])),
+        )
+    finally:
+        del _BLOCKS["outline"], _BLOCKS["source_of"]
+
+
 def _ranges_drill(ranges: str) -> str:
     """Water at points, each merged over the scenes of its own range."""
     inside = f"""(start IS NULL OR "end" IS NULL
@@ -687,6 +733,9 @@ SELECT request_id, status, CASE WHEN status = 'ok' THEN coalesce(days, 0) END AS
         "fc_drill": _with(f"SELECT poly_id, time, {_COVER_ROUND} FROM cover"),
         "fc_drill_lonlat": _lonlat_drill(1_500_000.0, -3_900_000.0),
         "fc_drill_products": _products_drill(),
+        "wit_drill_products": _wetland_products("areas"),
+        "wit_drill_products_yearly": _wetland_products("year_areas"),
+        "wit_drill_reprojected": _reprojected_drill(),
         "wit_drill_requests": _requests_drill(),
         "wofs_pixel_drill_ranges": _ranges_drill(ranges),
         "mangrove_drill": _with("SELECT * FROM mangrove"),

@@ -501,13 +501,37 @@ def wit_drill_requests(spark, sf):
 @query
 def fc_drill_products(spark, sf):
     """Ground cover where cover and water are stored apart, each with its own scenes."""
-    pixels, scenes = cube.pixels(spark, sf), cube.scenes(spark, sf)
-    cover, water = (scenes.filter(f"scene_id % {n} <> 3") for n in (7, 5))
-    drill = D.cover_drill_products(
-        (pixels.drop("water"), cover), (pixels.select("scene_id", "ts", "tile_id", "y", "x", "water"), water),
-        cube.polygons(spark, sf), GRID,
+    cover, water = (cube.product(spark, sf, n) for n in ("cover", "water"))
+    return _round6(D.cover_drill_products(cover, water, cube.polygons(spark, sf), GRID), *S.COVER_SERIES)
+
+
+def _products(spark, sf) -> tuple[D.Product, dict[str, D.Product], D.Product]:
+    cover, water, *sensors = (D.Product(*cube.product(spark, sf, n)) for n in ("cover", "water", *cube.SENSORS))
+    return cover, dict(zip(cube.SENSORS, sensors)), water
+
+
+@query
+def wit_drill_products(spark, sf):
+    """Wetlands where cover, each sensor and water are stored apart, each with its own scenes."""
+    drill = D.wetland_drill_products(*_products(spark, sf), cube.polygons(spark, sf), GRID)
+    return _round6(drill, *WETLAND_SHARES)
+
+
+@query
+def wit_drill_products_yearly(spark, sf):
+    """The same with windows of a year, which follow the times that all products have."""
+    drill = D.wetland_drill_products(*_products(spark, sf), cube.polygons(spark, sf), GRID, aggregate=365)
+    return _round6(drill, *WETLAND_SHARES)
+
+
+@query
+def wit_drill_reprojected(spark, sf):
+    """Wetlands in metres from an archive in longitude and latitude, resampled inside the drill."""
+    drill = D.wetland_drill(
+        cube.pixels(spark, sf), cube.scenes(spark, sf), cube.projected_polygons(spark, sf), cube.TARGET_GRID,
+        outlines=cube.polygons(spark, sf), source=cube.LONLAT_GRID,
     )
-    return _round6(drill, *S.COVER_SERIES)
+    return _round6(drill, *WETLAND_SHARES)
 
 
 # --- compositing -------------------------------------------------------------

@@ -45,3 +45,21 @@ def write_pixels(pixels: DataFrame, path: str, files_per_tile: int = 1) -> None:
         .partitionBy("tile_id")
         .parquet(path)
     )
+
+
+def write_bucketed(pixels: DataFrame, table: str, buckets: int) -> None:
+    """Store a pixel table bucketed by tile and time, for products that are aligned.
+
+    Tables with the same number of buckets meet on ``(ts, tile_id, y, x)`` without a
+    shuffle (``tuning.SESSION_CONF`` lets a join be satisfied with buckets on some of its
+    keys). Neither a tile nor a time is one bucket. Rows of a bucket are sorted by tile, so
+    a filter on tiles skips row groups.
+    """
+    keys = ("tile_id", "ts")
+    (
+        pixels.repartition(buckets, *keys)
+        .sortWithinPartitions(*keys, "y", "x")
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys, "y", "x")
+        .saveAsTable(table)
+    )
