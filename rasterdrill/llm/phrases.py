@@ -254,15 +254,21 @@ def _merged(runs: DataFrame, heavy: np.ndarray, least: int) -> DataFrame:
     return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "w1 bigint, w2 bigint, w3 bigint, f bigint")
 
 
-def _with_word(rows: DataFrame, column: str, words: DataFrame, heavy: list[int], name: str) -> DataFrame:
-    """Add word and count of the word ``column``; heavy words by broadcast, as a third of all phrases may hold one."""
-    side = words.select(F.col("id").alias(column), F.col("word").alias(name), F.col("f").alias(f"f_{name}"), F.col("lang").alias(f"lang_{name}"))
-    if not heavy:
-        return rows.join(side, column)
-    hot = F.col(column).isin(heavy)
-    return rows.filter(hot).join(F.broadcast(side.filter(hot)), column).unionByName(
-        rows.filter(~hot).join(side.filter(~hot), column)
-    )
+def _with_word(rows: DataFrame, column: str, words: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """Add word, count and language of the word ``column``; null where it is 0.
+
+    A third of all phrases may hold one heavy word. These come by broadcast, and a row that
+    has found one looks among the others under a key of its own, so it joins no group.
+    """
+    def side(of: DataFrame, key: str, end: str) -> DataFrame:
+        return of.select(F.col("id").alias(key), F.col("word").alias(f"_w{end}"), F.col("f").alias(f"_f{end}"), F.col("lang").alias(f"_l{end}"))
+
+    met = rows.join(F.broadcast(side(hot, column, "h")), column, "left")
+    alone = F.col("_wh").isNotNull() | (F.col(column) == 0)
+    met = met.withColumn("_key", F.when(alone, F.xxhash64("w1", "w2", "w3", F.lit(column))).otherwise(F.col(column)))
+    met = met.join(side(words, "_key", "r").hint("merge"), "_key", "left")
+    found = {f"{new}{name}": F.coalesce(F.col(f"{old}h"), F.when(~alone, F.col(f"{old}r"))) for new, old in (("", "_w"), ("f_", "_f"), ("lang_", "_l"))}
+    return met.withColumns(found).select(*rows.columns, *found)
 
 
 def phrase_counts(docs: DataFrame, least: int, work: Work) -> tuple[DataFrame, DataFrame, list[int]]:
@@ -299,32 +305,36 @@ def collocations(
     plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words, phrases, heavy = phrase_counts(plain, least, work)
     pairs = phrases.filter("w3 = 0").select("w1", "w2", F.col("f").alias("a"))
-    threes = phrases.filter("w3 <> 0").withColumnRenamed("f", "a")
+    threes = phrases.filter("w3 <> 0").select("w1", "w2", F.col("f").alias("a"), "w3")
     cover = threes.select("w1", "w2", "a").unionByName(threes.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
     cover = cover.groupBy("w1", "w2").agg(F.max("a").alias("longer"))
-    lone = pairs.join(cover, ["w1", "w2"], "left").filter(f"longer IS NULL OR 100 * longer < {inside} * a").drop("longer")
+    lone = pairs.join(cover, ["w1", "w2"], "left").filter(f"longer IS NULL OR 100 * longer < {inside} * a")
+    lone = lone.select("w1", "w2", F.lit(0).cast("bigint").alias("w3"), "a", *[F.lit(None).cast("bigint").alias(c) for c in ("f_xy", "f_yz")])
+    front = pairs.select("w1", "w2", F.col("a").alias("f_xy"))
+    back = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f_yz"))
+    three = threes.join(front.hint("merge"), ["w1", "w2"]).join(back.hint("merge"), ["w2", "w3"])
+    rows = lone.unionByName(three)
     often = words.filter(F.col("f") >= least)
+    hot = often.filter(F.col("id").isin(heavy))
+    for column, name in (("w1", "x"), ("w2", "y"), ("w3", "z")):
+        rows = _with_word(rows, column, often, hot, name)
+    rows = work.keep(rows, "spelled")
 
     def scored(a: str, l: str, r: str) -> F.Column:  # noqa: E741
         wide = "CAST({} AS DECIMAL({},0))".format
         return F.expr(f"(CAST(1000000 AS DECIMAL(7,0)) * {wide(a, 15)} * {wide(a, 15)}) div ({wide(l, 19)} * {wide(r, 19)})")
 
-    two = _with_word(_with_word(lone, "w1", often, heavy, "x"), "w2", often, heavy, "y").select(
-        F.col("lang_x").alias("lang"), F.concat_ws(" ", "x", "y").alias("phrase"), "a",
-        F.col("f_x").alias("l"), F.col("f_y").alias("r"), scored("a", "f_x", "f_y").alias("score"),
-    )
-    front = pairs.select("w1", "w2", F.col("a").alias("f_xy"))
-    back = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f_yz"))
-    three = threes.join(front.hint("merge"), ["w1", "w2"]).join(back.hint("merge"), ["w2", "w3"])
-    for column, name in (("w1", "x"), ("w2", "y"), ("w3", "z")):
-        three = _with_word(three, column, often, heavy, name)
-    first, second = scored("a", "f_x", "f_yz"), scored("a", "f_xy", "f_z")
-    three = three.withColumns({"s1": first, "s2": second}).select(
-        F.col("lang_x").alias("lang"), F.concat_ws(" ", "x", "y", "z").alias("phrase"), "a",
-        F.expr("IF(s1 <= s2, f_x, f_xy)").alias("l"), F.expr("IF(s1 <= s2, f_yz, f_z)").alias("r"), F.least("s1", "s2").alias("score"),
+    # A pair has one cut, so its second score is missing.
+    cut = rows.withColumns({
+        "f_yz": F.coalesce("f_yz", "f_y"), "phrase": F.concat_ws(" ", "x", "y", "z"), "lang": F.col("lang_x"),
+    }).withColumns({"s1": scored("a", "f_x", "f_yz"), "s2": scored("a", "f_xy", "f_z")})
+    first = "s2 IS NULL OR s1 <= s2"
+    cut = cut.select(
+        "lang", "phrase", "a", F.expr(f"IF({first}, f_x, f_xy)").alias("l"), F.expr(f"IF({first}, f_yz, f_z)").alias("r"),
+        F.least("s1", "s2").alias("score"),
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best = cut.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     n = words.groupBy("lang").agg(F.sum("f").alias("n"))  # a row per language
     return best.join(n, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("bigint").alias("score")
