@@ -251,13 +251,19 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 # but for the quoting of "end" (see ``request_texts``).
 
 REQUEST_TEXTS = """
-  SELECT request_id, CASE request_id % 6
+  SELECT request_id, CASE request_id % 12
     WHEN 0 THEN concat('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[', lon, ',', lat, ',-12.5]}}]}')
     WHEN 1 THEN concat('{"features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[', ring, ']},"properties":{"name":"a"}}]}')
     WHEN 2 THEN '{"type":"FeatureCollection","features":[]}'
     WHEN 3 THEN concat('{"features":[{"geometry":{"type":"Point","coordinates":[', lon, ',', lat, ']}},{"geometry":{"type":"Point","coordinates":[1,2]}}]}')
     WHEN 4 THEN concat('{"features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[', ring, ',', hole, ']},"crs":{"properties":{"name":"EPSG:3577"}}}]}', chr(10), '{"not":"read"}')
-    ELSE '{"type":"FeatureCollection"}' END AS payload
+    WHEN 5 THEN '{"type":"FeatureCollection"}'
+    WHEN 6 THEN concat('{"features":[{"geometry":{"type":"LineString","coordinates":[[', lon, ',', lat, '],[1,2]]}}]}')
+    WHEN 7 THEN '{"features":[{"geometry":{"type":"GeometryCollection","geometries":[]}}]}'
+    WHEN 8 THEN '{"features":[{"geometry":{"type":"Polygon","coordinates":"x"}}]}'
+    WHEN 9 THEN '{"features":[{"geometry":{"type":"Polygon","coordinates":[]}}]}'
+    WHEN 10 THEN '{"features":[{"geometry":null}]}'
+    ELSE concat('{"features":[{"geometry":{"type":"MultiPolygon","coordinates":[[', ring, '],[', hole, ']]}}]}') END AS payload
   FROM (SELECT request_id, lon, lat,
       concat('[[', lon, ',', lat, '],[', lon, '5,', lat, '],[', lon, '5,', lat, '5],[', lon, ',', lat, '5],[', lon, ',', lat, ']]') AS ring,
       concat('[[', lon, '1,', lat, '1],[', lon, '2,', lat, '1],[', lon, '2,', lat, '2],[', lon, '1,', lat, '1]]') AS hole
@@ -268,7 +274,7 @@ REQUEST_TEXTS = """
 TIME_TEXTS = """
   SELECT o_orderkey AS request_id,
     concat('{"properties":{"timestamp":{"date-time":"', 1990 + o_orderkey % 30, '-0', 1 + o_custkey % 9, '-1', o_orderkey % 10,
-      CASE WHEN o_orderkey % 3 = 0 THEN 'T10:20:30' ELSE '' END, '"}}}') AS start,
+      CASE o_orderkey % 6 WHEN 0 THEN 'T10:20:30' WHEN 1 THEN 'T10:20:30+10:00' WHEN 2 THEN 'T23:20:30.5-03:30' WHEN 3 THEN 'T10:20:30Z' ELSE '' END, '"}}}') AS start,
     CASE WHEN o_orderkey % 4 = 3 THEN NULL
       WHEN o_orderkey % 11 = 5 THEN '{"properties":{"timestamp":{"date-time":"soon"}}}'
       ELSE concat('{"properties":{"timestamp":{"date-time":"', 2005 + o_custkey % 20, '-1', o_orderkey % 3, '-2', o_custkey % 9, '"}}}')

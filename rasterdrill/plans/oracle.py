@@ -431,16 +431,26 @@ doc AS (SELECT request_id, CAST(split_part(payload, chr(10), 1) AS JSON) AS d FR
 head AS (SELECT request_id, d, CASE WHEN json_array_length(d, '$.features') IS NULL OR NOT json_exists(d, '$.features') THEN 'invalid request'
     WHEN json_array_length(d, '$.features') < 1 THEN 'no features specified'
     WHEN json_array_length(d, '$.features') > 1 THEN 'multiple features specified' ELSE 'ok' END AS status FROM doc),
-geo AS (SELECT request_id, status, CASE WHEN status = 'ok' THEN json_extract_string(d, '$.features[0].geometry.type') END AS geom_type,
+kinds AS (SELECT request_id, status, json_extract_string(d, '$.features[0].geometry.type') AS kind,
     json_extract(d, '$.features[0].geometry.coordinates') AS xy FROM head),
-rings AS (SELECT request_id, unnest(CAST(xy AS DOUBLE[][][])) AS pts, generate_subscripts(CAST(xy AS DOUBLE[][][]), 1) - 1 AS ring
-  FROM geo WHERE geom_type = 'Polygon'),
+judged AS (SELECT request_id, kind, xy, CASE WHEN status <> 'ok' THEN status WHEN kind IS NULL THEN 'empty geometry'
+    WHEN kind NOT IN ('Point', 'Polygon', 'MultiPolygon') THEN 'unsupported geometry' WHEN xy IS NULL THEN 'empty geometry'
+    WHEN json_type(xy) <> 'ARRAY' THEN 'invalid geometry' WHEN json_array_length(xy) = 0 THEN 'empty geometry' ELSE 'ok' END AS status FROM kinds),
+geo AS (SELECT request_id, status, CASE WHEN status = 'ok' THEN kind END AS geom_type, CASE WHEN status = 'ok' THEN xy END AS xy FROM judged),
+rings AS (SELECT request_id, unnest(r) AS pts, generate_subscripts(r, 1) - 1 AS ring FROM (
+    SELECT request_id, CASE geom_type WHEN 'Polygon' THEN CAST(xy AS DOUBLE[][][]) ELSE flatten(CAST(xy AS DOUBLE[][][][])) END AS r
+    FROM geo WHERE geom_type IN ('Polygon', 'MultiPolygon'))),
 verts AS (SELECT request_id, ring, unnest(pts) AS p, generate_subscripts(pts, 1) - 1 AS seq FROM rings
   UNION ALL SELECT request_id, 0, CAST(xy AS DOUBLE[]), 0 FROM geo WHERE geom_type = 'Point')
 SELECT geo.request_id, status, geom_type, CAST(ring AS INT) AS ring, CAST(seq AS INT) AS seq, p[1] AS vx, p[2] AS vy
 FROM geo LEFT JOIN verts ON geo.request_id = verts.request_id"""
 
 
+def _moment(text: str) -> str:
+    return f"""CASE WHEN regexp_matches({text}, 'T.*(Z|[+-][0-9:]+)$') THEN TRY_CAST({text} AS TIMESTAMPTZ) AT TIME ZONE 'UTC'
+    ELSE TRY_CAST({text} AS TIMESTAMP) END"""
+
+
 def _range_end(column: str, first: bool) -> str:
     if first:
         return (f"CAST(CASE length({column}) WHEN 4 THEN {column} || '-01-01' WHEN 7 THEN {column} || '-01'"
@@ -620,8 +630,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_sensor_epoch": _with(f"SELECT scene_id, product, ts FROM scenes WHERE {_EPOCH}"),
         "parse_feature_requests": _features(),
         "parse_time_requests": f"""WITH req AS ({TIME_TEXTS}),
-t AS (SELECT request_id, TRY_CAST(json_extract_string(start, '$.properties.timestamp."date-time"') AS TIMESTAMP) AS a,
-  TRY_CAST(json_extract_string("end", '$.properties.timestamp."date-time"') AS TIMESTAMP) AS b, start IS NOT NULL AS given_a, "end" IS NOT NULL AS given_b FROM req)
+texts AS (SELECT *, json_extract_string(start, '$.properties.timestamp."date-time"') AS sa, json_extract_string("end", '$.properties.timestamp."date-time"') AS sb FROM req),
+t AS (SELECT request_id, {_moment('sa')} AS a, {_moment('sb')} AS b, start IS NOT NULL AS given_a, "end" IS NOT NULL AS given_b FROM texts)
 SELECT request_id, CASE WHEN b IS NOT NULL THEN a END AS start, CASE WHEN a IS NOT NULL THEN b END AS "end",
   CASE WHEN given_a AND a IS NULL OR given_b AND b IS NULL THEN 'invalid time' ELSE 'ok' END AS status FROM t""",
         "parse_parameters": f"""WITH {_PARAMETERS}

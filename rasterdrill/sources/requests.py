@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterdrill.functions.projection import Albers
+from rasterdrill.sources.times import instant
 
 # What a request without exactly one feature is told.
 NO_FEATURES = "no features specified"
@@ -18,6 +19,12 @@ MANY_FEATURES = "multiple features specified"
 BAD_TIME = "invalid time"
 BAD_PARAMETERS = "invalid parameters"
 BAD_CRS = "unknown reference system"
+# What a request is told whose geometry cannot be drilled.
+EMPTY_GEOMETRY = "empty geometry"
+BAD_GEOMETRY = "invalid geometry"
+OTHER_GEOMETRY = "unsupported geometry"
+# Kinds of geometry that drills of polygons and of points take.
+KINDS = {"polygon": ("Polygon", "MultiPolygon"), "point": ("Point",)}
 # The reference system of a feature that states none.
 DEFAULT_CRS = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
@@ -37,11 +44,30 @@ def first_line(payload: Column) -> Column:
     return F.substring_index(payload, "\n", 1)
 
 
-def read_features(requests: DataFrame, payload: str = "payload", honor_crs: bool = False) -> DataFrame:
+def _geometry_status(kind: Column, coordinates: Column, kinds: tuple[str, ...]) -> Column:
+    """Why a geometry cannot be drilled, or 'ok': every 'ok' has a vertex, and each vertex two numbers."""
+    points = F.coalesce(F.flatten(_rings(kind, coordinates)), _point(kind, coordinates))
+    bare = F.regexp_replace(coordinates, r"[\[\]\s,]", "") == ""
+    short = F.exists(points, lambda p: p.isNull() | (F.size(p) < 2) | F.try_element_at(p, F.lit(1)).isNull() | F.try_element_at(p, F.lit(2)).isNull())
+    return (
+        F.when(kind.isNull(), F.lit(EMPTY_GEOMETRY))
+        .when(~kind.isin(*kinds), F.lit(OTHER_GEOMETRY))
+        .when(coordinates.isNull() | bare, F.lit(EMPTY_GEOMETRY))
+        .when(points.isNull() | (F.size(points) < 1) | F.coalesce(short, F.lit(True)), F.lit(BAD_GEOMETRY))
+        .otherwise(F.lit("ok"))
+    )
+
+
+def read_features(
+    requests: DataFrame, payload: str = "payload", honor_crs: bool = False, kind: str | None = None
+) -> DataFrame:
     """Add ``status``, ``geom_type``, ``coordinates`` (JSON text) and ``crs``.
 
     A stated reference system is ignored unless ``honor_crs``; then one that
-    :func:`on_metric_grid` does not know gives a status.
+    :func:`on_metric_grid` does not know gives a status. So does a geometry without
+    vertices, one that cannot be read, and one of a kind that the drill does not take:
+    ``kind`` is 'polygon' or 'point', by default either. A request with status 'ok' has a
+    vertex, so none vanishes.
     """
     parsed = F.from_json(first_line(F.col(payload)), _FEATURES)
     feature = F.try_element_at(F.col("_doc.features"), F.lit(1))
@@ -55,9 +81,12 @@ def read_features(requests: DataFrame, payload: str = "payload", honor_crs: bool
     stated = F.coalesce(F.col("_doc.crs.properties.name"), feature["crs"]["properties"]["name"])
     crs = F.coalesce(stated, F.lit(DEFAULT_CRS)) if honor_crs else F.lit(DEFAULT_CRS)
     good = F.col("status") == "ok"
+    kinds = KINDS[kind] if kind else tuple(k for ks in KINDS.values() for k in ks)
+    geometry = _geometry_status(feature["geometry"]["type"], feature["geometry"]["coordinates"], kinds)
     return (
         requests.withColumn("_doc", parsed)
         .withColumn("status", status)
+        .withColumn("status", F.when(good, geometry).otherwise(F.col("status")))
         .withColumn("crs", crs)
         .withColumn(
             "status",
@@ -75,12 +104,23 @@ def read_features(requests: DataFrame, payload: str = "payload", honor_crs: bool
     )
 
 
-def _rings() -> Column:
+def _closed(ring: Column) -> Column:
+    """A ring that ends where it starts; the last corner may be left out of a request."""
+    first = F.slice(ring, 1, 1)
+    return F.when((F.size(ring) > 0) & (first != F.slice(ring, -1, 1)), F.concat(ring, first)).otherwise(ring)
+
+
+def _rings(kind: Column | None = None, text: Column | None = None) -> Column:
     """Rings of a polygon or multipolygon; even-odd filling needs no nesting."""
-    text = F.col("coordinates")
-    return F.when(F.col("geom_type") == "Polygon", F.from_json(text, _RINGS)).when(
-        F.col("geom_type") == "MultiPolygon", F.flatten(F.from_json(text, f"array<{_RINGS}>"))
+    kind, text = (F.col("geom_type"), F.col("coordinates")) if kind is None else (kind, text)
+    rings = F.when(kind == "Polygon", F.from_json(text, _RINGS)).when(
+        kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{_RINGS}>"))
     )
+    return F.transform(rings, _closed)
+
+
+def _point(kind: Column, text: Column) -> Column:
+    return F.when(kind == "Point", F.array(F.from_json(text, "array<double>")))
 
 
 def on_metric_grid(df: DataFrame, x: str, y: str, crs: str = "crs", albers: Albers = Albers()) -> DataFrame:
@@ -145,7 +185,7 @@ def parse_feature_requests(requests: DataFrame, key: str, payload: str = "payloa
 def parse_time_requests(requests: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Replace the two payloads by timestamps and add ``status``.
 
-    A range missing an end has neither, which means all times. An end that is stated
+    An offset is applied, so times are UTC. A range missing an end has neither, which means all times. An end that is stated
     but cannot be read is no range: the status is not 'ok'.
     """
     path = "$.properties.timestamp.date-time"
@@ -153,7 +193,7 @@ def parse_time_requests(requests: DataFrame, start: str = "start", end: str = "e
 
     def moment(c: str) -> Column:
         text = F.coalesce(F.get_json_object(c, path), F.get_json_object(c, path_quoted))
-        return text.try_cast("timestamp_ntz")
+        return instant(text)
 
     both = F.col("_start").isNotNull() & F.col("_end").isNotNull()
     bad = (F.col(start).isNotNull() & F.col("_start").isNull()) | (F.col(end).isNotNull() & F.col("_end").isNull())

@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 _YEAR, _MONTH, _DAY = 4, 7, 10
 
 
+def instant(text: Column) -> Column:
+    """The UTC time of an ISO text; null if malformed.
+
+    An offset or Z at the end is applied; a text without one is UTC as it stands. It does
+    not hang on the session's time zone.
+    """
+    t = F.trim(text)
+    zoned = t.rlike(r"[T ][0-9:.]+\s*(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    seconds = (F.unix_micros(t.try_cast("timestamp")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    utc = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    return F.when(zoned, utc).otherwise(t.try_cast("timestamp_ntz"))
+
+
 def first_moment(text: Column) -> Column:
     """First microsecond of an ISO year, month, day or instant; null if malformed."""
     t = F.trim(text)
@@ -17,7 +30,7 @@ def first_moment(text: Column) -> Column:
         .when(F.length(t) == _MONTH, F.concat(t, F.lit("-01")))
         .otherwise(t)
     )
-    return padded.try_cast("timestamp_ntz")
+    return instant(padded)
 
 
 def last_moment(text: Column) -> Column:
