@@ -9,6 +9,7 @@ they join to pixels by tile and row, so no pixel ever meets an edge.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -262,7 +263,7 @@ def spread(sums: DataFrame, members: DataFrame, time: str) -> DataFrame:
     return joined.groupBy("poly_id", time).agg(*[F.sum(c).alias(c) for c in values])
 
 
-class Mask(NamedTuple):
+class Mask:
     """A set of polygons on the grid.
 
     ``spans`` are per polygon; ``each`` are the same cut at tile borders, hinted
@@ -270,9 +271,9 @@ class Mask(NamedTuple):
     requests have time ranges, ``each`` carries their ``start`` and ``end``.
     """
 
-    spans: DataFrame
-    each: DataFrame
-    bound: int
+    def __init__(self, spans: DataFrame, each: DataFrame, bound: int):
+        self.spans, self.each, self.bound = spans, each, bound
+        self._overlay: Overlay | None = None
 
     def union(self) -> DataFrame:
         """Tile spans of all polygons together: each pixel at most once."""
@@ -280,7 +281,9 @@ class Mask(NamedTuple):
         return sized(merge_spans(plain, ("tile_id", "y")), self.bound)
 
     def overlay(self) -> Overlay:
-        return overlay(self.each, self.bound)
+        if self._overlay is None:
+            self._overlay = overlay(self.each, self.bound)
+        return self._overlay
 
     def area(self) -> DataFrame:
         """Mask size per polygon; a polygon without any mask pixel has no row."""
@@ -498,17 +501,28 @@ def pixels_in_extents(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> Dat
     return joined.select(F.col("_poly_id").alias("poly_id"), *pixels.columns)
 
 
-def scene_sizes(scenes: DataFrame, grid: Grid) -> tuple[int, int]:
-    """Number of scenes, and a bound on the number of tiles they cover."""
+def _tiles_of_scene(grid: Grid) -> Column:
     def span(lo: str, hi: str) -> Column:
         return grid.block(F.col(hi)) - grid.block(F.col(lo)) + 1
 
-    row = tuning.one_row(scenes.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(span("sx0", "sx1") * span("sy0", "sy1")).alias("tiles")
-    ))
+    return span("sx0", "sx1") * span("sy0", "sy1")
+
+
+def scene_sizes(scenes: DataFrame, grid: Grid) -> tuple[int, int]:
+    """Number of scenes, and a bound on the number of tiles they cover."""
+    row = tuning.one_row(scenes.agg(F.count(F.lit(1)).alias("n"), F.sum(_tiles_of_scene(grid)).alias("tiles")))
     return row["n"], int(row["tiles"] or 0)
 
 
+def footprints(tables: Sequence[DataFrame], grid: Grid) -> list[int]:
+    """The bound of :func:`scene_sizes` for several tables of scenes, in one job."""
+    parts = [t.select(F.lit(i).alias("i"), _tiles_of_scene(grid).alias("tiles")) for i, t in enumerate(tables)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.sum("tiles").alias("tiles"))
+    with tuning.one_job(tables[0].sparkSession):
+        found = {r["i"]: int(r["tiles"] or 0) for r in sums.collect()}
+    return [found.get(i, 0) for i in range(len(tables))]
+
+
 def scene_tiles(scenes: DataFrame, extents: DataFrame, grid: Grid, *columns: str) -> DataFrame:
     """``scene_id, tile_id`` and ``columns`` for the tiles that scenes and extents share.
 
@@ -536,7 +550,7 @@ def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
     )
     held = extent_tiles(areas, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
     asked = extent_tiles(extents, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("m"))
-    return int(tuning.one_row(held.join(asked, "tile_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")))["n"] or 0)
+    return int(tuning.one_row(held.join(asked.hint("merge"), "tile_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")))["n"] or 0)
 
 
 def time_spine(

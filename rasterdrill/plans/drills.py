@@ -9,7 +9,7 @@ hold the pixel.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -161,11 +161,11 @@ def cover_drill_products(
     held, spines = [], []
     over = mask.overlay()
     near_tiles = G.polygon_tiles(polygons, grid)
+    sizes = iter(G.footprints([SC.filter_time_range(sc, time) for _, sc in (cover, water)], grid))
     for (pixels, scenes), rules in (
         (cover, {"first_valid": {b: nodata for b in S.COVER_BANDS}}), (water, {"water": "water"}),
     ):
-        taken = SC.filter_time_range(scenes, time)
-        _, footprints = G.scene_sizes(taken, grid)
+        taken, footprints = SC.filter_time_range(scenes, time), next(sizes)
         sc = SC.group_scenes(taken, "solar_day")
         bands = [*rules.get("first_valid", {}), *([rules["water"]] if "water" in rules else [])]
         px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, *bands)
@@ -214,7 +214,7 @@ def mangrove_drill(
     )
     counts = G.spread(sums, over.members, "grp")
     spine = G.time_spine(
-        G.polygon_extents(polygons, grid), SC.group_scenes(sc, "exact"), grid, ranges=ranges
+        G.polygon_extents(polygons, grid), sc.withColumn("grp", F.col("ts")), grid, ranges=ranges
     )
     return spine.join(counts, ["poly_id", "grp"], "left").select(
         "poly_id",
@@ -359,18 +359,18 @@ class _Request(NamedTuple):
     time: object
     ranges: DataFrame | None
 
-    def spine(self, scenes: DataFrame) -> DataFrame:
+    def spine(self, scenes: DataFrame, footprints: int) -> DataFrame:
         extents = G.polygon_extents(self.polygons, self.grid)
-        return G.time_spine(extents, SC.group_scenes(scenes, "exact"), self.grid, ranges=self.ranges).select(
-            "poly_id", F.col("time").alias("ts")
-        )
+        grouped = scenes.withColumn("grp", F.col("ts"))
+        spine = G.time_spine(extents, grouped, self.grid, ranges=self.ranges, footprints=footprints)
+        return spine.select("poly_id", F.col("time").alias("ts"))
 
 
 class _Held(NamedTuple):
     """Usable wetland pixels ``(ts, place, bands)`` inside any polygon, and the times they may have."""
 
     pixels: DataFrame
-    times: DataFrame  # poly_id, ts; only read where pixels are composited
+    times: Callable[[], DataFrame]  # poly_id, ts; only built where pixels are composited
     scenes: DataFrame  # of which no time is outside
 
 
@@ -402,7 +402,7 @@ def _together(pixels: DataFrame, scenes: DataFrame, overlapping: bool, source: G
         if overlapping:
             values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
             kept = _fuse_exact(kept, sc, values)
-        return _Held(wetland_pixels(kept, "ts", *_PLACE), q.spine(sc) if source is None else None, sc)
+        return _Held(wetland_pixels(kept, "ts", *_PLACE), lambda: q.spine(sc, footprints), sc)
 
     return held
 
@@ -423,7 +423,7 @@ def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
         scenes = [SC.filter_time_range(p.scenes, q.time) for p in every]
         extents = G.polygon_extents(q.polygons, q.grid)
         tiled = [G.scene_tiles(s, extents, q.grid, "ts") for s in scenes]
-        footprints = [G.scene_sizes(s, q.grid)[1] for s in scenes]
+        footprints = G.footprints(scenes, q.grid)
         spots = [t.select("ts", "tile_id") for t in tiled]
         common = spots[0].join(reduce(DataFrame.unionByName, spots[1:-1]), ["ts", "tile_id"], "left_semi").join(
             spots[-1], ["ts", "tile_id"], "left_semi"
@@ -441,8 +441,14 @@ def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
         parts = [near(*x) for x in zip(every, tiled, footprints, wanted)]
         base = C.juxtapose(parts[0], parts[-1], keys)
         kept = C.collate_beside(base, dict(zip(surfaces, parts[1:-1])), keys)
-        spines = [q.spine(s) for s in (scenes[0], reduce(DataFrame.unionByName, scenes[1:-1]), scenes[-1])]
-        times = spines[0].join(spines[1], ["poly_id", "ts"], "left_semi").join(spines[2], ["poly_id", "ts"], "left_semi")
+
+        def times() -> DataFrame:
+            first, *others = (
+                q.spine(s, n) for s, n in
+                ((scenes[0], footprints[0]), (reduce(DataFrame.unionByName, scenes[1:-1]), sum(footprints[1:-1])), (scenes[-1], footprints[-1]))
+            )
+            return reduce(lambda a, b: a.join(b, ["poly_id", "ts"], "left_semi"), others, first)
+
         return _Held(wetland_pixels(kept, "ts", *_PLACE), times, scenes[-1])
 
     return held
@@ -453,9 +459,9 @@ def _windowed(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
     found = source(q)
     held = G.inside_each(found.pixels, q.mask.each)
     if isinstance(aggregate, int):
-        windows = T.anchored_windows(found.times, aggregate).withColumn("days", F.lit(aggregate))
+        windows = T.anchored_windows(found.times(), aggregate).withColumn("days", F.lit(aggregate))
     else:
-        asked = found.times.join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
+        asked = found.times().join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
         windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days")
     extents = G.polygon_extents(q.polygons, q.grid)
     n_times = G.spine_bound(extents, found.scenes, q.grid)
