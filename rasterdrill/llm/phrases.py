@@ -45,9 +45,10 @@ INSIDE[[0x20, 0x09]] = False
 
 HEAVY = 1024
 BURST = 1 << 16
-HOLD = 1_500_000
-# Entries of a prefix partition, about, where these outnumber the shuffle partitions.
-PART = 4_000_000
+HOLD = 1_000_000
+# Entries of a prefix partition, about, where these outnumber the shuffle partitions (some 150
+# bytes each while it merges).
+PART = 1_000_000
 _PAIR = np.uint64(1)  # third number of an entry that counts a pair of heavy words
 _HALF = np.uint64(32)
 
@@ -223,7 +224,9 @@ def _runs(docs: DataFrame, seed: int, heavy: np.ndarray, parts: int) -> DataFram
 def _merged(runs: DataFrame, heavy: np.ndarray, least: int) -> DataFrame:
     """``w1, w2, w3, f`` of the phrases of two words (w3 = 0) and three that occur ``least`` times."""
     def settle(held: list[Entries]) -> pa.RecordBatch:
-        e = Entries.together(held).sorted()
+        e = Entries.together(held)
+        held.clear()
+        e = e.sorted()
         w, n = e.words, e.n
         three = (w[:, 2] > _PAIR) & (n >= least)
         # A pair is the sum over what follows it, but for pairs of heavy words, which have entries of their own.
