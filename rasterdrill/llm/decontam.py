@@ -15,8 +15,9 @@ Words are lower-cased (A-Z) runs of ASCII letters, digits and bytes above 127. A
 of fewer words than a window, but not none, is one window; matches never cross documents.
 
 Defined results: a null text has no words and is clean; an item without words takes no
-part; equal items are found alike. ``mark`` and ``longest_matches`` name items, so one
-without an id takes no part there; ``clean`` searches it like any other.
+part; equal items are found alike. An item without an id is searched like any other: its
+words are hit, and only the list of ids leaves it out. Without documents or items the
+result is empty or finds nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from rasterdrill.llm import text as T
 
+NO_ID = -(1 << 63)  # stands for an item without an id: its words are hit, the lists of ids leave it out
 WINDOW = 10
 # Bytes of item texts in one broadcast.
 ITEM_BYTES = 4 << 20
@@ -172,10 +174,10 @@ def _hits(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def item_blocks(items: DataFrame, window: int, key: str | None, text: str, limit: int = ITEM_BYTES) -> Iterator[Items]:
     """Distinct items in blocks of about ``limit`` bytes; there is at least one block.
 
-    Without a ``key``, the texts of all items, each numbered 0.
+    An item without an id, or all without a ``key``, has the number ``NO_ID``.
     """
-    number = F.col(key).cast("bigint") if key else F.lit(0).cast("bigint")
-    rows = items.select(number.alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+    number = F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)) if key else F.lit(NO_ID)
+    rows = items.select(number.alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-2 * total // limit)) if total > limit else 1
     for block in range(n):
@@ -218,7 +220,7 @@ def mark(
                         turn = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
                         spans[d] = [{"first": int(x), "last": int(y) - 1} for x, y in zip(turn[::2], turn[1::2])]
                     for d in np.unique(doc):
-                        found[d] = sorted({*found[d], *item[doc == d].tolist()})
+                        found[d] = sorted({*found[d], *item[doc == d].tolist()} - {NO_ID})
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), pa.array(shard.count), pa.array(spans, part.column(3).type), pa.array(found, pa.list_(pa.int64()))],
                         batch.schema.names,
@@ -290,7 +292,7 @@ def longest_matches(
     best = F.min(F.struct(-F.col("n_words"), "doc_id", "doc_word"))
     return (
         out.groupBy("item_id", "item_word").agg(best.alias("b"))
-        .select("item_id", "item_word", (-F.col("b.col1")).alias("n_words"), F.col("b.doc_id").alias("doc_id"), F.col("b.doc_word").alias("doc_word"))
+        .select(F.nullif("item_id", F.lit(NO_ID)).alias("item_id"), "item_word", (-F.col("b.col1")).alias("n_words"), F.col("b.doc_id").alias("doc_id"), F.col("b.doc_word").alias("doc_word"))
     )
 
 

@@ -186,7 +186,7 @@ WITH d AS (
 b AS (
   SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n,
          array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g

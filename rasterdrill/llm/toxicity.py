@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterdrill.llm import text as T
-from rasterdrill.llm.store import Work
 
 BITS = 20
 SAMPLE_ROWS = 3000
@@ -106,14 +105,20 @@ class Sparse(NamedTuple):
         return out
 
 
+def _counts(x: Sparse, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features seen, and their texts of either class. One table of all feature numbers, whatever the sample."""
+    both = np.bincount(x.feature, minlength=1)
+    seen = np.flatnonzero(both)
+    one = np.bincount(x.feature[y[x.row]], minlength=len(both))[seen].astype(np.float64)
+    return seen, one, both[seen] - one
+
+
 def choose(x: Sparse, y: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Features whose presence differs most between the classes, in standard errors; sorted."""
     n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
-    seen, of = np.unique(x.feature, return_inverse=True)
+    seen, one, zero = _counts(x, y)
     if not len(seen):
         return seen
-    one = np.bincount(of, weights=y[x.row].astype(np.float64), minlength=len(seen))
-    zero = np.bincount(of, minlength=len(seen)) - one
     p1, p0, p = (one + 0.5) / (n1 + 1), (zero + 0.5) / (n0 + 1), (one + zero + 1) / (n1 + n0 + 2)
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[one + zero < 3] = 0
@@ -164,11 +169,11 @@ def fit_chain(x: Sparse, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) ->
 def categories(x: Sparse, toxic: np.ndarray) -> np.ndarray:
     """``terms``, ``severe`` and ``toxic`` of the sampled rows."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    seen, of = np.unique(x.feature, return_inverse=True)
-    one = np.bincount(of, weights=toxic[x.row].astype(np.float64), minlength=len(seen))
-    zero = np.bincount(of, minlength=len(seen)) - one
-    term = (one >= 3) & ((one + 0.5) / (n1 + 1) > 20 * (zero + 0.5) / (n0 + 1))
-    density = np.bincount(x.row, weights=term[of] * x.value.astype(np.float64) ** 2, minlength=x.rows) if len(seen) else np.zeros(x.rows)
+    seen, one, zero = _counts(x, toxic)
+    is_term = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, bool)
+    is_term[seen] = (one >= 3) & ((one + 0.5) / (n1 + 1) > 20 * (zero + 0.5) / (n0 + 1))
+    own = is_term[x.feature]
+    density = np.bincount(x.row[own], weights=x.value[own].astype(np.float64) ** 2, minlength=x.rows)
     held = toxic & (density > 0)
     middle = np.median(density[held]) if held.any() else 0.0
     return np.stack([held, held & (density > middle), toxic], 1)
@@ -182,7 +187,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     parts = [marks.filter(F.col("_y") == v).orderBy(F.xxhash64("_k"), "_k").limit(n) for v in (0, 1)]
     picked = parts[0].unionByName(parts[1])  # at most 2 n rows
     rows = docs.select(F.col(key).alias("_id"), F.col(text)).join(F.broadcast(picked), F.col("_id") == F.col("_k"))
-    rows = rows.select(F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int"), F.col("_y"), F.col(text))
+    rows = rows.select(F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int"), F.col("_y"), F.col(text), F.xxhash64("_id"), F.xxhash64(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,26 +200,30 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(value)),
+                        batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a),
                     ],
-                    ["fold", "y", "f", "v"],
+                    ["fold", "y", "f", "v", "h", "t"],
                 )
 
-    got = rows.mapInArrow(run, "fold int, y int, f array<int>, v array<float>").toArrow()
-    y = got.column("y").to_numpy().astype(bool)
-    fold = got.column("fold").to_numpy()
+    got = rows.mapInArrow(run, "fold int, y int, f array<int>, v array<float>, h bigint, t bigint").toArrow()
+    # The order of the rows depends on tasks; a fixed one, by hash of id and text, makes fits repeat.
+    order = np.lexsort((got.column("t").to_numpy(), got.column("h").to_numpy()))
+    turn = np.empty(len(order), np.int32)
+    turn[order] = np.arange(len(order))
+    y = got.column("y").to_numpy().astype(bool)[order]
+    fold = got.column("fold").to_numpy()[order]
     f = got.column("f").combine_chunks()
     f = f.combine_chunks() if isinstance(f, pa.ChunkedArray) else f
     v = got.column("v").combine_chunks()
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     size = f.value_lengths().to_numpy() if len(f) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(y)), size)
-    x = Sparse(row, f.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy(), len(y))
+    del got
+    x = Sparse(np.repeat(turn, size), f.flatten().to_numpy(), v.flatten().to_numpy(), len(y))
     weight = np.ones(len(y))
     for value in (0, 1):
         own = y == bool(value)
         if own.any():
             weight[own] = totals.get(value, 0) / own.sum()
-    # The order of the rows depends on tasks; a fixed one makes fits repeat.
     return x, y, weight, fold
 
 

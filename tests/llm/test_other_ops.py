@@ -6,11 +6,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterdrill.llm import bpe, quality, queries, shards, topk, toxicity, urls
+from rasterdrill.llm import text as T
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -201,6 +203,25 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert {"doc_id", "ids", "n_tokens"} <= set(docs.columns)
 
 
+def test_toxicity_fits_alike_in_any_partitioning(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    one, two = (toxicity.fit(d, labels) for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert (one.weights == two.weights).all() and (one.base == two.base).all()
+    # Probabilities from the weights, word by word.
+    rows = docs.limit(50).collect()
+    got = {r.doc_id: r for r in toxicity.score(docs, one).collect()}
+    for r in rows:
+        data, offsets = T.flat(pa.array([r.text]))
+        text, feature, value = toxicity.features(data, offsets)
+        earlier = []
+        for j, name in enumerate(one.names):
+            z = sum(float(one.weights[j, f]) * float(v) for f, v in zip(feature, value))
+            z += sum(w * p for w, p in zip(one.of_chain[j], earlier)) + one.base[j]
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert abs(got[r.doc_id][name] - earlier[-1]) < 1e-4
+
+
 def test_stages_take_odd_and_no_rows(spark):
     good = "Some plain words that follow each other without any harm in a text of their own. "
     rows = [(1, good * 3, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, good * 3, "en", "s", 1),

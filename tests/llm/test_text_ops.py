@@ -358,16 +358,16 @@ def _contamination(docs: list, items: list, window: int) -> dict:
     wins: dict[tuple, set] = {}
     for i, text in items:
         w = _words(text)
-        if i is not None and w:
+        if w:
             n = min(window, len(w))
-            for a in range(len(w) - n + 1):
-                wins.setdefault(tuple(w[a : a + n]), set()).add(i)
+            for a in range(len(w) - n + 1):  # without an id: words are hit, no item is named
+                wins.setdefault(tuple(w[a : a + n]), set()).update([] if i is None else [i])
     out = {}
     for d, text in docs:
         w, hit, found = _words(text), set(), set()
         for n in {len(k) for k in wins}:
             for a in range(len(w) - n + 1):
-                if (own := wins.get(tuple(w[a : a + n]))):
+                if (own := wins.get(tuple(w[a : a + n]))) is not None:
                     hit.update(range(a, a + n))
                     found |= own
         out[d] = (len(w), len(hit), sorted(found))
