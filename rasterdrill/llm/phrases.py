@@ -8,8 +8,8 @@ in its piece, 0 where the piece ends. So the count of any phrase is a sum over t
 that begin with it. A task keeps entries in a burst trie over the bytes of word numbers: a
 leaf is a hash container, whose entries are kept in order of a hash and fold when as many
 have been appended; one that outgrows ``BURST`` becomes a node with a leaf for each next
-byte. When a trie holds ``HOLD`` entries, its largest subtrees are spilled whole, as runs
-sorted by word numbers, until a quarter is left.
+byte. When a trie holds ``HOLD`` entries, its largest subtrees are spilled whole, together
+as one run sorted by word numbers, until a quarter is left.
 
 Prefix partitions. Runs are dealt by the first word. Where that is one of the few *heavy*
 words (at least one in ``HEAVY`` of all occurrences, so at most ``HEAVY`` of them, whatever
@@ -26,10 +26,11 @@ empty table gives an empty one; other columns take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterdrill.llm import spans as S
@@ -45,10 +46,11 @@ INSIDE[[0x20, 0x09]] = False
 
 HEAVY = 1024
 BURST = 1 << 16
-HOLD = 1_000_000
+HOLD = 500_000
 # Entries of a prefix partition, about, where these outnumber the shuffle partitions (some 150
 # bytes each while it merges).
-PART = 1_000_000
+PART = 500_000
+BATCH_BYTES = 8 << 20
 _PAIR = np.uint64(1)  # third number of an entry that counts a pair of heavy words
 _HALF = np.uint64(32)
 
@@ -146,15 +148,15 @@ class Trie:
         runs = [r for _, arm in sorted(self.arms.items()) if (r := arm.run()) is not None]
         return Entries.together(runs) if runs else None
 
-    def spill(self, leave: int) -> Iterator[Entries]:
-        """Hand out whole subtrees of the root, the largest first, until at most ``leave`` entries stay."""
+    def spill(self, leave: int) -> Iterator[tuple[int, Entries]]:
+        """Hand out whole subtrees of the root with their byte, the largest first, until at most ``leave`` entries stay."""
         for byte, arm in sorted(self.arms.items(), key=lambda x: -x[1].size):
             if self.size <= leave:
                 return
             del self.arms[byte]
             self.size -= arm.size
             if (run := arm.run()) is not None:
-                yield run
+                yield byte, run
 
 
 def partition(words: np.ndarray, heavy: np.ndarray, parts: int) -> np.ndarray:
@@ -213,10 +215,9 @@ def _runs(docs: DataFrame, seed: int, heavy: np.ndarray, parts: int) -> DataFram
                 continue
             trie.add(_entries(data, w, vocab.numbers(w, vocab.tags(batch.column(0), seed)), heavy).folded())
             if trie.size > HOLD:
-                for spilled in trie.spill(HOLD // 4):
-                    yield emit(spilled)
-        for spilled in trie.spill(0):
-            yield emit(spilled)
+                yield emit(Entries.together([run for _, run in sorted(trie.spill(HOLD // 4), key=lambda r: r[0])]))
+        if rest := sorted(trie.spill(0), key=lambda r: r[0]):
+            yield emit(Entries.together([run for _, run in rest]))
 
     return docs.select("lang", "text").mapInArrow(run, "part int, one binary, two binary, three binary, n binary")
 
@@ -274,6 +275,18 @@ def _with_word(rows: DataFrame, column: str, words: DataFrame, hot: DataFrame, n
     return met.withColumns(found).select(*rows.columns, *found)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows of packed runs are large, so a batch of them is bounded by its bytes, not its rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def phrase_counts(docs: DataFrame, least: int, work: Work) -> tuple[DataFrame, DataFrame, list[int]]:
     """Words ``(lang, word, id, f)``, frequent phrases ``(w1, w2, w3, f)`` by number, and the heavy words' numbers."""
     spark = docs.sparkSession
@@ -291,7 +304,8 @@ def phrase_counts(docs: DataFrame, least: int, work: Work) -> tuple[DataFrame, D
     heavy = sorted(r["id"] for r in words.filter(F.col("f") >= share).select("id").collect())
     numbers = np.sort(np.array(heavy, np.int64).view(np.uint64))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
-    phrases = work.keep(_merged(_runs(docs, seed, numbers, parts), numbers, least), "phrases")
+    with small_batches(spark):
+        phrases = work.keep(_merged(_runs(docs, seed, numbers, parts), numbers, least), "phrases")
     return words, phrases, heavy
 
 

@@ -226,9 +226,9 @@ def test_trie_spills_whole_subtrees(monkeypatch):
     trie, runs = phrases.Trie(), []
     for part in np.array_split(rows, 10):
         trie.add(phrases.Entries(part, np.ones(len(part), np.int64)))
-        runs += list(trie.spill(3000))
+        runs += [r for _, r in trie.spill(3000)]
     assert trie.size <= 3000
-    runs += list(trie.spill(0))
+    runs += [r for _, r in trie.spill(0)]
     count = Counter()
     for r in runs:
         assert [tuple(x) for x in r.words.tolist()] == sorted(set(map(tuple, r.words.tolist())))
