@@ -31,9 +31,17 @@ from rasterdrill.tuning import counted, one_row, sized
 _PLACE = ("tile_id", "y", "x")
 
 
-def _near(pixels: DataFrame, tiles: Column, segments: DataFrame) -> DataFrame:
-    """Pixels inside any polygon, each once: files first, then the mask."""
-    return G.inside_any(pixels.filter(tiles), segments.select("tile_id", "y", "x_from", "x_to"))
+_SET = ("set_a", "set_b")
+
+
+def _near(pixels: DataFrame, tiles: Column, segments: DataFrame, sets: bool = False) -> DataFrame:
+    """Pixels inside any polygon, each once: files first, then the mask. With their set, if asked for."""
+    asked = pixels.filter(tiles)
+    return G.in_segments(asked, segments) if sets else _inside(asked, segments)
+
+
+def _inside(pixels: DataFrame, segments: DataFrame) -> DataFrame:
+    return G.inside_any(pixels, segments.select("tile_id", "y", "x_from", "x_to"))
 
 
 def _fused(
@@ -107,7 +115,7 @@ def cover_counts(
     rules = {"first_valid": {b: nodata for b in S.COVER_BANDS}, "water": "water"}
     if ranges is None:
         held = _fused(bands, tiles, polygons, grid, mask, **rules)
-        sums = cover_statistics(held, ["set_a", "set_b", "grp"], nodata, strict_nodata)
+        sums = cover_statistics(held, [*_SET, "grp"], nodata, strict_nodata)
         counts = G.spread(sums, mask.overlay().members, "grp")
     else:
         held = _fused_in_ranges(bands, tiles, polygons, grid, mask, **rules)
@@ -173,7 +181,7 @@ def cover_drill_products(
         held.append(C.fuse(C.with_scene_tiles(_near(px, near_tiles, over.segments), tiles, "grp", "ord"), **rules))
         spines.append(G.time_spine(extents, sc, grid, footprints=footprints).select("poly_id", "grp", "time"))
     aligned = G.in_segments(C.juxtapose(*held), over.segments)
-    counts = G.spread(cover_statistics(aligned, ["set_a", "set_b", "grp"], nodata, strict_nodata), over.members, "grp")
+    counts = G.spread(cover_statistics(aligned, [*_SET, "grp"], nodata, strict_nodata), over.members, "grp")
     both = spines[0].join(spines[1].withColumnRenamed("time", "_time"), ["poly_id", "grp"])
     spine = both.select("poly_id", "grp", F.least("time", "_time").alias("time"))
     return _cover_shares(spine.join(counts, ["poly_id", "grp"], "left"))
@@ -207,9 +215,9 @@ def mangrove_drill(
     px = SC.filter_time_range(pixels, time).filter(G.polygon_tiles(polygons, grid))
     over = G.polygon_mask(polygons, grid, ranges=ranges).overlay()
     if overlapping:
-        px = _fuse_exact(G.inside_any(px, over.segments.select("tile_id", "y", "x_from", "x_to")), sc, {band: 255})
+        px = _fuse_exact(_inside(px, over.segments), sc, {band: 255})
     held = G.in_segments(px.select("ts", *_PLACE, band), over.segments)
-    sums = held.groupBy("set_a", "set_b", F.col("ts").alias("grp")).agg(
+    sums = held.groupBy(*_SET, F.col("ts").alias("grp")).agg(
         *[F.count_if(F.col(band) == k).alias(name) for k, name in S.CANOPY_CLASSES.items()]
     )
     counts = G.spread(sums, over.members, "grp")
@@ -381,28 +389,30 @@ def _together(pixels: DataFrame, scenes: DataFrame, overlapping: bool, source: G
     metric grid of the request. Files are pruned to the source tiles under the request's
     tiles; a mask on the target's grid is met right after.
     """
-    def held(q: _Request) -> _Held:
+    def held(q: _Request, sets: bool) -> _Held:
         sc = wetland_scenes(SC.filter_time_range(scenes, q.time))
         bands = (*S.COVER_BANDS, *S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity", "water")
         px = SC.filter_time_range(pixels, q.time).select("scene_id", "ts", *_PLACE, *bands)
-        segments = q.mask.overlay().segments.select("tile_id", "y", "x_from", "x_to")
+        segments = q.mask.overlay().segments
         extents = G.polygon_extents(q.polygons, q.grid)
         _, footprints = G.scene_sizes(sc, source or q.grid)
+        early = sets and not overlapping
         if source is None:
-            near = _near(px, G.polygon_tiles(q.polygons, q.grid), segments)
+            near = _near(px, G.polygon_tiles(q.polygons, q.grid), segments, early)
             tiles = sized(G.scene_tiles(sc, extents, q.grid), footprints)
             kept = C.with_scene_tiles(near, tiles)
         else:
             under = R.source_tiles(G.extent_blocks(extents, q.grid).select("_tx", "_ty").distinct(), q.grid, source)
             tiles = sized(G.scenes_on_tiles(sc, under, source), footprints)
-            kept = C.with_scene_tiles(px.filter(G.tile_filter(under)), tiles)
-            moved = R.reproject_nearest(kept, source, q.grid)
+            moved = R.reproject_nearest(C.with_scene_tiles(px.filter(G.tile_filter(under)), tiles), source, q.grid)
             placed = moved.select("scene_id", "ts", F.col("target_tile").alias("tile_id"), F.col("ty").alias("y"), F.col("tx").alias("x"), *bands)
-            kept = G.inside_any(placed, segments)
+            kept = G.in_segments(placed, segments) if early else _inside(placed, segments)
         if overlapping:
             values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
             kept = _fuse_exact(kept, sc, values)
-        return _Held(wetland_pixels(kept, "ts", *_PLACE), lambda: q.spine(sc, footprints), sc)
+            kept = G.in_segments(kept, segments) if sets else kept
+        keep = ("ts", *_PLACE, *(_SET if sets else ()))
+        return _Held(wetland_pixels(kept, *keep), lambda: q.spine(sc, footprints), sc)
 
     return held
 
@@ -416,7 +426,7 @@ def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
     by tile and time (``sources.pixels.write_bucketed``) are not shuffled: each is cut to
     the mask where it lies, and sorted only for the joins.
     """
-    def held(q: _Request) -> _Held:
+    def held(q: _Request, sets: bool) -> _Held:
         keys = ["ts", *_PLACE]
         good = {n: Product(p.pixels, wetland_scenes(p.scenes)) for n, p in surfaces.items()}
         every = [cover, *good.values(), water]
@@ -434,7 +444,8 @@ def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
         def near(product: Product, scene_tiles: DataFrame, bound: int, bands: Sequence[str]) -> DataFrame:
             px = SC.filter_time_range(product.pixels, q.time).select("scene_id", *keys, *bands)
             asked = scene_tiles.join(common, ["ts", "tile_id"], "left_semi").select("scene_id", "tile_id")
-            return C.with_scene_tiles(_near(px, near_tiles, segments), sized(asked, bound)).drop("scene_id")
+            cut = _near(px, near_tiles, segments, sets and product is cover)  # one of them brings the set
+            return C.with_scene_tiles(cut, sized(asked, bound)).drop("scene_id")
 
         surface = (*S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity")
         wanted = [S.COVER_BANDS, *[surface] * len(surfaces), ("water",)]
@@ -449,14 +460,14 @@ def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
             )
             return reduce(lambda a, b: a.join(b, ["poly_id", "ts"], "left_semi"), others, first)
 
-        return _Held(wetland_pixels(kept, "ts", *_PLACE), times, scenes[-1])
+        return _Held(wetland_pixels(kept, *keys, *(_SET if sets else ())), times, scenes[-1])
 
     return held
 
 
 def _windowed(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
     """Usable pixels with the window they fall in: ``anchor, n_times, days``."""
-    found = source(q)
+    found = source(q, False)
     held = G.inside_each(found.pixels, q.mask.each)
     if isinstance(aggregate, int):
         windows = T.anchored_windows(found.times(), aggregate).withColumn("days", F.lit(aggregate))
@@ -500,10 +511,8 @@ def _request(polygons, grid, time, ranges, mask) -> _Request:
 def _areas(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
     if not isinstance(aggregate, int) or aggregate > 0:
         return wetland_area(_composite(source, q, aggregate), ["poly_id", F.col("anchor").alias("time")])
-    over = q.mask.overlay()
-    held = G.in_segments(source(q).pixels, over.segments)
-    sums = wetland_sums(held, ["set_a", "set_b", "ts"])
-    return _as_fractions(G.spread(sums, over.members, "ts").withColumnRenamed("ts", "time"))
+    sums = wetland_sums(source(q, True).pixels, [*_SET, "ts"])
+    return _as_fractions(G.spread(sums, q.mask.overlay().members, "ts").withColumnRenamed("ts", "time"))
 
 
 def wetland_composite(
