@@ -37,6 +37,59 @@ def test_status(spark, payload, status):
     assert (r["geom_type"] == "Point") == (status == "ok")
 
 
+@pytest.mark.parametrize(
+    "geometry,status",
+    [
+        ({"type": "LineString", "coordinates": [[1, 2], [3, 4]]}, RQ.OTHER_GEOMETRY),
+        ({"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, RQ.OTHER_GEOMETRY),
+        ({"type": "GeometryCollection", "geometries": []}, RQ.OTHER_GEOMETRY),
+        ({"type": "Polygon", "coordinates": "x"}, RQ.BAD_GEOMETRY),
+        ({"type": "Polygon", "coordinates": [[[1, 2], [3]]]}, RQ.BAD_GEOMETRY),
+        ({"type": "Polygon", "coordinates": [[[1, 2], ["a", 4]]]}, RQ.BAD_GEOMETRY),
+        ({"type": "Point", "coordinates": [1]}, RQ.BAD_GEOMETRY),
+        ({"type": "Point", "coordinates": {"x": 1}}, RQ.BAD_GEOMETRY),
+        ({"type": "Polygon", "coordinates": []}, RQ.EMPTY_GEOMETRY),
+        ({"type": "Polygon", "coordinates": [[]]}, RQ.EMPTY_GEOMETRY),
+        ({"type": "Point", "coordinates": None}, RQ.EMPTY_GEOMETRY),
+        (None, RQ.EMPTY_GEOMETRY),
+        ({"type": "Point", "coordinates": [1, 2, 3]}, "ok"),
+        ({"type": "MultiPolygon", "coordinates": [[RING], [HOLE]]}, "ok"),
+    ],
+)
+def test_no_geometry_vanishes(spark, geometry, status):
+    """A request with status 'ok' has vertices, and any other has none."""
+    df = frame(spark, {"features": [{"geometry": geometry}]})
+    got = RQ.parse_feature_requests(df, "request_id").collect()
+    assert {r["status"] for r in got} == {status}
+    assert all((r["vx"] is not None) == (status == "ok") for r in got)
+
+
+def test_a_drill_says_which_kind_it_takes(spark):
+    df = frame(spark, {"features": [POINT]}, polygon("Polygon", [RING]))
+    for kind, want in (("point", ["ok", RQ.OTHER_GEOMETRY]), ("polygon", [RQ.OTHER_GEOMETRY, "ok"])):
+        got = RQ.read_features(df, kind=kind).orderBy("request_id").collect()
+        assert [r["status"] for r in got] == want
+
+
+def test_open_rings_are_closed(spark):
+    df = frame(spark, polygon("Polygon", [RING[:-1], HOLE]))
+    got = RQ.polygon_vertices(RQ.read_features(df), "request_id").orderBy("ring", "seq").collect()
+    assert [(r["vx"], r["vy"]) for r in got] == [tuple(p) for p in [*RING, *HOLE]]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Australia/Sydney"])
+def test_offsets_are_applied_in_any_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2021-02-01T00:00:00+10:00", "2021-02-01T00:00:00Z", "2021-02-01T05:00:00.25-0330", "2021-02-01T07:08:09", "2021-02-01", "T+10:00"]
+        df = spark.createDataFrame([(i, stamp(t), stamp("2030-01-01")) for i, t in enumerate(texts)], "request_id int, start string, `end` string")
+        got = [str(r["start"]) for r in RQ.parse_time_requests(df).orderBy("request_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == ["2021-01-31 14:00:00", "2021-02-01 00:00:00", "2021-02-01 08:30:00.250000", "2021-02-01 07:08:09", "2021-02-01 00:00:00", "None"]
+
+
 def test_stated_crs_is_ignored_unless_asked_for(spark):
     df = frame(spark, {"features": [POINT]})
     assert RQ.read_features(df).first()["crs"] == RQ.DEFAULT_CRS
