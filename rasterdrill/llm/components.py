@@ -2,8 +2,9 @@
 
 Each round points every node's larger neighbours, then its smaller ones, to the
 smallest node it knows ("Connected Components in MapReduce and Beyond", 2014). The
-links between rounds are a written table; a hub's links are never gathered: minima
-are taken with map-side partials and joined back.
+links between rounds are a written table. Minima are taken with map-side partials and
+joined back by node; that join brings the links of a hub to one task, where adaptive
+execution does not split it.
 """
 
 from __future__ import annotations

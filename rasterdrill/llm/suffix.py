@@ -18,8 +18,9 @@ of two neighbours is one more than the least value between them in the old order
 Neighbours with ``length`` bytes in common are equal windows, and all but the first
 are repeats.
 
-Bounds. A gram with more than ``GROUP_RUNS`` names, which may be most of a corpus
-around a widespread passage, never meets in one task: its windows are named one by one
+Bounds. Names of one gram are told apart in one task, sorted by Spark, a batch at a time.
+The texts of a gram with more than ``GROUP_RUNS`` names, which may be most of a corpus
+around a widespread passage, never meet in one task: its windows are named one by one
 with map-side partials. Every other queue holds at most ``BATCH_RUNS`` runs and one
 group. So memory does not grow with the shard.
 

@@ -16,7 +16,9 @@ the file is written; a file's own start is the sum of the files before it, one r
 per file.
 
 Defined results: null is the empty text, which has the end id only; a null key comes
-first; rows of one key stand together, by the hash of their texts, and count apart.
+first; rows of one key stand together, by the hash of their texts, and count apart. An
+empty table gives files without rows. Other columns are kept, but for those called ``ids``,
+``n_tokens``, ``start``, ``file_no`` or ``file_start``, which the files need for themselves.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The trie goes to every executor. It holds at most ``RULES_PER_TRIE`` rules; a lo
 list is cut into several tries that the rows pass one after another, in the same
 stage. Rows never move.
 
-Defined results: a null url, or one without ``://``, has an empty host and path.
+Defined results: a null url, or one without ``://``, has an empty host and path. Rows that
+repeat are judged each; an empty table gives an empty one, and without rules all is allowed.
 """
 
 from __future__ import annotations
