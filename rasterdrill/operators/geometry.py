@@ -234,8 +234,9 @@ def overlay(each: DataFrame, bound: int) -> Overlay:
         .filter("deep > 0")
         .drop("deep")
     )
-    shown = segments.groupBy(*set_).agg(F.min(F.struct(*row, "x_from")).alias("at")).select(
-        *set_, F.col("at.tile_id").alias("_tile_id"), F.col("at.y").alias("_y"), F.col("at.x_from").alias("_x")
+    # Any one segment will do; the three come from one row, and fixed widths keep a hash aggregate.
+    shown = segments.groupBy(*set_).agg(
+        F.first("tile_id").alias("_tile_id"), F.first("y").alias("_y"), F.first("x_from").alias("_x")
     )
     held = each.join(
         sized(shown, 2 * bound), F.expr("tile_id = _tile_id AND y = _y AND _x >= x_from AND _x <= x_to")

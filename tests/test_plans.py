@@ -144,7 +144,8 @@ def test_pixels_never_move_by_scene_or_polygon_alone(spark, stored, monkeypatch,
     monkeypatch.setattr(tuning, "BROADCAST_ROWS", -1)
     drill = DRILLS.get(name, lambda *a: D.wetland_areas(*a, cube.GRID, aggregate=1))
     found = exchanges(drill(wide(spark, stored), cube.scenes(spark, SF), cube.polygons(spark, SF)))
-    moved = [keys for keys, below, pixels in found if pixels and below != "HashAggregate"]
+    sums = ["set_a", "set_b"]  # sums per set of polygons and time, on their way to the polygons
+    moved = [keys for keys, below, pixels in found if pixels and below != "HashAggregate" and keys != sums]
     assert moved and all("tile_id" in keys or "_tile_id" in keys for keys in moved)
 
 
