@@ -9,6 +9,7 @@ they join to pixels by tile and row, so no pixel ever meets an edge.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 from typing import NamedTuple
 
@@ -303,6 +304,85 @@ def polygon_mask(
     return Mask(spans, sized(cut, bound), bound)
 
 
+# Edges nearer to a tile than this part of its width count as inside it.
+_NEAR_TILE = 1e-6
+
+
+class TwoLevelMask(NamedTuple):
+    """A mask in two levels: tiles wholly inside a polygon, and spans in the others.
+
+    ``full (poly_id, tile_id)`` has one row per tile that lies inside as a whole,
+    ``border_tiles (poly_id, tile_id)`` names the tiles an edge comes near, and ``border
+    (poly_id, tile_id, y, x_from, x_to)`` holds the spans there. The two levels are
+    disjoint and together the mask of :func:`polygon_mask`. ``bound`` is a proven number of
+    rows for each.
+    """
+
+    full: DataFrame
+    border_tiles: DataFrame
+    border: DataFrame
+    bound: int
+
+    def area(self, grid: Grid) -> DataFrame:
+        """:meth:`Mask.area`, from rows that grow with the outline and with whole tiles."""
+        whole = self.full.select("poly_id", F.lit(grid.tile * grid.tile).cast("bigint").alias("n"))
+        cut = self.border.select("poly_id", F.expr("x_to - x_from + 1 AS n"))
+        return whole.unionByName(cut).groupBy("poly_id").agg(F.sum("n").alias("total_area"))
+
+
+def _tile_runs_of_edges(polygons: DataFrame, grid: Grid) -> DataFrame:
+    """Runs of tiles ``(poly_id, y, x_from, x_to)``, in tile rows and columns, that edges come near.
+
+    A tile an edge only comes near is as good as one it enters: its spans are found pixel by
+    pixel either way.
+    """
+    near, size = f"{_NEAR_TILE}D", f"{float(grid.tile)}D"
+    first, last = f"CAST(floor(least(ya, yb) - {near}) AS BIGINT)", f"CAST(floor(greatest(ya, yb) + {near}) AS BIGINT)"
+    start = _edge_x(f"greatest(least(ya, yb), y - {near})")
+    end = _edge_x(f"least(greatest(ya, yb), y + 1 + {near})")
+    runs = (
+        edges(polygons, grid)
+        .selectExpr("poly_id", *[f"{c} / {size} AS {c}" for c in ("xa", "ya", "xb", "yb")])
+        .selectExpr("*", f"explode(sequence({first}, {last})) AS y")
+        .selectExpr("poly_id", "y", f"IF(ya = yb, xa, {start}) AS p", f"IF(ya = yb, xb, {end}) AS q")
+        .selectExpr(
+            "poly_id", "y",
+            f"CAST(floor(least(p, q) - {near}) AS BIGINT) AS x_from",
+            f"CAST(floor(greatest(p, q) + {near}) AS BIGINT) AS x_to",
+        )
+    )
+    return merge_spans(runs)
+
+
+def _grid_of_tiles(grid: Grid) -> Grid:
+    """The grid whose pixels are the tiles of ``grid``, with the same numbers."""
+    return replace(grid, res_x=grid.res_x * grid.tile, res_y=grid.res_y * grid.tile, tile=1)
+
+
+def two_level_mask(polygons: DataFrame, grid: Grid, all_touched: bool = False) -> TwoLevelMask:
+    """The mask of each polygon as whole tiles and as spans of border tiles.
+
+    No edge comes near a tile that is not of the border, so all its pixels lie on one
+    side, that of its centre: whole tiles are the tiles whose centre is inside, on a grid
+    of tiles, without those of the border. Spans of pixel rows are cut to border tiles
+    before they are cut at tile borders; a wide polygon is not spread over its inside.
+    """
+    coarse = _grid_of_tiles(grid)
+    runs = _on_grid(_tile_runs_of_edges(polygons, grid), coarse)
+    border_tiles = tile_spans(runs, coarse).select("poly_id", "tile_id")
+    inside = tile_spans(spans_centre(polygons, coarse), coarse).select("poly_id", "tile_id")
+    full = inside.join(border_tiles, ["poly_id", "tile_id"], "left_anti")
+    rows = spans_of(polygons, grid, all_touched).withColumn("_ty", grid.block(F.col("y")))
+    runs = _aside(runs.withColumnsRenamed({"y": "row", "poly_id": "poly"}))
+    meets = f"poly_id = _poly AND _ty = _row AND x_to >= _x_from * {grid.tile} AND x_from < (_x_to + 1) * {grid.tile}"
+    bound = span_bound(polygons, grid)
+    cut = rows.join(sized(runs, bound), F.expr(meets)).selectExpr(
+        "poly_id", "y", f"greatest(x_from, _x_from * {grid.tile}) AS x_from",
+        f"least(x_to, (_x_to + 1) * {grid.tile} - 1) AS x_to",
+    )
+    return TwoLevelMask(full, border_tiles, tile_spans(cut, grid), bound)
+
+
 def _aside(df: DataFrame) -> DataFrame:
     """Rename every column for the small side of a join, so names never clash."""
     return df.select(*[F.col(c).alias("_" + c) for c in df.columns])

@@ -210,19 +210,33 @@ def mangrove_drill(
     Every scene time under the polygon has a row. Scenes of one exact time are
     taken not to overlap; say ``overlapping`` if they do.
     """
-    band = "canopy_cover_class"
-    sc = SC.filter_time_range(scenes, time)
     px = SC.filter_time_range(pixels, time).filter(G.polygon_tiles(polygons, grid))
+    sc = SC.filter_time_range(scenes, time)
     over = G.polygon_mask(polygons, grid, ranges=ranges).overlay()
     if overlapping:
-        px = _fuse_exact(_inside(px, over.segments), sc, {band: 255})
-    held = G.in_segments(px.select("ts", *_PLACE, band), over.segments)
-    sums = held.groupBy(*_SET, F.col("ts").alias("grp")).agg(
-        *[F.count_if(F.col(band) == k).alias(name) for k, name in S.CANOPY_CLASSES.items()]
-    )
-    counts = G.spread(sums, over.members, "grp")
+        px = _fuse_exact(_inside(px, over.segments), sc, {CANOPY: 255})
+    return _canopy_at_times(_canopy_counts(px, over), sc, polygons, grid, ranges)
+
+
+CANOPY = "canopy_cover_class"
+
+
+def _canopy_classes() -> list[Column]:
+    return [F.count_if(F.col(CANOPY) == k).alias(name) for k, name in S.CANOPY_CLASSES.items()]
+
+
+def _canopy_counts(pixels: DataFrame, over: G.Overlay) -> DataFrame:
+    """``poly_id, grp`` and the count of each class, from pixels in the segments of ``over``."""
+    held = G.in_segments(pixels.select("ts", *_PLACE, CANOPY), over.segments)
+    sums = held.groupBy(*_SET, F.col("ts").alias("grp")).agg(*_canopy_classes())
+    return G.spread(sums, over.members, "grp")
+
+
+def _canopy_at_times(
+    counts: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, ranges: DataFrame | None
+) -> DataFrame:
     spine = G.time_spine(
-        G.polygon_extents(polygons, grid), sc.withColumn("grp", F.col("ts")), grid, ranges=ranges
+        G.polygon_extents(polygons, grid), scenes.withColumn("grp", F.col("ts")), grid, ranges=ranges
     )
     return spine.join(counts, ["poly_id", "grp"], "left").select(
         "poly_id",
@@ -231,6 +245,53 @@ def mangrove_drill(
     )
 
 
+def canopy_summaries(pixels: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
+    """``tile_id, ts`` and the pixel count of each canopy class: a table to store beside the pixels.
+
+    One row stands for the pixels of a tile at a time. Give ``scenes`` if those of one exact
+    time overlap: they are merged first, as ``overlapping`` does in a drill.
+    """
+    px = pixels if scenes is None else _fuse_exact(pixels, scenes, {CANOPY: 255})
+    return px.groupBy("tile_id", "ts").agg(*_canopy_classes())
+
+
+def mangrove_drill_summaries(
+    pixels: DataFrame,
+    summaries: DataFrame,
+    scenes: DataFrame,
+    polygons: DataFrame,
+    grid: Grid,
+    time=None,
+    ranges: DataFrame | None = None,
+    overlapping: bool = False,
+) -> DataFrame:
+    """:func:`mangrove_drill` that reads pixels of border tiles only.
+
+    Tiles wholly inside a polygon are answered from ``summaries`` (see
+    :func:`canopy_summaries`), so what is read grows with the outline of a polygon, not with
+    its area. ``overlapping`` must be that of the summaries.
+    """
+    sc = SC.filter_time_range(scenes, time)
+    mask = G.two_level_mask(polygons, grid)
+    full, border = mask.full, mask.border
+    if ranges is not None:
+        own = counted(ranges.select("poly_id", "start", "end"))
+        full, border = full.join(own, "poly_id", "left"), border.join(own, "poly_id", "left")
+    over = G.overlay(sized(border, mask.bound), mask.bound)
+    px = SC.filter_time_range(pixels, time).filter(G.tile_filter(mask.border_tiles))
+    if overlapping:
+        px = _fuse_exact(_inside(px, over.segments), sc, {CANOPY: 255})
+    kept = SC.filter_time_range(summaries, time).filter(G.tile_filter(mask.full))
+    # A whole tile has a span in each of its rows, so the bound of spans holds for tiles too.
+    whole = kept.join(sized(full, mask.bound), "tile_id")
+    if ranges is not None:
+        whole = whole.filter(inside_request(F.col("ts"), F.col("start"), F.col("end")))
+    names = list(S.CANOPY_CLASSES.values())
+    both = whole.select("poly_id", F.col("ts").alias("grp"), *names).unionByName(_canopy_counts(px, over))
+    counts = both.groupBy("poly_id", "grp").agg(*[F.sum(n).alias(n) for n in names])
+    return _canopy_at_times(counts, sc, polygons, grid, ranges)
+
+
 # --- water at points ---------------------------------------------------------
 
 def point_water(

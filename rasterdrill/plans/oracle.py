@@ -695,9 +695,9 @@ SELECT request_id, status, CASE WHEN status = 'ok' THEN coalesce(days, 0) END AS
     count(CASE WHEN m.x IS NOT NULL THEN fmask END) AS n_fmask
   FROM pixels p JOIN cells c ON p.x = c.x AND p.y = c.y
     LEFT JOIN mask_c m ON m.poly_id = c.poly_id AND m.x = c.x AND m.y = c.y GROUP BY c.poly_id, p.tile_id"""),
-        "polygon_pixel_area": _with("""
+        **dict.fromkeys(("polygon_pixel_area", "polygon_area_two_level"), _with("""
   SELECT t.poly_id, coalesce(c.total_area, 0) AS centre_area, t.total_area AS touched_area
-  FROM area_t t LEFT JOIN area_c c ON c.poly_id = t.poly_id"""),
+  FROM area_t t LEFT JOIN area_c c ON c.poly_id = t.poly_id""")),
         "convex_hull_wkt": _with("SELECT poly_id, geometry FROM hulls"),
         "pixel_at_point": _with("""
   SELECT point_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, count(*) AS n_obs, CAST(sum(water) AS BIGINT) AS sum_water
@@ -748,7 +748,7 @@ SELECT request_id, status, CASE WHEN status = 'ok' THEN coalesce(days, 0) END AS
         "wit_drill_reprojected": _reprojected_drill(),
         "wit_drill_requests": _requests_drill(),
         "wofs_pixel_drill_ranges": _ranges_drill(ranges),
-        "mangrove_drill": _with("SELECT * FROM mangrove"),
+        **dict.fromkeys(("mangrove_drill", "mangrove_drill_summaries"), _with("SELECT * FROM mangrove")),
         "mangrove_drill_years": _with(
             "SELECT * FROM mangrove WHERE time >= TIMESTAMP '2000-01-01' AND time < TIMESTAMP '2006-01-01'"
         ),

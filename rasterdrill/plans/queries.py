@@ -293,6 +293,16 @@ def polygon_pixel_area(spark, sf):
     )
 
 
+@query
+def polygon_area_two_level(spark, sf):
+    po = cube.polygons(spark, sf)
+    centre, touched = (G.two_level_mask(po, GRID, all_touched=t).area(GRID) for t in (False, True))
+    both = touched.withColumnRenamed("total_area", "touched_area").join(
+        centre.withColumnRenamed("total_area", "centre_area"), "poly_id", "left"
+    )
+    return both.select("poly_id", F.coalesce("centre_area", F.lit(0)).alias("centre_area"), "touched_area")
+
+
 @query
 def convex_hull_wkt(spark, sf):
     return G.convex_hull(cube.polygons(spark, sf))
@@ -442,6 +452,12 @@ def mangrove_drill_years(spark, sf):
     return D.mangrove_drill(*_archive(spark, sf), time=("2000", "2005"))
 
 
+@query
+def mangrove_drill_summaries(spark, sf):
+    px, sc, po, grid = _archive(spark, sf)
+    return D.mangrove_drill_summaries(px, D.canopy_summaries(px), sc, po, grid)
+
+
 @query
 def wit_cal_area(spark, sf):
     return _round6(D.wetland_areas(*_archive(spark, sf)), *S.COVER_BANDS)
