@@ -6,7 +6,8 @@ more shard, a key either stays or goes to the new one. The method is that of
 the key jumps over shard counts, and the last count before ``shards`` is its shard.
 
 Defined results: a null key is hashed like any value and has a shard; equal keys
-share one; an empty table gives an empty one.
+share one; an empty table gives an empty one. Further columns may be of any type that can
+be grouped by, and maps in any depth, which are compared as sorted lists of entries.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows that one window task numbers, about; the number of blocks follows the table.
 BLOCK_ROWS = 200_000
@@ -52,6 +54,34 @@ def assign(df: DataFrame, key: str, shards: int, name: str = "shard") -> DataFra
     return df.withColumn(name, shard_of(F.col(key), shards))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def _without_maps(c: Column, kind: T.DataType, back: bool = False) -> Column:
+    """``c`` of type ``kind`` with every map as a sorted list of entries, or ``back`` from that."""
+    if not _holds_map(kind):
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: _without_maps(e, kind.elementType, back))
+    if isinstance(kind, T.StructType):
+        parts = [_without_maps(c.getField(f.name), f.dataType, back).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+
+    def entry(e: Column) -> Column:
+        return F.struct(
+            e["key"].alias("key"), _without_maps(e["value"], kind.valueType, back).alias("value")
+        )
+
+    if back:
+        return F.map_from_entries(F.transform(c, entry))
+    return F.array_sort(F.transform(F.map_entries(c), entry))
+
+
 def numbered(df: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Add each row's place in its shard: 0, 1, 2 … without gaps.
 
@@ -63,8 +93,10 @@ def numbered(df: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFra
     if slot in df.columns:
         df = df.drop(slot)
     given, columns = df.columns, [f"c{i}" for i in range(len(df.columns))]  # no name can clash
+    kinds = [f.dataType for f in df.schema.fields]
     shard, last = f"c{given.index(shard)}", slot
-    folded = df.toDF(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    plain = df.toDF(*columns).select(*[_without_maps(F.col(c), k).alias(c) for c, k in zip(columns, kinds)])
+    folded = plain.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     blocks = max(1, -(-df.count() // BLOCK_ROWS))
     cut = folded.withColumn("_block", F.pmod(F.xxhash64(*columns, F.lit("block")), F.lit(blocks)))
     sizes = cut.groupBy(shard, "_block").agg(F.sum("_n").alias("_size"))
@@ -81,5 +113,6 @@ def numbered(df: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFra
         .join(sizes, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_block") == F.col("_at")))
         .withColumn("_first", F.col("_first") + F.col("_before"))
         .select(*columns, F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)))
+        .select(*[_without_maps(F.col(c), k, back=True).alias(c) for c, k in zip(columns, kinds)], "col")
         .toDF(*given, last)
     )

@@ -56,6 +56,37 @@ def test_slots_of_repeated_null_and_no_rows(spark):
     assert shards.numbered(shards.assign(df.limit(0), "k", 3)).count() == 0
 
 
+def test_shards_follow_a_plain_loop(spark):
+    """Jump consistent hashing, one key at a time, over the hashed ids."""
+    def jump(key: int, n: int) -> int:
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    got = queries.op4_jump_shards(spark, SF).selectExpr("xxhash64(doc_id) AS h", "shard", "grown_shard").collect()
+    assert len(got) >= 200
+    assert all((r.shard, r.grown_shard) == (jump(r.h % 2**64, 24), jump(r.h % 2**64, 25)) for r in got)
+
+
+def test_slots_beside_maps(spark):
+    rows = [
+        (1, {"a": 1, "b": 2}, [({"x": {1: "y"}}, 1)]), (1, {"b": 2, "a": 1}, [({"x": {1: "y"}}, 1)]),
+        (1, None, None), (2, {}, [(None, None), None]), (2, {"a": None}, []),
+    ]
+    kind = "k bigint, key map<string,int>, m array<struct<p:map<string,map<int,string>>,value:int>>"
+    df = spark.createDataFrame(rows, kind)
+    out = shards.numbered(shards.assign(df, "k", 3))
+    assert out.schema["m"].dataType.simpleString() == df.schema["m"].dataType.simpleString()
+    plain = lambda r: repr((r["k"], r["key"] and sorted(r["key"].items()), r["m"]))
+    got = out.collect()
+    assert sorted(map(plain, got)) == sorted(map(plain, df.collect()))
+    for shard in {r.shard for r in got}:
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own)))
+
+
 def _fits(r: urls.Rule, host: str, path: str) -> bool:
     return (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)
 
