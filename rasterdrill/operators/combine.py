@@ -49,17 +49,20 @@ def collate_beside(
     return out.select(*base.columns, F.inline(held))
 
 
-def with_scene(pixels: DataFrame, scenes: DataFrame, *columns: str) -> DataFrame:
+def with_scene(
+    pixels: DataFrame, scenes: DataFrame, *columns: str, on: Sequence[str] = ("scene_id",)
+) -> DataFrame:
     """Keep pixels of the given scenes and add scene columns.
 
-    ``scenes`` carries its own broadcast hint (see ``tuning.counted``).
+    ``scenes`` carries its own broadcast hint (see ``tuning.counted`` and ``tuning.beside``).
+    Where scenes name the tile they cover, ``on`` may hold it.
     """
-    return pixels.join(scenes.select("scene_id", *columns), "scene_id")
+    return pixels.join(scenes.select(*on, *columns), list(on))
 
 
 def with_scene_tiles(pixels: DataFrame, tiles: DataFrame, *columns: str) -> DataFrame:
     """:func:`with_scene` by scene and tile (see ``geometry.scene_tiles``)."""
-    return pixels.join(tiles.select("scene_id", "tile_id", *columns), ["scene_id", "tile_id"])
+    return with_scene(pixels, tiles, *columns, on=("scene_id", "tile_id"))
 
 
 def water_is_valid(value: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rasterdrill import tuning
 from rasterdrill.grid import Grid
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import counted, sized
+from rasterdrill.tuning import beside, counted, dealt, sized
 
 # Vertices per sort group: a ring of any length is split into blocks of this many.
 RING_BLOCK = 4096
@@ -243,7 +243,7 @@ def overlay(each: DataFrame, bound: int) -> Overlay:
     )
     columns = [c for c in each.columns if c in ("poly_id", "start", "end")]
     # Each span starts and ends once, so there are at most twice as many segments.
-    return Overlay(sized(segments, 2 * bound), held.select(*set_, *columns))
+    return Overlay(beside(segments, 2 * bound), held.select(*set_, *columns))
 
 
 def in_segments(pixels: DataFrame, segments: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ class Mask:
     """A set of polygons on the grid.
 
     ``spans`` are per polygon; ``each`` are the same cut at tile borders, hinted
-    for broadcast only if ``bound``, a proven number of rows, allows it. Where
+    for broadcast only if ``bound``, a proven number of rows, allows it, else dealt by tile. Where
     requests have time ranges, ``each`` carries their ``start`` and ``end``.
     """
 
@@ -301,7 +301,7 @@ def polygon_mask(
     cut = tile_spans(spans, grid)
     if ranges is not None:
         cut = cut.join(counted(ranges.select("poly_id", "start", "end")), "poly_id", "left")
-    return Mask(spans, sized(cut, bound), bound)
+    return Mask(spans, beside(cut, bound), bound)
 
 
 # Edges nearer to a tile than this part of its width count as inside it.
@@ -480,8 +480,8 @@ def grid_status(polygons: DataFrame, grid: Grid) -> DataFrame:
     return polygon_extents(polygons, grid).select("poly_id", status.alias("grid_status"))
 
 
-def _hinted_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
-    """Extent tiles under their join names, broadcast only if counted to be few.
+def _hinted_tiles(extents: DataFrame, grid: Grid) -> tuple[DataFrame, int]:
+    """Extent tiles under their join names, broadcast only if counted to be few, and their number.
 
     The count multiplies tile rows by tile columns; nothing is exploded for it.
     """
@@ -489,7 +489,7 @@ def _hinted_tiles(extents: DataFrame, grid: Grid) -> DataFrame:
         return F.greatest(grid.block(F.col(hi)) - grid.block(F.col(lo)) + 1, F.lit(0))
 
     n = tuning.one_row(extents.agg(F.sum(across("bx0", "bx1") * across("by0", "by1")).alias("n")))["n"]
-    return _aside(sized(extent_tiles(extents, grid), int(n or 0)))
+    return _aside(beside(extent_tiles(extents, grid), int(n or 0))), int(n or 0)
 
 
 # Tiles that may be named in a filter one by one; beyond that a filter has this many intervals.
@@ -570,14 +570,14 @@ def prune_bbox(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
         (x >= edge(F.min(F.floor("bx0")))) & (x <= edge(F.max(F.ceil("bx1"))))
         & (y >= edge(F.min(F.floor("by0")))) & (y <= edge(F.max(F.ceil("by1"))))
     )
-    tiles = _hinted_tiles(extents, grid)
-    return boxed.join(tiles, F.expr(_IN_EXTENT), "left_semi")
+    tiles, n = _hinted_tiles(extents, grid)
+    return dealt(boxed, n).join(tiles, F.expr(_IN_EXTENT), "left_semi")
 
 
 def pixels_in_extents(pixels: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
     """Every pixel of every polygon's extent, with ``poly_id``."""
-    tiles = _hinted_tiles(polygon_extents(polygons, grid), grid)
-    joined = pixels.join(tiles, F.expr(_IN_EXTENT))
+    tiles, n = _hinted_tiles(polygon_extents(polygons, grid), grid)
+    joined = dealt(pixels, n).join(tiles, F.expr(_IN_EXTENT))
     return joined.select(F.col("_poly_id").alias("poly_id"), *pixels.columns)
 
 
@@ -653,13 +653,13 @@ def time_spine(
         _, footprints = scene_sizes(scenes, grid)
     if ranges is not None:
         extents = extents.join(ranges.select(keys[0], "start", "end"), keys[0], "left")
-    asked = extent_tiles(extents, grid)
+    asked = tuning.dealt(extent_tiles(extents, grid), footprints)
     areas = scenes.select(
         "ts", "grp",
         F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
         F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
     )
-    held = _aside(sized(extent_tiles(areas, grid), footprints))
+    held = _aside(beside(extent_tiles(areas, grid), footprints))
     overlap = "bx0 < _bx1 AND bx1 > _bx0 AND by0 < _by1 AND by1 > _by0"
     # A scene that meets an extent in several tiles counts once: at its first one.
     first_tile = grid.tile_id(
@@ -687,8 +687,9 @@ def points_to_pixels(points: DataFrame, grid: Grid) -> DataFrame:
 def pixel_at_point(pixels: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
     """Pixels at the points, with ``point_id, lon, lat`` of the request point."""
     located = points_to_pixels(points, grid).select("point_id", "lon", "lat", "tile_id", "y", "x")
-    located = _aside(counted(located))
-    joined = pixels.join(located, F.expr("tile_id = _tile_id AND y = _y AND x = _x"))
+    n = tuning.rows_of(located)
+    located = _aside(beside(located, n))
+    joined = dealt(pixels, n).join(located, F.expr("tile_id = _tile_id AND y = _y AND x = _x"))
     return joined.select(
         F.col("_point_id").alias("point_id"),
         F.col("_lon").alias("lon"),

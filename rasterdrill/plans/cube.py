@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterdrill.functions.projection import Albers
 from rasterdrill.grid import Grid
+from rasterdrill.tuning import by_tile
 
 # The origin lies inside the archive, so pixels, polygons and scenes lie on both sides of it.
 WEST, NORTH = -32, -24
@@ -86,13 +87,13 @@ def scenes(spark: SparkSession, sf_dir: str, having: str = "true") -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str, taken: DataFrame | None = None) -> DataFrame:
     """Dense pixel table: each scene (of ``taken``, if given) sees every pixel of its tile."""
     parts = table(spark, sf_dir, "part").selectExpr(
-        "p_partkey", "p_size", "p_partkey div 64 AS part_tile", "p_partkey % 64 AS cell"
+        "p_partkey", "p_size", "p_partkey div 64 AS tile_id", "p_partkey % 64 AS cell"
     )
-    # The order file is one small block; spread the scenes before they multiply.
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The order file is one small block; spread the scenes before they multiply, by tile as
+    # an archive is stored.
     shots = scenes(spark, sf_dir) if taken is None else taken
-    shots = shots.select("scene_id", "tile_id", "ts").repartition(spread, "scene_id")
-    raw = shots.join(parts, F.col("tile_id") == F.col("part_tile"))
+    shots = by_tile(shots.select("scene_id", "tile_id", "ts"))
+    raw = shots.join(by_tile(parts).hint("shuffle_hash"), "tile_id")
     ox, oy = _tile_origin("tile_id")
 
     def noise(a: int, b: int, i: int) -> str:

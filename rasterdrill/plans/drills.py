@@ -26,7 +26,7 @@ from rasterdrill.operators import reproject as R
 from rasterdrill.operators import temporal as T
 from rasterdrill.sources import scenes as SC
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import counted, one_row, sized
+from rasterdrill.tuning import beside, counted, dealt, one_row, sized
 
 _PLACE = ("tile_id", "y", "x")
 
@@ -34,34 +34,39 @@ _PLACE = ("tile_id", "y", "x")
 _SET = ("set_a", "set_b")
 
 
-def _near(pixels: DataFrame, tiles: Column, segments: DataFrame, sets: bool = False) -> DataFrame:
+def _near(pixels: DataFrame, tiles: Column, mask: G.Mask, sets: bool = False) -> DataFrame:
     """Pixels inside any polygon, each once: files first, then the mask. With their set, if asked for."""
-    asked = pixels.filter(tiles)
+    asked, segments = dealt(pixels.filter(tiles), 2 * mask.bound), mask.overlay().segments
     return G.in_segments(asked, segments) if sets else _inside(asked, segments)
 
 
+def _of_scenes(pixels: DataFrame, tiles: DataFrame, bound: int, *columns: str) -> DataFrame:
+    """Pixels of the scene tiles ``tiles``, at most ``bound``, with their columns."""
+    return C.with_scene_tiles(dealt(pixels, bound), beside(tiles, bound), *columns)
+
+
 def _inside(pixels: DataFrame, segments: DataFrame) -> DataFrame:
     return G.inside_any(pixels, segments.select("tile_id", "y", "x_from", "x_to"))
 
 
 def _fused(
-    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, mask: G.Mask, **rules
+    pixels: DataFrame, scenes: DataFrame, footprints: int, polygons: DataFrame, grid: Grid, mask: G.Mask, **rules
 ) -> DataFrame:
     """Solar-day pixels inside any polygon, by the set of polygons that hold them.
 
     Pixels outside all polygons go before the merge of overlapping scenes.
     """
-    segments = mask.overlay().segments
-    kept = C.with_scene_tiles(_near(pixels, G.polygon_tiles(polygons, grid), segments), scenes, "grp", "ord")
-    return G.in_segments(C.fuse(kept, **rules), segments)
+    near = _near(pixels, G.polygon_tiles(polygons, grid), mask)
+    kept = _of_scenes(near, scenes, footprints, "grp", "ord")
+    return G.in_segments(C.fuse(kept, **rules), mask.overlay().segments)
 
 
 def _fused_in_ranges(
-    pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, grid: Grid, mask: G.Mask, **rules
+    pixels: DataFrame, scenes: DataFrame, footprints: int, polygons: DataFrame, grid: Grid, mask: G.Mask, **rules
 ) -> DataFrame:
     """Solar-day pixels per polygon: a time range may split a day differently for each."""
-    near = G.inside_each(pixels.filter(G.polygon_tiles(polygons, grid)), mask.each)
-    kept = C.with_scene_tiles(near, scenes, "grp", "ord")
+    near = G.inside_each(dealt(pixels.filter(G.polygon_tiles(polygons, grid)), mask.bound), mask.each)
+    kept = _of_scenes(near, scenes, footprints, "grp", "ord")
     return C.fuse(kept, keys=("poly_id", *C.PIXEL_KEY), **rules)
 
 
@@ -111,14 +116,14 @@ def cover_counts(
     )
     mask = G.polygon_mask(polygons, grid, ranges=ranges)
     extents = G.polygon_extents(polygons, grid)
-    tiles = sized(G.scene_tiles(sc, extents, grid, "grp", "ord"), footprints)
+    tiles = G.scene_tiles(sc, extents, grid, "grp", "ord")
     rules = {"first_valid": {b: nodata for b in S.COVER_BANDS}, "water": "water"}
     if ranges is None:
-        held = _fused(bands, tiles, polygons, grid, mask, **rules)
+        held = _fused(bands, tiles, footprints, polygons, grid, mask, **rules)
         sums = cover_statistics(held, [*_SET, "grp"], nodata, strict_nodata)
         counts = G.spread(sums, mask.overlay().members, "grp")
     else:
-        held = _fused_in_ranges(bands, tiles, polygons, grid, mask, **rules)
+        held = _fused_in_ranges(bands, tiles, footprints, polygons, grid, mask, **rules)
         counts = cover_statistics(held, ["poly_id", "grp"], nodata, strict_nodata)
     spine = G.time_spine(extents, sc, grid, ranges=ranges, footprints=footprints)
     return spine.join(counts, ["poly_id", "grp"], "left")
@@ -177,8 +182,8 @@ def cover_drill_products(
         sc = SC.group_scenes(taken, "solar_day")
         bands = [*rules.get("first_valid", {}), *([rules["water"]] if "water" in rules else [])]
         px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, *bands)
-        tiles = sized(G.scene_tiles(sc, extents, grid, "grp", "ord"), footprints)
-        held.append(C.fuse(C.with_scene_tiles(_near(px, near_tiles, over.segments), tiles, "grp", "ord"), **rules))
+        tiles = G.scene_tiles(sc, extents, grid, "grp", "ord")
+        held.append(C.fuse(_of_scenes(_near(px, near_tiles, mask), tiles, footprints, "grp", "ord"), **rules))
         spines.append(G.time_spine(extents, sc, grid, footprints=footprints).select("poly_id", "grp", "time"))
     aligned = G.in_segments(C.juxtapose(*held), over.segments)
     counts = G.spread(cover_statistics(aligned, [*_SET, "grp"], nodata, strict_nodata), over.members, "grp")
@@ -212,10 +217,11 @@ def mangrove_drill(
     """
     px = SC.filter_time_range(pixels, time).filter(G.polygon_tiles(polygons, grid))
     sc = SC.filter_time_range(scenes, time)
-    over = G.polygon_mask(polygons, grid, ranges=ranges).overlay()
+    mask = G.polygon_mask(polygons, grid, ranges=ranges)
+    over = mask.overlay()
     if overlapping:
         px = _fuse_exact(_inside(px, over.segments), sc, {CANOPY: 255})
-    return _canopy_at_times(_canopy_counts(px, over), sc, polygons, grid, ranges)
+    return _canopy_at_times(_canopy_counts(px, over, mask.bound), sc, polygons, grid, ranges)
 
 
 CANOPY = "canopy_cover_class"
@@ -225,9 +231,9 @@ def _canopy_classes() -> list[Column]:
     return [F.count_if(F.col(CANOPY) == k).alias(name) for k, name in S.CANOPY_CLASSES.items()]
 
 
-def _canopy_counts(pixels: DataFrame, over: G.Overlay) -> DataFrame:
-    """``poly_id, grp`` and the count of each class, from pixels in the segments of ``over``."""
-    held = G.in_segments(pixels.select("ts", *_PLACE, CANOPY), over.segments)
+def _canopy_counts(pixels: DataFrame, over: G.Overlay, bound: int) -> DataFrame:
+    """``poly_id, grp`` and the count of each class, from pixels in the segments of ``over``, laid from ``bound`` spans."""
+    held = G.in_segments(dealt(pixels.select("ts", *_PLACE, CANOPY), 2 * bound), over.segments)
     sums = held.groupBy(*_SET, F.col("ts").alias("grp")).agg(*_canopy_classes())
     return G.spread(sums, over.members, "grp")
 
@@ -277,17 +283,17 @@ def mangrove_drill_summaries(
     if ranges is not None:
         own = counted(ranges.select("poly_id", "start", "end"))
         full, border = full.join(own, "poly_id", "left"), border.join(own, "poly_id", "left")
-    over = G.overlay(sized(border, mask.bound), mask.bound)
+    over = G.overlay(beside(border, mask.bound), mask.bound)
     px = SC.filter_time_range(pixels, time).filter(G.tile_filter(mask.border_tiles))
     if overlapping:
         px = _fuse_exact(_inside(px, over.segments), sc, {CANOPY: 255})
     kept = SC.filter_time_range(summaries, time).filter(G.tile_filter(mask.full))
     # A whole tile has a span in each of its rows, so the bound of spans holds for tiles too.
-    whole = kept.join(sized(full, mask.bound), "tile_id")
+    whole = dealt(kept, mask.bound).join(beside(full, mask.bound), "tile_id")
     if ranges is not None:
         whole = whole.filter(inside_request(F.col("ts"), F.col("start"), F.col("end")))
     names = list(S.CANOPY_CLASSES.values())
-    both = whole.select("poly_id", F.col("ts").alias("grp"), *names).unionByName(_canopy_counts(px, over))
+    both = whole.select("poly_id", F.col("ts").alias("grp"), *names).unionByName(_canopy_counts(px, over, mask.bound))
     counts = both.groupBy("poly_id", "grp").agg(*[F.sum(n).alias(n) for n in names])
     return _canopy_at_times(counts, sc, polygons, grid, ranges)
 
@@ -310,31 +316,31 @@ def point_water(
     sc = SC.group_scenes(taken, "solar_day")
     n_points = one_row(points.agg(F.count(F.lit(1))))[0]
     located = G.points_to_pixels(points.select("point_id", "lon", "lat"), grid)
-    cells = sized(located.select(*_PLACE).distinct(), n_points)
+    cells = beside(located.select(*_PLACE).distinct(), n_points)
     px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, "water")
-    near = G.at_tiles(px, located).join(cells, list(_PLACE), "left_semi")
-    squares = located.select(
+    near = dealt(G.at_tiles(px, located), n_points).join(cells, list(_PLACE), "left_semi")
+    squares = located.select(  # each in one tile, which its times are looked up by
         "point_id", "lon", "lat", "y", "x",
-        F.col("tile_id").alias("cell_tile"),
         F.col("x").cast("double").alias("bx0"), F.col("y").cast("double").alias("by0"),
         (F.col("x") + 1.0).alias("bx1"), (F.col("y") + 1.0).alias("by1"),
     )
-    kept = C.with_scene_tiles(near, sized(G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints), "grp", "ord")
-    keys = ("point_id", "lon", "lat", "cell_tile", "y", "x")
+    kept = _of_scenes(near, G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints, "grp", "ord")
+    keys = ("point_id", "lon", "lat", *_PLACE)
     if ranges is None:
         fused, on = C.fuse_water(kept), list(C.PIXEL_KEY)
     else:
         # A range may split a day, so pixels are merged per point; a point has one pixel.
         asked = located.join(counted(ranges.select("point_id", "start", "end")), "point_id", "left")
-        asked = sized(asked.select("point_id", *_PLACE, "start", "end"), n_points)
+        asked = beside(asked.select("point_id", *_PLACE, "start", "end"), n_points)
         own = SC.filter_time_range(pixels, time).select("scene_id", "ts", *_PLACE, "water")
-        own = G.at_tiles(own, located).join(asked, list(_PLACE))
+        own = dealt(G.at_tiles(own, located), n_points).join(asked, list(_PLACE))
         own = own.filter(inside_request(F.col("ts"), F.col("start"), F.col("end"))).drop("start", "end")
-        own = C.with_scene_tiles(own, sized(G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints), "grp", "ord")
+        own = _of_scenes(own, G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints, "grp", "ord")
         on = ["point_id", *C.PIXEL_KEY]
         fused = C.fuse_water(own, on)
     spine = G.time_spine(squares, sc, grid, keys=keys, ranges=ranges, footprints=footprints)
-    spine = spine.withColumnRenamed("cell_tile", "tile_id")
+    if footprints > tuning.BROADCAST_ROWS:
+        fused = fused.hint("merge")  # a row per point and day, too many to hash
     return spine.join(fused, on, "left").select(
         "point_id",
         "time",
@@ -459,21 +465,25 @@ def _together(pixels: DataFrame, scenes: DataFrame, overlapping: bool, source: G
         _, footprints = G.scene_sizes(sc, source or q.grid)
         early = sets and not overlapping
         if source is None:
-            near = _near(px, G.polygon_tiles(q.polygons, q.grid), segments, early)
-            tiles = sized(G.scene_tiles(sc, extents, q.grid), footprints)
-            kept = C.with_scene_tiles(near, tiles)
+            near = _near(px, G.polygon_tiles(q.polygons, q.grid), q.mask, early)
+            kept = _of_scenes(near, G.scene_tiles(sc, extents, q.grid), footprints)
         else:
             under = R.source_tiles(G.extent_blocks(extents, q.grid).select("_tx", "_ty").distinct(), q.grid, source)
-            tiles = sized(G.scenes_on_tiles(sc, under, source), footprints)
-            moved = R.reproject_nearest(C.with_scene_tiles(px.filter(G.tile_filter(under)), tiles), source, q.grid)
+            asked = _of_scenes(px.filter(G.tile_filter(under)), G.scenes_on_tiles(sc, under, source), footprints)
+            moved = R.reproject_nearest(asked, source, q.grid)
             placed = moved.select("scene_id", "ts", F.col("target_tile").alias("tile_id"), F.col("ty").alias("y"), F.col("tx").alias("x"), *bands)
+            if not overlapping:
+                placed = wetland_pixels(placed, "ts", *_PLACE)  # five bands move, not twelve
+            placed = dealt(placed, 2 * q.mask.bound)
             kept = G.in_segments(placed, segments) if early else _inside(placed, segments)
         if overlapping:
             values = {b.name: b.nodata for b in (*S.COVER_PRODUCT, *S.SURFACE_PRODUCT, *S.WATER_PRODUCT)}
             kept = _fuse_exact(kept, sc, values)
             kept = G.in_segments(kept, segments) if sets else kept
         keep = ("ts", *_PLACE, *(_SET if sets else ()))
-        return _Held(wetland_pixels(kept, *keep), lambda: q.spine(sc, footprints), sc)
+        if source is None or overlapping:
+            kept = wetland_pixels(kept, *keep)
+        return _Held(kept.select(*keep, *WETLAND_NODATA, "water"), lambda: q.spine(sc, footprints), sc)
 
     return held
 
@@ -500,17 +510,18 @@ def _apart(cover: Product, surfaces: Mapping[str, Product], water: Product):
             spots[-1], ["ts", "tile_id"], "left_semi"
         ).distinct()
         near_tiles = G.polygon_tiles(q.polygons, q.grid)
-        segments = q.mask.overlay().segments
+        # The products are aligned, so all are dealt by tile if one is.
+        most = max(2 * q.mask.bound, *footprints)
 
-        def near(product: Product, scene_tiles: DataFrame, bound: int, bands: Sequence[str]) -> DataFrame:
+        def near(i: int, product: Product, scene_tiles: DataFrame, bands: Sequence[str]) -> DataFrame:
             px = SC.filter_time_range(product.pixels, q.time).select("scene_id", *keys, *bands)
             asked = scene_tiles.join(common, ["ts", "tile_id"], "left_semi").select("scene_id", "tile_id")
-            cut = _near(px, near_tiles, segments, sets and product is cover)  # one of them brings the set
-            return C.with_scene_tiles(cut, sized(asked, bound)).drop("scene_id")
+            cut = _near(px, near_tiles, q.mask, sets and i == 0)  # cover brings the set
+            return C.with_scene_tiles(dealt(cut, most), beside(asked, footprints[i])).drop("scene_id")
 
         surface = (*S.REFLECTANCE_BANDS, "fmask", "nbart_contiguity")
         wanted = [S.COVER_BANDS, *[surface] * len(surfaces), ("water",)]
-        parts = [near(*x) for x in zip(every, tiled, footprints, wanted)]
+        parts = [near(i, *x) for i, x in enumerate(zip(every, tiled, wanted))]
         base = C.juxtapose(parts[0], parts[-1], keys)
         kept = C.collate_beside(base, dict(zip(surfaces, parts[1:-1])), keys)
 
@@ -537,13 +548,19 @@ def _windowed(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
         windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days")
     extents = G.polygon_extents(q.polygons, q.grid)
     n_times = G.spine_bound(extents, found.scenes, q.grid)
-    if n_times > tuning.BROADCAST_ROWS:
-        n_times = windows.count()  # the bound counts every scene of a tile
+    tiles = G.extent_tiles(extents, q.grid).select("poly_id", "tile_id")
+    most = n_times
+    if n_times > tuning.BROADCAST_ROWS:  # the bound counts every scene of a tile
+        per, over = (df.groupBy("poly_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((windows, "n"), (tiles, "m")))
+        sums = per.join(over.hint("merge"), "poly_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("most"))
+        row = sums.collect()[0]
+        n_times, most = row["n"] or 0, row["most"] or 0
     if n_times <= tuning.BROADCAST_ROWS:
         return held.join(F.broadcast(windows), ["poly_id", "ts"])
     # With the tile in the key, a polygon and time of any size is many groups.
-    tiles = G.extent_tiles(extents, q.grid).select("poly_id", "tile_id")
-    return held.join(windows.join(tiles, "poly_id").hint("merge"), ["poly_id", "ts", "tile_id"])
+    # Pixels that were dealt for the mask or for scenes are not moved here, nor for their merge.
+    placed = beside(windows.join(tiles.hint("merge"), "poly_id"), most)
+    return dealt(held, most).join(placed, ["poly_id", "ts", "tile_id"])
 
 
 def _composite(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:

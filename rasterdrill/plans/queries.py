@@ -27,7 +27,7 @@ from rasterdrill.sources import pixels as PX
 from rasterdrill.sources import requests as RQ
 from rasterdrill.sources import scenes as SC
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import counted, shared_folder
+from rasterdrill.tuning import beside, dealt, rows_of, shared_folder
 
 GRID = cube.GRID
 SURFACE_NODATA = S.nodata_of(S.SURFACE_PRODUCT)
@@ -135,12 +135,18 @@ def parse_parameters(spark, sf):
 
 # --- combining products ------------------------------------------------------
 
+def _by_scene(px: DataFrame, scenes: DataFrame, *columns: str) -> DataFrame:
+    """Pixels of ``scenes``; a scene here covers one tile, which both name."""
+    n = rows_of(scenes)
+    return C.with_scene(dealt(px, n), beside(scenes, n), *columns, on=("scene_id", "tile_id"))
+
+
 @query
 def collate(spark, sf):
     good = D.wetland_scenes(cube.scenes(spark, sf))
     px = cube.pixels(spark, sf).select("scene_id", "tile_id", "blue", "swir2")
     sensors = {
-        name: C.with_scene(px, counted(good.filter(F.col("product") == name)))
+        name: _by_scene(px, good.filter(F.col("product") == name))
         for name in S.SENSOR_EPOCHS
     }
     return (
@@ -154,8 +160,8 @@ def collate(spark, sf):
 def juxtapose(spark, sf):
     px, sc = cube.pixels(spark, sf), cube.scenes(spark, sf)
     keys = ["ts", "tile_id", "y", "x"]
-    cover = C.with_scene(px.select("scene_id", *keys, *S.COVER_BANDS), counted(SC.filter_scene_quality(sc)))
-    water = C.with_scene(px.select("scene_id", *keys, "water"), counted(SC.filter_sensor_epoch(sc)))
+    cover = _by_scene(px.select("scene_id", *keys, *S.COVER_BANDS), SC.filter_scene_quality(sc))
+    water = _by_scene(px.select("scene_id", *keys, "water"), SC.filter_sensor_epoch(sc))
     return (
         C.juxtapose(cover.drop("scene_id"), water.drop("scene_id"), keys)
         .groupBy("tile_id")
@@ -173,9 +179,9 @@ def group_solar_day(spark, sf):
 
 
 def _daily(spark, sf, *bands: str) -> DataFrame:
-    sc = SC.group_scenes(cube.scenes(spark, sf)).select("scene_id", "grp", "ord")
+    sc = SC.group_scenes(cube.scenes(spark, sf)).select("scene_id", "tile_id", "grp", "ord")
     px = cube.pixels(spark, sf).select("scene_id", "tile_id", "y", "x", *bands)
-    return C.with_scene(px, counted(sc), "grp", "ord")
+    return _by_scene(px, sc, "grp", "ord")
 
 
 @query
@@ -268,7 +274,8 @@ def rasterize_all_touched(spark, sf):
 def mask_polygon(spark, sf):
     po = cube.polygons(spark, sf)
     px = cube.pixels(spark, sf).select("tile_id", "y", "x", "bs", "water", "fmask")
-    each = G.polygon_mask(po, GRID).each
+    mask = G.polygon_mask(po, GRID)
+    px, each = dealt(px, mask.bound), mask.each
     nodata = {"bs": S.COVER_NODATA, "water": S.WATER_NODATA, "fmask": None}
     return (
         G.mask_polygon(G.pixels_in_extents(px, po, GRID), each, nodata)
