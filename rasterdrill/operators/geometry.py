@@ -492,36 +492,52 @@ def _hinted_tiles(extents: DataFrame, grid: Grid) -> tuple[DataFrame, int]:
     return _aside(beside(extent_tiles(extents, grid), int(n or 0))), int(n or 0)
 
 
-# Tiles that may be named in a filter one by one; beyond that a filter has this many intervals.
+# Tiles that may be named in a filter one by one; beyond that ``tile_intervals`` gives this many.
 TILE_LIST = 10_000
 TILE_INTERVALS = 256
+# Intervals spelled out in a filter. Each names the tile twice, and where the tile is computed each
+# copy computes it: some hundred of them are more than a method of generated code may hold.
+FILTER_INTERVALS = 8
 
 
-def tile_intervals(tiles: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
-    """At most ``most`` intervals of tile numbers that hold all of ``tiles (tile_id)``.
+def _tile_slices(tiles: DataFrame) -> tuple[int, list[tuple[int, int]]]:
+    """A level, and the least and greatest of ``tiles (tile_id)`` in each slice of ``2 ** level`` numbers.
 
     Tiles are counted at ever coarser slices of their numbers, at once; the finest level
-    with few enough slices is collected, as the least and greatest tile of each slice, and
-    the smallest gaps are closed. On a curve (see ``Grid.curve``) a slice is a square, so an
-    interval holds little beyond what was asked for.
+    with few enough slices is collected.
     """
-    most = most or TILE_INTERVALS
     levels = range(0, 60, 4)
     held = tiles.select("tile_id")
     counts = held.agg(*[F.approx_count_distinct(F.shiftright("tile_id", n)).alias(f"n{n}") for n in levels]).first()
     level = next((n for n in levels if counts[f"n{n}"] * 2 <= TILE_LIST), levels[-1])
     slices = held.groupBy(F.shiftright("tile_id", level).alias("s")).agg(F.min("tile_id").alias("a"), F.max("tile_id").alias("b"))
-    ends = sorted((r["a"], r["b"]) for r in slices.collect())  # some TILE_LIST rows at most
-    gaps = sorted(range(1, len(ends)), key=lambda i: ends[i][0] - ends[i - 1][1], reverse=True)
+    return level, sorted((r["a"], r["b"]) for r in slices.filter("s IS NOT NULL").collect())  # some TILE_LIST rows at most
+
+
+def _closed(ends: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Sorted intervals with the smallest gaps closed, until there are at most ``most``; those without a gap are one."""
+    gaps = [i for i in range(1, len(ends)) if ends[i][0] - ends[i - 1][1] > 1]
+    gaps.sort(key=lambda i: ends[i][0] - ends[i - 1][1], reverse=True)
     cuts = [0, *sorted(gaps[: most - 1]), len(ends)]
     return [(ends[i][0], ends[j - 1][1]) for i, j in zip(cuts, cuts[1:]) if i < j]
 
 
+def tile_intervals(tiles: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
+    """At most ``most`` intervals of tile numbers that hold all of ``tiles (tile_id)``.
+
+    They are the least and greatest tile of each slice of numbers (see :func:`_tile_slices`),
+    with the smallest gaps closed. On a curve (see ``Grid.curve``) a slice is a square, so an
+    interval holds little beyond what was asked for.
+    """
+    return _closed(_tile_slices(tiles)[1], most or TILE_INTERVALS)
+
+
 def tile_filter(tiles: DataFrame) -> Column:
     """A condition on ``tile_id`` that holds for the listed ``tiles (tile_id)``, for the file partitions.
 
-    Up to ``TILE_LIST`` tiles are named; beyond that the condition has ``TILE_INTERVALS``
-    intervals, whatever the number of tiles.
+    Up to ``TILE_LIST`` tiles are named; beyond that the slices of numbers that hold them are,
+    by one lookup however many there are, between the ends of at most ``FILTER_INTERVALS``
+    intervals.
     """
     wanted = tiles.select("tile_id").distinct()
     with tuning.one_job(tiles.sparkSession):
@@ -529,10 +545,13 @@ def tile_filter(tiles: DataFrame) -> Column:
         tile = F.col("tile_id")
         if len(named) <= TILE_LIST:
             return tile.isin(sorted(named))
-        any_ = F.lit(False)
-        for low, high in tile_intervals(wanted):
-            any_ = any_ | tile.between(low, high)
-        return any_
+        level, ends = _tile_slices(wanted)
+    any_ = F.lit(False)
+    for low, high in _closed(ends, FILTER_INTERVALS):
+        any_ = any_ | tile.between(low, high)
+    if len(_closed(ends, len(ends))) > FILTER_INTERVALS:  # else nothing lies between
+        any_ = any_ & F.shiftright("tile_id", level).isin([a >> level for a, _ in ends])
+    return any_
 
 
 def at_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:

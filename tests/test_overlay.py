@@ -260,3 +260,20 @@ def test_windows_read_pixels_once(spark, stored, aggregate):  # noqa: F811
     drill = D.wetland_areas(wide(spark, stored), cube.scenes(spark, SF), po, cube.GRID, aggregate=aggregate)
     plan = drill._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "swir2" in line for line in plan.splitlines()) == 1
+
+
+def test_a_filter_of_many_tiles_names_the_tile_a_few_times(spark, monkeypatch):
+    """A tile that is computed is computed once per mention: 256 intervals were more code than a method may hold."""
+    monkeypatch.setattr(G, "TILE_LIST", 2000)
+    tiles = spark.range(900).select((F.col("id") * 50).alias("tile_id"))
+    held = G.tile_filter(tiles)
+    assert str(held).count("tile_id") <= 2 * G.FILTER_INTERVALS + 1
+    found = {r["tile_id"] for r in spark.range(-100, 46_000).withColumnRenamed("id", "tile_id").filter(held).collect()}
+    assert {50 * i for i in range(900)} <= found and len(found) < 46_000 / 2
+
+
+def test_tiles_without_a_gap_are_one_interval(spark, monkeypatch):
+    monkeypatch.setattr(G, "TILE_LIST", 200)
+    tiles = spark.range(-7, 1200).withColumnRenamed("id", "tile_id")
+    assert G.tile_intervals(tiles) == [(-7, 1199)]
+    assert str(G.tile_filter(tiles)).count("tile_id") == 2
