@@ -671,7 +671,7 @@ def time_spine(
     if footprints is None:
         _, footprints = scene_sizes(scenes, grid)
     if ranges is not None:
-        extents = extents.join(ranges.select(keys[0], "start", "end"), keys[0], "left")
+        extents = extents.join(counted(ranges.select(keys[0], "start", "end")), keys[0], "left")
     asked = tuning.dealt(extent_tiles(extents, grid), footprints)
     areas = scenes.select(
         "ts", "grp",

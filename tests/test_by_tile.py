@@ -56,3 +56,12 @@ def test_half_a_million_rows_are_not_sent_through_the_driver(spark):
         assert "strategy=broadcast" not in hinted._jdf.queryExecution().optimizedPlan().toString().lower()
         joined = tuning.dealt(side.drop("v"), 500_000).join(hinted, "tile_id")
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["wofs_pixel_drill_ranges", "wit_drill_requests"])
+def test_tables_of_a_row_per_request_are_not_sent_through_the_driver(spark, monkeypatch, name):
+    """The planner's own estimate of ranges and parameters is below its limit for a million requests too."""
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", -1)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "Inner" not in line]
+    assert not [line for line in joins if "point_id" in line or "poly_id" in line]
