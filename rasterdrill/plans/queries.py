@@ -27,7 +27,7 @@ from rasterdrill.sources import pixels as PX
 from rasterdrill.sources import requests as RQ
 from rasterdrill.sources import scenes as SC
 from rasterdrill.sources.times import inside_request
-from rasterdrill.tuning import beside, dealt, rows_of, shared_folder
+from rasterdrill.tuning import beside, counted, dealt, rows_of, shared_folder
 
 GRID = cube.GRID
 SURFACE_NODATA = S.nodata_of(S.SURFACE_PRODUCT)
@@ -517,7 +517,7 @@ def wit_drill_requests(spark, sf):
     parsed = RQ.parse_parameters(cube.request_texts(spark, sf, cube.PARAMETER_TEXTS))
     good = RQ.usable(parsed).select(F.col("request_id").alias("poly_id"), "aggregate")
     pixels, scenes, polygons, grid = _archive(spark, sf)
-    asked = polygons.join(good.select("poly_id"), "poly_id", "left_semi")
+    asked = polygons.join(counted(good.select("poly_id")), "poly_id", "left_semi")
     return _round6(D.wetland_drill(pixels, scenes, asked, grid, aggregate=good), *WETLAND_SHARES)
 
 
