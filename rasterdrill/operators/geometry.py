@@ -641,17 +641,35 @@ def scenes_on_tiles(scenes: DataFrame, tiles: DataFrame, grid: Grid, *columns: s
     return held.join(tiles, "tile_id", "left_semi")
 
 
-def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
-    """A bound on the rows of :func:`time_spine`: scenes per tile, summed over extents."""
+def _scenes_per_tile(scenes: DataFrame, grid: Grid) -> DataFrame:
     areas = scenes.select(
         F.col("sx0").alias("bx0"), F.col("sy0").alias("by0"),
         F.col("sx1").alias("bx1"), F.col("sy1").alias("by1"),
     )
-    held = extent_tiles(areas, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+    return extent_tiles(areas, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spine_bound(extents: DataFrame, scenes: DataFrame, grid: Grid) -> int:
+    """A bound on the rows of :func:`time_spine`: scenes per tile, summed over extents."""
+    held = _scenes_per_tile(scenes, grid)
     asked = extent_tiles(extents, grid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("m"))
     return int(tuning.one_row(held.join(asked.hint("merge"), "tile_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")))["n"] or 0)
 
 
+def window_bounds(extents: DataFrame, scenes: DataFrame, grid: Grid) -> tuple[int, int]:
+    """Closer bounds: on the exact times of all extents, and on their sum with each time on every tile of its extent.
+
+    An extent has at most as many times as there are scenes on its tiles, and as ``scenes``
+    have times at all. Neither a spine nor windows are built for it.
+    """
+    asked = extent_tiles(extents, grid).select("poly_id", "tile_id").hint("merge")
+    per = asked.join(_scenes_per_tile(scenes, grid), "tile_id", "left").groupBy("poly_id")
+    times = F.least(F.coalesce("n", F.lit(0)), scenes.select(F.count_distinct("ts")).scalar())
+    each = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).select("m", times.alias("n"))
+    row = tuning.one_row(each.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("most")))
+    return int(row["n"] or 0), int(row["most"] or 0)
+
+
 def time_spine(
     extents: DataFrame,
     scenes: DataFrame,

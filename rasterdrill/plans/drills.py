@@ -547,14 +547,10 @@ def _windowed(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
         asked = found.times().join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
         windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days")
     extents = G.polygon_extents(q.polygons, q.grid)
-    n_times = G.spine_bound(extents, found.scenes, q.grid)
     tiles = G.extent_tiles(extents, q.grid).select("poly_id", "tile_id")
-    most = n_times
-    if n_times > tuning.BROADCAST_ROWS:  # the bound counts every scene of a tile
-        per, over = (df.groupBy("poly_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((windows, "n"), (tiles, "m")))
-        sums = per.join(over.hint("merge"), "poly_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("most"))
-        row = sums.collect()[0]
-        n_times, most = row["n"] or 0, row["most"] or 0
+    n_times = most = G.spine_bound(extents, found.scenes, q.grid)
+    if n_times > tuning.BROADCAST_ROWS:  # that counts every scene of a tile
+        n_times, most = G.window_bounds(extents, found.scenes, q.grid)
     if n_times <= tuning.BROADCAST_ROWS:
         return held.join(F.broadcast(windows), ["poly_id", "ts"])
     # With the tile in the key, a polygon and time of any size is many groups.

@@ -5,7 +5,11 @@ from __future__ import annotations
 import pytest
 from test_plans import DRILLS, exchanges, stored, wide  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from rasterdrill import tuning
+from rasterdrill.operators import geometry as G
+from rasterdrill.operators import temporal as T
 from rasterdrill.plans import cube
 from rasterdrill.plans import drills as D
 from rasterdrill.plans.queries import QUERIES
@@ -27,6 +31,30 @@ def test_pixels_move_once(spark, stored, monkeypatch, name):  # noqa: F811
     assert moved == [["tile_id"]]
 
 
+@pytest.mark.parametrize("name", WINDOWS)
+def test_windows_are_not_built_to_count_them(spark, stored, monkeypatch, name):  # noqa: F811
+    """Spines and windows were taken twice, once to choose how they join."""
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", -1)
+    walk = T.anchored_windows
+    unwanted = F.raise_error(F.lit("windows were built")).isNull()
+    monkeypatch.setattr(T, "anchored_windows", lambda *a, **k: walk(*a, **k).filter(unwanted))
+    WINDOWS[name](wide(spark, stored), cube.scenes(spark, SF), cube.polygons(spark, SF))
+
+
+def test_bounds_of_windows(spark):
+    """Extents of two tiles, one and none; three scenes of two times lie on tiles 0 and 1."""
+    extents = spark.createDataFrame(
+        [(1, 0.0, 0.0, 16.0, 8.0), (2, 0.0, 0.0, 8.0, 8.0), (3, 16.0, 0.0, 24.0, 8.0)],
+        "poly_id long, bx0 double, by0 double, bx1 double, by1 double",
+    )
+    shots = [("2000-01-01", 0), ("2000-01-02", 0), ("2000-01-01", 8)]
+    scenes = spark.createDataFrame(
+        [(t, x + 0.0, 0.0, x + 8.0, 8.0) for t, x in shots], "t string, sx0 double, sy0 double, sx1 double, sy1 double"
+    ).withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    assert G.spine_bound(extents, scenes, cube.GRID) == 5
+    assert G.window_bounds(extents, scenes, cube.GRID) == (2 + 2 + 0, 2 * 2 + 2 + 0)
+
+
 PIXELS_ONLY = ["collate", "fuse_first_valid", "fuse_water", "juxtapose", "mask_polygon", "prune_bbox"]
 
 
