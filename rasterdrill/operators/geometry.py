@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterdrill import tuning
 from rasterdrill.grid import Grid
-from rasterdrill.sources.times import inside_request
+from rasterdrill.sources.times import inside_range, read_ranges
 from rasterdrill.tuning import beside, counted, dealt, sized
 
 # Vertices per sort group: a ring of any length is split into blocks of this many.
@@ -260,7 +260,7 @@ def spread(sums: DataFrame, members: DataFrame, time: str) -> DataFrame:
     values = [c for c in sums.columns if c not in ("set_a", "set_b", time)]
     joined = sums.join(members, ["set_a", "set_b"])
     if "start" in members.columns:
-        joined = joined.filter(inside_request(F.col(time), F.col("start"), F.col("end")))
+        joined = joined.filter(inside_range(F.col(time), F.col("start"), F.col("end")))
     return joined.groupBy("poly_id", time).agg(*[F.sum(c).alias(c) for c in values])
 
 
@@ -269,7 +269,7 @@ class Mask:
 
     ``spans`` are per polygon; ``each`` are the same cut at tile borders, hinted
     for broadcast only if ``bound``, a proven number of rows, allows it, else dealt by tile. Where
-    requests have time ranges, ``each`` carries their ``start`` and ``end``.
+    requests have time ranges, ``each`` carries their ``start`` and ``end`` as times.
     """
 
     def __init__(self, spans: DataFrame, each: DataFrame, bound: int):
@@ -300,7 +300,7 @@ def polygon_mask(
     spans = spans_of(polygons, grid, all_touched)
     cut = tile_spans(spans, grid)
     if ranges is not None:
-        cut = cut.join(counted(ranges.select("poly_id", "start", "end")), "poly_id", "left")
+        cut = cut.join(counted(read_ranges(ranges, "poly_id")), "poly_id", "left")
     return Mask(spans, beside(cut, bound), bound)
 
 
@@ -403,7 +403,7 @@ def inside_each(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     """Pixels with the ``poly_id`` of every polygon that holds them, in its time range if it has one."""
     joined = pixels.join(_aside(mask), F.expr(_IN_SPAN))
     if "start" in mask.columns:
-        joined = joined.filter(inside_request(F.col("ts"), F.col("_start"), F.col("_end")))
+        joined = joined.filter(inside_range(F.col("ts"), F.col("_start"), F.col("_end")))
     return joined.select(F.col("_poly_id").alias("poly_id"), *pixels.columns)
 
 
@@ -689,7 +689,7 @@ def time_spine(
     if footprints is None:
         _, footprints = scene_sizes(scenes, grid)
     if ranges is not None:
-        extents = extents.join(counted(ranges.select(keys[0], "start", "end")), keys[0], "left")
+        extents = extents.join(counted(read_ranges(ranges, keys[0])), keys[0], "left")
     asked = tuning.dealt(extent_tiles(extents, grid), footprints)
     areas = scenes.select(
         "ts", "grp",
@@ -706,7 +706,7 @@ def time_spine(
         F.col("tile_id") == first_tile
     )
     if ranges is not None:
-        met = met.filter(inside_request(F.col("_ts"), F.col("start"), F.col("end")))
+        met = met.filter(inside_range(F.col("_ts"), F.col("start"), F.col("end")))
     return met.groupBy(*keys, F.col("_grp").alias("grp")).agg(
         F.min("_ts").alias("time"), F.count(F.lit(1)).alias("n_scenes")
     )

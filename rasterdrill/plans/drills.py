@@ -25,7 +25,7 @@ from rasterdrill.operators import geometry as G
 from rasterdrill.operators import reproject as R
 from rasterdrill.operators import temporal as T
 from rasterdrill.sources import scenes as SC
-from rasterdrill.sources.times import inside_request
+from rasterdrill.sources.times import inside_range, read_ranges
 from rasterdrill.tuning import beside, counted, dealt, one_row, sized
 
 _PLACE = ("tile_id", "y", "x")
@@ -281,7 +281,7 @@ def mangrove_drill_summaries(
     mask = G.two_level_mask(polygons, grid)
     full, border = mask.full, mask.border
     if ranges is not None:
-        own = counted(ranges.select("poly_id", "start", "end"))
+        own = counted(read_ranges(ranges, "poly_id"))
         full, border = full.join(own, "poly_id", "left"), border.join(own, "poly_id", "left")
     over = G.overlay(beside(border, mask.bound), mask.bound)
     px = SC.filter_time_range(pixels, time).filter(G.tile_filter(mask.border_tiles))
@@ -291,7 +291,7 @@ def mangrove_drill_summaries(
     # A whole tile has a span in each of its rows, so the bound of spans holds for tiles too.
     whole = dealt(kept, mask.bound).join(beside(full, mask.bound), "tile_id")
     if ranges is not None:
-        whole = whole.filter(inside_request(F.col("ts"), F.col("start"), F.col("end")))
+        whole = whole.filter(inside_range(F.col("ts"), F.col("start"), F.col("end")))
     names = list(S.CANOPY_CLASSES.values())
     both = whole.select("poly_id", F.col("ts").alias("grp"), *names).unionByName(_canopy_counts(px, over, mask.bound))
     counts = both.groupBy("poly_id", "grp").agg(*[F.sum(n).alias(n) for n in names])
@@ -316,28 +316,25 @@ def point_water(
     sc = SC.group_scenes(taken, "solar_day")
     n_points = one_row(points.agg(F.count(F.lit(1))))[0]
     located = G.points_to_pixels(points.select("point_id", "lon", "lat"), grid)
-    cells = beside(located.select(*_PLACE).distinct(), n_points)
-    px = SC.filter_time_range(pixels, time).select("scene_id", *_PLACE, "water")
-    near = dealt(G.at_tiles(px, located), n_points).join(cells, list(_PLACE), "left_semi")
+    held = SC.filter_time_range(pixels, time).select("scene_id", "ts", *_PLACE, "water")
+    near = dealt(G.at_tiles(held, located), n_points)
     squares = located.select(  # each in one tile, which its times are looked up by
         "point_id", "lon", "lat", "y", "x",
         F.col("x").cast("double").alias("bx0"), F.col("y").cast("double").alias("by0"),
         (F.col("x") + 1.0).alias("bx1"), (F.col("y") + 1.0).alias("by1"),
     )
-    kept = _of_scenes(near, G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints, "grp", "ord")
+    tiles = G.scene_tiles(sc, squares, grid, "grp", "ord")
     keys = ("point_id", "lon", "lat", *_PLACE)
     if ranges is None:
-        fused, on = C.fuse_water(kept), list(C.PIXEL_KEY)
+        cells = beside(located.select(*_PLACE).distinct(), n_points)
+        own, on = near.drop("ts").join(cells, list(_PLACE), "left_semi"), list(C.PIXEL_KEY)
     else:
         # A range may split a day, so pixels are merged per point; a point has one pixel.
-        asked = located.join(counted(ranges.select("point_id", "start", "end")), "point_id", "left")
+        asked = located.join(counted(read_ranges(ranges, "point_id")), "point_id", "left")
         asked = beside(asked.select("point_id", *_PLACE, "start", "end"), n_points)
-        own = SC.filter_time_range(pixels, time).select("scene_id", "ts", *_PLACE, "water")
-        own = dealt(G.at_tiles(own, located), n_points).join(asked, list(_PLACE))
-        own = own.filter(inside_request(F.col("ts"), F.col("start"), F.col("end"))).drop("start", "end")
-        own = _of_scenes(own, G.scene_tiles(sc, squares, grid, "grp", "ord"), footprints, "grp", "ord")
-        on = ["point_id", *C.PIXEL_KEY]
-        fused = C.fuse_water(own, on)
+        own = near.join(asked, list(_PLACE)).filter(inside_range(F.col("ts"), F.col("start"), F.col("end")))
+        own, on = own.drop("ts", "start", "end"), ["point_id", *C.PIXEL_KEY]
+    fused = C.fuse_water(_of_scenes(own, tiles, footprints, "grp", "ord"), on)
     spine = G.time_spine(squares, sc, grid, keys=keys, ranges=ranges, footprints=footprints)
     if footprints > tuning.BROADCAST_ROWS:
         fused = fused.hint("merge")  # a row per point and day, too many to hash

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lengths of a year, a month and a day in ISO form.
@@ -58,3 +58,28 @@ def inside_request(ts: Column, start: Column, end: Column) -> Column:
     """``ts`` inside a request's own range; a request missing either end takes all."""
     given = start.isNotNull() & end.isNotNull()
     return ~given | ((ts >= first_moment(start)) & (ts <= last_moment(end)))
+
+
+# Ends of a range that holds no time.
+_NEVER = ("9999-12-31 00:00:00", "0001-01-01 00:00:00")
+
+
+def read_ranges(ranges: DataFrame, key: str) -> DataFrame:
+    """``(key, start, end)`` of requests as times, for :func:`inside_range`.
+
+    Texts are read here once per request; :func:`inside_request` reads them again for each
+    row they meet. A range missing either end has neither, and one with an end that cannot
+    be read holds no time.
+    """
+    given = F.col("start").isNotNull() & F.col("end").isNotNull()
+    ends = first_moment(F.col("start")), last_moment(F.col("end"))
+    good = ends[0].isNotNull() & ends[1].isNotNull()
+    never = [F.lit(t).cast("timestamp_ntz") for t in _NEVER]
+    return ranges.select(
+        key, *[F.when(given, F.when(good, t).otherwise(n)).alias(c) for c, t, n in zip(("start", "end"), ends, never)]
+    )
+
+
+def inside_range(ts: Column, start: Column, end: Column) -> Column:
+    """``ts`` inside a range of :func:`read_ranges`; a request without one takes all."""
+    return start.isNull() | ((ts >= start) & (ts <= end))

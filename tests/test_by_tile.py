@@ -93,3 +93,20 @@ def test_tables_of_a_row_per_request_are_not_sent_through_the_driver(spark, monk
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "Inner" not in line]
     assert not [line for line in joins if "point_id" in line or "poly_id" in line]
+
+
+@pytest.mark.parametrize("limit", [tuning.BROADCAST_ROWS, -1])
+def test_ranges_are_read_once_per_request(spark, monkeypatch, limit):
+    """The texts of a range were read again for each pixel and each scene they met."""
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", limit)
+    plan = QUERIES["wofs_pixel_drill_ranges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join Inner" in line and "start#" in line]
+    assert len(met) == 2 and not [line for line in met if "RLIKE" in line]
+
+
+def test_tiles_of_points_are_listed_once(spark, monkeypatch):
+    """A drill with ranges listed them twice, once for pixels that it did not read."""
+    calls, listed = [], G.tile_filter
+    monkeypatch.setattr(G, "tile_filter", lambda tiles: calls.append(1) or listed(tiles))
+    QUERIES["wofs_pixel_drill_ranges"](spark, SF)
+    assert len(calls) == 1

@@ -12,7 +12,7 @@ from rasterdrill.functions.projection import Albers
 from rasterdrill.grid import Grid
 from rasterdrill.operators import reproject as R
 from rasterdrill.sources import scenes as SC
-from rasterdrill.sources.times import first_moment, inside_request, last_moment
+from rasterdrill.sources.times import first_moment, inside_range, inside_request, last_moment, read_ranges
 
 
 def one(spark, expr, **values):
@@ -147,6 +147,21 @@ def test_range_without_an_end_takes_all(spark):
     assert one(spark, inside_request(ts, F.lit("2000"), F.lit("2001"))) is False
 
 
+def test_ranges_read_once_hold_the_same_times(spark):
+    """Years, months, days, instants, offsets, blanks, missing ends and ends that cannot be read, in every pair."""
+    ends = [None, "", "soon", "2000", " 2000 ", "2001-02", "2000-02-29", "2001-02-30", "2001-02-03T04:05:06.5", "2001-02-03T04:05:06+10:00"]
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in ends for b in ends)]
+    moments = ["1999-12-31 23:59:59.999999", "2000-01-01", "2000-02-29 23:59:59.999999", "2000-12-31 23:59:59.999999", "2001-02-02 18:05:06",
+               "2001-02-02 18:05:07", "2001-02-03 04:05:06.5", "2001-02-28 23:59:59.999999", "2001-03-01", None]
+    ranges = spark.createDataFrame(pairs, "id int, start string, end string")
+    ts = spark.createDataFrame([(t,) for t in moments], "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"))
+    held = [
+        {(r["id"], r["ts"]) for r in ts.crossJoin(of).filter(inside(F.col("ts"), F.col("start"), F.col("end"))).collect()}
+        for of, inside in ((ranges, inside_request), (read_ranges(ranges, "id"), inside_range))
+    ]
+    assert held[0] == held[1] and 200 < len(held[0]) < len(pairs) * len(moments)
+
+
 def test_albers_round_trip_and_known_corner(spark):
     """Out and back, and the projection's own centre line."""
     al = Albers()
