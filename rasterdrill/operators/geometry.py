@@ -246,10 +246,10 @@ def overlay(each: DataFrame, bound: int) -> Overlay:
     return Overlay(beside(segments, 2 * bound), held.select(*set_, *columns))
 
 
-def in_segments(pixels: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pixels with the set of polygons that hold them; those of none go."""
+def in_segments(pixels: DataFrame, segments: DataFrame, *columns: str) -> DataFrame:
+    """Pixels with the set of polygons that hold them, and ``columns`` of the segment; those of none go."""
     joined = pixels.join(_aside(segments), F.expr(_IN_SPAN))
-    return joined.select(F.col("_set_a").alias("set_a"), F.col("_set_b").alias("set_b"), *pixels.columns)
+    return joined.select(*[F.col(f"_{c}").alias(c) for c in ("set_a", "set_b", *columns)], *pixels.columns)
 
 
 def spread(sums: DataFrame, members: DataFrame, time: str) -> DataFrame:

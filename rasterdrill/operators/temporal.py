@@ -21,6 +21,7 @@ def anchored_windows(
     key: str = "poly_id",
     time: str = "ts",
     keep_trailing: bool = False,
+    turns: bool = False,
 ) -> DataFrame:
     """Windows of whole-day length over each key's times.
 
@@ -29,7 +30,8 @@ def anchored_windows(
     n_times)`` for each time. A last window that holds only the last time is
     dropped unless ``keep_trailing``. Rows without a time are left out. ``days`` may
     name a column, one value per key, which is returned too; where it is 0 every
-    time is a window, none dropped.
+    time is a window, none dropped. With ``turns`` each time has its ``turn`` in the window,
+    from 0.
 
     Times are sorted by Spark, spilling as it needs, and one pass walks them. It
     holds one window and one batch, however long a series is.
@@ -41,14 +43,15 @@ def anchored_windows(
     schema = T.StructType([
         T.StructField(key, kind), T.StructField(time, T.TimestampNTZType()),
         T.StructField("anchor", T.TimestampNTZType()), T.StructField("n_times", T.LongType()),
-        T.StructField("days", T.IntegerType()),
+        T.StructField("days", T.IntegerType()), T.StructField("turn", T.LongType()),
     ])
 
     def emit(keys: pa.Array, t: np.ndarray, n_days: int, starts: list[int], end: int) -> pa.RecordBatch:
         size = np.diff([*starts, end])
         moments = pa.array(t[:end]).cast(pa.timestamp("us"))
         anchor = pa.array(np.repeat(t[starts], size)).cast(pa.timestamp("us"))
-        columns = [keys[:end], moments, anchor, pa.array(np.repeat(size, size)), pa.array(np.full(end, n_days, np.int32))]
+        turn = pa.array(np.arange(end) - np.repeat(starts, size))
+        columns = [keys[:end], moments, anchor, pa.array(np.repeat(size, size)), pa.array(np.full(end, n_days, np.int32)), turn]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,7 @@ def anchored_windows(
 
     sorted_ = distinct.repartition(key).sortWithinPartitions(key, "_t")
     out = sorted_.mapInArrow(walk, schema)
-    return out.drop("days") if isinstance(days, int) else out
+    return out.drop(*(["days"] if isinstance(days, int) else []), *([] if turns else ["turn"]))
 
 
 def _means(nodata: Mapping[str, float], water: str) -> dict[str, Column]:
@@ -152,22 +155,56 @@ def composite_first_valid(
     return out.select(*keys, *[c.alias(n) for n, c in _settled(nodata, lead, water).items()])
 
 
+# A turn and a whole number or null share one long, turn first.
+_SHIFT, _OFFSET = 1 << 33, (1 << 31) + 1
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType)
+
+
+def _packed(turn: Column, value: Column) -> Column:
+    return turn.cast("bigint") * F.lit(_SHIFT) + F.coalesce(value.cast("bigint") + F.lit(_OFFSET), F.lit(0))
+
+
+def _unpacked(packed: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """The turn and the value of :func:`_packed`."""
+    value = F.nullif(F.pmod(packed, F.lit(_SHIFT)), F.lit(0).cast("bigint")) - F.lit(_OFFSET)
+    return F.shiftright(packed, 33), value.cast(kind)
+
+
 def composite_either(
     pixels: DataFrame,
     keys: list[str],
     nodata: Mapping[str, float],
-    first: Column,
-    time: str = "ts",
+    turn: str = "turn",
     lead: str = "TCW",
     water: str = "water",
 ) -> DataFrame:
-    """:func:`composite_first_valid` where the aggregate ``first`` holds, else :func:`average_over_day`.
+    """:func:`composite_first_valid` where windows are longer than a day, else :func:`average_over_day`.
 
-    Both are taken in one aggregate, so pixels are read and moved once.
+    ``pixels`` carry ``days`` and ``n_times`` of their window and their ``turn`` in it (see
+    :func:`anchored_windows`). Both are taken in one aggregate, so pixels are read and moved
+    once. Whole numbers are packed with their turn, as a group's buffer is held for every pixel.
     """
+    kinds = {c: pixels.schema[c].dataType for c in (*nodata, water)}
+    t, long_ = F.col(turn), F.col("days") > 1
+    # A group is of one window, so one number says its rule and, for means, its times.
+    pixels = pixels.withColumn("n_times", F.when(long_, F.lit(-1)).otherwise(F.col("n_times")))
     means = _means(nodata, water)
+    settled = F.when(is_valid(F.col(lead), nodata[lead]) | (F.col(water) > 0), t)
+    seen = {b: F.when(is_valid(F.col(b), nodata[b]), t) for b in nodata if b != lead}
+    turns = {water: settled} | seen
+    aggs, found = [F.min_by(lead, settled).alias("_lead")], {}
+    for c, at in turns.items():
+        if isinstance(kinds[c], _WHOLE):
+            aggs.append(F.min(_packed(at, F.col(c))).alias(f"_p_{c}"))
+            found[c] = _unpacked(F.col(f"_p_{c}"), kinds[c])
+        else:
+            aggs += [F.min(at).alias(f"_p_{c}"), F.min_by(c, at).alias(f"_q_{c}")]
+            found[c] = F.col(f"_p_{c}"), F.col(f"_q_{c}")
     out = pixels.groupBy(*keys).agg(
-        first.alias("_first"), *[c.alias(f"_m_{n}") for n, c in means.items()], *_first_values(nodata, time, lead, water)
+        (F.max("n_times") < 0).alias("_first"), *[c.alias(f"_m_{n}") for n, c in means.items()], *aggs
     )
+    k, wet = found.pop(water)
+    names = {"_k": k, "_water": wet} | {f"_{n}_{b}": v for b, pair in found.items() for n, v in zip("tv", pair)}
+    out = out.withColumns(names)
     chosen = _settled(nodata, lead, water)
     return out.select(*keys, *[F.when(F.col("_first"), chosen[n]).otherwise(F.col(f"_m_{n}")).alias(n) for n in means])

@@ -542,18 +542,23 @@ def _windowed(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
         windows = T.anchored_windows(found.times(), aggregate).withColumn("days", F.lit(aggregate))
     else:
         asked = found.times().join(counted(aggregate.select("poly_id", F.col("aggregate").alias("days"))), "poly_id", "left")
-        windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days")
+        windows = T.anchored_windows(asked.withColumn("days", F.coalesce("days", F.lit(0))), "days", turns=True)
+    placed, on, most = _beside_pixels(windows, found, q)
+    return dealt(held, most).join(placed, ["poly_id", *on])
+
+
+def _beside_pixels(windows: DataFrame, found: _Held, q: _Request) -> tuple[DataFrame, list[str], int]:
+    """Windows as pixels meet them, the columns they meet on beside the request, and the number pixels are dealt for."""
     extents = G.polygon_extents(q.polygons, q.grid)
     tiles = G.extent_tiles(extents, q.grid).select("poly_id", "tile_id")
     n_times = most = G.spine_bound(extents, found.scenes, q.grid)
     if n_times > tuning.BROADCAST_ROWS:  # that counts every scene of a tile
         n_times, most = G.window_bounds(extents, found.scenes, q.grid)
     if n_times <= tuning.BROADCAST_ROWS:
-        return held.join(F.broadcast(windows), ["poly_id", "ts"])
+        return F.broadcast(windows), ["ts"], 0
     # With the tile in the key, a polygon and time of any size is many groups.
     # Pixels that were dealt for the mask or for scenes are not moved here, nor for their merge.
-    placed = beside(windows.join(tiles.hint("merge"), "poly_id"), most)
-    return dealt(held, most).join(placed, ["poly_id", "ts", "tile_id"])
+    return beside(windows.join(tiles.hint("merge"), "poly_id"), most), ["ts", "tile_id"], most
 
 
 def _composite(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
@@ -564,13 +569,20 @@ def _composite(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
     """
     keys = ["poly_id", "anchor", *_PLACE]
     placed = _windowed(source, q, aggregate)
-    types = {b: "float" for b in WETLAND_NODATA} | {"water": "int"}
     if isinstance(aggregate, int):
         rule = T.average_over_day if aggregate == 1 else T.composite_first_valid
-        merged = rule(placed, keys, WETLAND_NODATA)
-    else:
-        placed = placed.withColumn("anchor", F.when(F.col("days") == 0, F.col("ts")).otherwise(F.col("anchor")))
-        merged = T.composite_either(placed, keys, WETLAND_NODATA, F.max("days") > 1)
+        return _typed(rule(placed, keys, WETLAND_NODATA), keys)
+    placed = placed.withColumn("anchor", F.when(F.col("days") == 0, F.col("ts")).otherwise(F.col("anchor")))
+    return _either(placed, keys)
+
+
+def _either(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels merged by the rule that the days of their window say."""
+    return _typed(T.composite_either(placed, keys, WETLAND_NODATA), keys)
+
+
+def _typed(merged: DataFrame, keys: list[str]) -> DataFrame:
+    types = {b: "float" for b in WETLAND_NODATA} | {"water": "int"}
     return merged.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
@@ -580,12 +592,48 @@ def _request(polygons, grid, time, ranges, mask) -> _Request:
 
 
 def _areas(source, q: _Request, aggregate: int | DataFrame) -> DataFrame:
+    if not isinstance(aggregate, int) and q.ranges is None:
+        return _areas_per_request(source, q, aggregate)
     if not isinstance(aggregate, int) or aggregate > 0:
         return wetland_area(_composite(source, q, aggregate), ["poly_id", F.col("anchor").alias("time")])
     sums = wetland_sums(source(q, True).pixels, [*_SET, "ts"])
     return _as_fractions(G.spread(sums, q.mask.overlay().members, "ts").withColumnRenamed("ts", "time"))
 
 
+def _areas_per_request(source, q: _Request, aggregate: DataFrame) -> DataFrame:
+    """Areas where requests differ in their length of window, if they have no time ranges.
+
+    Requests without windows take every time as it is, so they are laid over each other: a
+    pixel of a time is merged once for all of them, and sums are spread to them. One with
+    windows is a set of its own. Pixels are read and merged once.
+    """
+    found = source(q, False)
+    days = aggregate.groupBy("poly_id").agg(F.max("aggregate").alias("days")).filter("days != 0")
+    days = counted(days)
+    own_set = {"set_a": F.expr("xxhash64(poly_id, 1)"), "set_b": F.expr("xxhash64(poly_id, 2)")}
+    apart = q.mask.each.join(days.drop("days"), "poly_id", "left_semi").withColumns(own_set)
+    over = G.overlay(q.mask.each.join(days, "poly_id", "left_anti"), q.mask.bound)
+    span = ["tile_id", "y", "x_from", "x_to", *_SET]
+    spans = over.segments.select(*span, F.lit(None).cast("bigint").alias("own")).unionByName(
+        apart.select(*span, F.col("set_a").alias("own"))
+    )
+    windowed = q.polygons.select("poly_id").distinct().join(days.drop("days"), "poly_id", "left_semi")
+    members = over.members.unionByName(windowed.withColumns(own_set))
+    # A span gives at most two segments, or stays one.
+    bound = 2 * q.mask.bound
+    held = G.in_segments(dealt(found.pixels, bound), beside(spans, bound), "own")
+    windows, on, most = _beside_pixels(T.anchored_windows(found.times().join(days, "poly_id"), "days", turns=True), found, q)
+    # Pixels of a set without windows have no ``own`` and are not looked up.
+    windows = windows.withColumns({"own": own_set["set_a"], "set_b": own_set["set_b"]}).drop("poly_id")
+    placed = dealt(held, most).join(windows, ["own", "set_b", *on], "left").filter("own IS NULL OR anchor IS NOT NULL")
+    single = {"anchor": F.col("ts"), "n_times": F.lit(1), "days": F.lit(0), "turn": F.lit(0)}
+    placed = placed.withColumns({c: F.coalesce(F.col(c), v) for c, v in single.items()})
+    merged = _either(placed, [*_SET, "anchor", *_PLACE])
+    sums = wetland_sums(merged, [*_SET, F.col("anchor").alias("ts")])
+    areas = G.spread(sums, members, "ts").join(found.times().hint("merge"), ["poly_id", "ts"], "left_semi")
+    return _as_fractions(areas.withColumnRenamed("ts", "time"))
+
+
 def wetland_composite(
     pixels: DataFrame,
     scenes: DataFrame,

@@ -110,3 +110,48 @@ def test_tiles_of_points_are_listed_once(spark, monkeypatch):
     monkeypatch.setattr(G, "tile_filter", lambda tiles: calls.append(1) or listed(tiles))
     QUERIES["wofs_pixel_drill_ranges"](spark, SF)
     assert len(calls) == 1
+
+
+# --- windows per request -----------------------------------------------------
+
+def lengths(polygons, days=(0, 0, 1, 16, 400)):
+    """A length of window per request; every seventh request has none."""
+    ids = polygons.select("poly_id").distinct().filter("poly_id % 7 != 6")
+    return ids.withColumn("aggregate", F.element_at(F.array(*map(F.lit, days)), (F.col("poly_id") % len(days) + 1).cast("int")))
+
+
+@pytest.mark.parametrize("limit", [tuning.BROADCAST_ROWS, -1])
+def test_requests_without_windows_share_their_pixels(spark, stored, monkeypatch, rows, limit):  # noqa: F811
+    """Each pixel of a time was merged once for every polygon that holds it."""
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", limit)
+    seen, either = [], T.composite_either
+    monkeypatch.setattr(T, "composite_either", lambda px, *a, **k: seen.append(px) or either(px, *a, **k))
+    data = wide(spark, stored), cube.scenes(spark, SF), cube.polygons(spark, SF), cube.GRID
+    got = rows(D.wetland_areas(*data, aggregate=lengths(data[2], (0,))))
+    place = seen[0].select("ts", "tile_id", "y", "x")
+    assert place.count() == place.distinct().count() > 10_000
+    assert got == rows(D.wetland_areas(*data))
+
+
+@pytest.mark.parametrize("limit", [tuning.BROADCAST_ROWS, -1])
+def test_windows_per_request_as_merged_per_polygon(spark, stored, monkeypatch, rows, limit):  # noqa: F811
+    """Lengths of all kinds, also where pixels and lengths come twice."""
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", limit)
+    px = wide(spark, stored)
+    po = cube.polygons(spark, SF)
+    days = lengths(po)
+    twice = px.unionByName(px.filter("(scene_id + x + y) % 5 = 0"))
+    data = twice, cube.scenes(spark, SF), po, cube.GRID
+    mask = G.polygon_mask(po, cube.GRID, all_touched=True)
+    merged = D.wetland_composite(*data, aggregate=days, mask=mask)
+    want = rows(D.wetland_area(merged, ["poly_id", F.col("anchor").alias("time")]))
+    got = rows(D.wetland_areas(*data, aggregate=days.unionByName(days.filter("poly_id % 2 = 0")), mask=mask))
+    assert got == want and len({r[0] for r in got}) >= 7
+
+
+def test_pixels_of_windows_per_request_move_once(spark, stored, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(tuning, "BROADCAST_ROWS", -1)
+    po = cube.polygons(spark, SF)
+    found = exchanges(D.wetland_areas(wide(spark, stored), cube.scenes(spark, SF), po, cube.GRID, aggregate=lengths(po)))
+    moved = [keys for keys, below, pixels in found if pixels and below != "HashAggregate" and keys != ["set_a", "set_b"]]
+    assert moved == [["tile_id"]]

@@ -146,3 +146,28 @@ def test_days_per_key(spark):
     assert {g[1:4] for g in got if g[0] == 1} == {(d, d, 1) for d in (1, 2, 4, 5)}
     assert {g[1:4] for g in got if g[0] == 2} == {(d, d, 1) for d in (1, 2, 4)}
     assert {g[1:4] for g in got if g[0] == 3} == {(1, 1, 2), (2, 1, 2), (4, 4, 2), (5, 4, 2)}
+
+
+def test_either_rule_is_the_rule_of_the_window(spark):
+    """Negative values and the ends of whole numbers too; one row packs a value with its turn."""
+    rng, data = random.Random(3), []
+    for x in range(120):
+        days = rng.choice([0, 1, 2, 400])
+        n = 1 if days == 0 else rng.randint(1, 5)
+        for turn in rng.sample(range(n), rng.randint(1, n)):
+            water = rng.choice([0, 0, 1])
+            bands = [rng.choice([-1, 0, 7, -(1 << 31), (1 << 31) - 2]) for _ in range(3)]
+            lead = rng.choice([-9999.0, -3.5, 12.25])
+            data.append((x, ORIGIN + timedelta(days=turn), turn, n, days, *([-1, -1, -1, -9999.0] if water else [*bands, lead]), water))
+    df = spark.createDataFrame(data, "x int, ts timestamp_ntz, turn long, n_times long, days int, bs int, pv int, npv int, TCW float, water int")
+    got = sorted(map(tuple, T.composite_either(df, ["x"], ND).collect()))
+    parts = T.average_over_day(df.filter("days < 2"), ["x"], ND), T.composite_first_valid(df.filter("days > 1"), ["x"], ND)
+    assert got == sorted(tuple(float(v) if v is not None else v for v in r) for p in parts for r in p.select("x", *ND, "water").collect())
+    wide = df.withColumns({b: F.col(b).cast("double") for b in ("bs", "pv", "npv")})
+    assert len(got) == 120 and got == sorted(map(tuple, T.composite_either(wide, ["x"], ND).collect()))
+
+
+def test_turns_count_from_the_anchor(spark):
+    df = frame(spark, {1: [0, 25, 50, 10 * 86400, 10 * 86400 + 5], 2: [0, 86400 * 3]})
+    got = sorted((r["poly_id"], r["ts"], r["turn"]) for r in T.anchored_windows(df, 7, turns=True).collect())
+    assert [t for _, _, t in got] == [0, 1, 2, 0, 1, 0, 1]
